@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontaminate, mixing, secrets
 
-QUERIES = {"op9_mix_sources": mixing.op9_mix_sources}
-SQL = {"op9_mix_sources": mixing.OP9_SQL}
+QUERIES = {
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_mix_sources": mixing.op9_mix_sources,
+}
+SQL = {
+    "op4_secret_scan": secrets.OP4_SQL,
+    "op8_benchmark_decontamination": decontaminate.OP8_SQL,
+    "op9_mix_sources": mixing.OP9_SQL,
+}
