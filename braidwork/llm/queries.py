@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, secrets
+from . import decontaminate, mixing, quality, secrets, simhash
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_mix_sources": mixing.op9_mix_sources,
