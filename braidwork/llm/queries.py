@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, secrets, simhash
+from . import decontaminate, language, mixing, quality, secrets, simhash, urls
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_url_filter": urls.op5_url_filter,
+    "op6_language_id": language.op6_language_id,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 SQL = {
     "op4_secret_scan": secrets.OP4_SQL,
+    "op5_url_filter": urls.OP5_SQL,
     "op8_benchmark_decontamination": decontaminate.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
