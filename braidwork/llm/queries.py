@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, quality, secrets, simhash, urls
+from . import decontaminate, language, mixing, quality, secrets, simhash, substrings, urls
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_language_id": language.op6_language_id,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 SQL = {
     "op4_secret_scan": secrets.OP4_SQL,
     "op5_url_filter": urls.OP5_SQL,
     "op8_benchmark_decontamination": decontaminate.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op10_substring_dedup": substrings.OP10_SQL,
 }
