@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, quality, secrets, simhash, substrings, urls
+from . import decontaminate, language, mixing, neighbours, quality, secrets, simhash, substrings, urls
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_url_filter": urls.op5_url_filter,
     "op6_language_id": language.op6_language_id,
+    "op7_nearest_neighbours": neighbours.op7_nearest_neighbours,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_substring_dedup": substrings.op10_substring_dedup,
