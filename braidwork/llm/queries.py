@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, neighbours, quality, secrets, simhash, substrings, urls
+from . import decontaminate, language, mixing, neighbours, quality, scoring, secrets, simhash, substrings, urls
 
 QUERIES = {
+    "op1_lm_scoring": scoring.op1_lm_scoring,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_secret_scan": secrets.op4_secret_scan,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 SQL = {
+    "op1_lm_scoring": scoring.OP1_SQL,
     "op4_secret_scan": secrets.OP4_SQL,
     "op5_url_filter": urls.OP5_SQL,
     "op8_benchmark_decontamination": decontaminate.OP8_SQL,
