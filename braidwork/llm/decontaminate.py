@@ -110,7 +110,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int =
     by_doc = materialize(by_doc, "candidates").withColumnsRenamed({"doc_id": "_id", "_hash": "_h"})
     same = keyed["doc_id"].eqNullSafe(by_doc["_id"]) & (keyed["_hash"] == by_doc["_h"])
     met = texts.join(maybe_broadcast(by_doc, BROADCAST_ROWS // 50), same).select("_id", "_h", "text", "cands").dropDuplicates(["_id", "_h"])
-    met = met.select("_id", "_h", words(F.col("text")).alias("w"), "cands")
+    # Written out so that the words are made once, not at each use below.
+    met = materialize(met.select("_id", "_h", words(F.col("text")).alias("w"), "cands"), "aligned")
 
     def extend(c):
         m = F.least(F.lit(window), F.size(c["iw"]))
@@ -123,7 +124,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int =
         )
         return F.transform(fits, lambda j: F.struct(c["item"].alias("item"), (j + c["diag"]).alias("at"), m.alias("m")))
 
-    hits = met.select("_id", "_h", F.flatten(F.transform("cands", extend)).alias("hits")).where(F.size("hits") > 0)
+    hits = materialize(met.select("_id", "_h", F.flatten(F.transform("cands", extend)).alias("hits")), "extended").where(F.size("hits") > 0)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["m"] - 1))))
     listed = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda x: x["item"]), lambda i: i.isNotNull())))
     hits = hits.select("_id", "_h", F.size(covered).cast("long").alias("n_hit"), listed.alias("items"))
