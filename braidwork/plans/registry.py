@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import similarity_plans
+from . import recommend_plans, relational_plans, similarity_plans, text_plans, tree_plans
 
-MODULES = (similarity_plans,)
+MODULES = (similarity_plans, relational_plans, recommend_plans, tree_plans, text_plans)
 
 
 def queries():
