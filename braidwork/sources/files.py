@@ -52,7 +52,7 @@ def tickets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, content, size) of all files below ``path`` but system ones."""
+    """(path, name, content, size) of all files below ``path`` but system ones and, as Spark lists none, empty ones."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return f.withColumn("name", name).where(~F.lower("name").isin(".ds_store", "thumbs.db") & ~F.startswith("name", F.lit("."))).select("path", "name", "content", F.col("length").alias("size"))
