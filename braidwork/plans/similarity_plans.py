@@ -95,7 +95,7 @@ def state_rate(spark, sf_dir: str) -> DataFrame:
 def memory_decay(spark, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("step"), F.col("event_type").alias("i"), F.col("value").alias("weight"))
     w = e.withColumn("step", F.expr("row_number() over (partition by doc order by step)"))
-    return S.decayed(w, 0.9).select("doc", "i", F.round("memory", 5).alias("memory"))
+    return S.decayed(w, 0.9123).select("doc", "i", F.round("memory", 6).alias("memory"))
 
 
 def segment_influence(spark, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ SELECT id, c.label, round(list_cosine_similarity(v.v, c.c), 6) AS score FROM v C
 r AS (SELECT doc, avg(d) AS rate FROM d WHERE d IS NOT NULL GROUP BY doc) SELECT doc, round(rate, 5) AS rate, round(greatest(0.05, least(0.2, 1 / (1 + rate))), 5) AS step FROM r""",
     "memory_decay": """WITH e AS (SELECT user_id AS doc, event_type AS i, value AS weight, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events),
 n AS (SELECT *, max(step) OVER (PARTITION BY doc) AS n FROM e)
-SELECT doc, i, round(weight * pow(0.9::DOUBLE, n - step + 1), 5) AS memory FROM n QUALIFY row_number() OVER (PARTITION BY doc, i ORDER BY step DESC) = 1""",
+SELECT doc, i, round(weight * pow(0.9123::DOUBLE, n - step + 1), 6) AS memory FROM n QUALIFY row_number() OVER (PARTITION BY doc, i ORDER BY step DESC) = 1""",
     "segment_influence": """WITH s AS (SELECT conv_id AS doc, turn AS i, max(turn) OVER w AS cur, length(text) AS len, count(*) OVER w AS n, max(length(text)) OVER w AS longest FROM conversations WINDOW w AS (PARTITION BY conv_id))
 SELECT doc, i, round((1.0::DOUBLE / (abs(cur - i) + 1) + len::DOUBLE / greatest(longest, 1) + (i + 1)::DOUBLE / n + 1.0::DOUBLE / (1 + i)) / (i + 1), 6) AS influence FROM s""",
 }
