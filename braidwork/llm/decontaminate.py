@@ -64,7 +64,10 @@ def _all_prints(hashed: DataFrame, keys: list[str], window: int, k: int, short:
     """Winnowed prints; for items shorter than a window, of ``short`` words, every n-gram of those lengths too."""
     out = fingerprints(hashed, keys, window, k)
     for n in short:
-        each = _grams(hashed, keys, n).select(*keys, F.lit(-n).alias("n"), F.posexplode("g").alias("q", "print"))
+        # Positions are exploded, not n-grams: a filter on exploded n-grams would be pushed down and hash the text at every position.
+        each = hashed.where(F.size("h") >= n).withColumn("q", F.explode(F.sequence(F.lit(0), F.size("h") - n)))
+        gram = F.xxhash64(F.lit(n), *[F.get("h", F.col("q") + j) for j in range(n)])
+        each = each.select(*keys, F.lit(-n).alias("n"), "q", gram.alias("print"))
         out = out.unionByName(each)
     return out
 
