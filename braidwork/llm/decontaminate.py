@@ -82,7 +82,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int =
     and as often as they come in the rows; empty tables give empty or
     uncontaminated results; input columns named like an output are replaced.
     """
-    kept = without(docs, "n_words", "n_hit", "items", "contaminated", "_hash")
+    kept = without(docs, "n_words", "n_hit", "items", "contaminated", "_hash", "_id", "_h")
     keyed = kept.withColumn("_hash", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("text").isNotNull()).distinct()
     items = materialize(items.withColumn("key", F.xxhash64("item", "text")).withColumn("iw", words(F.col("text"))).where(F.size("iw") > 0), "items")
