@@ -39,9 +39,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a materialized narrow table if it has at most ``limit`` rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, items: str | None = None, most_items: int = 0) -> DataFrame:
+    """Hint a broadcast of a materialized narrow table of at most ``limit`` rows; else leave the join to Spark.
+
+    For a table with an array column ``items``, its arrays may hold
+    ``most_items`` in total.
+    """
+    if df.limit(limit + 1).count() > limit:
+        return df
+    if items and (df.agg(F.sum(F.size(items))).first()[0] or 0) > most_items:
+        return df
+    return F.broadcast(df)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

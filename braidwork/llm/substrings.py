@@ -156,9 +156,8 @@ def _cut(window: int):
             kept, removed = words, 0
             if found:
                 depth = np.zeros(len(words) + 1, np.int64)
-                for s in found:
-                    np.add.at(depth, s["starts"], 1)
-                    np.add.at(depth, np.array(s["starts"]) + (s["n"] - 1 + window), -1)
+                np.add.at(depth, found[::2], 1)
+                np.add.at(depth, found[1::2], -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 removed = int(gone.sum())
                 kept = [w for w, g in zip(words, gone) if not g]
@@ -169,8 +168,21 @@ def _cut(window: int):
     return kind, cut
 
 
+def _merged(found: list[dict], window: int) -> list[int]:
+    """Begins and ends, in turn, of the words that runs of ``n`` windows from each of ``starts`` cover, joined where they touch."""
+    pairs = np.array(sorted((a, a + f["n"] - 1 + window) for f in found for a in f["starts"]))
+    ends = np.maximum.accumulate(pairs[:, 1])
+    fresh = np.append(True, pairs[1:, 0] > ends[:-1])
+    return np.stack([pairs[fresh, 0], ends[np.append(fresh[1:], True)]], axis=1).ravel().tolist()
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(doc_id, text_hash, spans): of each text with a window that also starts elsewhere, the runs of such windows: array of (starts, n), n windows from each start."""
+    """(doc_id, text_hash, spans): of each text with a window that also starts elsewhere, begins and ends, in turn, of the words that such windows cover."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def merged(found: pa.Array) -> pa.Array:
+        return pa.array([_merged(f, window) for f in found.to_pylist()], pa.list_(pa.int32()))
+
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.col("text").isNotNull())
     key = ["doc_id", "text_hash"]
     paths = texts.mapInArrow(_find_paths(window, k), _schema(docs, "text_hash long, mer long, path long, starts array<int>, n int"))
@@ -185,13 +197,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     told = told.groupBy(*key).agg(F.collect_list(F.struct(F.get("starts", F.lit(0)).alias("start"), "n", "mer", "path", "again")).alias("told"))
     told = materialize(told, "branches").withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
     same = lambda d, o: d["doc_id"].eqNullSafe(o["_id"]) & (d["text_hash"] == o["_h"])
-    looked = texts.join(maybe_broadcast(told, 200_000), same(texts, told)).select("doc_id", "text_hash", "text", "told").dropDuplicates(key)
+    looked = texts.join(maybe_broadcast(told, 200_000, "told", 1_000_000), same(texts, told)).select("doc_id", "text_hash", "text", "told").dropDuplicates(key)
     edges = looked.mapInArrow(_find_edges(window), _schema(docs, "text_hash long, mer long, path long, edge long, start int, again boolean"))
     edges = materialize(edges, "edges")
     shared = edges.groupBy("mer", "edge").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a != b").select("mer", "edge")
     single = edges.where("NOT again").join(shared, ["mer", "edge"]).select(*key, F.array("start").alias("starts"), F.lit(1).alias("n"))
     spans = met.where("again").select(*key, "starts", "n").unionByName(single)
-    return spans.groupBy(*key).agg(F.collect_list(F.struct("starts", "n")).alias("spans"))
+    return spans.groupBy(*key).agg(F.collect_list(F.struct("starts", "n")).alias("runs")).select(*key, merged("runs").alias("spans"))
 
 
 def _schema(docs: DataFrame, rest: str) -> str:
@@ -206,8 +218,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, with_text:
     other; an empty table gives an empty table; input columns named like an
     output are replaced.
     """
-    kept = without(docs, "n_words", "n_removed", "kept_sha256", "kept_text", "_hash", "_cut").withColumn("_hash", F.xxhash64("text"))
-    spans = materialize(repeated_spans(docs, window, k), "spans").withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
+    kept = without(docs, "n_words", "n_removed", "kept_sha256", "kept_text", "_hash", "_cut", "_spans", "_id", "_h").withColumn("_hash", F.xxhash64("text"))
+    spans = materialize(repeated_spans(docs, window, k), "spans").withColumnsRenamed({"doc_id": "_id", "text_hash": "_h", "spans": "_spans"})
     kind, cut = _cut(window)
 
     @F.arrow_udf(kind)
@@ -215,11 +227,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, with_text:
         return cut(texts, found, with_text)
 
     same = kept["doc_id"].eqNullSafe(spans["_id"]) & (kept["_hash"] == spans["_h"])
-    out = kept.join(maybe_broadcast(spans, 200_000), same, "left").withColumn("_cut", cutting("text", "spans"))
+    out = kept.join(maybe_broadcast(spans, 200_000, "_spans", 2_000_000), same, "left").withColumn("_cut", cutting("text", "_spans"))
     named = {"n_words": F.col("_cut.n_words"), "n_removed": F.col("_cut.n_removed"), "kept_sha256": F.col("_cut.sha")}
     if with_text:
         named["kept_text"] = F.decode("_cut.kept", "UTF-8")
-    return out.withColumns(named).drop("_cut", "_hash", "_id", "_h", "spans")
+    return out.withColumns(named).drop("_cut", "_hash", "_id", "_h", "_spans")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
