@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "\u0001"
-#: Headers, emphasis, quotes, list marks, numbered items and colons.
+#: Headers, emphasis, quotes, list marks, numbered items and colons.
 MARKDOWN = r"#{1,6}\s|\*\*|\*|__|_|>|- |\+ |\d+\.\s|:"
 #: A token: a word or a single other symbol.
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
@@ -64,9 +64,13 @@ def title_and_body(text: Column) -> tuple[Column, Column]:
     return stripped(F.get(parts, F.lit(0))), F.coalesce(stripped(F.get(parts, F.lit(1))), F.lit(""))
 
 
+#: Patterns and what replaces them, in order.
+CLEANING = ((r"Part\s*\d+", ""), (r"P\s*\d+", ""), ("(?i)Tapestry", "Synergy"), ("(?i)Tapestries", "Synergies"))
+
+
 def clean_segment(text: Column) -> Column:
     """Part marks removed, then the two words replaced, in this order and in any case of letters."""
-    for pattern, by in ((r"Part\s*\d+", ""), (r"P\s*\d+", ""), ("(?i)Tapestry", "Synergy"), ("(?i)Tapestries", "Synergies")):
+    for pattern, by in CLEANING:
         text = F.regexp_replace(text, pattern, by)
     return text
 
@@ -148,6 +152,7 @@ def chunks(text: Column, size: int = 200, least_cut: int = 350, least: int = 5,
     return F.slice(clean, 1, most)
 
 
+#: Ten numerals.
 ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")
 
 

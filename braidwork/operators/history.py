@@ -36,7 +36,7 @@ def last_n(messages: DataFrame, n: int, with_newest: bool = True) -> DataFrame:
     return messages.withColumn("_r", rank).where((F.col("_r") > low) & (F.col("_r") <= n + low)).drop("_r")
 
 
-#: Roles and the names that a buffer shows.
+#: Roles and the names that a buffer shows.
 SPEAKERS = (("user", "Human"), ("assistant", "AI"), ("system", "System"))
 
 

@@ -85,7 +85,7 @@ def connection(compatible: Column, score: Column) -> Column:
     return (F.when(compatible, 50).otherwise(0) + 0.5 * score).cast("long")
 
 
-#: Thresholds and their titles.
+#: Thresholds and their titles.
 TITLES = ((1, "First Goal Achieved"), (5, "Five Goals Achieved"), (10, "Ten Goals Achieved"))
 
 
