@@ -10,6 +10,8 @@ n-gram crosses the network once per block, however often the block has it.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,13 +34,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _put(values: np.ndarray) -> bytes:
-    """Unsigned numbers as planes of bytes, which compress well where high bytes are alike."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    """Small unsigned numbers: planes of bytes, deflated."""
+    if not len(values) or values.max() < 1 << 32:
+        return b"4" + zlib.compress(np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return b"8" + zlib.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _get(data: bytes) -> np.ndarray:
+    size = int(data[:1])
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{size}").ravel().astype(np.uint64)
+
+
+def _put_sorted(values: np.ndarray) -> bytes:
+    """Sorted hashes: of the gaps, as many low bits as an average gap has as they are, and the rest, which is small, by ``_put``."""
+    gaps = np.diff(values, prepend=np.uint64(0))
+    k = int(values[-1] // np.uint64(len(values))).bit_length() - 1 if values[-1] >= len(values) else 0
+    bits = np.unpackbits(gaps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :k]
+    return bytes([k]) + len(values).to_bytes(8, "little") + np.packbits(bits.ravel(), bitorder="little").tobytes() + _put(gaps >> np.uint64(k))
 
 
-def _get(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _get_sorted(data: bytes) -> np.ndarray:
+    k, n = data[0], int.from_bytes(data[1:9], "little")
+    cut = 9 + -(-n * k // 8)
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, :k] = np.unpackbits(np.frombuffer(data[9:cut], np.uint8), count=n * k, bitorder="little").reshape(n, k)
+    low = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    return np.cumsum((_get(data[cut:]) << np.uint64(k)) | low, dtype=np.uint64)
 
 
 class _Block:
@@ -75,7 +97,7 @@ def _ask(buckets: int, order: int):
             cuts = np.searchsorted(distinct, edges)
             for bucket, (g, c) in enumerate(zip(np.split(distinct, cuts), np.split(counts, cuts))):
                 if len(g):
-                    rows.append((bucket, n, group.column("block")[0].as_py(), _put(np.diff(g, prepend=np.uint64(0))), _put(c)))
+                    rows.append((bucket, n, group.column("block")[0].as_py(), _put_sorted(g), _put(c)))
         return _table(rows, (("bucket", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())))
 
     return ask
@@ -87,8 +109,8 @@ def _table(rows: list[tuple], columns) -> pa.Table:
 
 def _answer(group: pa.Table) -> pa.Table:
     """Adds up a bucket's counts; one row for each that came, with the totals in its order."""
-    grams = [np.cumsum(_get(g, np.uint64), dtype=np.uint64) for g in group.column("grams").to_pylist()]
-    counts = np.concatenate([_get(c, np.uint32) for c in group.column("counts").to_pylist()])
+    grams = [_get_sorted(g) for g in group.column("grams").to_pylist()]
+    counts = np.concatenate([_get(c) for c in group.column("counts").to_pylist()])
     distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
     totals = np.bincount(inverse, counts, len(distinct)).astype(np.uint64)[inverse]
     parts = np.split(totals, np.cumsum([len(g) for g in grams])[:-1])
@@ -102,7 +124,7 @@ def _sum(order: int, words: int, alpha: float, least: int):
         came = sorted(zip(answers.column("n").to_pylist(), answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()))
         count = []
         for n in range(1, order + 1):
-            totals = [_get(t, np.uint64) for m, _, t in came if m == n]
+            totals = [_get(t) for m, _, t in came if m == n]
             totals = np.append(np.concatenate(totals) if totals else np.zeros(0, np.uint64), np.uint64(0)).astype(np.float64)
             count.append(totals[block.at[n - 1]])  # -1 finds the 0 at the end
         size = len(block.place)
