@@ -29,19 +29,25 @@ HOT = 4096
 TILE = 512
 
 
-def _fingerprint(text: bytes | None, shingle: int, xx) -> int:
+def shingle_hashes(text: bytes | None, shingle: int, xx) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``shingle`` lower-cased words, of the whole text if it has fewer; empty without words."""
     words = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if n <= shingle:
-        h = np.array([xx(joined, 42)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: n - shingle + 1].tolist()
-        h = np.array([xx(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+        return np.array([xx(joined, 42)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: n - shingle + 1].tolist()
+    return np.array([xx(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def _fingerprint(text: bytes | None, shingle: int, xx) -> int:
+    h = shingle_hashes(text, shingle, xx)
+    if not len(h):
+        return 0
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = 2 * bits.sum(axis=0, dtype=np.int64) > len(h)
     return int(np.packbits(over, bitorder="little").view("<i8")[0])
@@ -72,6 +78,8 @@ def near(queries: np.ndarray, sliced: np.ndarray, n: int, radius: int) -> np.nda
     ``ones`` and ``twos`` count differences up to three, ``far`` keeps those
     beyond; words whose 64 candidates are all beyond are abandoned.
     """
+    if radius not in (0, 1, 2):
+        raise ValueError(f"radius {radius}: the counters tell 0, 1 and 2 only")
     words = sliced.shape[1]
     full, none = np.uint64(2**64 - 1), np.uint64(0)
     flip = np.where(np.unpackbits(queries.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), full, none)
@@ -145,7 +153,9 @@ def _links(radius: int):
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column ``fp``) that span all components at ``radius``."""
+    """(a, b): links between distinct fingerprints (column ``fp``) that span all components at ``radius`` (0 to 2)."""
+    if radius not in range(RADIUS + 1):
+        raise ValueError(f"radius {radius}: the blocks meet pairs up to {RADIUS} only")
     masks = [sum(((1 << hi) - (1 << lo)) for lo, hi in blocks) for blocks in combinations(BLOCKS, len(BLOCKS) - RADIUS)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     rest = []
@@ -201,6 +211,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
     nodes = rows.groupBy("fp").agg(best)
     roots = components(links(nodes.select("fp"), radius))
+    return mark_first(rows, nodes, roots)
+
+
+def mark_first(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_hash, fp) with component_id and keep, from ``nodes`` (fp, best) and the ``roots`` (node, root) of linked ones."""
     groups = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
     firsts = groups.groupBy("root").agg(F.min("best").alias("first"))
     by_print = groups.select("fp", "root").join(firsts, "root").select("fp", "first")
@@ -215,7 +230,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` without all but one document of each group of near-duplicates."""
-    kept = materialize(near_duplicates(docs, radius).where("keep").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "kept")
+    return only_kept(docs, near_duplicates(docs, radius))
+
+
+def only_kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, text_hash, keep) keeps, repeated ones once."""
+    kept = materialize(found.where("keep").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "kept")
     kept = kept.withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
     same = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_h"])
     out = docs.join(kept.where("n = 1"), same, "left_semi")
