@@ -12,6 +12,10 @@ from braidwork.functions import vectors as V
 
 from .relational import top
 
+#: Rows of a group of all_neighbours, about; rows and columns of a tile.
+GROUP_ROWS = 16_384
+TILE = 1024
+
 MEASURES = {"cosine": (V.cosine, True), "dot": (V.dot, True), "euclid": (V.euclid, False)}
 
 
@@ -30,33 +34,63 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 5, measure: str = "co
     return best if least is None else best.where(F.col("score") >= least)
 
 
-def all_neighbours(vectors: DataFrame, k: int, parts: int = 8) -> DataFrame:
-    """(id, other, score, rank): the exact ``k`` nearest by cosine of every vector.
+def parts_of(n: int) -> int:
+    """Groups to deal ``n`` vectors into, of about GROUP_ROWS at most."""
+    return max(8, -(-n // GROUP_ROWS))
+
+
+def nearest_of(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores): for each row of unit vectors ``x`` (ids ``i``) the best ``k`` of ``y`` (ids ``j``) but itself, ties by id; missing ones score -inf.
 
-    Vectors are dealt into ``parts`` groups and each pair of groups is one
-    task's matrix product, of which only each row's best ``k`` go on; raise
-    ``parts`` with the data so that two groups fit a task.
+    Tiles of ``y`` are multiplied one by one and join the best so far.
     """
-    dealt = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("g"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    a = dealt.select("id", "v", F.col("g").alias("a"), each.alias("b"))
-    b = dealt.select("id", "v", each.alias("a"), F.col("g").alias("b"))
+    order = np.argsort(j, kind="stable")
+    y, j = y[order], j[order]
+    ids, best = np.zeros((len(i), k), np.int64), np.full((len(i), k), -np.inf)
+    for r in range(0, len(i), TILE):
+        rows = slice(r, r + TILE)
+        for c in range(0, len(j), TILE):
+            s = np.round(x[rows] @ y[c : c + TILE].T, 6)
+            s[i[rows, None] == j[None, c : c + TILE]] = -np.inf
+            s = np.hstack([best[rows], s])
+            known = np.hstack([ids[rows], np.broadcast_to(j[c : c + TILE], (len(s), s.shape[1] - k))])
+            at = np.arange(len(s))
+            for q in range(k):  # the first of equal scores has the smaller id
+                top_ = s.argmax(axis=1)
+                ids[rows, q], best[rows, q] = known[at, top_], s[at, top_]
+                s[at, top_] = -np.inf
+    return ids, best
+
+
+def all_neighbours(vectors: DataFrame, k: int, parts: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    """(id, other, score, rank): the exact ``k`` nearest by cosine of every vector, or of those whose id is in ``of``.
+
+    Vectors are dealt into groups (``parts``, by default from a count, so that
+    a group's rows are bounded) and each pair of groups is one matrix product
+    in tiles, of which only each row's best ``k`` go on.
+    """
+    asked = vectors if of is None else vectors.join(of.select("id").distinct(), "id", "left_semi")
+    parts = parts or parts_of(vectors.count())
+    sides = parts if of is None else -(-asked.count() // GROUP_ROWS) or 1
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Fresh names on both sides, as the asked ones come from the same rows.
+    a = asked.select(F.col("id").alias("i"), F.col("v").alias("x"), deal(sides).alias("a"), each(parts).alias("b"))
+    b = vectors.select(F.col("id").alias("j"), F.col("v").alias("y"), each(sides).alias("a"), deal(parts).alias("b"))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        matrix = lambda t: np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1)
         out = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
-        x, y = matrix(left), matrix(right)
-        i, j = left.column("id").to_numpy(), right.column("id").to_numpy()
-        unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
-        s = np.round(unit(x) @ unit(y).T, 6)
-        s[i[:, None] == j[None, :]] = -np.inf
-        rows = []
-        for r in range(len(i)):
-            order = np.lexsort((j, -s[r]))[: k + 1]
-            rows += [(int(i[r]), int(j[c]), float(s[r, c])) for c in order if s[r, c] > -np.inf][:k]
-        return pa.table({n: pa.array([x[q] for x in rows], t) for q, (n, t) in enumerate(zip(out.names, out.types))})
+
+        def unit(column):
+            m = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
+            return m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
+
+        i, j = left.column("i").to_numpy(), right.column("j").to_numpy()
+        ids, scores = nearest_of(unit(left.column("x")), i, unit(right.column("y")), j, k)
+        row, col = np.nonzero(scores > -np.inf)
+        return pa.table([i[row], ids[row, col], scores[row, col]], schema=out)
 
     found = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(best, "id long, other long, score double")
     return top(found, ["id"], [F.desc("score"), "other"], k)

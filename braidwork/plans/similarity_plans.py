@@ -57,7 +57,7 @@ def most_relevant_neighbors(spark, sf_dir: str) -> DataFrame:
     """Two hops: the best hit of each query, then the neighbours of that hit."""
     v = _vectors(spark, sf_dir)
     best = S.search(_queries(v), v, k=1).select("query_id", F.col("id").alias("best"))
-    near = S.all_neighbours(v, 3).withColumnRenamed("id", "best")
+    near = S.all_neighbours(v, 3, of=best.select(F.col("best").alias("id"))).withColumnRenamed("id", "best")
     return best.join(near, "best").select("query_id", "best", "other", "score", "rank")
 
 
