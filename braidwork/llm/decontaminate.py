@@ -2,9 +2,10 @@
 
 Texts become hashes of k-grams of words. Of every ``window - k + 1``
 consecutive k-grams, one window of words, the last of the least hashes is a
-fingerprint, so any shared run of ``window`` words shares one. Fingerprints of
-documents and benchmark items are joined; each hit aligns a document with an
-item, and the aligned words are compared to extend it to all shared windows.
+fingerprint, so any shared run of ``window`` words shares one, at the same
+place of that run. Documents keep the fingerprints that items have too; each
+hit is extended to all windows of words around it, and those windows are
+joined with the items' windows as they are written, not by hash.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ def _hashed(df: DataFrame, keys: list[str]) -> DataFrame:
 
     ``lower`` also folds letters other than A-Z: it is much faster than
     ``translate``, finds the same word borders, and can only make more words
-    alike, which the comparison of the aligned words undoes.
+    alike, which the comparison of words undoes. Capital sigma is replaced
+    first: it is the one letter whose small form depends on what surrounds it.
     """
-    return df.select(*keys, F.transform(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("h"))
+    folded = F.lower(F.replace("text", F.lit("\u03a3"), F.lit("\u03c3")))
+    return df.select(*keys, F.transform(F.regexp_extract_all(folded, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("h"))
 
 
 def _grams(df: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -72,6 +75,10 @@ def _all_prints(hashed: DataFrame, keys: list[str], window: int, k: int, short:
     return out
 
 
+def _window(at: Column, size: Column) -> Column:
+    return F.array_join(F.slice("w", at + 1, size), " ").alias("win")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """``docs`` with n_words, n_hit, items (sorted distinct item ids as strings) and contaminated.
 
@@ -85,10 +92,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int =
     kept = without(docs, "n_words", "n_hit", "items", "contaminated", "_hash", "_id", "_h")
     keyed = kept.withColumn("_hash", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("text").isNotNull()).distinct()
-    items = materialize(items.withColumn("key", F.xxhash64("item", "text")).withColumn("iw", words(F.col("text"))).where(F.size("iw") > 0), "items")
+    items = materialize(items.withColumn("key", F.xxhash64("item", "text")).withColumn("w", words(F.col("text"))).where(F.size("w") > 0), "items")
     # at most window - 1 numbers
-    short = [r[0] for r in items.where(F.size("iw") < window).select(F.size("iw")).distinct().collect()]
-    long_items, short_items = items.where(F.size("iw") >= window), items.where(F.size("iw") < window)
+    short = [r[0] for r in items.where(F.size("w") < window).select(F.size("w")).distinct().collect()]
+    long_items, short_items = items.where(F.size("w") >= window), items.where(F.size("w") < window)
     item_prints = fingerprints(_hashed(long_items, ["key"]), ["key"], window, k)
     if short:
         whole = _hashed(short_items, ["key"]).select("key", (-F.size("h")).alias("n"), F.lit(0).alias("q"), F.col("h"))
@@ -96,42 +103,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int =
         for n in short:
             by_len = F.when(F.size("h") == n, F.xxhash64(F.lit(n), *[F.get("h", F.lit(j)) for j in range(n)])).otherwise(by_len)
         item_prints = item_prints.unionByName(whole.select("key", "n", "q", by_len.alias("print")))
-    item_prints = materialize(item_prints.withColumnRenamed("q", "iq"), "item-prints")
+    item_prints = materialize(item_prints.select("n", "print").distinct(), "item-prints")
+    m = F.least(F.lit(window), F.size("w"))
+    item_windows = items.select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - m)).alias("at")).select("item", _window(F.col("at"), m))
+    item_windows = materialize(item_windows.distinct(), "item-windows")
     texts = keyed.where(F.col("text").isNotNull()).select("doc_id", "_hash", "text")
     prints = _all_prints(_hashed(texts, ["doc_id", "_hash"]), ["doc_id", "_hash"], window, k, short)
-    pairs = (
-        prints.join(maybe_broadcast(item_prints), ["n", "print"])
-        .select("doc_id", "_hash", "key", (F.col("q") - F.col("iq")).alias("diag"))
-        .distinct()
-    )
-    # Of each document with a candidate: the items to compare and where they start.
-    by_doc = (
-        pairs.join(maybe_broadcast(items.select("key", "item", "iw"), BROADCAST_ROWS // 50), "key")
-        .groupBy("doc_id", "_hash")
-        .agg(F.collect_list(F.struct("item", "iw", "diag")).alias("cands"))
-    )
-    by_doc = materialize(by_doc, "candidates").withColumnsRenamed({"doc_id": "_id", "_hash": "_h"})
-    same = keyed["doc_id"].eqNullSafe(by_doc["_id"]) & (keyed["_hash"] == by_doc["_h"])
-    met = texts.join(maybe_broadcast(by_doc, BROADCAST_ROWS // 50), same).select("_id", "_h", "text", "cands").dropDuplicates(["_id", "_h"])
+    met = prints.join(maybe_broadcast(item_prints), ["n", "print"], "left_semi")
+    # A window's start and length as one number.
+    code = lambda at, size: at * (window + 1) + size
+    found = met.groupBy("doc_id", "_hash").agg(F.collect_list(F.struct("n", "q")).alias("found"))
+    found = materialize(found, "candidates").withColumnsRenamed({"doc_id": "_id", "_hash": "_h"})
+    same = keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_hash"] == found["_h"])
+    near = texts.join(maybe_broadcast(found, BROADCAST_ROWS // 10, "found", BROADCAST_ROWS), same).select("_id", "_h", "text", "found").dropDuplicates(["_id", "_h"])
     # Written out so that the words are made once, not at each use below.
-    met = materialize(met.select("_id", "_h", words(F.col("text")).alias("w"), "cands"), "aligned")
-
-    def extend(c):
-        m = F.least(F.lit(window), F.size(c["iw"]))
-        starts = F.sequence(F.lit(0), F.size(c["iw"]) - m)
-        fits = F.filter(
-            starts,
-            lambda j: (j + c["diag"] >= 0)
-            & (j + c["diag"] + m <= F.size("w"))
-            & (F.slice("w", F.greatest(j + c["diag"], F.lit(0)) + 1, m) == F.slice(c["iw"], j + 1, m)),
-        )
-        return F.transform(fits, lambda j: F.struct(c["item"].alias("item"), (j + c["diag"]).alias("at"), m.alias("m")))
-
-    hits = materialize(met.select("_id", "_h", F.flatten(F.transform("cands", extend)).alias("hits")), "extended").where(F.size("hits") > 0)
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["m"] - 1))))
-    listed = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda x: x["item"]), lambda i: i.isNotNull())))
-    hits = hits.select("_id", "_h", F.size(covered).cast("long").alias("n_hit"), listed.alias("items"))
-    hits = maybe_broadcast(materialize(hits, "hits"))
+    near = materialize(near.select("_id", "_h", words(F.col("text")).alias("w"), "found"), "aligned")
+    around = lambda q: F.sequence(F.greatest(q - (window - k), F.lit(0)), F.least(q, F.size("w") - window))
+    codes = F.transform("found", lambda f: F.when(f["n"] < 0, F.array(code(f["q"], -f["n"]))).otherwise(F.transform(around(f["q"]), lambda at: code(at, F.lit(window)))))
+    each = near.select("_id", "_h", "w", F.explode(F.array_distinct(F.flatten(codes))).alias("code"))
+    at, size = F.floor(F.col("code") / (window + 1)).cast("int"), F.col("code") % (window + 1)
+    each = each.select("_id", "_h", "code", _window(at, size)).groupBy("_id", "_h", "win").agg(F.collect_list("code").alias("codes"))
+    hits = materialize(each.join(maybe_broadcast(item_windows.select("win").distinct()), "win", "left_semi"), "window-hits")
+    covered = lambda c: F.sequence(F.floor(c / (window + 1)).cast("int"), F.floor(c / (window + 1)).cast("int") + c % (window + 1) - 1)
+    covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("codes")), covered)))
+    counted = hits.groupBy("_id", "_h").agg(F.size(covered).cast("long").alias("n_hit"))
+    named = hits.select("_id", "_h", "win").join(maybe_broadcast(item_windows.where("item IS NOT NULL")), "win").select("_id", "_h", "item").distinct()
+    named = named.groupBy(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    hits = counted.join(named, counted["_id"].eqNullSafe(named["_id2"]) & (counted["_h"] == named["_h2"]), "left").drop("_id2", "_h2")
+    hits = maybe_broadcast(materialize(hits, "hits"), BROADCAST_ROWS // 4, "items", BROADCAST_ROWS)
     base = keyed.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(ANY)), F.lit(0)).cast("long"))
     same = base["doc_id"].eqNullSafe(hits["_id"]) & (base["_hash"] == hits["_h"])
     out = base.join(hits, same, "left").drop("_id", "_h", "_hash")

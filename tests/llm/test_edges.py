@@ -285,3 +285,57 @@ def test_remainder(spark):
 
 def test_materialize(spark):
     assert materialize(spark.range(5).toDF("x"), "t").count() == 5
+
+
+SIGMA = "ΟΔΟΣ"
+
+
+@pytest.mark.parametrize("sep", [" ", ".", "'", ". ", "-", "́ "])
+def test_leaks_capital_sigma(spark, sep):
+    item = [f"{SIGMA}{c}{SIGMA}" for c in "ABCDEFGHIJKL"]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, SIGMA)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_leaks(docs(spark, [(1, sep.join(item)), (2, f"x{sep}{SIGMA}{sep}y")]), items).collect()}
+    if "́" in sep:  # a mark belongs to the word it follows
+        assert got[1].n_hit == 0
+    else:
+        assert (got[1].n_words, got[1].n_hit, got[1]["items"]) == (12, 12, ["1"])
+        assert got[2].n_hit == 1
+
+
+def brute_leaks(text, items, window=10):
+    cut = lambda t: decontaminate_word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    w, hit, named = cut(text), set(), set()
+    for item, t in items:
+        iw = cut(t)
+        m = min(window, len(iw))
+        for j in range(len(iw) - m + 1) if m else ():
+            for p in range(len(w) - m + 1):
+                if w[p : p + m] == iw[j : j + m]:
+                    hit |= set(range(p, p + m))
+                    named.add(str(item))
+    return len(w), len(hit), sorted(named)
+
+
+decontaminate_word = re.compile(decontaminate.WORD)
+
+
+def test_leaks_random_unicode(spark):
+    rng = np.random.default_rng(8)
+    letters = list("aAbBkKKΣσςİiIßẞéÉ .'-中")
+    pool = ["".join(rng.choice(letters, rng.integers(1, 5))) for _ in range(25)]
+    items = [(i, " ".join(rng.choice(pool, int(rng.integers(1, 30))))) for i in range(12)]
+    rows = []
+    for i in range(40):
+        base = rng.choice(pool, 40).tolist()
+        copied = items[i % 12][1].split(" ")
+        base[10:10] = [w.swapcase() if w.isascii() else w for w in copied[: int(rng.integers(5, 25))]]
+        rows.append((i, [" ", "."][i % 2].join(base)))
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    for r in decontaminate.find_leaks(docs(spark, rows), frame).collect():
+        assert (r.n_words, r.n_hit, r["items"]) == brute_leaks(r.text, items), r.text
+
+
+def test_leaks_of_one_repeated_word(spark):
+    items = spark.createDataFrame([(1, "a " * 50_000), (2, "a " * 12), (3, "a")], "item_id long, text string")
+    (r,) = decontaminate.find_leaks(docs(spark, [(1, "A " * 50_000 + "b")]), items).collect()
+    assert (r.n_words, r.n_hit, r["items"]) == (50_001, 50_000, ["1", "2", "3"])
