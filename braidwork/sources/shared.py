@@ -7,22 +7,45 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it on, Spark removes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a local folder where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a local folder where it is unset and the master is local (tests), an error else."""
     global _local_dir
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="spark-braidwork-")
     return _local_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written out and read back: short lineage that outlives executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written out and read back: short lineage that outlives executors, and true sizes for the optimizer.
+
+    The shuffle files behind it are removed, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` returned. Nothing may read them any more: what was made of them must be written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
