@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidwork.sources.shared import discard, shared_dir
+from braidwork.sources.shared import written as materialize
+
+__all__ = ["BROADCAST_ROWS", "SPACE_WORD", "discard", "materialize", "maybe_broadcast", "shared_dir", "table", "without"]
+
 #: Words by ASCII white space only.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Largest number of narrow rows that an operator broadcasts after counting them.
 BROADCAST_ROWS = 500_000
 
-_local_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    global _local_dir
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="spark-braidwork-")
-    return _local_dir
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage in a way that survives lost executors, and gives
-    the optimizer the true size of the table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, items: str | None = None, most_items: int = 0) -> DataFrame:
     """Hint a broadcast of a materialized narrow table of at most ``limit`` rows; else leave the join to Spark.

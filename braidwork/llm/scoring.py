@@ -1,28 +1,36 @@
 """LM scoring with stupid backoff.
 
-Documents are dealt into blocks. Each block explodes its texts into n-grams
-and sends every hash bucket one row with the block's distinct n-grams and
-their counts; a bucket adds up its part of the count table and answers each
-block with the totals of the n-grams it asked for, in the order asked. Blocks
-join the totals with their n-grams and sum the scores of each document. An
-n-gram crosses the network once per block, however often the block has it.
+Texts are numbered into blocks: one row holds the documents of a block, the
+hashes of its distinct words and the word of each place. A block explodes into
+rows of its distinct n-grams with their counts; these rows are partitioned by
+the n-gram's hash, where a window adds up the count table and joins each
+block's n-grams with their totals. Totals go back to the blocks by a join and
+are summed per document. Orders are counted one after the other, each in
+slices of hashes, and what an order shuffled is gone before the next begins:
+an n-gram is only asked for where both its shorter ones were counted.
+
+An n-gram is told by 64 bits of hash: of 10**13 distinct ones, fewer than one
+in a million shares its hash with another.
 """
 
 from __future__ import annotations
 
-import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, table, without
+from .common import discard, materialize, table
 
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
 BLOCK_BYTES = 8 << 20
+SLICES = 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -33,116 +41,143 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _put(values: np.ndarray) -> bytes:
-    """Small unsigned numbers: planes of bytes, deflated."""
-    if not len(values) or values.max() < 1 << 32:
-        return b"4" + zlib.compress(np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-    return b"8" + zlib.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def _list(values, kind: pa.DataType) -> pa.Array:
+    """One row that holds ``values``."""
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _get(data: bytes) -> np.ndarray:
-    size = int(data[:1])
-    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{size}").ravel().astype(np.uint64)
+def _deal(block_bytes: int):
+    """Rows (block, docs, lengths, hashes, ids) of consecutive documents of about ``block_bytes`` of text."""
 
-
-def _put_sorted(values: np.ndarray) -> bytes:
-    """Sorted hashes: of the gaps, as many low bits as an average gap has as they are, and the rest, which is small, by ``_put``."""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    k = int(values[-1] // np.uint64(len(values))).bit_length() - 1 if values[-1] >= len(values) else 0
-    bits = np.unpackbits(gaps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :k]
-    return bytes([k]) + len(values).to_bytes(8, "little") + np.packbits(bits.ravel(), bitorder="little").tobytes() + _put(gaps >> np.uint64(k))
-
-
-def _get_sorted(data: bytes) -> np.ndarray:
-    k, n = data[0], int.from_bytes(data[1:9], "little")
-    cut = 9 + -(-n * k // 8)
-    bits = np.zeros((n, 64), np.uint8)
-    bits[:, :k] = np.unpackbits(np.frombuffer(data[9:cut], np.uint8), count=n * k, bitorder="little").reshape(n, k)
-    low = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
-    return np.cumsum((_get(data[cut:]) << np.uint64(k)) | low, dtype=np.uint64)
-
-
-class _Block:
-    """The n-grams of a block: for each n the distinct hashes, sorted, and for each word the place of the n-gram that ends there, or -1."""
-
-    def __init__(self, texts: list[bytes | None], order: int):
+    def block(number: int, docs: list[pa.Array], texts: list[bytes | None]) -> pa.RecordBatch:
         from xxhash import xxh64_intdigest
 
         split = [(t or b"").lower().split() for t in texts]
-        self.lengths = np.fromiter(map(len, split), np.int64, len(split))
         seen: dict[bytes, int] = {}
-        ids = np.fromiter((seen.setdefault(w, len(seen)) for words in split for w in words), np.int64, int(self.lengths.sum()))
-        hashes = np.fromiter(map(xxh64_intdigest, seen), np.uint64, len(seen))[ids] if len(ids) else np.zeros(0, np.uint64)
-        self.place = np.arange(len(ids)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        ids = np.fromiter((seen.setdefault(w, len(seen)) for words in split for w in words), np.int32)
+        hashes = np.fromiter(map(xxh64_intdigest, seen), np.uint64, len(seen)).view(np.int64)
+        lists = (_list(pa.concat_arrays(docs), docs[0].type), _list([len(x) for x in split], pa.int32()), _list(hashes, pa.int64()), _list(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([number]), *lists], ["block", "docs", "lengths", "hashes", "ids"])
+
+    def deal(batches):
+        number = TaskContext.get().partitionId() << 32
+        docs, texts, size = [], [], 0
+        for batch in batches:
+            first = 0
+            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                texts.append(text)
+                size += len(text or b"")
+                if size >= block_bytes:
+                    docs.append(batch.column(0).slice(first, i + 1 - first))
+                    yield block(number, docs, texts)
+                    docs, texts, size, first, number = [], [], 0, i + 1, number + 1
+            if first < len(batch):
+                docs.append(batch.column(0).slice(first))
+        if texts:
+            yield block(number, docs, texts)
+
+    return deal
+
+
+class _Grams:
+    """The n-grams of a block: for each n the distinct hashes, sorted, their counts, and for each word the place (slot) of the n-gram that ends there, or -1."""
+
+    def __init__(self, lengths: np.ndarray, hashes: np.ndarray, ids: np.ndarray, order: int):
+        words = hashes.view(np.uint64)[ids]
+        self.lengths = lengths
+        self.place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.distinct, self.counts, self.at = [], [], []
-        gram = hashes
+        gram = words
         for n in range(1, order + 1):
             if n > 1:
-                gram = _mix(np.append(np.uint64(0), gram[:-1])[: len(gram)] * np.uint64(0x9E3779B97F4A7C15) + hashes + np.uint64(n))
+                gram = _mix(np.append(np.uint64(0), gram[:-1])[: len(gram)] * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(n))
             whole = self.place >= n - 1
             distinct, inverse, counts = np.unique(gram[whole], return_inverse=True, return_counts=True)
             at = np.full(len(gram), -1)
             at[whole] = inverse
-            self.distinct.append(distinct), self.counts.append(counts.astype(np.uint32)), self.at.append(at)
+            self.distinct.append(distinct), self.counts.append(counts), self.at.append(at)
+
+
+def _block(table: pa.Table | pa.RecordBatch, row: int, order: int) -> _Grams:
+    lengths, hashes, ids = (table.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("lengths", "hashes", "ids"))
+    return _Grams(lengths.astype(np.int64), hashes, ids, order)
 
 
-def _ask(buckets: int, order: int):
-    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+def _asked(grams: _Grams, block: int, n: int, part: int, slices: int, wanted: np.ndarray | None) -> dict[str, pa.Array]:
+    distinct, counts = grams.distinct[n - 1], grams.counts[n - 1]
+    asks = distinct % np.uint64(slices) == np.uint64(part)
+    if wanted is not None:
+        asks &= wanted
+    slot = np.flatnonzero(asks)
+    return {"h": pa.array(distinct[slot].view(np.int64)), "slot": pa.array(slot.astype(np.int32)), "block": pa.array(np.full(len(slot), block)), "c": pa.array(counts[slot])}
 
-    def ask(group: pa.Table) -> pa.Table:
-        block = _Block(group.column("text").cast(pa.binary()).to_pylist(), order)
-        rows = []
-        for n, (distinct, counts) in enumerate(zip(block.distinct, block.counts), 1):
-            cuts = np.searchsorted(distinct, edges)
-            for bucket, (g, c) in enumerate(zip(np.split(distinct, cuts), np.split(counts, cuts))):
-                if len(g):
-                    rows.append((bucket, n, group.column("block")[0].as_py(), _put_sorted(g), _put(c)))
-        return _table(rows, (("bucket", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())))
+
+_ROWS = "h long, slot int, block long, c long"
+
+
+def _ask(n: int, part: int, slices: int):
+    def ask(batches):
+        for batch in batches:
+            for row in range(len(batch)):
+                yield pa.RecordBatch.from_pydict(_asked(_block(batch, row, n), batch.column("block")[row].as_py(), n, part, slices, None))
 
     return ask
 
 
-def _table(rows: list[tuple], columns) -> pa.Table:
-    return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(columns)})
+def _padded(totals: np.ndarray, size: int) -> np.ndarray:
+    return np.append(totals, np.zeros(size - len(totals), np.int64))
+
+
+def _ask_again(n: int, part: int, slices: int):
+    """Of a block and its totals of order n - 1: the n-grams of which both shorter ones have a total."""
+
+    def ask(block: pa.Table, totals: pa.Table) -> pa.Table:
+        if not len(block) or not len(totals):
+            return pa.table({"h": pa.array([], pa.int64()), "slot": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+        grams = _block(block, 0, n)
+        shorter = _padded(totals.column("totals")[0].values.to_numpy(), len(grams.distinct[n - 2]) + 1)[grams.at[n - 2]] > 0
+        at = grams.at[n - 1]
+        wanted = np.zeros(len(grams.distinct[n - 1]), bool)
+        both = shorter & np.append(False, shorter[:-1])[: len(shorter)]
+        wanted[at[both & (at >= 0)]] = True
+        return pa.table(_asked(grams, block.column("block")[0].as_py(), n, part, slices, wanted))
+
+    return ask
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """Adds up a bucket's counts; one row for each that came, with the totals in its order."""
-    grams = [_get_sorted(g) for g in group.column("grams").to_pylist()]
-    counts = np.concatenate([_get(c) for c in group.column("counts").to_pylist()])
-    distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(inverse, counts, len(distinct)).astype(np.uint64)[inverse]
-    parts = np.split(totals, np.cumsum([len(g) for g in grams])[:-1])
-    rows = list(zip(group.column("block").to_pylist(), group.column("n").to_pylist(), group.column("bucket").to_pylist(), map(_put, parts)))
-    return _table(rows, (("block", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())))
+def _dense(group: pa.Table) -> pa.Table:
+    """A block's totals by slot, 0 where an n-gram is not counted."""
+    slot = group.column("slot").to_numpy()
+    totals = np.zeros(slot.max() + 1, np.int64)
+    totals[slot] = group.column("total").to_numpy()
+    return pa.table({"block": group.column("block")[:1], "totals": _list(totals, pa.int64())})
 
 
-def _sum(order: int, words: int, alpha: float, least: int):
-    def add(group: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _Block(group.column("text").cast(pa.binary()).to_pylist(), order)
-        came = sorted(zip(answers.column("n").to_pylist(), answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()))
+def _sum(order: int, words: int, alpha: float):
+    def add(block: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = _block(block, 0, order)
+        by_order = dict(zip(answers.column("n").to_pylist(), answers.column("totals")))
         count = []
         for n in range(1, order + 1):
-            totals = [_get(t) for m, _, t in came if m == n]
-            totals = np.append(np.concatenate(totals) if totals else np.zeros(0, np.uint64), np.uint64(0)).astype(np.float64)
-            count.append(totals[block.at[n - 1]])  # -1 finds the 0 at the end
-        size = len(block.place)
+            totals = by_order[n].values.to_numpy() if n in by_order else np.zeros(0, np.int64)
+            count.append(_padded(totals, len(grams.distinct[n - 1]) + 1)[grams.at[n - 1]].astype(np.float64))  # -1 finds the 0 at the end
+        size = len(grams.place)
         score, found = np.zeros(size), np.zeros(size, bool)
         for n in range(order, 0, -1):
-            hit = ~found & (block.place >= n - 1) & (count[n - 1] >= (least if n > 1 else 1))
+            hit = ~found & (grams.place >= n - 1) & (count[n - 1] > 0)
             context = np.append(0.0, count[n - 2][:-1])[:size] if n > 1 else np.full(size, float(words))
-            backed = np.minimum(order - 1, block.place) - (n - 1)
+            backed = np.minimum(order - 1, grams.place) - (n - 1)
             score[hit] = np.log(count[n - 1][hit] / context[hit]) + backed[hit] * np.log(alpha)
             found |= hit
-        owner = np.repeat(np.arange(len(block.lengths)), block.lengths)
-        sums = np.bincount(owner, score, len(block.lengths)) if len(owner) else np.zeros(len(block.lengths))
-        return pa.table({"doc_id": group.column("doc_id"), "n_words": pa.array(block.lengths), "lm_score": pa.array(sums)})
+        owner = np.repeat(np.arange(len(grams.lengths)), grams.lengths)
+        sums = np.bincount(owner, score, len(grams.lengths)) if len(owner) else np.zeros(len(grams.lengths))
+        return pa.table({"doc_id": block.column("docs")[0].values, "n_words": pa.array(grams.lengths), "lm_score": pa.array(sums)})
 
     return add
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES, slices: int = SLICES) -> DataFrame:
     """(doc_id, n_words, lm_score, mean_score): one row per row of ``docs`` (doc_id, text), scored by counts over all of them.
 
     Texts have A-Z lower-cased and are split at ASCII white space. A word
@@ -150,21 +185,32 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
     that is counted at least ``min_count`` times, plus log(alpha) for each
     shorter step than the document's start allows; a single word scores
     log(count / words of the corpus). lm_score is the sum, mean_score that per
-    word. The number of blocks and of buckets follows the size of the corpus.
+    word. ``block_bytes`` and ``slices`` change the cost, not the results.
     Defined results: null and empty texts have 0 words, score 0 and a null
     mean; repeated rows are counted and scored each on their own; null ids
-    stay; an empty table gives an empty table.
+    stay; an empty table gives an empty table; a very long text is a block of
+    its own and takes about 60 bytes of a task's memory per word.
     """
-    texts = without(docs.select("doc_id", "text"), "block")
-    size = texts.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(SPACE_WORD)))).first()
-    blocks = max(1, int((size[0] or 0) // block_bytes) + 1)
-    words = int(size[1] or 0)
-    # The hash of the text parts the rows of an id that repeats.
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(blocks, order), "bucket int, n int, block long, grams binary, counts binary")
-    answers = asked.groupBy("bucket", "n").applyInArrow(_answer, "block long, n int, bucket int, totals binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sum(order, words, alpha, min_count), f"doc_id {kind}, n_words long, lm_score double")
+    dealt = docs.select("doc_id", "text").mapInArrow(_deal(block_bytes), f"block long, docs array<{kind}>, lengths array<int>, hashes array<long>, ids array<int>")
+    blocks = materialize(dealt, "blocks")
+    words = blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
+    by_hash, totals = W.partitionBy("h"), []
+    for n in range(1, order + 1):
+        answers = []
+        for part in range(slices if n > 1 else 1):
+            cut = (n, part, slices if n > 1 else 1)
+            if n > 2:
+                asked = blocks.groupBy("block").cogroup(totals[-1].groupBy("block")).applyInArrow(_ask_again(*cut), _ROWS)
+            else:
+                asked = blocks.mapInArrow(_ask(*cut), _ROWS)
+            counted = asked.select("slot", "block", F.sum("c").over(by_hash).alias("total"))
+            answers.append(materialize(counted.where(F.col("total") >= (min_count if n > 1 else 1)), "answers"))
+        by_block = reduce(DataFrame.unionByName, answers).groupBy("block").applyInArrow(_dense, "block long, totals array<long>")
+        totals.append(materialize(by_block, "totals"))
+        discard(*answers)
+    known = reduce(DataFrame.unionByName, [t.withColumn("n", F.lit(n)) for n, t in enumerate(totals, 1)])
+    scored = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_sum(order, words, alpha), f"doc_id {kind}, n_words long, lm_score double")
     return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("lm_score") / F.col("n_words")))
 
 

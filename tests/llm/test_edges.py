@@ -66,6 +66,30 @@ def test_lm_blocks_agree(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_lm_brute(spark, least):
+    rng = np.random.default_rng(least)
+    rows = [(i, " ".join(rng.choice(WORDS[: 5 + i], int(rng.integers(0, 40))))) for i in range(30)] + [(5, "x" * 3_000_000), (6, "x" * 3_000_000)]
+    count: dict = {}
+    for _, t in rows:
+        w = t.split()
+        for n in (1, 2, 3):
+            for k in range(n, len(w) + 1):
+                g = tuple(w[k - n : k])
+                count[g] = count.get(g, 0) + 1
+    total = sum(c for g, c in count.items() if len(g) == 1)
+    want = []
+    for i, t in rows:
+        w, s = t.split(), 0.0
+        for k in range(1, len(w) + 1):
+            longest = min(3, k)
+            n = next((n for n in range(longest, 1, -1) if count[tuple(w[k - n : k])] >= least), 1)
+            s += math.log(count[tuple(w[k - n : k])] / (count[tuple(w[k - n : k - 1])] if n > 1 else total)) + (longest - n) * math.log(0.4)
+        want.append((i, len(w), round(s, 6)))
+    got = scoring.score_documents(docs(spark, rows), min_count=least, block_bytes=300, slices=3).collect()
+    assert sorted((r.doc_id, r.n_words, round(r.lm_score, 6)) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 65, 300])
 def test_bit_slices(n):
     rng = np.random.default_rng(n)
