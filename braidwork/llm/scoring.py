@@ -3,9 +3,9 @@
 Texts are numbered into blocks: one row holds the documents of a block, the
 hashes of its distinct words and the word of each place. A block explodes into
 rows of its distinct n-grams with their counts; these rows are partitioned by
-the n-gram's hash, where a window adds up the count table and joins each
-block's n-grams with their totals. Totals go back to the blocks by a join and
-are summed per document. Orders are counted one after the other, each in
+the n-gram's hash, where a task adds up its part of the count table and joins
+the rows with it. Totals go back to the blocks by a join and are summed per
+document. Orders are counted one after the other, each in
 slices of hashes, and what an order shuffled is gone before the next begins:
 an n-gram is only asked for where both its shorter ones were counted.
 
@@ -21,16 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import materialize, table
 
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SLICES = 2
+#: N-gram rows of a task that counts, about.
+PART_ROWS = 1_500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,39 +82,40 @@ def _deal(block_bytes: int):
 
 
 class _Grams:
-    """The n-grams of a block: for each n the distinct hashes, sorted, their counts, and for each word the place (slot) of the n-gram that ends there, or -1."""
+    """The n-grams of a block for each n of ``orders``: the distinct hashes, sorted, their counts, and for each word the place (slot) of the n-gram that ends there, or -1."""
 
-    def __init__(self, lengths: np.ndarray, hashes: np.ndarray, ids: np.ndarray, order: int):
+    def __init__(self, lengths: np.ndarray, hashes: np.ndarray, ids: np.ndarray, orders: tuple[int, ...]):
         words = hashes.view(np.uint64)[ids]
         self.lengths = lengths
         self.place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.distinct, self.counts, self.at = [], [], []
+        self.distinct, self.counts, self.at = {}, {}, {}
         gram = words
-        for n in range(1, order + 1):
+        for n in range(1, max(orders) + 1):
             if n > 1:
                 gram = _mix(np.append(np.uint64(0), gram[:-1])[: len(gram)] * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(n))
-            whole = self.place >= n - 1
-            distinct, inverse, counts = np.unique(gram[whole], return_inverse=True, return_counts=True)
-            at = np.full(len(gram), -1)
-            at[whole] = inverse
-            self.distinct.append(distinct), self.counts.append(counts), self.at.append(at)
+            if n in orders:
+                whole = self.place >= n - 1
+                self.distinct[n], inverse, self.counts[n] = np.unique(gram[whole], return_inverse=True, return_counts=True)
+                self.at[n] = np.full(len(gram), -1, np.int32)
+                self.at[n][whole] = inverse
 
 
-def _block(table: pa.Table | pa.RecordBatch, row: int, order: int) -> _Grams:
+def _block(table: pa.Table | pa.RecordBatch, row: int, *orders: int) -> _Grams:
     lengths, hashes, ids = (table.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("lengths", "hashes", "ids"))
-    return _Grams(lengths.astype(np.int64), hashes, ids, order)
+    return _Grams(lengths.astype(np.int64), hashes, ids, orders)
 
 
 def _asked(grams: _Grams, block: int, n: int, part: int, slices: int, wanted: np.ndarray | None) -> dict[str, pa.Array]:
-    distinct, counts = grams.distinct[n - 1], grams.counts[n - 1]
+    """Rows (h, slot, block, c) of the distinct n-grams of a block that are in slice ``part`` and ``wanted``."""
+    distinct, counts = grams.distinct[n], grams.counts[n]
     asks = distinct % np.uint64(slices) == np.uint64(part)
     if wanted is not None:
         asks &= wanted
     slot = np.flatnonzero(asks)
-    return {"h": pa.array(distinct[slot].view(np.int64)), "slot": pa.array(slot.astype(np.int32)), "block": pa.array(np.full(len(slot), block)), "c": pa.array(counts[slot])}
+    return {"h": pa.array(distinct[slot].view(np.int64)), "slot": pa.array(slot.astype(np.int32)), "block": pa.array(np.full(len(slot), block)), "c": pa.array(counts[slot].astype(np.int32))}
 
 
-_ROWS = "h long, slot int, block long, c long"
+_ROWS = "h long, slot int, block long, c int"
 
 
 def _ask(n: int, part: int, slices: int):
@@ -125,20 +127,47 @@ def _ask(n: int, part: int, slices: int):
     return ask
 
 
-def _padded(totals: np.ndarray, size: int) -> np.ndarray:
-    return np.append(totals, np.zeros(size - len(totals), np.int64))
+def _count(least: int):
+    """Of a partition of n-gram rows: the count table is added up and joined with the rows; totals under ``least`` go."""
+
+    def count(batches):
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        h, slot, block, c = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(4))
+        del held
+        order = np.argsort(h)
+        first = np.append(True, np.diff(h[order]) != 0)
+        sums = np.add.reduceat(c[order].astype(np.int64), np.flatnonzero(first))
+        kept = sums >= least
+        at = np.cumsum(first) - 1
+        keep = kept[at]
+        rows, at = order[keep], at[keep]
+        for i in range(0, len(rows), 1 << 17):
+            r = rows[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[r]), pa.array(slot[r]), pa.array(sums[at[i : i + (1 << 17)]])], ["block", "slot", "total"])
+
+    return count
+
+
+def _totals(table: pa.Table, n: int, size: int) -> np.ndarray:
+    """A block's totals of order ``n`` by slot, added over the slices, with a 0 at the end for -1."""
+    out = np.zeros(size + 1, np.int64)
+    for order, totals in zip(table.column("n").to_pylist(), table.column("totals")):
+        if order == n:
+            values = totals.values.to_numpy()
+            out[: len(values)] += values
+    return out
 
 
 def _ask_again(n: int, part: int, slices: int):
     """Of a block and its totals of order n - 1: the n-grams of which both shorter ones have a total."""
 
     def ask(block: pa.Table, totals: pa.Table) -> pa.Table:
-        if not len(block) or not len(totals):
-            return pa.table({"h": pa.array([], pa.int64()), "slot": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
-        grams = _block(block, 0, n)
-        shorter = _padded(totals.column("totals")[0].values.to_numpy(), len(grams.distinct[n - 2]) + 1)[grams.at[n - 2]] > 0
-        at = grams.at[n - 1]
-        wanted = np.zeros(len(grams.distinct[n - 1]), bool)
+        grams = _block(block, 0, n - 1, n)
+        shorter = _totals(totals, n - 1, len(grams.distinct[n - 1]))[grams.at[n - 1]] > 0
+        at = grams.at[n]
+        wanted = np.zeros(len(grams.distinct[n]), bool)
         both = shorter & np.append(False, shorter[:-1])[: len(shorter)]
         wanted[at[both & (at >= 0)]] = True
         return pa.table(_asked(grams, block.column("block")[0].as_py(), n, part, slices, wanted))
@@ -156,19 +185,15 @@ def _dense(group: pa.Table) -> pa.Table:
 
 def _sum(order: int, words: int, alpha: float):
     def add(block: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = _block(block, 0, order)
-        by_order = dict(zip(answers.column("n").to_pylist(), answers.column("totals")))
-        count = []
-        for n in range(1, order + 1):
-            totals = by_order[n].values.to_numpy() if n in by_order else np.zeros(0, np.int64)
-            count.append(_padded(totals, len(grams.distinct[n - 1]) + 1)[grams.at[n - 1]].astype(np.float64))  # -1 finds the 0 at the end
+        grams = _block(block, 0, *range(1, order + 1))
+        count = {n: _totals(answers, n, len(grams.distinct[n]))[grams.at[n]].astype(np.float64) for n in grams.at}
         size = len(grams.place)
         score, found = np.zeros(size), np.zeros(size, bool)
         for n in range(order, 0, -1):
-            hit = ~found & (grams.place >= n - 1) & (count[n - 1] > 0)
-            context = np.append(0.0, count[n - 2][:-1])[:size] if n > 1 else np.full(size, float(words))
+            hit = ~found & (grams.place >= n - 1) & (count[n] > 0)
+            context = np.append(0.0, count[n - 1][:-1])[:size] if n > 1 else np.full(size, float(words))
             backed = np.minimum(order - 1, grams.place) - (n - 1)
-            score[hit] = np.log(count[n - 1][hit] / context[hit]) + backed[hit] * np.log(alpha)
+            score[hit] = np.log(count[n][hit] / context[hit]) + backed[hit] * np.log(alpha)
             found |= hit
         owner = np.repeat(np.arange(len(grams.lengths)), grams.lengths)
         sums = np.bincount(owner, score, len(grams.lengths)) if len(owner) else np.zeros(len(grams.lengths))
@@ -195,21 +220,23 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
     dealt = docs.select("doc_id", "text").mapInArrow(_deal(block_bytes), f"block long, docs array<{kind}>, lengths array<int>, hashes array<long>, ids array<int>")
     blocks = materialize(dealt, "blocks")
     words = blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
-    by_hash, totals = W.partitionBy("h"), []
+    totals = []  # of each order, its slices
     for n in range(1, order + 1):
-        answers = []
-        for part in range(slices if n > 1 else 1):
-            cut = (n, part, slices if n > 1 else 1)
+        cuts = slices if n > 1 else 1
+        # A task's rows are bounded: what an n-gram has, a block at most once, comes on top.
+        parts = int(words // (cuts * PART_ROWS)) + 1
+        fresh = []
+        for part in range(cuts):
             if n > 2:
-                asked = blocks.groupBy("block").cogroup(totals[-1].groupBy("block")).applyInArrow(_ask_again(*cut), _ROWS)
+                shorter = reduce(DataFrame.unionByName, totals[-1])
+                asked = blocks.groupBy("block").cogroup(shorter.groupBy("block")).applyInArrow(_ask_again(n, part, cuts), _ROWS)
             else:
-                asked = blocks.mapInArrow(_ask(*cut), _ROWS)
-            counted = asked.select("slot", "block", F.sum("c").over(by_hash).alias("total"))
-            answers.append(materialize(counted.where(F.col("total") >= (min_count if n > 1 else 1)), "answers"))
-        by_block = reduce(DataFrame.unionByName, answers).groupBy("block").applyInArrow(_dense, "block long, totals array<long>")
-        totals.append(materialize(by_block, "totals"))
-        discard(*answers)
-    known = reduce(DataFrame.unionByName, [t.withColumn("n", F.lit(n)) for n, t in enumerate(totals, 1)])
+                asked = blocks.mapInArrow(_ask(n, part, cuts), _ROWS)
+            counted = asked.repartition(parts, "h").mapInArrow(_count(min_count if n > 1 else 1), "block long, slot int, total long")
+            by_block = counted.groupBy("block").applyInArrow(_dense, "block long, totals array<long>")
+            fresh.append(materialize(by_block.withColumn("n", F.lit(n)), "totals"))
+        totals.append(fresh)
+    known = reduce(DataFrame.unionByName, [t for fresh in totals for t in fresh])
     scored = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_sum(order, words, alpha), f"doc_id {kind}, n_words long, lm_score double")
     return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("lm_score") / F.col("n_words")))
 
