@@ -75,14 +75,29 @@ def clean_segment(text: Column) -> Column:
     return text
 
 
-def fill_prompt(template: Column, option: Column, dynamic: Column) -> Column:
-    """Fill {option} and {dynamic_prompt}, capitalize as one sentence, collapse white space, end in "!", wrap the option in asterisks."""
-    text = F.replace(F.replace(template, F.lit("{option}"), option), F.lit("{dynamic_prompt}"), dynamic)
-    text = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 2**30)))
-    text = F.concat(F.regexp_replace(stripped(text), r"\s+", " "), F.lit("!"))
-    at = F.instr(F.lower(text), F.lower(option))
-    wrapped = F.concat(F.substring(text, F.lit(1), at - 1), F.lit("*"), option, F.lit("*"), F.substring(text, at + F.length(option), F.length(text)))
-    return F.when((F.length(option) > 0) & (at > 0), wrapped).otherwise(text)
+def capitalized(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 2**30)))
+
+
+def fill_prompt(template: Column, option: Column, dynamic: Column, name: Column, description: Column | None = None) -> Column:
+    """The prompt "name - text!": {option} and {dynamic_prompt} filled in, the text capitalized as one sentence, white space collapsed.
+
+    Every place that reads as the option, in any case of letters and in the
+    name too, is wrapped in asterisks as it stands. A null template takes the
+    description.
+    """
+    filled = F.replace(F.replace(template, F.lit("{option}"), option), F.lit("{dynamic_prompt}"), dynamic)
+    filled = F.coalesce(capitalized(filled), F.lit(None).cast("string") if description is None else description)
+    whole = stripped(F.regexp_replace(F.concat(name, F.lit(" - "), filled), r"\s+", " "))
+    parts = F.split(whole, " - ", 2)
+    whole = F.concat(F.get(parts, F.lit(0)), F.lit(" - "), capitalized(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), F.lit("!"))
+    quoted = F.concat(F.lit("(?iu)\\Q"), F.replace(option, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.regexp_replace(whole, quoted, F.lit("*$0*"))
+
+
+def descriptor(options: Column) -> Column:
+    """An array of option names as one string for an encoder: no quotes or brackets, a newline for each comma."""
+    return F.replace(F.translate(F.array_join(options, ", "), "'[]", ""), F.lit(","), F.lit("\n"))
 
 
 def tokens(text: Column) -> Column:
@@ -170,3 +185,37 @@ def part_lengths(parts: Column) -> Column:
 def epoch(s: Column, now: Column) -> Column:
     """Seconds since 1970 of an ISO-like date or time; ``now`` where it cannot be read."""
     return F.coalesce(F.unix_timestamp(F.try_to_timestamp(s)), now)
+
+
+def seconds(ts: Column) -> Column:
+    """Seconds since the epoch with fractions, as a double."""
+    return F.unix_micros(ts) / 1e6
+
+
+def stamped(df, ts: Column | None = None, name: str = "timestamp"):
+    """``df`` with an ISO time stamp, by default the time of the query."""
+    return df.withColumn(name, F.date_format(F.current_timestamp() if ts is None else ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def backoff(retry: Column, base: float = 1.0, most: float = 60.0, jitter: Column | None = None) -> Column:
+    """Seconds to wait before a retry: ``base`` doubled for each, ``most`` at most, times a jitter in [0, 1]."""
+    wait = F.least(F.lit(base) * F.pow(F.lit(2.0), retry), F.lit(most))
+    return wait if jitter is None else wait * jitter
+
+
+def put(meta: Column, key: str, value: Column) -> Column:
+    """A map with ``key`` set."""
+    return F.map_concat(F.map_filter(meta, lambda k, v: k != key), F.create_map(F.lit(key), value))
+
+
+def removed(meta: Column, key: str) -> Column:
+    """A map without ``key``; as it is if it has none."""
+    return F.map_filter(meta, lambda k, v: k != key)
+
+
+def records(keys: Column, values: Column) -> Column:
+    """Arrays of keys and values as one map; the shorter decides, and a later key wins."""
+    n = F.least(F.size(keys), F.size(values))
+    entries = F.arrays_zip(F.slice(keys, 1, n).alias("key"), F.slice(values, 1, n).alias("value"))
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.transform(F.slice(entries, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda x: x["key"]), e["key"]))
+    return F.map_from_entries(last)

@@ -36,6 +36,63 @@ def last_n(messages: DataFrame, n: int, with_newest: bool = True) -> DataFrame:
     return messages.withColumn("_r", rank).where((F.col("_r") > low) & (F.col("_r") <= n + low)).drop("_r")
 
 
+def without_first(messages: DataFrame, n: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("conv").orderBy("turn"))
+    return messages.withColumn("_r", rank).where(F.col("_r") > n).drop("_r")
+
+
+def without_last(messages: DataFrame, n: int) -> DataFrame:
+    """Without the newest ``n``; 0 removes none."""
+    rank = F.row_number().over(W.partitionBy("conv").orderBy(F.desc("turn")))
+    return messages.withColumn("_r", rank).where(F.col("_r") > n).drop("_r")
+
+
+def spoken(messages: DataFrame) -> DataFrame:
+    """Messages of all roles but "system"; those without a role are plain texts and stay."""
+    return messages.where(F.coalesce("role", F.lit("")) != "system")
+
+
+def history(nodes: DataFrame) -> DataFrame:
+    """(conv, texts): the texts of all nodes (conv, id, parent, ordinal, text) but roots, in order of ordinal and id."""
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "id", "text")))
+    return nodes.where("parent IS NOT NULL").groupBy("conv").agg(F.transform(ordered, lambda x: x["text"]).alias("texts"))
+
+
+def texts(nodes: DataFrame) -> DataFrame:
+    """(conv, texts): the texts of all nodes that are not empty."""
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "id", "text")))
+    return nodes.where(F.length("text") > 0).groupBy("conv").agg(F.transform(ordered, lambda x: x["text"]).alias("texts"))
+
+
+def story(segments_: DataFrame, paragraph: str = "\n\n", delimiter: str = "\n", special: bool = True) -> DataFrame:
+    """(run, story) of segments (run, n, segment), appended in order.
+
+    In special mode the title of a part ("**Part 1: ...") goes: what follows
+    its last ": " stays, ended by a paragraph. Other segments end with the
+    paragraph they have, or else get the delimiter.
+    """
+    s = F.col("segment")
+    bare = lambda c: F.regexp_replace(c, f"[{paragraph}]+$", "")
+    titled = (s.contains("**Part") | s.contains("** Part")) & s.contains(": ")
+    tail = F.element_at(F.split(s, ": "), -1)
+    by_rule = F.when(titled, F.concat(bare(tail), F.lit(paragraph))).when(s.endswith(paragraph), F.concat(bare(s), F.lit(paragraph))).otherwise(F.concat(s, F.lit(delimiter)))
+    rows = segments_.withColumn("s", by_rule if special else s)
+    return rows.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]), "").alias("story"))
+
+
+def predefined(prompts: DataFrame, system: str, opening: str, closing: str, answer: str) -> DataFrame:
+    """(conv, pos, role, text): four messages for each prompt (conv, prompt): system, the opening, the prompt with ``closing`` on a line of its own, the begun answer."""
+    m = [("system", F.lit(system)), ("user", F.lit(opening)), ("user", F.concat("prompt", F.lit("\n" + closing))), ("assistant", F.lit(answer))]
+    return prompts.select("conv", F.posexplode(F.array(*[F.struct(F.lit(r).alias("role"), t.alias("text")) for r, t in m])).alias("pos", "x")).select("conv", "pos", "x.role", "x.text")
+
+
+def chosen(options: DataFrame, last: DataFrame) -> DataFrame:
+    """(run, option): of each run's options (run, pos, option) the first that is not the one used ``last`` (run, option), else none."""
+    used = last.select("run", F.col("option").alias("used"))
+    fresh = options.join(used, "run", "left").where(~F.col("option").eqNullSafe(F.col("used")))
+    return fresh.groupBy("run").agg(F.min_by("option", "pos").alias("option"))
+
+
 #: Roles and the names that a buffer shows.
 SPEAKERS = (("user", "Human"), ("assistant", "AI"), ("system", "System"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from braidwork.sources.shared import written
@@ -24,19 +25,41 @@ def descriptor(data_hash: Column, size: Column, tickets: Column) -> Column:
     return F.concat(data_hash, number(size), number(tickets))
 
 
+#: Levels folded by one job: a group is 2**FOLD hashes.
+FOLD = 6
+
+
+def _folded(hashes: Column, alone: Column) -> Column:
+    """All levels, from the hashes themselves, as an array of arrays; an odd one is paired with itself. A group that is its tree's only one ends with one hash."""
+
+    def up(acc, _):
+        last = F.element_at(acc, -1)
+        pair = lambda i: short_hash(F.concat(F.get(last, 2 * i), F.coalesce(F.get(last, 2 * i + 1), F.get(last, 2 * i))))
+        more = F.transform(F.sequence(F.lit(0), F.floor((F.size(last) - 1) / 2).cast("int")), pair)
+        return F.when(alone & (F.size(last) == 1), acc).otherwise(F.concat(acc, F.array(more)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(FOLD)), F.array(hashes), up)
+
+
 def levels(leaves: DataFrame) -> DataFrame:
     """(tree, level, pos, hash) of all levels over ``leaves`` (tree, pos, hash), positions from 0.
 
-    A level of odd size above 1 repeats its last hash. One shuffle per level,
-    each half as large; the loop ends when all trees have one node.
+    A level of odd size above 1 repeats its last hash. One shuffle folds
+    ``FOLD`` levels, each group of 2**FOLD neighbours by itself.
     """
     level = written(leaves.select("tree", F.lit(0).alias("level"), F.col("pos").cast("long").alias("pos"), "hash"), "merkle")
-    out = [level]
+    out, base = [level], 0
     while level.where("pos > 0").limit(1).count():
-        more = level.groupBy("tree").agg(F.max("pos").alias("top")).where("top > 0")
-        pairs = level.join(more, "tree").groupBy("tree", "level", F.floor(F.col("pos") / 2).alias("half")).agg(F.min_by("hash", "pos").alias("a"), F.max_by("hash", "pos").alias("b"))
-        level = written(pairs.select("tree", (F.col("level") + 1).alias("level"), F.col("half").alias("pos"), short_hash(F.concat("a", "b")).alias("hash")), "merkle")
-        out.append(level)
+        sizes = level.groupBy("tree").agg(F.max("pos").alias("top")).where("top > 0")
+        alone = F.col("top") < 2**FOLD
+        groups = level.join(sizes, "tree").groupBy("tree", alone.alias("alone"), F.shiftright("pos", FOLD).alias("group"))
+        groups = groups.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("hashes"))
+        folded = groups.select("tree", "group", F.posexplode(_folded(F.col("hashes"), F.col("alone"))).alias("up", "nodes")).where("up > 0")
+        rows = folded.select("tree", (F.col("up") + base).alias("level"), "group", "up", F.posexplode("nodes").alias("i", "hash"))
+        rows = written(rows.select("tree", "level", (F.expr(f"shiftleft(group, {FOLD} - up)") + F.col("i")).alias("pos"), "hash"), "merkle")
+        out.append(rows)
+        base += FOLD
+        level = rows.where(F.col("level") == base)
     return reduce(DataFrame.unionByName, out)
 
 
@@ -67,10 +90,65 @@ def verify(leaf: Column, pos: Column, proof: Column, root: Column) -> Column:
     return F.aggregate(proof, F.struct(leaf.alias("h"), pos.cast("long").alias("at")), step, lambda a: a["h"]) == root
 
 
-def roll_up(files: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Descriptors of files (folder, name, content) with tickets (name, tickets): files without tickets are left out; a ticket row "." overrides a folder's total."""
-    t = tickets.groupBy("name").agg(F.max("tickets").alias("tickets"))
-    hashed = files.join(t, "name").select("folder", "name", short_hash(F.col("content")).alias("data_hash"), F.length("content").cast("long").alias("size"), "tickets")
-    own = t.where("name = '.'").select(F.col("tickets").alias("override"))
-    totals = hashed.groupBy("folder").agg(F.sum("size").alias("size"), F.sum("tickets").alias("tickets")).join(F.broadcast(own), how="left")
-    return totals.select("folder", "size", F.coalesce("override", "tickets").alias("tickets"))
+#: Fixed value: the root of a collection without entries.
+EMPTY_ROOT = "c672b8d1ef56ed28ab87c3622c5114069bdd3ad7b8f9737498d0c01ecef0967a"
+
+
+def collections(files: DataFrame, tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nested collections of files (path, content) with tickets (folder, name, tickets): (entries, refused files).
+
+    Paths are relative, with "/"; the folder above all is "". Entries (path,
+    is_folder, data_hash, size, tickets, hash, proof) are files with a row in
+    their folder's tickets, and all folders. A folder's data hash is the root
+    over its entries in the order of their names, a fixed one without any; its
+    size and tickets are their sums, unless its tickets have a row ".". The
+    proof leads to the root of the folder an entry is in, and is null for "".
+    Files without tickets are refused with the reason; tickets.csv and system
+    files are left out. One round of joins per level of folders.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    folder = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
+    f = files.select("path", folder(F.col("path")).alias("folder"), name.alias("name"), "content")
+    f = f.where(~F.col("name").isin("tickets.csv", "thumbs.db") & ~F.startswith("name", F.lit(".")) & ~F.endswith("name", F.lit(".DS_Store")))
+    t = tickets.groupBy("folder", "name").agg(F.max("tickets").alias("tickets"))
+    j = f.join(t, ["folder", "name"], "left")
+    refused = j.where("tickets IS NULL").select("path", F.lit("no tickets").alias("reason"))
+    own = descriptor(short_hash(F.col("content")), F.length("content"), F.col("tickets"))
+    entries = j.where("tickets IS NOT NULL").select("path", "folder", "name", F.lit(False).alias("is_folder"), short_hash(F.col("content")).alias("data_hash"), F.length("content").cast("long").alias("size"), "tickets", short_hash(own).alias("hash"))
+    parts = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(0), F.when(F.col("folder") == "", 0).otherwise(F.size(parts))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    folders = written(f.select(F.explode(above).alias("path")).distinct().withColumn("depth", depth), "folders")
+    out, up = [], written(entries, "entries")
+    deepest = folders.agg(F.max("depth")).first()[0]
+    for d in range(-1 if deepest is None else deepest, -1, -1):
+        here = folders.where(F.col("depth") == d).select(F.col("path").alias("folder"))
+        inside = up.join(here, "folder", "left_semi")
+        placed = written(inside.withColumn("pos", (F.row_number().over(W.partitionBy("folder").orderBy("name")) - 1).cast("long")), "placed")
+        leaves = placed.select(F.col("folder").alias("tree"), "pos", "hash")
+        nodes = levels(leaves)
+        proof = proofs(nodes, leaves).withColumnRenamed("tree", "folder")
+        done = placed.join(proof, ["folder", "pos"], "left").withColumn("proof", F.coalesce("proof", F.array().cast("array<binary>")))
+        out.append(written(done.select("path", "is_folder", "data_hash", "size", "tickets", "hash", "proof"), "done"))
+        sums = placed.groupBy("folder").agg(F.sum("size").alias("size"), F.sum("tickets").alias("sum"))
+        root = roots(nodes).withColumnRenamed("tree", "folder")
+        dot = t.where("name = '.'").select("folder", F.col("tickets").alias("override"))
+        whole = here.join(sums, "folder", "left").join(root, "folder", "left").join(dot, "folder", "left")
+        whole = whole.select(F.col("folder").alias("path"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("override", "sum", F.lit(0)).alias("tickets"), F.coalesce("root", F.unhex(F.lit(EMPTY_ROOT))).alias("data_hash"))
+        rows = whole.select("path", folder(F.col("path")).alias("folder"), name.alias("name"), F.lit(True).alias("is_folder"), "data_hash", "size", "tickets", short_hash(descriptor(F.col("data_hash"), F.col("size"), F.col("tickets"))).alias("hash"))
+        up = written(up.join(here, "folder", "left_anti").unionByName(rows), "entries")
+    if deepest is None:
+        return up.drop("folder", "name").withColumn("proof", F.lit(None).cast("array<binary>")), refused
+    top = up.where("path = ''").select("path", "is_folder", "data_hash", "size", "tickets", "hash", F.lit(None).cast("array<binary>").alias("proof"))
+    return reduce(DataFrame.unionByName, [*out, top]), refused
+
+
+def artefacts(entries: DataFrame) -> DataFrame:
+    """(path, kind, hex) of entries: "blob" is the data hash of a file, "desc" its descriptor, "proof" the hashes of its proof joined by commas, "root" the root of the whole."""
+    desc = descriptor(F.col("data_hash"), F.col("size"), F.col("tickets"))
+    low = lambda c: F.lower(F.hex(c))
+    kinds = F.map_from_arrays(
+        F.array(*[F.lit(k) for k in ("blob", "desc", "proof", "root")]),
+        F.array(F.when(~F.col("is_folder"), low(F.col("data_hash"))), low(desc), F.array_join(F.transform("proof", low), ","), F.when(F.col("path") == "", low(F.col("data_hash")))),
+    )
+    return entries.select("path", F.explode(kinds).alias("kind", "hex")).where("hex IS NOT NULL")

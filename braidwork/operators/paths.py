@@ -53,9 +53,12 @@ def feature_frame(segments: DataFrame) -> DataFrame:
     return a.join(b, "doc").select("doc", "i", "j", place.alias("space"), V.euclid(F.col("v"), F.col("w")).alias("distance"))
 
 
-def grouped_terms(terms: DataFrame) -> DataFrame:
-    """(cluster, size, terms) of rows (cluster, term), the largest first by ``pos``."""
-    g = terms.groupBy("cluster").agg(F.array_sort(F.collect_set("term")).alias("terms")).withColumn("size", F.size("terms"))
+def grouped_terms(terms: DataFrame, clusters: int | None = None) -> DataFrame:
+    """(cluster, size, terms, pos) of rows (cluster, term), the largest first by ``pos``; of ``clusters`` numbered from 0, those without terms too."""
+    g = terms.groupBy("cluster").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    if clusters is not None:
+        g = terms.sparkSession.range(clusters).select(F.col("id").cast(terms.schema["cluster"].dataType).alias("cluster")).join(g, "cluster", "left")
+    g = g.withColumn("terms", F.coalesce("terms", F.array().cast(g.schema["terms"].dataType))).withColumn("size", F.size("terms"))
     return g.withColumn("pos", F.row_number().over(W.orderBy(F.desc("size"), "cluster")))
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from braidwork.sources.shared import written
+
 from .relational import mode_of, top
 
 
@@ -26,17 +29,32 @@ def user_cosine(ratings: DataFrame) -> DataFrame:
     return pairs.groupBy("user", "other").agg(F.count("*").alias("common"), (dot / (F.sqrt(a) * F.sqrt(b))).alias("similarity"))
 
 
-def similar(pairs: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
-    """Each user's ``k`` most similar others; ties go to the smaller id."""
-    return top(pairs.withColumn("similarity", F.round("similarity", digits)), ["user"], [F.desc("similarity"), "other"], k)
-
+def similar(pairs: DataFrame, users: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
+    """Each of ``users``' ``k`` most similar others of ``users``; a pair that is not in ``pairs`` has similarity 0; ties go to the smaller id.
 
-def recommend_items(ratings: DataFrame, neighbours: int = 5, k: int = 3) -> DataFrame:
-    """Items that a user's most similar others rated and the user did not; the first ``k`` by id."""
-    near = similar(user_cosine(ratings), neighbours).select("user", "other")
-    mine = rated(ratings).select("user", "item").distinct()
-    theirs = near.join(mine.withColumnRenamed("user", "other"), "other").select("user", "item").distinct()
-    return top(theirs.join(mine, ["user", "item"], "left_anti"), ["user"], ["item"], k)
+    Others with 0 only matter to users with fewer than ``k`` better ones. Such
+    a user with n pairs looks at the first n + k + 1 users by id: enough of
+    them are neither the user nor in one of the pairs.
+    """
+    pairs = written(pairs.select("user", "other", F.round("similarity", digits).alias("similarity")), "similar")
+    have = pairs.groupBy("user").agg(F.count("*").alias("n"), F.count_if(F.col("similarity") > 0).alias("better"))
+    lacking = users.select("user").distinct().join(have, "user", "left").where(F.coalesce("better", F.lit(0)) < k)
+    lacking = lacking.select("user", (F.coalesce("n", F.lit(0)) + k + 1).alias("n"))
+    most = lacking.agg(F.max("n")).first()[0]
+    if most:
+        first = users.select(F.col("user").alias("other")).distinct().orderBy("other").limit(most)
+        first = first.withColumn("place", F.row_number().over(W.orderBy("other")).cast("long"))  # ``most`` rows
+        zeros = lacking.select("user", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("place")).join(first, "place").where("user <> other")
+        zeros = zeros.join(pairs, ["user", "other"], "left_anti").select("user", "other", F.lit(0.0).alias("similarity"))
+        pairs = pairs.unionByName(zeros)
+    return top(pairs, ["user"], [F.desc("similarity"), "other"], k)
+
+
+def recommend_items(ratings: DataFrame, users: DataFrame, neighbours: int = 5, k: int = 3) -> DataFrame:
+    """Items that a user's most similar others have (``ratings``: user, item, rating; rated or not) and the user did not rate; the first ``k`` by id."""
+    near = similar(user_cosine(ratings), users, neighbours).select("user", "other")
+    theirs = near.join(ratings.select(F.col("user").alias("other"), "item"), "other").select("user", "item").distinct()
+    return top(theirs.join(rated(ratings).select("user", "item").distinct(), ["user", "item"], "left_anti"), ["user"], ["item"], k)
 
 
 def jaccard(owned: DataFrame) -> DataFrame:
@@ -51,19 +69,48 @@ def jaccard(owned: DataFrame) -> DataFrame:
 def new_types(owned: DataFrame, cards: DataFrame, k: int = 3) -> DataFrame:
     """For each user the first ``k`` cards by id of types the user does not own.
 
-    Only the first ``k`` cards of each type can be among them, so the pairs of
-    users and types stay small whatever the number of cards.
+    With types in the order of their first cards, a user of n types needs to
+    look at the first n + k types only: at least k of them are not owned, and
+    later types begin with later cards. So no user meets all types.
     """
-    firsts = top(cards, ["type"], ["card"], k).select("type", "card")
-    users, types = owned.select("user").distinct(), F.broadcast(cards.select("type").distinct())
-    lacks = users.join(types, how="cross").join(owned.select("user", "type").distinct(), ["user", "type"], "left_anti")
-    return top(lacks.join(firsts, "type"), ["user"], ["card"], k)
+    types = owned.select("user", "type").distinct()
+    sizes = types.groupBy("user").agg((F.count("*") + k).alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    order = cards.groupBy("type").agg(F.min("card").alias("first")).orderBy("first", "type").limit(most)
+    order = order.select("type", F.row_number().over(W.orderBy("first", "type")).cast("long").alias("place"))  # ``most`` rows
+    firsts = top(cards.join(order, "type"), ["type"], ["card"], k).select("type", "place", "card")
+    near = sizes.select("user", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("place")).join(firsts, "place")
+    return top(near.join(types, ["user", "type"], "left_anti").select("user", "type", "card"), ["user"], ["card"], k)
+
+
+def with_similar_cards(owned: DataFrame, cards: DataFrame, neighbours: int = 5, k: int = 3) -> DataFrame:
+    """``new_types`` with the cards of similar users of such types added, distinct. They are among all cards, so they add none; the step is kept."""
+    near = similar(jaccard(owned), owned.select("user").distinct(), neighbours).select("user", "other")
+    theirs = near.join(owned.select(F.col("user").alias("other"), "type", "card"), "other").select("user", "type", "card").distinct()
+    theirs = theirs.join(owned.select("user", "type").distinct(), ["user", "type"], "left_anti")
+    both = new_types(owned, cards, k).drop("rank").unionByName(top(theirs, ["user"], ["card"], k).drop("rank")).distinct()
+    return top(both, ["user"], ["card"], k)
 
 
 def of_mode_type(owned: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows of the most frequent type, over all or per group."""
     mode = mode_of(owned, by or [], "type").drop("n")
-    return owned.join(F.broadcast(mode) if not by else mode, [*(by or []), "type"], "left_semi")
+    return owned.join(mode, [*(by or []), "type"], "left_semi")
+
+
+def on_mood(latest_moods: DataFrame, intensity: str, moods: tuple[str, ...], scripts: DataFrame, scenes: DataFrame, kind: str, k: int = 3) -> DataFrame:
+    """(user, list, pos, id) for users whose latest mood (user, mood, intensity) is one of ``moods`` at ``intensity``.
+
+    Both lists are the same for all: the ``k`` scripts (script, type, rating)
+    of ``kind`` rated best, and the ``k`` latest scenes (scene, type) by id.
+    """
+    low = latest_moods.where((F.col("intensity") == intensity) & F.col("mood").isin(*moods)).select("user").distinct()
+    best = scripts.where(F.col("type") == kind).orderBy(F.desc("rating"), "script").limit(k)
+    new = scenes.where(F.col("type") == kind).orderBy(F.desc("scene")).limit(k)
+    place = lambda *order: F.row_number().over(W.orderBy(*order)).alias("pos")
+    lists = best.select(F.lit("scripts").alias("list"), place(F.desc("rating"), "script"), F.col("script").alias("id"))
+    lists = lists.unionByName(new.select(F.lit("scenes").alias("list"), place(F.desc("scene")), F.col("scene").alias("id")))
+    return low.join(F.broadcast(lists), how="cross")  # 2 * k rows
 
 
 def engagement(users: DataFrame, sessions: DataFrame, emotions: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from braidwork.sources.shared import written
+
 
 def matches(item: Column, phrase: str, strategy: str = "start", more: bool = False, cased: bool = False) -> Column:
     """Whether ``item`` starts, ends, contains, equals or (unanchored regex) matches ``phrase``.
@@ -35,13 +37,85 @@ def page(df: DataFrame, key: str, skip: int = 0, limit: int = 10) -> DataFrame:
     return df.orderBy(key).offset(skip).limit(limit)
 
 
-def accepted(rows: DataFrame, parents: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
-    """Rows whose foreign keys all exist."""
-    return reduce(lambda d, p: d.join(parents.select(F.col(p[1]).alias("_k")).distinct(), F.col(p[0]) == F.col("_k"), "left_semi"), pairs, rows)
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has ``limit`` rows at most, counted; else the join is Spark's to choose."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def _keys(parents: DataFrame, pairs: dict[str, str], n: int) -> tuple[DataFrame, Column]:
+    """Distinct keys of ``parents`` under fresh names, and the condition that all ``pairs`` (column, parent's column) are equal."""
+    names = {c: f"_k{n}_{i}" for i, c in enumerate(pairs)}
+    keys = parents.select(*[F.col(p).alias(names[c]) for c, p in pairs.items()]).distinct()
+    return keys, reduce(lambda a, b: a & b, [F.col(c) == F.col(k) for c, k in names.items()])
+
+
+def accepted(rows: DataFrame, *checks: tuple[DataFrame, dict[str, str]]) -> DataFrame:
+    """Rows whose foreign keys all exist: each check is a table of parents and the columns that must be in one of its rows together.
+
+    A null key has no parent.
+    """
+    for n, (parents, pairs) in enumerate(checks):
+        rows = rows.join(*_keys(parents, pairs, n), "left_semi")
+    return rows
+
+
+def rejected(rows: DataFrame, *checks: tuple[DataFrame, dict[str, str]]) -> DataFrame:
+    """The other rows: those that fail at least one check."""
+    known = rows.columns
+    for n, (parents, pairs) in enumerate(checks):
+        keys, same = _keys(parents, pairs, n)
+        rows = rows.join(keys.withColumn(f"_hit{n}", F.lit(True)), same, "left")
+    hits = reduce(lambda a, b: a & b, [F.col(f"_hit{n}").isNotNull() for n in range(len(checks))])
+    return rows.where(~hits).select(*known)
 
 
-def rejected(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
-    return rows.join(parents.select(F.col(parent_key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_anti")
+def numbered(df: DataFrame, custom: str | None = None) -> DataFrame:
+    """``df`` with a column ``id``: the column ``custom`` renamed (an error if there is none), else ``doc_id`` renamed, else a number from 1 over all rows.
+
+    The numbers follow the order of the partitions: rows are counted by
+    partition first, so that none has to hold them all.
+    """
+    if custom is not None:
+        if custom not in df.columns:
+            raise ValueError(f"no column {custom!r}; there are {df.columns}")
+        return df.withColumnRenamed(custom, "id")
+    if "doc_id" in df.columns:
+        return df.withColumnRenamed("doc_id", "id")
+    placed = written(df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "rows")
+    parts = placed.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    parts = parts.select("_part", "_first", before.alias("_before"))
+    return placed.join(small(parts), "_part").withColumn("id", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_at", "_part", "_first", "_before")
+
+
+def typed(rows: DataFrame, kinds: dict[str, str], required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of rows (value: JSON object): good ones have exactly the keys of ``kinds``, each null or of its JSON type, and no null in ``required``.
+
+    Types are those of ``schema_of_variant``: STRING, BIGINT, DOUBLE, BOOLEAN
+    and so on. What is no object is bad, null too.
+    """
+    v = F.try_parse_json("value")
+    keys = F.json_object_keys("value")
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+    missing = lambda k: F.coalesce(kind(k) == "VOID", F.lit(True))
+    fine = F.coalesce(F.array_sort(keys) == F.array_sort(F.array(*[F.lit(k) for k in kinds])), F.lit(False))
+    for k, t in kinds.items():
+        ok = F.coalesce(kind(k) == t, F.lit(False))
+        fine = fine & (ok if k in required else ok | missing(k))
+    marked = rows.withColumn("_fine", fine)
+    return marked.where("_fine").drop("_fine"), marked.where("NOT _fine").drop("_fine")
+
+
+def owned_update(base: DataFrame, asked: DataFrame, key: str, owner: str, change: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """``base`` with ``change`` where its owner asked for it (rows key, owner), and what was refused with the reason: an unknown key, or another owner."""
+    a = asked.select(F.col(key).alias("_k"), F.col(owner).alias("_o")).distinct()
+    hits = a.where(F.col("_o").isNotNull()).withColumn("_hit", F.lit(True))
+    done = base.join(hits, (F.col(key) == F.col("_k")) & (F.col(owner) == F.col("_o")), "left")
+    done = done.withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in change.items()}).select(*base.columns)
+    owners = base.select(F.col(key).alias("_b"), F.col(owner).alias("_is"))
+    reason = F.when(F.col("_b").isNull(), "not found").when(~F.col("_o").eqNullSafe(F.col("_is")) | F.col("_o").isNull(), "not the owner")
+    refused = a.join(owners, F.col("_k") == F.col("_b"), "left").select(F.col("_k").alias(key), F.col("_o").alias(owner), reason.alias("reason"))
+    return done, refused.where("reason IS NOT NULL")
 
 
 def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -79,6 +153,11 @@ def patch(base: DataFrame, change: DataFrame, key: str, rule: str = "not_null")
     return joined.select(*[value(n).alias(n) if n in names else F.col(n) for n in base.columns])
 
 
+def first_match(df: DataFrame, condition: Column, by: list[str], order: list) -> DataFrame:
+    """Of each group the first row, in a total order, that meets the condition."""
+    return top(df.where(condition), by, order, 1, "_r").drop("_r")
+
+
 def mode_of(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """The most frequent value of ``col`` per group; ties go to the smallest."""
     counts = df.groupBy(*by, col).agg(F.count("*").alias("n"))

@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.functions import vectors as V
+from braidwork.sources.shared import written
 
 from .relational import top
 
@@ -16,22 +18,16 @@ from .relational import top
 GROUP_ROWS = 16_384
 TILE = 1024
 
-MEASURES = {"cosine": (V.cosine, True), "dot": (V.dot, True), "euclid": (V.euclid, False)}
+#: How rows x of queries and y of a corpus compare, and whether more is nearer.
+MEASURES = {
+    "cosine": (lambda x, y: unit(x) @ unit(y).T, True),
+    "dot": (lambda x, y: x @ y.T, True),
+    "euclid": (lambda x, y: np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0)), False),
+}
 
 
-def scores(queries: DataFrame, corpus: DataFrame, measure: str = "cosine", digits: int = 6) -> DataFrame:
-    """(query_id, id, score) of a stated, small query set (query_id, q), which is broadcast, against all rows."""
-    f = MEASURES[measure][0]
-    return corpus.join(F.broadcast(queries), how="cross").select("query_id", "id", F.round(f(F.col("q"), F.col("v")), digits).alias("score"))
-
-
-def search(queries: DataFrame, corpus: DataFrame, k: int = 5, measure: str = "cosine", least: float | None = None, skip_self: bool = True) -> DataFrame:
-    """The ``k`` best per query, ties by id, and of those only scores of ``least`` or more."""
-    found = scores(queries, corpus, measure)
-    if skip_self:
-        found = found.where("query_id <> id")
-    best = top(found, ["query_id"], [F.desc("score") if MEASURES[measure][1] else F.asc("score"), "id"], k)
-    return best if least is None else best.where(F.col("score") >= least)
+def unit(m: np.ndarray) -> np.ndarray:
+    return m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
 
 
 def parts_of(n: int) -> int:
@@ -39,19 +35,50 @@ def parts_of(n: int) -> int:
     return max(8, -(-n // GROUP_ROWS))
 
 
-def nearest_of(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores): for each row of unit vectors ``x`` (ids ``i``) the best ``k`` of ``y`` (ids ``j``) but itself, ties by id; missing ones score -inf.
+def _matrix(column) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
+
+
+def _blocks(queries: DataFrame, corpus: DataFrame, fold, schema: str, parts: int | None = None) -> DataFrame:
+    """``fold`` (ids and rows of queries, ids and rows of the corpus) of every pair of a block of queries (query_id, q) and one of the corpus (id, v).
+
+    Both are dealt by a hash of their id into blocks whose rows are bounded,
+    by counts; no block holds a whole side. Null vectors take no part.
+    """
+    queries, corpus = queries.where("q IS NOT NULL"), corpus.where("v IS NOT NULL")
+    parts = parts or parts_of(corpus.count())
+    sides = -(-queries.count() // GROUP_ROWS) or 1
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Fresh names on both sides, as they may come from the same rows.
+    a = queries.select(F.col("query_id").alias("i"), F.col("q").alias("x"), deal("query_id", sides).alias("a"), each(parts).alias("b"))
+    b = corpus.select(F.col("id").alias("j"), F.col("v").alias("y"), each(sides).alias("a"), deal("id", parts).alias("b"))
+    out = pa.schema([(f.name, {"long": pa.int64(), "double": pa.float64()}[f.dataType.simpleString().replace("bigint", "long")]) for f in T.StructType.fromDDL(schema)])
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        return pa.table(fold(left.column("i").to_numpy(), _matrix(left.column("x")), right.column("j").to_numpy(), _matrix(right.column("y"))), schema=out)
+
+    return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(met, schema)
+
+
+def nearest_of(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, k: int, measure: str = "cosine", skip_self: bool = True, digits: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores): for each row of ``x`` (ids ``i``) the nearest ``k`` of ``y`` (ids ``j``), ties by id; missing ones score -inf, or inf where less is nearer.
 
-    Tiles of ``y`` are multiplied one by one and join the best so far.
+    Tiles of ``y`` are multiplied one by one; only what may be among the best joins them.
     """
+    compare, more = MEASURES[measure]
+    sign = 1 if more else -1
     order = np.argsort(j, kind="stable")
     y, j = y[order], j[order]
     ids, best = np.zeros((len(i), k), np.int64), np.full((len(i), k), -np.inf)
     for r in range(0, len(i), TILE):
         rows = slice(r, r + TILE)
         for c in range(0, len(j), TILE):
-            s = np.round(x[rows] @ y[c : c + TILE].T, 6)
-            s[i[rows, None] == j[None, c : c + TILE]] = -np.inf
+            s = sign * np.round(compare(x[rows], y[c : c + TILE]), digits)
+            if skip_self:
+                s[i[rows, None] == j[None, c : c + TILE]] = -np.inf
             s = np.hstack([best[rows], s])
             known = np.hstack([ids[rows], np.broadcast_to(j[c : c + TILE], (len(s), s.shape[1] - k))])
             at = np.arange(len(s))
@@ -59,41 +86,56 @@ def nearest_of(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, k: in
                 top_ = s.argmax(axis=1)
                 ids[rows, q], best[rows, q] = known[at, top_], s[at, top_]
                 s[at, top_] = -np.inf
-    return ids, best
+    return ids, sign * best
 
 
-def all_neighbours(vectors: DataFrame, k: int, parts: int | None = None, of: DataFrame | None = None) -> DataFrame:
-    """(id, other, score, rank): the exact ``k`` nearest by cosine of every vector, or of those whose id is in ``of``.
+def search(queries: DataFrame, corpus: DataFrame, k: int = 5, measure: str = "cosine", least: float | None = None, skip_self: bool = True, parts: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the exact ``k`` nearest per query (query_id, q), ties by id, and of those only scores of ``least`` or more.
 
-    Vectors are dealt into groups (``parts``, by default from a count, so that
-    a group's rows are bounded) and each pair of groups is one matrix product
-    in tiles, of which only each row's best ``k`` go on.
+    Blocks of queries meet blocks of the corpus, each pair as matrix products
+    in tiles of which only each query's best ``k`` go on.
     """
-    asked = vectors if of is None else vectors.join(of.select("id").distinct(), "id", "left_semi")
-    parts = parts or parts_of(vectors.count())
-    sides = parts if of is None else -(-asked.count() // GROUP_ROWS) or 1
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # Fresh names on both sides, as the asked ones come from the same rows.
-    a = asked.select(F.col("id").alias("i"), F.col("v").alias("x"), deal(sides).alias("a"), each(parts).alias("b"))
-    b = vectors.select(F.col("id").alias("j"), F.col("v").alias("y"), each(sides).alias("a"), deal(parts).alias("b"))
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
+    def best(i, x, j, y):
+        ids, scores = nearest_of(x, i, y, j, k, measure, skip_self)
+        row, col = np.nonzero(np.isfinite(scores))
+        return [i[row], ids[row, col], scores[row, col]]
+
+    found = _blocks(queries, corpus, best, "query_id long, id long, score double", parts)
+    best_ = top(found, ["query_id"], [F.desc("score") if MEASURES[measure][1] else F.asc("score"), "id"], k)
+    return best_ if least is None else best_.where(F.col("score") >= least)
+
+
+def score_stats(queries: DataFrame, corpus: DataFrame, measure: str = "cosine", digits: int = 6) -> DataFrame:
+    """(query_id, n, mean, least, most) of the rounded scores of each query against all of the corpus."""
+
+    def fold(i, x, j, y):
+        found = []
+        for r in range(0, len(i), TILE):
+            parts = [np.round(MEASURES[measure][0](x[r : r + TILE], y[c : c + TILE]), digits) for c in range(0, len(j), TILE)]
+            found.append((sum(p.sum(1) for p in parts), np.min([p.min(1) for p in parts], axis=0), np.max([p.max(1) for p in parts], axis=0)))
+        return [i, np.full(len(i), len(j), np.int64), *(np.concatenate([f[c] for f in found]) for c in range(3))]
 
-        def unit(column):
-            m = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
-            return m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
+    rows = _blocks(queries, corpus, fold, "query_id long, n long, total double, least double, most double")
+    n = F.sum("n")
+    return rows.groupBy("query_id").agg(n.alias("n"), (F.sum("total") / n).alias("mean"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def all_neighbours(vectors: DataFrame, k: int, parts: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    """(id, other, score, rank): the exact ``k`` nearest by cosine of every vector, or of those whose id is in ``of``."""
+    asked = vectors if of is None else vectors.join(of.select("id").distinct(), "id", "left_semi")
+    found = search(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), vectors, k, parts=parts)
+    return found.withColumnRenamed("id", "other").withColumnRenamed("query_id", "id").select("id", "other", "score", "rank")
 
-        i, j = left.column("i").to_numpy(), right.column("j").to_numpy()
-        ids, scores = nearest_of(unit(left.column("x")), i, unit(right.column("y")), j, k)
-        row, col = np.nonzero(scores > -np.inf)
-        return pa.table([i[row], ids[row, col], scores[row, col]], schema=out)
 
-    found = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(best, "id long, other long, score double")
-    return top(found, ["id"], [F.desc("score"), "other"], k)
+def enhanced(queries: DataFrame, corpus: DataFrame, n: int = 10, k: int = 5, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Search with keywords: (the ``n`` best hits with scores of ``least`` or more, and (query_id, id, other, score, rank): of each of the ``n`` hits the ``k`` most similar among them, itself included)."""
+    hits = search(queries, corpus, n)
+    both = hits.select("query_id", "id").join(corpus.select("id", "v"), "id")
+    other = both.select("query_id", F.col("id").alias("other"), F.col("v").alias("w"))
+    pairs = both.join(other, "query_id")  # n * n for a query
+    scored = pairs.select("query_id", "id", "other", F.round(V.cosine(F.col("v"), F.col("w")), 6).alias("score"))
+    return hits.where(F.col("score") >= least), top(scored, ["query_id", "id"], [F.desc("score"), "other"], k)
 
 
 def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
@@ -103,9 +145,13 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
 
 
 def classify(vectors: DataFrame, labels: DataFrame, k: int = 1, least: float | None = None) -> DataFrame:
-    """(id, label, score): the nearest labels (label, c) of each vector; the few labels are broadcast."""
-    scored = vectors.select("id", "v").join(F.broadcast(labels), how="cross").select("id", "label", F.round(V.cosine(F.col("v"), F.col("c")), 6).alias("score"))
-    best = top(scored, ["id"], [F.desc("score"), "label"], k)
+    """(id, label, score): the nearest labels (label, c) of each vector. Few labels, counted, are broadcast; many meet the vectors in blocks."""
+    if labels.limit(1001).count() > 1000:
+        found = search(vectors.select(F.col("id").alias("query_id"), F.col("v").alias("q")), labels.select(F.col("label").cast("long").alias("id"), F.col("c").alias("v")), k, skip_self=False)
+        best = found.select(F.col("query_id").alias("id"), F.col("id").alias("label"), "score", "rank")
+    else:
+        scored = vectors.select("id", "v").join(F.broadcast(labels), how="cross").select("id", "label", F.round(V.cosine(F.col("v"), F.col("c")), 6).alias("score"))
+        best = top(scored, ["id"], [F.desc("score"), "label"], k)
     return best if least is None else best.where(F.col("score") >= least)
 
 
@@ -115,6 +161,29 @@ def with_cache(wanted: DataFrame, cache: DataFrame, encode) -> DataFrame:
     return wanted.select("key").distinct().join(cache, "key").unionByName(encode(missing))
 
 
+def encoded_pairs(pairs: DataFrame, encode) -> DataFrame:
+    """``pairs`` (..., prompt, response) with both vectors and their ``similarity``: each distinct text is encoded once (``encode``: key to key and v) and joined back to both sides."""
+    unique = pairs.select(F.explode(F.array("prompt", "response")).alias("key")).distinct()
+    v = written(encode(unique).select("key", "v"), "encoded")
+    side = lambda s: v.select(F.col("key").alias(s), F.col("v").alias(f"{s}_v"))
+    both = pairs.join(side("prompt"), "prompt", "left").join(side("response"), "response", "left")
+    return both.withColumn("similarity", F.round(V.cosine(F.col("prompt_v"), F.col("response_v")), 6))
+
+
+def update_vectors(messages: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``messages`` (id, ..., v) with the new vectors (id, v) of their ids; a vector whose id no message has is an error."""
+    new = vectors.select(F.col("id").alias("_id"), F.col("v").alias("_v"))
+    both = messages.withColumn("_known", F.lit(True)).join(new, F.col("id") == F.col("_id"), "full")
+    text = F.concat(F.lit("no message with the id "), F.col("_id").cast("string"))
+    fine = F.when(F.col("_known"), F.coalesce("_v", "v")).otherwise(F.raise_error(text).cast(messages.schema["v"].dataType))
+    return both.withColumn("v", fine).select(*messages.columns)
+
+
+def encoded_columns(df: DataFrame, names: list[str], encode) -> DataFrame:
+    """``df`` with "<name> embedding" for each text column: ``encode`` of a column, null for null."""
+    return df.withColumns({f"{n} embedding": F.when(F.col(n).isNotNull(), encode(F.col(n))) for n in names})
+
+
 def bag_of_words(text, dims: int = 64):
     """A deterministic encoder: counts of words by the first bits of their MD5, scaled to length 1 (zero without words)."""
     # Each step is bound to a lambda's variable, so that it is computed once per text.
@@ -134,6 +203,15 @@ def summarize(docs: DataFrame, n: int = 3, dims: int = 64) -> DataFrame:
     return best.groupBy("id").agg(F.array_join(F.transform(ordered, lambda s: s["sentence"]), ". ").alias("summary"))
 
 
+def keyword_clusters(texts: DataFrame, encode, k: int = 5) -> DataFrame:
+    """(cluster, size, terms, pos): the distinct keywords (term), encoded, clustered and grouped; clusters without terms stay."""
+    from .paths import grouped_terms
+
+    terms = texts.select("term").distinct().withColumn("id", F.xxhash64("term"))
+    found = cluster(terms.select("id", encode(F.col("term")).alias("v")), k)
+    return grouped_terms(terms.join(found, "id"), k)
+
+
 def cluster(vectors: DataFrame, k: int = 5, components: int = 3, seed: int = 42) -> DataFrame:
     """(id, cluster): PCA to ``components`` dimensions (in place of a manifold embedding), then k-means."""
     from pyspark.ml.clustering import KMeans

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braidwork.sources.shared import written
+from braidwork.sources.shared import discard, written
+
+from .relational import small
 
 
 def _siblings():
@@ -25,30 +27,49 @@ def _linked(nodes: DataFrame) -> DataFrame:
     return nodes.join(ids, (F.col("conv") == F.col("c")) & (F.col("parent") == F.col("p")), "left").select("conv", "id", F.col("p").alias("up"), "ordinal")
 
 
+def _looped(nodes: DataFrame) -> ValueError:
+    conv, id_ = nodes.select("conv", "id").first()
+    return ValueError(f"parent links form a cycle, at or above node {id_!r} of tree {conv!r}")
+
+
 def placed(nodes: DataFrame) -> DataFrame:
-    """(conv, id, root, depth, path): path sorts nodes as a pre-order walk does."""
+    """(conv, id, root, depth, path): path sorts nodes as a pre-order walk does. A cycle of parent links is an error.
+
+    Of a tree, each doubling places the nodes at its last depth; a cycle is
+    found by a doubling that leaves as many open as the one before.
+    """
     step = F.format_string("%010d/%s;", F.col("ordinal").cast("long"), F.col("id").cast("string"))
     state = _linked(nodes).select("conv", "id", "up", F.coalesce("up", "id").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), step.alias("path"))
     state = written(state, "tree")
-    while state.where("up IS NOT NULL").limit(1).count():
+    left = None
+    while n := state.where("up IS NOT NULL").count():
+        if n == left:
+            raise _looped(state.where("up IS NOT NULL"))
+        left = n
         t = state.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("up").alias("u"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("path").alias("q"))
         joined = state.join(t, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("i")), "left")
-        state = joined.select("conv", "id", F.col("u").alias("up"), F.coalesce("r", "root").alias("root"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.concat(F.coalesce("q", F.lit("")), "path").alias("path"))
-        state = written(state, "tree")
+        more = joined.select("conv", "id", F.col("u").alias("up"), F.coalesce("r", "root").alias("root"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.concat(F.coalesce("q", F.lit("")), "path").alias("path"))
+        before, state = state, written(more, "tree")
+        discard(before)
     return state.drop("up")
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(conv, id, ancestor, distance): the transitive closure, distances from 1."""
+    """(conv, id, ancestor, distance): the transitive closure, distances from 1. A cycle of parent links is an error."""
     far = _linked(nodes).where("up IS NOT NULL").select("conv", "id", "up")
     closure, size = written(far.select("conv", "id", F.col("up").alias("ancestor"), F.lit(1).cast("long").alias("distance")), "closure"), 1
-    far = written(far, "far")
-    while far.limit(1).count():
+    far, left = written(far, "far"), None
+    while n := far.count():
+        if n == left:
+            raise _looped(far)
+        left = n
         t = closure.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("ancestor").alias("a"), F.col("distance").alias("d"))
         more = far.join(t, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("i")))
-        closure = written(closure.unionByName(more.select("conv", "id", F.col("a").alias("ancestor"), (F.col("d") + size).alias("distance"))), "closure")
+        longer = written(closure.unionByName(more.select("conv", "id", F.col("a").alias("ancestor"), (F.col("d") + size).alias("distance"))), "closure")
         f2 = far.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("up").alias("u"))
-        far = written(far.join(f2, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("i"))).select("conv", "id", F.col("u").alias("up")), "far")
+        farther = written(far.join(f2, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("i"))).select("conv", "id", F.col("u").alias("up")), "far")
+        discard(closure, far)
+        closure, far = longer, farther
         size *= 2
     return closure
 
@@ -155,10 +176,107 @@ def split(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def rewind(nodes: DataFrame, n: int) -> DataFrame:
-    """Remove the last message ``n`` times; a root stays."""
-    for _ in range(n):
-        nodes = delete(nodes, last_message(nodes))
-    return nodes
+    """Remove the last message ``n`` times; a root stays, and what comes before it.
+
+    The last message ends the pre-order walk, so one walk tells them all.
+    """
+    last = W.partitionBy("conv").orderBy(F.desc("path"))
+    walk = placed(nodes).join(nodes.select("conv", "id", F.col("parent").isNull().alias("top")), ["conv", "id"])
+    stays = F.bool_or("top").over(last.rowsBetween(W.unboundedPreceding, 0))
+    gone = walk.select("conv", "id", F.row_number().over(last).alias("r"), stays.alias("stays")).where((F.col("r") <= n) & ~F.col("stays"))
+    return nodes.join(gone.select("conv", "id"), ["conv", "id"], "left_anti")
+
+
+def attach(nodes: DataFrame, other: DataFrame, spots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hang whole trees of ``other`` into trees of ``nodes``: (all nodes, refused spots with the reason).
+
+    ``spots`` (other_conv, conv, parent, place, offset): as "child" the root
+    comes at ``offset`` among the parent's children (null: last); "before" and
+    "after" put it next to the parent, moved on by the offset. A null parent
+    makes it the root of a tree that has no nodes. Refused are unknown places
+    and parents, a second root, a parent without a parent for "before" and
+    "after", offsets beyond the parent's children, ids that the tree has or
+    gets from a smaller ``other_conv`` (so no cycle can come about).
+    """
+    trees_ = nodes.groupBy("conv").agg(F.lit(True).alias("has"))
+    kids = nodes.where("parent IS NOT NULL").groupBy("conv", F.col("parent").alias("anchor")).agg(F.count("*").alias("kids"))
+    at = ranked(nodes).select("conv", F.col("id").alias("anchor"), F.col("parent").alias("above"), F.col("ordinal").alias("at"))
+    s = spots.withColumnRenamed("parent", "anchor").join(trees_, "conv", "left").join(at, ["conv", "anchor"], "left").join(kids, ["conv", "anchor"], "left")
+    ids = other.select(F.col("conv").alias("other_conv"), "id").join(spots.select("other_conv", "conv"), "other_conv")
+    ids = ids.withColumn("first", F.min("other_conv").over(W.partitionBy("conv", "id")))
+    clash = ids.join(nodes.select("conv", "id", F.lit(True).alias("known")), ["conv", "id"], "left").where("known OR first <> other_conv").select("conv", "other_conv").distinct()
+    s = s.join(clash.withColumn("clash", F.lit(True)), ["conv", "other_conv"], "left")
+    off = F.col("offset")
+    reason = (
+        F.when(~F.col("place").isin("child", "before", "after") | F.col("place").isNull(), "unknown place")
+        .when(F.col("anchor").isNull() & F.col("has"), "the tree has a root")
+        .when(F.col("anchor").isNotNull() & F.col("at").isNull(), "no such parent")
+        .when(F.col("anchor").isNotNull() & (F.col("place") != "child") & F.col("above").isNull(), "the parent is a root")
+        .when((off < 0) | (off > F.coalesce("kids", F.lit(0))), "bad offset")
+        .when(F.col("clash"), "an id exists")
+    )
+    s = written(s.withColumn("reason", reason), "spots")
+    fine = s.where("reason IS NULL").select("other_conv", F.col("conv").alias("into"), "anchor", "above", "at", "place", "offset")
+    came = other.withColumnRenamed("conv", "other_conv").join(fine, "other_conv")
+    top = F.col("parent").isNull()
+    first = F.when(F.col("place") == "child", F.coalesce(off * 2 - 1, F.lit(2**31))).otherwise(F.col("at") * 2 + F.when(F.col("place") == "after", 1).otherwise(-1) + 2 * F.coalesce(off, F.lit(0)))
+    under = F.when(F.col("place") == "child", F.col("anchor")).otherwise(F.col("above"))
+    new = {"ordinal": F.when(top, F.when(F.col("anchor").isNull(), 0).otherwise(first)).otherwise(F.col("ordinal")).cast("long"), "parent": F.when(top, under).otherwise(F.col("parent")), "conv": F.col("into")}
+    old = ranked(nodes).withColumn("ordinal", F.col("ordinal") * 2)
+    return ranked(old.unionByName(came.withColumns(new).select(*nodes.columns))), s.where("reason IS NOT NULL").select("other_conv", "conv", "reason")
+
+
+def add_to_all(nodes: DataFrame, convs: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every message (pos, id, parent, and other columns of nodes) added first under its parent in every tree of ``convs`` (conv): (all nodes, refused (conv, pos, id, reason)).
+
+    Later messages come before earlier ones of one parent. Refused are parents
+    that the tree lacks, ids that it has, and a null parent where it has nodes
+    already. The messages, one call's list, meet the trees by a broadcast.
+    """
+    fresh = convs.select("conv").distinct().join(small(messages.withColumnRenamed("parent", "anchor")), how="cross")
+    has = nodes.select("conv", F.lit(True).alias("has")).distinct()
+    known = nodes.select("conv", "id", F.lit(True).alias("known"))
+    anchors = nodes.select("conv", F.col("id").alias("anchor"), F.lit(True).alias("found"))
+    j = fresh.join(has, "conv", "left").join(known, ["conv", "id"], "left").join(anchors, ["conv", "anchor"], "left")
+    reason = F.when(F.col("known"), "the id exists").when(F.col("anchor").isNull() & F.col("has"), "the tree has a root").when(F.col("anchor").isNotNull() & F.col("found").isNull(), "no such parent")
+    j = j.withColumn("reason", reason)
+    new = j.where("reason IS NULL").withColumns({"parent": F.col("anchor"), "ordinal": (-1 - F.col("pos")).cast("long")})
+    return ranked(ranked(nodes).unionByName(new.select(*nodes.columns))), j.where("reason IS NOT NULL").select("conv", "pos", "id", "reason")
+
+
+def with_children(chain: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Lists of children (parent, pos, child): ``added`` (parent, pos, child) go to the end in the order of pos, then of each pair in ``removed`` (parent, child) the first goes, if it is there."""
+    last = chain.groupBy("parent").agg((F.max("pos") + 1).alias("next"))
+    more = added.join(last, "parent", "left").select("parent", (F.col("pos") + F.coalesce("next", F.lit(0))).alias("pos"), "child")
+    rows = chain.select("parent", "pos", "child").unionByName(more)
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("parent", "child").orderBy("pos")))
+    gone = removed.groupBy("parent", "child").agg(F.count("*").alias("times"))
+    kept = rows.join(gone, ["parent", "child"], "left").where(F.col("nth") > F.coalesce("times", F.lit(0)))
+    return kept.select("parent", (F.row_number().over(W.partitionBy("parent").orderBy("pos")) - 1).cast("long").alias("pos"), "child")
+
+
+def chain_nodes(chains: DataFrame, known: int = 0) -> DataFrame:
+    """(conv, id, text) of chains (conv, seq, text): numbers from ``known`` + 1 in order, without null and empty texts."""
+    rows = chains.where(F.length("text") > 0)
+    return rows.select("conv", (F.row_number().over(W.partitionBy("conv").orderBy("seq")) + known).alias("id"), "text")
+
+
+def created(trees_: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A registry of trees (conv, ...) with ``fresh`` ones, and those refused because their conv exists or comes twice."""
+    twice = fresh.groupBy("conv").count().where("count > 1").select("conv")
+    taken = trees_.select("conv").unionByName(twice).distinct()
+    return trees_.unionByName(fresh.join(taken, "conv", "left_anti")), fresh.join(taken, "conv", "left_semi")
+
+
+def exist(trees_: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (conv) with ``exists``."""
+    return wanted.join(trees_.select("conv", F.lit(True).alias("_is")).distinct(), "conv", "left").select(*wanted.columns, F.coalesce("_is", F.lit(False)).alias("exists"))
+
+
+def merged(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of each pair (conv, other_conv), both trees of ``nodes``, the second is hung into the first and gone as a tree of its own."""
+    came = nodes.join(pairs.select(F.col("other_conv").alias("conv")), "conv", "left_semi")
+    return merge(nodes.join(came.select("conv").distinct(), "conv", "left_anti"), came, pairs)
 
 
 def indented(nodes: DataFrame, text: str = "text") -> DataFrame:

@@ -10,9 +10,14 @@ from braidwork.sources.tables import table
 
 
 def _ratings(spark, d):
+    """The largest quantity of finished lines is the rating; of parts on open lines only it is null."""
     o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
     j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).agg(F.max("l_quantity").alias("rating"))
+    return j.groupBy(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).agg(F.max(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).alias("rating"))
+
+
+def _users(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("user"))
 
 
 def _owned(spark, d):
@@ -24,11 +29,12 @@ def user_rating_cosine(spark, d):
 
 
 def recommend_items(spark, d):
-    return R.recommend_items(_ratings(spark, d))
+    return R.recommend_items(_ratings(spark, d), _users(spark, d))
 
 
 def user_type_jaccard(spark, d):
-    return R.similar(R.jaccard(_owned(spark, d)))
+    o = _owned(spark, d)
+    return R.similar(R.jaccard(o), o.select("user").distinct())
 
 
 def recommend_cards(spark, d):
@@ -36,6 +42,11 @@ def recommend_cards(spark, d):
     return R.new_types(o, o.select("type", "card"))
 
 
+def recommend_cards_similar(spark, d):
+    o = _owned(spark, d)
+    return R.with_similar_cards(o, o.select("type", "card"))
+
+
 def popular_cards(spark, d):
     return R.of_mode_type(_owned(spark, d).select("user", "type", "card"))
 
@@ -92,6 +103,15 @@ def mood_gate(spark, d):
     return low.join(F.broadcast(calm), how="cross")
 
 
+def mood_lists(spark, d):
+    """Economy parts by price and by number for users whose latest event is an error or a refund of high value."""
+    e = R.latest(table(spark, d, "events"), "user_id", "ts", "event_id")
+    moods = e.select(F.col("user_id").alias("user"), F.col("event_type").alias("mood"), F.when(F.col("value") > 20, "high").otherwise("low").alias("intensity"))
+    p = table(spark, d, "part")
+    scripts = p.select(F.col("p_partkey").alias("script"), F.col("p_type").alias("type"), F.col("p_retailprice").alias("rating"))
+    return R.on_mood(moods, "high", ("error", "refund"), scripts, scripts.select(F.col("script").alias("scene"), "type"), "ECONOMY")
+
+
 def personal_bundle(spark, d):
     """One row per user: cards to try, the type achieved most, achievements."""
     o = _owned(spark, d)
@@ -102,11 +122,11 @@ def personal_bundle(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    user_rating_cosine, recommend_items, user_type_jaccard, recommend_cards, popular_cards, recent_cards, mode_type_scenes, engagement_score, connection_score,
-    achievements_thresholds, award_if_absent, goal_recommendation, mood_gate, personal_bundle,
+    user_rating_cosine, recommend_items, user_type_jaccard, recommend_cards, recommend_cards_similar, popular_cards, recent_cards, mode_type_scenes, engagement_score, connection_score,
+    achievements_thresholds, award_if_absent, goal_recommendation, mood_gate, mood_lists, personal_bundle,
 )}
 
-_R = "r AS (SELECT o_custkey AS u, l_partkey AS item, max(l_quantity) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), cs AS (SELECT a.u AS user, b.u AS other, count(*) AS common, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS similarity FROM r a JOIN r b ON a.item = b.item AND a.u <> b.u WHERE a.x <> 0 AND b.x <> 0 GROUP BY ALL)"
+_R = "r AS (SELECT o_custkey AS u, l_partkey AS item, max(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), cs AS (SELECT a.u AS user, b.u AS other, count(*) AS common, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS similarity FROM r a JOIN r b ON a.item = b.item AND a.u <> b.u WHERE a.x <> 0 AND b.x <> 0 GROUP BY ALL)"
 _O = "o AS (SELECT user_id AS user, CAST(json_extract_string(props, '$.k') AS INT) AS type, event_id AS card, ts FROM events)"
 _G = "g AS (SELECT user_id AS user, event_type = 'purchase' AS done, CAST(json_extract_string(props, '$.k') AS INT) AS type FROM events)"
 _T = _G + ", t AS (SELECT user, n, unnest([1, 5, 10]) AS least, unnest(['First Goal Achieved', 'Five Goals Achieved', 'Ten Goals Achieved']) AS title FROM (SELECT user, count(*) FILTER (WHERE done) AS n FROM g GROUP BY user))"
@@ -116,13 +136,20 @@ _E = """s AS (SELECT o_custkey AS u, count(*) AS s, avg(nullif(CASE WHEN o_order
 eng AS (SELECT c_custkey AS user, c_mktsegment AS seg, CASE WHEN s.s > 0 AND s.d IS NULL THEN 0 ELSE CAST(trunc(0.4::DOUBLE * coalesce(s.s, 0) + 0.3::DOUBLE * coalesce(s.d, 0) + 0.3::DOUBLE * coalesce(e.e, 0)) AS BIGINT) END AS score FROM customer LEFT JOIN s ON s.u = c_custkey LEFT JOIN e ON e.u = c_custkey)"""
 SQL = {
     "user_rating_cosine": f"WITH {_R} SELECT user, other, common, round(similarity, 6) AS similarity FROM cs",
-    "recommend_items": f"""WITH {_R}, n AS (SELECT user, other FROM cs QUALIFY row_number() OVER (PARTITION BY user ORDER BY round(similarity, 6) DESC, other) <= 5),
-t AS (SELECT DISTINCT n.user, r.item FROM n JOIN r ON r.u = n.other AND r.x <> 0 WHERE NOT EXISTS (SELECT 1 FROM r m WHERE m.u = n.user AND m.item = r.item AND m.x <> 0))
+    "recommend_items": f"""WITH {_R}, us AS (SELECT c_custkey AS u FROM customer),
+n AS (SELECT a.u AS user, b.u AS other FROM us a JOIN us b ON a.u <> b.u LEFT JOIN cs ON cs.user = a.u AND cs.other = b.u
+  QUALIFY row_number() OVER (PARTITION BY a.u ORDER BY coalesce(round(cs.similarity, 6), 0) DESC, b.u) <= 5),
+t AS (SELECT DISTINCT n.user, r.item FROM n JOIN r ON r.u = n.other WHERE NOT EXISTS (SELECT 1 FROM r m WHERE m.u = n.user AND m.item = r.item AND m.x <> 0))
 SELECT user, item, row_number() OVER (PARTITION BY user ORDER BY item) AS rank FROM t QUALIFY rank <= 3""",
     "user_type_jaccard": f"""WITH {_O}, t AS (SELECT DISTINCT user, type FROM o), n AS (SELECT user, count(*) AS n FROM t GROUP BY user),
 j AS (SELECT a.user, b.user AS other, count(*) AS c FROM t a JOIN t b ON a.type = b.type AND a.user <> b.user GROUP BY 1, 2),
-s AS (SELECT j.user, j.other, round(c::DOUBLE / (x.n + y.n - c), 6) AS similarity FROM j JOIN n x ON x.user = j.user JOIN n y ON y.user = j.other)
+s AS (SELECT x.user, y.user AS other, coalesce(round(j.c::DOUBLE / (x.n + y.n - j.c), 6), 0) AS similarity FROM n x JOIN n y ON x.user <> y.user LEFT JOIN j ON j.user = x.user AND j.other = y.user)
 SELECT *, row_number() OVER (PARTITION BY user ORDER BY similarity DESC, other) AS rank FROM s QUALIFY rank <= 5""",
+    "recommend_cards_similar": f"WITH {_O}, {_NEW} SELECT user, type, card, row_number() OVER (PARTITION BY user ORDER BY card) AS rank FROM nw",
+    "mood_lists": """WITH l AS (SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+p AS (SELECT 'scripts' AS list, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS pos, p_partkey AS id FROM part WHERE p_type = 'ECONOMY' QUALIFY pos <= 3
+ UNION ALL SELECT 'scenes', row_number() OVER (ORDER BY p_partkey DESC) AS pos, p_partkey FROM part WHERE p_type = 'ECONOMY' QUALIFY pos <= 3)
+SELECT l.user_id AS user, p.list, p.pos, p.id FROM l CROSS JOIN p WHERE l.value > 20 AND l.event_type IN ('error', 'refund')""",
     "recommend_cards": f"WITH {_O}, {_NEW} SELECT user, type, card, row_number() OVER (PARTITION BY user ORDER BY card) AS rank FROM nw",
     "popular_cards": f"WITH {_O} SELECT user, type, card FROM o WHERE type = (SELECT type FROM o GROUP BY type ORDER BY count(*) DESC, type LIMIT 1)",
     "recent_cards": f"WITH {_O} SELECT user, card, row_number() OVER (PARTITION BY user ORDER BY ts DESC, card DESC) AS pos FROM o",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import recommend_plans, relational_plans, similarity_plans, text_plans, tree_plans
+from . import composed_plans, recommend_plans, relational_plans, similarity_plans, text_plans, tree_plans
 
-MODULES = (similarity_plans, relational_plans, recommend_plans, tree_plans, text_plans)
+MODULES = (similarity_plans, relational_plans, recommend_plans, tree_plans, text_plans, composed_plans)
 
 
 def queries():

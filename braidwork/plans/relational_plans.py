@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from braidwork.functions import colours as C
 from braidwork.functions import text as X
 from braidwork.operators import relational as R
+from braidwork.sources import files
 from braidwork.sources.tables import table
 
 NOW = datetime.datetime(2024, 6, 1)
@@ -44,11 +45,11 @@ def filter_corpus(spark, d):
 
 
 def fk_accepted(spark, d):
-    return R.accepted(table(spark, d, "orders"), table(spark, d, "customer"), ("o_custkey", "c_custkey")).select("o_orderkey", "o_custkey")
+    return R.accepted(table(spark, d, "orders"), (table(spark, d, "customer"), {"o_custkey": "c_custkey"})).select("o_orderkey", "o_custkey")
 
 
 def fk_rejected(spark, d):
-    return R.rejected(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").where("o_totalprice > 200000"), "c_custkey", "o_custkey")
+    return R.rejected(table(spark, d, "customer").select("c_custkey", "c_name"), (table(spark, d, "orders").where("o_totalprice > 200000"), {"c_custkey": "o_custkey"}))
 
 
 def _halves(spark, d):
@@ -102,7 +103,7 @@ def full_overwrite(spark, d):
 
 
 def delete_by_id(spark, d):
-    return R.rejected(table(spark, d, "supplier").select("s_suppkey", "s_name"), table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.09"), "s_suppkey", "l_suppkey")
+    return R.rejected(table(spark, d, "supplier").select("s_suppkey", "s_name"), (table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.09"), {"s_suppkey": "l_suppkey"}))
 
 
 def card_types(spark, d):
@@ -173,21 +174,14 @@ def pad_zip_explode(spark, d):
 def batch_requests_jsonl(spark, d):
     """One JSON request per conversation; the system message only where there is one, user and assistant only where both are."""
     c = table(spark, d, "conversations")
-    first = lambda r: F.min_by(F.when(F.col("role") == r, F.col("text")), F.when(F.col("role") == r, F.col("turn"))).alias(r)
-    rows = c.groupBy("conv_id").agg(first("system"), first("user"), first("assistant"))
-    message = lambda r: F.struct(F.lit(r).alias("role"), F.col(r).alias("content"))
-    both = F.col("user").isNotNull() & F.col("assistant").isNotNull()
-    messages = F.array_compact(F.array(F.when(F.col("system").isNotNull(), message("system")), F.when(both, message("user")), F.when(both, message("assistant"))))
-    body = F.struct(F.lit("model").alias("model"), messages.alias("messages"), F.lit(512).alias("max_tokens"))
-    request = F.struct(F.concat(F.lit("request-"), F.col("conv_id").cast("string")).alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body"))
-    return rows.select("conv_id", F.md5(F.to_json(request)).alias("digest"))
+    first = lambda r: F.min_by(F.when(F.col("role") == r, F.col("text")), F.when(F.col("role") == r, F.col("turn"))).alias(f"{r}_message")
+    rows = c.groupBy(F.col("conv_id").alias("n")).agg(first("system"), first("user"), first("assistant"))
+    return files.requests(rows, "model").select(F.col("n").alias("conv_id"), F.md5("value").alias("digest"))
 
 
 def latest_prompt_num(spark, d):
     """The largest of the first numbers in the names of pages; 0 if none has one."""
-    name = F.element_at(F.split("url", "/"), -1)
-    n = F.regexp_extract(name, r"(\d+)", 1)
-    return table(spark, d, "pages").agg(F.coalesce(F.max(F.when(n != "", n.cast("long"))), F.lit(0)).alias("last"))
+    return table(spark, d, "pages").agg(F.coalesce(F.max(files.first_number(F.col("url"))), F.lit(0)).alias("last"))
 
 
 def color_harmony(spark, d):
@@ -203,7 +197,7 @@ def compat_matrix(spark, d):
     rules = spark.createDataFrame([("BUILDING", "1-URGENT"), ("BUILDING", "2-HIGH"), ("MACHINERY", "5-LOW"), ("AUTOMOBILE", "3-MEDIUM")], "seg string, pri string")
     scenes = table(spark, d, "customer").select(F.col("c_mktsegment").alias("seg")).distinct()
     elements = table(spark, d, "orders").select(F.col("o_orderpriority").alias("pri")).distinct()
-    pairs = scenes.join(F.broadcast(elements), how="cross")  # two lists of distinct types
+    pairs = scenes.join(R.small(elements), how="cross")  # two lists of distinct types
     return pairs.join(rules.withColumn("hit", F.lit(1)), ["seg", "pri"], "left").select("seg", "pri", F.coalesce("hit", F.lit(0)).alias("compatible"))
 
 
@@ -283,6 +277,9 @@ SQL = {
     "prompt_caption": "SELECT conv_id, md5(max(CASE WHEN turn = 0 THEN text END) || chr(10) || chr(10) || max(CASE WHEN turn = 1 THEN text END)) AS digest FROM conversations GROUP BY conv_id",
     "pad_zip_explode": """WITH r AS (SELECT conv_id, role, md5(text) AS m, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS pos FROM conversations)
 SELECT conv_id, CAST(pos AS INT) AS pos, max(CASE WHEN role = 'user' THEN m END) AS user, max(CASE WHEN role = 'assistant' THEN m END) AS assistant, max(CASE WHEN role = 'system' THEN m END) AS system FROM r GROUP BY conv_id, pos""",
+    "batch_requests_jsonl": """WITH f AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS s, arg_min(text, turn) FILTER (WHERE role = 'user') AS u, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id),
+m AS (SELECT conv_id, list_concat(CASE WHEN s IS NOT NULL THEN [{'role': 'system', 'content': s}] ELSE [] END, CASE WHEN u IS NOT NULL AND a IS NOT NULL THEN [{'role': 'user', 'content': u}, {'role': 'assistant', 'content': a}] ELSE [] END) AS m FROM f)
+SELECT conv_id, md5(CAST(to_json({'custom_id': 'request-' || conv_id, 'method': 'POST', 'url': '/v1/chat/completions', 'body': {'model': 'model', 'messages': m, 'max_tokens': 512}}) AS VARCHAR)) AS digest FROM m""",
     "latest_prompt_num": r"SELECT coalesce(max(TRY_CAST(nullif(regexp_extract(string_split(url, '/')[-1], '(\d+)', 1), '') AS BIGINT)), 0) AS last FROM pages",
     "color_harmony": f"""WITH c AS (SELECT s_suppkey, {', '.join(f"(s_suppkey * {m} % 256)::DOUBLE / 255 AS a{k}, (s_nationkey::BIGINT * {n} % 256)::DOUBLE / 255 AS b{k}" for k, (m, n) in enumerate(((37, 53), (91, 17), (151, 201))))} FROM supplier),
 l AS (SELECT *, {_lab('p', 'a0', 'a1', 'a2')}, {_lab('q', 'b0', 'b1', 'b2')}, {_hue('a0', 'a1', 'a2')} AS h1, {_hue('b0', 'b1', 'b2')} AS h2 FROM c),

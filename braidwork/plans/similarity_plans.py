@@ -1,4 +1,4 @@
-"""Queries over embeddings. The query set of a search is the first vector of each label."""
+"""Queries over embeddings. The query set of a search is every vector whose id is divisible by 20."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ def _vectors(spark, sf_dir: str) -> DataFrame:
 
 
 def _queries(vectors: DataFrame) -> DataFrame:
-    return vectors.groupBy("label").agg(F.min_by("v", "id").alias("q"), F.min("id").alias("query_id")).select("query_id", "q")
+    return vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
 
 
 def semantic_topk(spark, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def euclid_topk(spark, sf_dir: str) -> DataFrame:
 
 def similarity_matrix_stats(spark, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return S.scores(_queries(v), v).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"))
+    return S.score_stats(_queries(v), v).withColumn("mean", F.round("mean", 5))
 
 
 def search_lists(spark, sf_dir: str) -> DataFrame:
@@ -67,8 +67,11 @@ def classify_nearest_label(spark, sf_dir: str) -> DataFrame:
 
 
 def embedding_cache_miss(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"))
-    return docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key")), "key", "left_anti")
+    """Documents with the vector of their id; those without one get their length as a vector."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    cache = _vectors(spark, sf_dir).select(F.col("id").alias("key"), "v")
+    found = S.with_cache(docs, cache, lambda missing: docs.join(missing, "key").select("key", F.array(F.length("text").cast("double")).alias("v")))
+    return found.select("key", F.size("v").alias("n"), F.round(F.get("v", F.lit(0)), 6).alias("head"))
 
 
 def unified_space(spark, sf_dir: str) -> DataFrame:
@@ -105,7 +108,7 @@ def segment_influence(spark, sf_dir: str) -> DataFrame:
     return S.influence(s).select("doc", "i", F.round("influence", 6).alias("influence"))
 
 
-_Q = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT min(id) AS query_id, arg_min(v, id) AS q FROM v GROUP BY label)"
+_Q = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT id AS query_id, v AS q FROM v WHERE id % 20 = 0)"
 _HITS = _Q + ", s AS (SELECT query_id, id, round(list_cosine_similarity(q, v), 6) AS score FROM q CROSS JOIN v)"
 
 
@@ -131,7 +134,7 @@ SQL = {
     "classify_nearest_label": f"""WITH {_Q}, m AS (SELECT label, d, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(64)) AS d FROM v) GROUP BY label, d),
 c AS (SELECT label, list(x ORDER BY d) AS c FROM m GROUP BY label)
 SELECT id, c.label, round(list_cosine_similarity(v.v, c.c), 6) AS score FROM v CROSS JOIN c QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(list_cosine_similarity(v.v, c.c), 6) DESC, c.label) = 1""",
-    "embedding_cache_miss": "SELECT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
+    "embedding_cache_miss": "SELECT doc_id AS key, CAST(coalesce(len(embedding), 1) AS INT) AS n, round(coalesce(embedding[1]::DOUBLE, length(text)::DOUBLE), 6) AS head FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
     "unified_space": "SELECT vec_id AS id, 9 AS n, round(sqrt(list_sum([x * x FOR x IN [vec_id::DOUBLE, label::DOUBLE] || embedding[1:3]::DOUBLE[] || embedding[-3:]::DOUBLE[]])), 4) AS length FROM embeddings",
     "state_rate": f"""WITH {_Q}, d AS (SELECT label AS doc, list_distance(v, lag(v) OVER (PARTITION BY label ORDER BY id)) AS d FROM v),
 r AS (SELECT doc, avg(d) AS rate FROM d WHERE d IS NOT NULL GROUP BY doc) SELECT doc, round(rate, 5) AS rate, round(greatest(0.05, least(0.2, 1 / (1 + rate))), 5) AS step FROM r""",
@@ -140,4 +143,10 @@ n AS (SELECT *, max(step) OVER (PARTITION BY doc) AS n FROM e)
 SELECT doc, i, round(weight * pow(0.9123::DOUBLE, n - step + 1), 6) AS memory FROM n QUALIFY row_number() OVER (PARTITION BY doc, i ORDER BY step DESC) = 1""",
     "segment_influence": """WITH s AS (SELECT conv_id AS doc, turn AS i, max(turn) OVER w AS cur, length(text) AS len, count(*) OVER w AS n, max(length(text)) OVER w AS longest FROM conversations WINDOW w AS (PARTITION BY conv_id))
 SELECT doc, i, round((1.0::DOUBLE / (abs(cur - i) + 1) + len::DOUBLE / greatest(longest, 1) + (i + 1)::DOUBLE / n + 1.0::DOUBLE / (1 + i)) / (i + 1), 6) AS influence FROM s""",
+    "summarize_extractive": r"""WITH d AS (SELECT conv_id || '-' || turn AS id, text FROM conversations WHERE role = 'assistant'),
+s AS (SELECT id, text, unnest(string_split(text, '. ')) AS sentence, unnest(range(len(string_split(text, '. ')))) AS pos FROM d),
+w AS (SELECT *, [('0x' || substr(md5(x), 1, 4))::INT % 64 FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF x <> ''] AS a, [('0x' || substr(md5(x), 1, 4))::INT % 64 FOR x IN regexp_split_to_array(lower(sentence), '[^a-z0-9]+') IF x <> ''] AS b FROM s WHERE trim(sentence) <> ''),
+c AS (SELECT id, sentence, pos, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE round(list_cosine_similarity([len([y FOR y IN a IF y = d])::DOUBLE FOR d IN range(64)], [len([y FOR y IN b IF y = d])::DOUBLE FOR d IN range(64)]), 6) END AS score FROM w),
+t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) <= 3)
+SELECT id, string_agg(sentence, '. ' ORDER BY score, pos DESC) AS summary FROM t GROUP BY id""",
 }

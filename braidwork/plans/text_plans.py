@@ -47,7 +47,7 @@ def segment_clean(spark, d):
 
 def template_prompt(spark, d):
     p = table(spark, d, "part")
-    return p.select("p_partkey", X.fill_prompt(F.lit("think  about {option} when\n {dynamic_prompt} "), F.col("p_type"), F.col("p_name")).alias("prompt"))
+    return p.select("p_partkey", X.fill_prompt(F.lit("think  about {option} when\n {dynamic_prompt} "), F.col("p_type"), F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_brand", F.lower("p_type"))).alias("prompt"))
 
 
 def token_stats(spark, d):
@@ -124,8 +124,8 @@ SQL = {
     "token_list": _sql(rf"regexp_extract_all(text, '{X.TOKEN}')"),
     "title_body_split": f"SELECT doc_id, md5({_S.format('string_split(text, chr(10))[1]')}) AS title, md5(coalesce({_S.format('array_to_string(string_split(text, chr(10))[2:], chr(10))')}, '')) AS body FROM documents",
     "segment_clean": r"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace('Part 3 tapestries of ' || p_name || ' P 12, Tapestry ' || p_type, 'Part\s*\d+', '', 'g'), 'P\s*\d+', '', 'g'), '(?i)tapestry', 'Synergy', 'g'), '(?i)tapestries', 'Synergies', 'g') AS clean FROM part",
-    "template_prompt": r"""WITH t AS (SELECT p_partkey, p_type AS o, regexp_replace('Think about ' || lower(p_type) || ' when ' || lower(p_name), '\s+', ' ', 'g') || '!' AS s FROM part)
-SELECT p_partkey, CASE WHEN instr(lower(s), lower(o)) > 0 THEN substr(s, 1, instr(lower(s), lower(o)) - 1) || '*' || o || '*' || substr(s, instr(lower(s), lower(o)) + length(o)) ELSE s END AS prompt FROM t""",
+    "template_prompt": r"""WITH t AS (SELECT p_partkey, p_type AS o, p_brand || ' ' || lower(p_type) || ' - Think about ' || lower(p_type) || ' when ' || lower(p_name || ' ' || p_type) || '!' AS s FROM part)
+SELECT p_partkey, regexp_replace(s, '(?i)' || regexp_escape(o), '*\0*', 'g') AS prompt FROM t""",
     "token_stats": rf"SELECT conv_id, CAST(sum(len(regexp_extract_all(text, '{X.TOKEN}'))) AS BIGINT) AS tokens, round(var_pop(length(text)), 4) AS variance FROM conversations GROUP BY conv_id",
     "novelty_factor": r"""WITH c AS (SELECT conv_id, turn, text, coalesce(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS h FROM conversations),
 w AS (SELECT conv_id, turn, list_distinct([x FOR x IN regexp_split_to_array(lower(text), '\s+') IF x <> '']) AS a, list_distinct([x FOR x IN regexp_split_to_array(lower(h), '\s+') IF x <> '']) AS b, len([x FOR x IN regexp_split_to_array(h, '\s+') IF x <> '']) AS k FROM c)

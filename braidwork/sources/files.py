@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.operators.relational import natural_key
@@ -13,9 +15,14 @@ from .tables import TREE
 MODES = {"prompt": True, "caption": True, "image": False, "audio": False}
 
 
-def json_trees(spark: SparkSession, path: str, least_nodes: int = 0) -> DataFrame:
-    """Trees of JSON files, each an array of trees or one tree, with at least ``least_nodes`` nodes."""
-    trees = spark.read.schema(TREE).json(path, multiLine=True)
+def unique() -> str:
+    """A name that no other call gets."""
+    return uuid.uuid4().hex
+
+
+def json_trees(spark: SparkSession, path: str, least_nodes: int = 0, lines: bool = False) -> DataFrame:
+    """Trees of JSON files, each an array of trees or one tree, or one tree a line, with at least ``least_nodes`` nodes."""
+    trees = spark.read.schema(TREE).json(path, multiLine=not lines)
     return trees.where(F.coalesce(F.size("mapping"), F.lit(0)) >= least_nodes)
 
 
@@ -85,21 +92,61 @@ def scenes(media_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def requests(rows: DataFrame, model: str, max_tokens: int = 512, endpoint: str = "/v1/chat/completions") -> DataFrame:
-    """(value): a JSON request per row (n, system_message?, user_message?, assistant_message?); user and assistant only if both columns exist."""
+    """(n, value): a JSON request per row (n, system_message?, user_message?, assistant_message?).
+
+    The system message only where it is not null, user and assistant only
+    where both are not; a missing column is as null.
+    """
     have = set(rows.columns)
-    message = lambda r: F.struct(F.lit(r).alias("role"), F.col(f"{r}_message").alias("content"))
-    roles = [r for r in ("system",) if f"{r}_message" in have] + (["user", "assistant"] if {"user_message", "assistant_message"} <= have else [])
-    messages = F.array(*[message(r) for r in roles]) if roles else F.array().cast("array<struct<role:string,content:string>>")
+    text = lambda r: F.col(f"{r}_message") if f"{r}_message" in have else F.lit(None).cast("string")
+    message = lambda r: F.struct(F.lit(r).alias("role"), text(r).alias("content"))
+    both = text("user").isNotNull() & text("assistant").isNotNull()
+    messages = F.array_compact(F.array(F.when(text("system").isNotNull(), message("system")), F.when(both, message("user")), F.when(both, message("assistant"))))
     body = F.struct(F.lit(model).alias("model"), messages.alias("messages"), F.lit(max_tokens).alias("max_tokens"))
     request = F.struct(F.concat(F.lit("request-"), F.col("n").cast("string")).alias("custom_id"), F.lit("POST").alias("method"), F.lit(endpoint).alias("url"), body.alias("body"))
-    return rows.select(F.to_json(request).alias("value"))
+    return rows.select("n", F.to_json(request).alias("value"))
+
+
+def first_number(path: Column) -> Column:
+    """The first number in the last part of a path; null without one."""
+    n = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(\d+)", 1)
+    return F.when(n != "", n.cast("long"))
 
 
 def prompt_numbers(spark: SparkSession, path: str) -> DataFrame:
     """(path, n): the first number in each file's name."""
-    name = F.element_at(F.split("path", "/"), -1)
     f = spark.read.format("binaryFile").load(path).select("path")
-    return f.select("path", F.regexp_extract(name, r"(\d+)", 1).alias("n")).where("n <> ''").select("path", F.col("n").cast("long").alias("n"))
+    return f.select("path", first_number(F.col("path")).alias("n")).where("n IS NOT NULL")
+
+
+def named_tables(spark: SparkSession, *names: str) -> dict[str, DataFrame]:
+    """Tables of the catalog by name, each read by itself; all of them without names. An unknown name is an error."""
+    known = {t.name for t in spark.catalog.listTables()}
+    if missing := set(names) - known:
+        raise ValueError(f"no tables {sorted(missing)}; there are {sorted(known)}")
+    return {n: spark.table(n) for n in sorted(names or known)}
+
+
+def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of CSV with a header; types by ``schema``, else inferred. Quoted fields may hold newlines."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+
+
+def csv_batches(df: DataFrame, path: str, batch: str = "batch") -> None:
+    """CSV with a header, a folder for each value of ``batch``."""
+    df.write.partitionBy(batch).option("header", True).option("escape", '"').csv(path, mode="overwrite")
+
+
+def append(df: DataFrame, path: str) -> DataFrame:
+    """Rows added to a Parquet table at ``path``; returns the whole."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append_lines(df: DataFrame, path: str, text: str = "text") -> None:
+    """One line of text per row, added to the folder ``path``."""
+    df.select(text).write.mode("append").text(path)
 
 
 def flat_columns(df: DataFrame, sep: str = "_") -> DataFrame:
