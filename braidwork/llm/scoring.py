@@ -2,21 +2,21 @@
 
 Texts are numbered into blocks: one row holds the documents of a block, the
 hashes of its distinct words and the word of each place. A block explodes into
-rows of its distinct n-grams with their counts; these rows are partitioned by
-the n-gram's hash, where a task adds up its part of the count table and joins
-the rows with it. Totals go back to the blocks by a join and are summed per
-document. Orders are counted one after the other, each in
-slices of hashes, and what an order shuffled is gone before the next begins:
-an n-gram is only asked for where both its shorter ones were counted.
-
-An n-gram is told by 64 bits of hash: of 10**13 distinct ones, fewer than one
-in a million shares its hash with another.
+its distinct n-grams with their counts, cut by ranges of their hash: one row a
+range. Spark groups the rows of a range, where its part of the count table is
+added up and joined with what each block asked; the totals go back to the
+blocks by a join on the block, and are summed per document. Words and pairs
+are counted first; a longer n-gram is only asked for where both its shorter
+ones were counted, and what a round shuffled is gone before the next begins.
+
+Rows hold arrays, as rows of single n-grams need over twice the disk and CPU
+(figures in the README). There are never more rows than n-grams: a range that
+a block has nothing of gets no row. An n-gram is told by 64 bits of hash: of
+10**13 distinct ones, fewer than one in a million shares its hash with another.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,9 +29,9 @@ ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
 BLOCK_BYTES = 4 << 20
-SLICES = 2
-#: N-gram rows of a task that counts, about.
-PART_ROWS = 1_500_000
+#: N-grams of a range of hashes, about, and the orders that are counted without asking for shorter ones first.
+BUCKET_GRAMS = 2_000_000
+FREE = 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -105,88 +105,97 @@ def _block(table: pa.Table | pa.RecordBatch, row: int, *orders: int) -> _Grams:
     return _Grams(lengths.astype(np.int64), hashes, ids, orders)
 
 
-def _asked(grams: _Grams, block: int, n: int, part: int, slices: int, wanted: np.ndarray | None) -> dict[str, pa.Array]:
-    """Rows (h, slot, block, c) of the distinct n-grams of a block that are in slice ``part`` and ``wanted``."""
-    distinct, counts = grams.distinct[n], grams.counts[n]
-    asks = distinct % np.uint64(slices) == np.uint64(part)
-    if wanted is not None:
-        asks &= wanted
-    slot = np.flatnonzero(asks)
-    return {"h": pa.array(distinct[slot].view(np.int64)), "slot": pa.array(slot.astype(np.int32)), "block": pa.array(np.full(len(slot), block)), "c": pa.array(counts[slot].astype(np.int32))}
+_ROWS = "n int, bucket int, block long, grams array<long>, counts array<int>"
+_KINDS = pa.schema([("n", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("grams", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+
 
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values, kind))
 
-_ROWS = "h long, slot int, block long, c int"
+
+def _asked(grams: _Grams, block: int, n: int, buckets: int, wanted: np.ndarray | None = None) -> pa.Table:
+    """The distinct n-grams of a block, or those ``wanted``, in order of their hash: a row for each range that has any."""
+    distinct, counts = grams.distinct[n], grams.counts[n]
+    if wanted is not None:
+        distinct, counts = distinct[wanted], counts[wanted]
+    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+    cuts = np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
+    sizes = np.diff(cuts)
+    bucket = np.flatnonzero(sizes)
+    columns = [np.full(len(bucket), n, np.int32), bucket.astype(np.int32), np.full(len(bucket), block, np.int64)]
+    return pa.table([*columns, _lists(distinct.view(np.int64), sizes[bucket], pa.int64()), _lists(counts.astype(np.int32), sizes[bucket], pa.int32())], schema=_KINDS)
 
 
-def _ask(n: int, part: int, slices: int):
+def _ask(orders: list[int], buckets: int):
     def ask(batches):
         for batch in batches:
             for row in range(len(batch)):
-                yield pa.RecordBatch.from_pydict(_asked(_block(batch, row, n), batch.column("block")[row].as_py(), n, part, slices, None))
+                grams = _block(batch, row, *orders)
+                for n in orders:
+                    yield from _asked(grams, batch.column("block")[row].as_py(), n, buckets).to_batches()
 
     return ask
 
 
-def _count(least: int):
-    """Of a partition of n-gram rows: the count table is added up and joined with the rows; totals under ``least`` go."""
+def _answer(least: int):
+    """Adds up the counts of a range; for each row that came, the totals in its order, 0 for those under ``least`` (words have no least)."""
 
-    def count(batches):
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        h, slot, block, c = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(4))
-        del held
-        order = np.argsort(h)
-        first = np.append(True, np.diff(h[order]) != 0)
-        sums = np.add.reduceat(c[order].astype(np.int64), np.flatnonzero(first))
-        kept = sums >= least
-        at = np.cumsum(first) - 1
-        keep = kept[at]
-        rows, at = order[keep], at[keep]
-        for i in range(0, len(rows), 1 << 17):
-            r = rows[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(block[r]), pa.array(slot[r]), pa.array(sums[at[i : i + (1 << 17)]])], ["block", "slot", "total"])
+    def answer(group: pa.Table) -> pa.Table:
+        grams, counts = (group.column(c).combine_chunks() for c in ("grams", "counts"))
+        sizes = np.diff(grams.offsets.to_numpy())
+        distinct, inverse = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+        totals = np.bincount(inverse, counts.flatten().to_numpy(), len(distinct)).astype(np.int64)
+        if group.column("n")[0].as_py() > 1:
+            totals[totals < least] = 0
+        return pa.table({"block": group.column("block"), "n": group.column("n"), "bucket": group.column("bucket"), "totals": _lists(totals[inverse], sizes, pa.int64())})
 
-    return count
+    return answer
 
 
-def _totals(table: pa.Table, n: int, size: int) -> np.ndarray:
-    """A block's totals of order ``n`` by slot, added over the slices, with a 0 at the end for -1."""
+def _totals(table: pa.Table, n: int, size: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """A block's totals of order ``n`` by slot, with a 0 at the end for -1."""
+    own = sorted((b, t) for o, b, t in zip(table.column("n").to_pylist(), table.column("bucket").to_pylist(), range(len(table))) if o == n)
+    lists = table.column("totals")
     out = np.zeros(size + 1, np.int64)
-    for order, totals in zip(table.column("n").to_pylist(), table.column("totals")):
-        if order == n:
-            values = totals.values.to_numpy()
-            out[: len(values)] += values
+    if own:
+        out[np.flatnonzero(wanted) if wanted is not None else slice(0, size)] = np.concatenate([lists[t].values.to_numpy() for _, t in own])
     return out
 
 
-def _ask_again(n: int, part: int, slices: int):
-    """Of a block and its totals of order n - 1: the n-grams of which both shorter ones have a total."""
+def _wanted(grams: _Grams, n: int, shorter: np.ndarray) -> np.ndarray:
+    """The n-grams of which both shorter ones have a total."""
+    has = shorter[grams.at[n - 1]] > 0
+    at = grams.at[n]
+    wanted = np.zeros(len(grams.distinct[n]), bool)
+    wanted[at[has & np.append(False, has[:-1])[: len(has)] & (at >= 0)]] = True
+    return wanted
 
-    def ask(block: pa.Table, totals: pa.Table) -> pa.Table:
-        grams = _block(block, 0, n - 1, n)
-        shorter = _totals(totals, n - 1, len(grams.distinct[n - 1]))[grams.at[n - 1]] > 0
-        at = grams.at[n]
-        wanted = np.zeros(len(grams.distinct[n]), bool)
-        both = shorter & np.append(False, shorter[:-1])[: len(shorter)]
-        wanted[at[both & (at >= 0)]] = True
-        return pa.table(_asked(grams, block.column("block")[0].as_py(), n, part, slices, wanted))
 
-    return ask
+def _counted(grams: _Grams, table: pa.Table, most: int) -> dict[int, np.ndarray]:
+    """Totals by slot of the orders up to ``most`` that ``grams`` has."""
+    out: dict[int, np.ndarray] = {}
+    for n in range(1, most + 1):
+        out[n] = _totals(table, n, len(grams.distinct[n]), _wanted(grams, n, out[n - 1]) if n > FREE else None)
+    return out
+
 
+def _ask_again(n: int, buckets: int):
+    """Of a block and its totals so far: the n-grams of which both shorter ones have a total."""
 
-def _dense(group: pa.Table) -> pa.Table:
-    """A block's totals by slot, 0 where an n-gram is not counted."""
-    slot = group.column("slot").to_numpy()
-    totals = np.zeros(slot.max() + 1, np.int64)
-    totals[slot] = group.column("total").to_numpy()
-    return pa.table({"block": group.column("block")[:1], "totals": _list(totals, pa.int64())})
+    def ask(block: pa.Table, totals: pa.Table) -> pa.Table:
+        first = n - 1 if n - 1 <= FREE else 1  # later orders need the ones before
+        grams = _block(block, 0, *range(first, n + 1))
+        size = len(grams.distinct[n - 1])
+        shorter = _totals(totals, n - 1, size) if first == n - 1 else _counted(grams, totals, n - 1)[n - 1]
+        return _asked(grams, block.column("block")[0].as_py(), n, buckets, _wanted(grams, n, shorter))
+
+    return ask
 
 
 def _sum(order: int, words: int, alpha: float):
     def add(block: pa.Table, answers: pa.Table) -> pa.Table:
         grams = _block(block, 0, *range(1, order + 1))
-        count = {n: _totals(answers, n, len(grams.distinct[n]))[grams.at[n]].astype(np.float64) for n in grams.at}
+        count = {n: t[grams.at[n]].astype(np.float64) for n, t in _counted(grams, answers, order).items()}
         size = len(grams.place)
         score, found = np.zeros(size), np.zeros(size, bool)
         for n in range(order, 0, -1):
@@ -202,7 +211,7 @@ def _sum(order: int, words: int, alpha: float):
     return add
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES, slices: int = SLICES) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, lm_score, mean_score): one row per row of ``docs`` (doc_id, text), scored by counts over all of them.
 
     Texts have A-Z lower-cased and are split at ASCII white space. A word
@@ -210,7 +219,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
     that is counted at least ``min_count`` times, plus log(alpha) for each
     shorter step than the document's start allows; a single word scores
     log(count / words of the corpus). lm_score is the sum, mean_score that per
-    word. ``block_bytes`` and ``slices`` change the cost, not the results.
+    word. ``block_bytes`` changes the cost, not the results.
     Defined results: null and empty texts have 0 words, score 0 and a null
     mean; repeated rows are counted and scored each on their own; null ids
     stay; an empty table gives an empty table; a very long text is a block of
@@ -220,23 +229,17 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
     dealt = docs.select("doc_id", "text").mapInArrow(_deal(block_bytes), f"block long, docs array<{kind}>, lengths array<int>, hashes array<long>, ids array<int>")
     blocks = materialize(dealt, "blocks")
     words = blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
-    totals = []  # of each order, its slices
-    for n in range(1, order + 1):
-        cuts = slices if n > 1 else 1
-        # A task's rows are bounded: what an n-gram has, a block at most once, comes on top.
-        parts = int(words // (cuts * PART_ROWS)) + 1
-        fresh = []
-        for part in range(cuts):
-            if n > 2:
-                shorter = reduce(DataFrame.unionByName, totals[-1])
-                asked = blocks.groupBy("block").cogroup(shorter.groupBy("block")).applyInArrow(_ask_again(n, part, cuts), _ROWS)
-            else:
-                asked = blocks.mapInArrow(_ask(n, part, cuts), _ROWS)
-            counted = asked.repartition(parts, "h").mapInArrow(_count(min_count if n > 1 else 1), "block long, slot int, total long")
-            by_block = counted.groupBy("block").applyInArrow(_dense, "block long, totals array<long>")
-            fresh.append(materialize(by_block.withColumn("n", F.lit(n)), "totals"))
-        totals.append(fresh)
-    known = reduce(DataFrame.unionByName, [t for fresh in totals for t in fresh])
+    # What a range of one order holds is bounded; of an n-gram a block has one, so a frequent one is no burden.
+    buckets = int(words // BUCKET_GRAMS) + 1
+    reply = "block long, n int, bucket int, totals array<long>"
+    known = None
+    for n in range(min(order, FREE), order + 1):
+        if n <= FREE:
+            asked = blocks.mapInArrow(_ask(list(range(1, n + 1)), buckets), _ROWS)
+        else:
+            asked = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_ask_again(n, buckets), _ROWS)
+        fresh = materialize(asked.groupBy("n", "bucket").applyInArrow(_answer(min_count), reply), "totals")
+        known = fresh if known is None else known.unionByName(fresh)
     scored = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_sum(order, words, alpha), f"doc_id {kind}, n_words long, lm_score double")
     return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("lm_score") / F.col("n_words")))
 

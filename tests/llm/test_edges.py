@@ -66,14 +66,15 @@ def test_lm_blocks_agree(spark):
     assert a == b
 
 
-@pytest.mark.parametrize("least", [1, 2, 3])
-def test_lm_brute(spark, least):
+@pytest.mark.parametrize(("least", "order"), [(1, 3), (2, 3), (3, 3), (2, 4), (2, 1)])
+def test_lm_brute(spark, monkeypatch, least, order):
+    monkeypatch.setattr(scoring, "BUCKET_GRAMS", 100)
     rng = np.random.default_rng(least)
     rows = [(i, " ".join(rng.choice(WORDS[: 5 + i], int(rng.integers(0, 40))))) for i in range(30)] + [(5, "x" * 3_000_000), (6, "x" * 3_000_000)]
     count: dict = {}
     for _, t in rows:
         w = t.split()
-        for n in (1, 2, 3):
+        for n in range(1, order + 1):
             for k in range(n, len(w) + 1):
                 g = tuple(w[k - n : k])
                 count[g] = count.get(g, 0) + 1
@@ -82,11 +83,11 @@ def test_lm_brute(spark, least):
     for i, t in rows:
         w, s = t.split(), 0.0
         for k in range(1, len(w) + 1):
-            longest = min(3, k)
+            longest = min(order, k)
             n = next((n for n in range(longest, 1, -1) if count[tuple(w[k - n : k])] >= least), 1)
             s += math.log(count[tuple(w[k - n : k])] / (count[tuple(w[k - n : k - 1])] if n > 1 else total)) + (longest - n) * math.log(0.4)
         want.append((i, len(w), round(s, 6)))
-    got = scoring.score_documents(docs(spark, rows), min_count=least, block_bytes=300, slices=3).collect()
+    got = scoring.score_documents(docs(spark, rows), order=order, min_count=least, block_bytes=300).collect()
     assert sorted((r.doc_id, r.n_words, round(r.lm_score, 6)) for r in got) == sorted(want)
 
 
@@ -204,6 +205,82 @@ def test_language_spans(spark):
     assert said[1] == ("en", 1.0) and said[2] == said[3] == said[4] == ("und", 0.0)
 
 
+def train_rows():
+    rng = np.random.default_rng(6)
+    sets = {"en": "abcdefgh", "fr": "efghijéà", "el": "αβγδσςΣ", "zh": "天地玄黄宇宙洪荒"}
+    return [(i, " ".join("".join(rng.choice(list(sets[lang]), int(rng.integers(1, 9)))) for _ in range(12)), lang) for i, lang in enumerate(list(sets) * 12)]
+
+
+def brute_language(rows, text, penalty=6.0):
+    """Counts, log scores and Viterbi in plain loops; the words are those of ``pieces``."""
+    langs = sorted({r[2] for r in rows})
+    count: dict = {lang: {} for lang in langs}
+    letters: dict = {lang: {} for lang in langs}
+    kinds: dict = {}
+    parts = lambda t: [(b - a, w) for token in t.split() for a, b, w in language.pieces(token)]
+    runs = lambda w: [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] not in "<>"]
+    script = lambda w: language.script(w.lstrip("<")[0])
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            for n, w in parts(t):
+                letters[lang][script(w)] = letters[lang].get(script(w), 0) + n
+                for g in runs(w):
+                    count[lang][g] = count[lang].get(g, 0) + 1
+                    kinds[g] = 1
+    total = {lang: sum(count[lang].values()) + 0.5 * (len(kinds) + 1) for lang in langs}
+
+    def emit(w):
+        s = [sum(math.log((count[lang].get(g, 0) + 0.5) / total[lang]) for g in runs(w)) for lang in langs]
+        norm = max(s) + math.log(sum(math.exp(x - max(s)) for x in s))
+        own = [letters[lang].get(script(w), 0) >= 0.01 * sum(letters[lang].values()) and any(script(w) in letters[x] for x in langs) for lang in langs]
+        return [max(x - norm, -8.0) - (0 if ok or not any(own) else 16.0) for x, ok in zip(s, own)]
+
+    words = parts(text or "")
+    if not words:
+        return "und", 0.0
+    best, paths = None, None
+    for n, w in words:
+        e = emit(w)
+        if best is None:
+            best, paths = e, [[k] for k in range(len(langs))]
+            continue
+        top = max(range(len(langs)), key=lambda k: (best[k], -k))
+        go = [(best[k], paths[k]) if best[k] >= best[top] - penalty else (best[top] - penalty, paths[top]) for k in range(len(langs))]
+        best, paths = [v + e[k] for k, (v, _) in enumerate(go)], [[*p, k] for k, (_, p) in enumerate(go)]
+    labels = paths[max(range(len(langs)), key=lambda k: (best[k], -k))]
+    share = [sum(n for (n, _), x in zip(words, labels) if x == k) for k in range(len(langs))]
+    k = max(range(len(langs)), key=lambda k: (share[k], -k))
+    return langs[k], share[k] / sum(share)
+
+
+def test_language_brute(spark):
+    rows = train_rows()
+    rng = np.random.default_rng(7)
+    mixed = [(1000 + i, " ".join(str(rng.choice(rows[int(rng.integers(len(rows)))][1].split())) for _ in range(int(rng.integers(1, 30))))) for i in range(60)]
+    mixed += [(2000, "天地玄黄宇宙洪荒" * 1250 + "abcdefgh" * 20), (2001, "a" * 10_000), (2002, "² ½ 123 ①"), (2003, "ª"), (2004, "αβγabcαβγ " * 5), (2005, "İİ abc"), (2006, "é́a é")]
+    got = language.detect(docs(spark, mixed), language.fit(docs(spark, rows))).collect()
+    for r in got:
+        lang, score = brute_language(rows, r.text)
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, abs=1e-6)), r.text[:50]
+    assert {r.doc_id: r.lang_pred for r in got}[2002] == "und" and {r.doc_id: r.lang_pred for r in got}[2000] == "zh"
+
+
+def test_language_pieces():
+    for token in ("x" * 10_000, "天" * 200, "ab中c", "İıẞ", "a1b2", "éa", "—a—", "１a"):
+        found = language.pieces(token)
+        assert "".join(token[a:b] for a, b, _ in found) == "".join(language.WORD.findall(token))
+        assert all(b - a <= language.PIECE for a, b, _ in found)
+        assert all(w.strip("<>") == token[a:b].lower() for a, b, w in found)
+
+
+def test_language_span_borders(spark):
+    en, fr = "the house and the garden with this that", "le jardin et la maison avec cette voiture"
+    model = language.fit(docs(spark, [(i, (en if i % 2 else fr), "en" if i % 2 else "fr") for i in range(60)]))
+    text = f"İ İ İ İ {en} {fr}"
+    (r,) = language.spans(docs(spark, [(1, text)]), model).collect()
+    assert text[r.lang_spans[-1].start : r.lang_spans[-1].end] == fr
+
+
 def test_viterbi_brute():
     from itertools import product
 
@@ -237,6 +314,12 @@ def test_winnowing_guarantee(spark):
     assert decontaminate.find_leaks(docs(spark, rows), items).where("NOT contaminated").count() == 0
 
 
+def test_mix_null_ids(spark):
+    d = docs(spark, [(None, f"w{i} x", None, "s") for i in range(2000)])
+    rows = mixing.mix(d).collect()
+    assert sum(r.taken for r in rows) == pytest.approx(1.5 * 4000, rel=0.08)
+
+
 def test_targets(spark):
     sizes = [("b", 100), ("a", 1000), (None, 10), ("c", 1000)]
     got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, size long")).collect()}
