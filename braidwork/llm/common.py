@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.sources.shared import discard, shared_dir
 from braidwork.sources.shared import written as materialize
 
-__all__ = ["BROADCAST_ROWS", "SPACE_WORD", "discard", "materialize", "maybe_broadcast", "shared_dir", "table", "without"]
+__all__ = ["BROADCAST_ROWS", "SPACE_WORD", "discard", "materialize", "maybe_broadcast", "sampled", "shared_dir", "table", "without"]
 
 #: Words by ASCII white space only.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,11 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, items: str | Non
     return F.broadcast(df)
 
 
+def sampled(key: Column, rate: float, seed: int) -> Column:
+    """Whether a hash of ``key`` falls under ``rate``; fine enough for 10**15 rows."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) < F.lit(int(rate * (1 << 53)))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns of these names in any case, so that new columns never clash."""
     gone = {n.lower() for n in names}

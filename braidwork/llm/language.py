@@ -3,25 +3,33 @@
 Character n-grams counted per language give every word a score in each
 language; the script of the word narrows the candidates first. Viterbi with a
 penalty for switching then labels the words of a text, and runs of one label
-are its spans. All texts of a batch go through Viterbi in step.
+are its spans. A word is a run of letters (Unicode category L, with the marks
+that follow them) of one script; runs of more than ``PIECE`` letters, as in
+scripts without spaces, are cut into consecutive words, so that all letters
+are read. All texts of a batch go through Viterbi in step.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, without
+from .common import sampled, table, without
 from .quality import remainder
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+PIECE = 64
+#: What str.split takes as words, with their places.
+TOKEN = regex.compile(r"[^\s\x1c-\x1f]+")
 #: First code points of ranges and their scripts.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -33,14 +41,32 @@ FLOOR = -8.0
 BARRED = -16.0
 
 
-def script(word: str) -> str:
-    return SCRIPTS[bisect_right(_STARTS, ord(word[0])) - 1][1]
+def script(letter: str) -> str:
+    return SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1]
+
+
+def pieces(token: str) -> list[tuple[int, int, str]]:
+    """(start, end, word) of the words in ``token``: small letters, marked with < and > where a run of letters begins and ends."""
+    out = []
+    for run in WORD.finditer(token):
+        raw, cuts = run[0], [0]
+        if not raw.isascii():
+            kinds = []
+            for c in raw:  # a mark belongs to the letter before it
+                kinds.append(kinds[-1] if kinds and category(c)[0] == "M" else script(c))
+            cuts += [i for i in range(1, len(raw)) if kinds[i] != kinds[i - 1]]
+        cuts.append(len(raw))
+        if len(raw) > PIECE:
+            cuts = [i for a, b in zip(cuts, cuts[1:]) for i in range(a, b, PIECE)] + [len(raw)]
+        for a, b in zip(cuts, cuts[1:]):
+            word = f"{'<' if a == 0 else ''}{raw[a:b].lower()}{'>' if b == len(raw) else ''}"
+            out.append((run.start() + a, run.start() + b, word))
+    return out
 
 
 def grams(word: str) -> list[str]:
-    """Letters, pairs and triples of a word between marks."""
-    w = f"<{word[:64]}>"
-    return [*word[:64], *map("".join, zip(w, w[1:])), *map("".join, zip(w, w[1:], w[2:]))]
+    """Letters, pairs and triples of a word and its marks."""
+    return [*(c for c in word if c not in "<>"), *map("".join, zip(word, word[1:])), *map("".join, zip(word, word[1:], word[2:]))]
 
 
 def _keys(marked: np.ndarray, owner: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -58,9 +84,9 @@ def _keys(marked: np.ndarray, owner: np.ndarray) -> list[tuple[np.ndarray, np.nd
 
 
 class Model:
-    """Languages in order, log probabilities by n-gram, and the languages of each script."""
+    """Languages in order, log probabilities by n-gram, and the languages of each script: those that have ``least_share`` of their learned letters in it."""
 
-    def __init__(self, rows: list[tuple[str, str, int]], smooth: float = 0.5):
+    def __init__(self, rows: list[tuple[str, str, int]], smooth: float = 0.5, least_share: float = 0.01):
         self.langs = sorted({r[0] for r in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
@@ -74,7 +100,7 @@ class Model:
         known = np.array(list(counts.values())).reshape(-1, len(at))[order]
         self.logs = np.log((np.vstack([known, np.zeros(len(at))]) + smooth) / totals).astype(np.float32)  # the last row is for n-grams not seen
         seen = sum(scripts.values(), np.zeros(len(at)))
-        fits = {s: c >= 0.01 * seen for s, c in scripts.items()}
+        fits = {s: c >= least_share * seen for s, c in scripts.items()}
         none = np.ones(len(at), bool)
         self.scripts = np.array([np.where(fits[s] if s in fits and fits[s].any() else none, 0.0, BARRED) for _, s in SCRIPTS], np.float32)
 
@@ -82,18 +108,22 @@ class Model:
         """Log scores of words by language: normalized, and no worse than FLOOR but for languages that lack the word's script."""
         out = [np.zeros((0, len(self.langs)), np.float32)]
         for i in range(0, len(words), 8192):
-            part = [w[:64] for w in words[i : i + 8192]]
-            marked = np.frombuffer("".join(f"<{w}>" for w in part).encode("utf-32-le", "surrogatepass"), np.uint32)
-            sizes = np.fromiter(map(len, part), np.int64, len(part)) + 2
+            part = words[i : i + 8192]
+            marked = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
             total = np.zeros((len(part), len(self.langs)), np.float32)
             for key, owner in _keys(marked, np.repeat(np.arange(len(part)), sizes)):
+                if not len(key):
+                    continue
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 at = np.where(self.keys[at] == key, at, len(self.keys)) if len(self.keys) else np.zeros(len(key), np.int64)
-                total += np.add.reduceat(self.logs[at], np.append(0, np.flatnonzero(np.diff(owner)) + 1), axis=0)
+                first = np.append(0, np.flatnonzero(np.diff(owner)) + 1)  # a piece of one letter has no pairs
+                total[owner[first]] += np.add.reduceat(self.logs[at], first, axis=0)
             total -= total.max(axis=1, keepdims=True)
             total = np.maximum(total - np.log(np.exp(total).sum(axis=1, keepdims=True)), FLOOR)
-            first = marked[np.cumsum(sizes) - sizes + 1]
-            out.append(total + self.scripts[np.searchsorted(_STARTS, first, side="right") - 1])
+            first = np.cumsum(sizes) - sizes
+            letter = marked[first + (marked[first] == ord("<"))]
+            out.append(total + self.scripts[np.searchsorted(_STARTS, letter, side="right") - 1])
         return np.concatenate(out)
 
 
@@ -111,41 +141,40 @@ class Scores(dict):
     def reset(self):
         self.clear()
         self.words: dict[str, int] = {}
-        self.fresh: list[str] = []
-        self.count: list[int] = []
-        self.flat: list[int] = []
-        self.sizes: list[int] = []
-        self.known = np.zeros((0, len(self.model.langs)), np.float32)
+        self.matrix = np.zeros((0, len(self.model.langs)), np.float32)
+        self.count, self.flat, self.sizes = (np.zeros(0, np.int64) for _ in range(3))
+        self._fresh()
+
+    def _fresh(self):
+        self.new_words, self.new_count, self.new_flat, self.new_sizes = [], [], [], []
 
     def __missing__(self, token):
-        self[token] = at = len(self)
-        found = WORD.findall(token.lower())
-        self.count.append(len(found))
-        for w in found:
+        at = self[token] = len(self)
+        found = pieces(token)
+        self.new_count.append(len(found))
+        for start, end, w in found:
             if w not in self.words:
                 self.words[w] = len(self.words)
-                self.fresh.append(w)
-                self.sizes.append(len(w))
-            self.flat.append(self.words[w])
+                self.new_words.append(w)
+                self.new_sizes.append(end - start)
+            self.new_flat.append(self.words[w])
         return at
 
-    def matrix(self) -> np.ndarray:
-        if self.fresh:
-            self.known, self.fresh = np.concatenate([self.known, self.model.score(self.fresh)]), []
-        return self.known
-
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words per text; and of all texts, one after the other, the numbers and sizes of the words."""
+        """Words per text; and of all texts, one after the other, the numbers and sizes of the words. ``matrix`` then has the scores of them all."""
         if len(self) > self.most:
             self.reset()
         tokens = [np.fromiter(map(self.__getitem__, split), np.int64, len(split)) for split in ((t or "").split() for t in texts)]
         each = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in tokens]) if len(each) else each
-        count, flat = np.array(self.count, np.int64), np.array(self.flat, np.int64)
-        n = count[each]
-        first = (np.cumsum(count) - count)[each]
-        words = flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return np.bincount(owner, n, len(texts)).astype(np.int64), words, np.array(self.sizes, np.int64)[words]
+        if self.new_count:
+            self.count, self.flat, self.sizes = (np.append(old, np.array(new, np.int64)) for old, new in ((self.count, self.new_count), (self.flat, self.new_flat), (self.sizes, self.new_sizes)))
+            self.matrix = np.concatenate([self.matrix, self.model.score(self.new_words)])
+            self._fresh()
+        n = self.count[each]
+        first = (np.cumsum(self.count) - self.count)[each]
+        words = self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return np.bincount(owner, n, len(texts)).astype(np.int64), words, self.sizes[words]
 
 
 def viterbi(lengths: np.ndarray, flat: np.ndarray, emit: np.ndarray, penalty: float) -> np.ndarray:
@@ -177,36 +206,46 @@ def viterbi(lengths: np.ndarray, flat: np.ndarray, emit: np.ndarray, penalty: fl
     return out
 
 
-def fit(docs: DataFrame, max_fit_docs: int = 20_000, max_grams: int = 30_000, seed: int = 11) -> Model | None:
+def fit(docs: DataFrame, max_fit_docs: int = 20_000, seed: int = 11) -> Model | None:
     """Counts n-grams over a sample of at most about ``max_fit_docs`` texts with a language and a remainder modulo 5 that is not 0.
 
-    The sample is by a hash of the id, and the ``max_grams`` n-grams that most
-    texts' words have are kept, so what comes to the driver is bounded. None
-    without any such text.
+    The sample is by a hash of the id; all n-grams of its words are kept, so
+    what comes to the driver is bounded by the sample. None without any such
+    text.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 5) != 0)).select("doc_id", "text", "lang")
-    rate = min(1.0, max_fit_docs / max(known.count(), 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    known = known.where(sampled(F.col("doc_id"), min(1.0, max_fit_docs / max(known.count(), 1)), seed))
 
     def count(batches):
         for batch in batches:
-            words: Counter = Counter()
+            tokens: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.update((lang, w) for w in WORD.findall(text.lower()))
+                tokens.update((lang, token) for token in text.split())
             found: Counter = Counter()
-            for (lang, word), n in words.items():
-                found[lang, "\0" + script(word)] += n * len(word)
-                for g in grams(word):
-                    found[lang, g] += n
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([k[0] for k in found], [k[1] for k in found], list(found.values()))], ["lang", "gram", "n"]) if found else pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], ["lang", "gram", "n"])
+            for (lang, token), n in tokens.items():
+                for start, end, word in pieces(token):
+                    found[lang, "\0" + script(word.lstrip("<")[0])] += n * (end - start)
+                    for g in grams(word):
+                        found[lang, g] += n
+            columns = [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
     counted = known.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    by_gram = counted.groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("langs"))
-    script_first = F.when(F.startswith(F.col("gram"), F.lit("\0")), 0).otherwise(1)
-    rows = [(x["lang"], r["gram"], x["n"]) for r in by_gram.orderBy(script_first, F.desc("total"), "gram").limit(max_grams).collect() for x in r["langs"]]
+    rows = [(r["lang"], r["gram"], r["n"]) for r in counted.collect()]
     return Model(rows) if rows else None
 
 
+_CACHE: dict[str, Scores] = {}
+
+
+def _scores(model: Model, key: str) -> Scores:
+    """The cache of this process for the UDF of this ``key``; others are dropped."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = Scores(model)
+    return _CACHE[key]
+
+
 def detect(docs: DataFrame, model: Model | None, penalty: float = 6.0) -> DataFrame:
     """``docs`` with held_out, lang_pred and score.
 
@@ -214,21 +253,20 @@ def detect(docs: DataFrame, model: Model | None, penalty: float = 6.0) -> DataFr
     their share. Defined results: "und" and 0 if the text is null or has no
     letter, or without a model; repeated rows are labelled each on their own;
     held_out is false for null ids; an empty table gives an empty table; input
-    columns named like an output are replaced.
+    columns named like an output are replaced; a very long text takes a step
+    of Viterbi per word and a byte or two per word and language.
     """
     kept = without(docs, "held_out", "lang_pred", "score")
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
-    cache: list[Scores] = []
+    key = uuid.uuid4().hex
 
     @F.arrow_udf(kind)
     def label(texts: pa.Array) -> pa.Array:
-        if not cache:
-            cache.append(Scores(model))
-        langs, found = model.langs, []
+        scores, langs, found = _scores(model, key), model.langs, []
         for at in range(0, len(texts), 4096):
             part = texts[at : at + 4096].to_pylist()
-            lengths, flat, sizes = cache[0].read(part)
-            labels = viterbi(lengths, flat, cache[0].matrix(), penalty)
+            lengths, flat, sizes = scores.read(part)
+            labels = viterbi(lengths, flat, scores.matrix, penalty)
             owner = np.repeat(np.arange(len(part)), lengths)
             letters = np.bincount(owner * len(langs) + labels, sizes, len(part) * len(langs)).reshape(-1, len(langs))
             total, top = letters.sum(axis=1), letters.argmax(axis=1)
@@ -243,20 +281,22 @@ def detect(docs: DataFrame, model: Model | None, penalty: float = 6.0) -> DataFr
 def spans(docs: DataFrame, model: Model, penalty: float = 6.0) -> DataFrame:
     """``docs`` with ``lang_spans``: array of (start, end, lang) over code points, runs of words with one label."""
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
+    key = uuid.uuid4().hex
 
     @F.arrow_udf(kind)
     def label(texts: pa.Array) -> pa.Array:
-        out, scores = [], Scores(model)
+        out, scores = [], _scores(model, key)
         for text in texts.to_pylist():
-            words = list(WORD.finditer(text or ""))
-            lengths, flat, _ = scores.read([" ".join(w[0] for w in words)])
-            labels = viterbi(lengths, flat, scores.matrix(), penalty)
+            lengths, flat, _ = scores.read([text])
+            labels = viterbi(lengths, flat, scores.matrix, penalty)
             runs: list[dict] = []
-            for w, k in zip(words, labels):
+            # the same tokens, at their places
+            words = ((m.start() + a, m.start() + b) for m in TOKEN.finditer(text or "") for a, b, _ in pieces(m[0]))
+            for (a, b), k in zip(words, labels, strict=True):
                 if runs and runs[-1]["lang"] == model.langs[k]:
-                    runs[-1]["end"] = w.end()
+                    runs[-1]["end"] = b
                 else:
-                    runs.append({"start": w.start(), "end": w.end(), "lang": model.langs[k]})
+                    runs.append({"start": a, "end": b, "lang": model.langs[k]})
             out.append(runs)
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
 

@@ -31,7 +31,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     fixed point is ``min(cap, level * weight)``: with the sources in order of
     ``cap / weight``, the level is that of the first source that stays under
     its cap when all before it are at theirs. One row per source goes through
-    the two windows, none per document.
+    the three windows, none per document: sources are taken to be few, up to
+    some millions, which one task sorts.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -59,9 +60,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     )
 
 
-def coin(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) from the seed and the id (52 bits of MD5); the same on every run and cluster."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def coin(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number in [0, 1) from the seed, the id and the text (52 bits of MD5); the same on every run and cluster."""
+    text = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
@@ -69,8 +71,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     """``docs`` with size, source_size, target, rate, copies and taken.
 
     ``docs`` needs doc_id, text and source. Defined results: a null text has
-    size 0; null sources form one source, the last; a null doc_id tosses the
-    coin of the word "null"; repeated ids toss the same coin; a source without
+    size 0; null sources form one source, the last; a null doc_id counts as the
+    word "null"; the text is part of the coin, so that only rows that repeat
+    both id and text toss the same one; a source without
     words has target 0 and rate 0; an empty table gives an empty table; input
     columns named like an output are replaced. All rows and columns are kept.
     """
@@ -78,7 +81,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     plan = materialize(source_targets(sized.select("source", "size"), weights, share, most), "mix-plan")
     plan = plan.withColumnRenamed("source", "_plan_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("rate") + F.when(coin(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    copies = F.floor("rate") + F.when(coin(F.col("doc_id"), F.col("text"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return (
         sized.join(maybe_broadcast(plan, 100_000), sized["source"].eqNullSafe(plan["_plan_source"]))
         .drop("_plan_source")
@@ -100,7 +103,7 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][rank % 3 + 1] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM per),
 f AS (SELECT *, row_number() OVER o AS place,
@@ -109,9 +112,9 @@ f AS (SELECT *, row_number() OVER o AS place,
   FROM w WINDOW o AS (ORDER BY cap / weight, rank)),
 l AS (SELECT min(place) AS p, arg_min(level, place) AS level FROM f WHERE level * weight <= cap),
 t AS (SELECT source, source_size, CASE WHEN l.p IS NULL OR place < l.p THEN cap ELSE l.level * weight END AS target FROM f CROSS JOIN l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+r AS (SELECT d.doc_id, d.digest, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-  CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r
 """

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, maybe_broadcast, table, without
+from .common import materialize, maybe_broadcast, sampled, table, without
 
 FEATURES = 256
 PARTS = 16
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 100_000, ridge:
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     marks = marks.where(remainder(F.col("doc_id"), 4) != 2)
     rate = min(1.0, max_fit_rows / max(marks.count(), 1))
-    marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    marks = marks.where(sampled(F.col("doc_id"), rate, seed))
     marks = materialize(marks.withColumnRenamed("doc_id", "_id"), "labels")
     rows = docs.select("doc_id", "text").join(maybe_broadcast(marks, 2 * max_fit_rows), F.col("doc_id") == F.col("_id"))
     rows = materialize(rows.select(stats("text").alias("x"), "y", (remainder(F.col("doc_id"), 4) == 3).alias("calibrate")), "statistics")
