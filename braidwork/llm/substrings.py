@@ -1,13 +1,22 @@
 """Substring dedup by a compacted de Bruijn graph of tokens.
 
-Each window of ``window`` words is an edge of a de Bruijn graph. The edges of
-a text that share a minimizer, the least hash of the k-mers inside them, form
-a path without branches; a path is one row instead of one for each edge, and
-its minimizer says where it can meet others. Spark joins find the paths that
-come again as they are; where a minimizer lies in several different paths (a
-branch, at the borders of copied passages) the single edges of those paths
-are compared. Source coordinates chain the repeated paths and edges of a text
-to maximal spans, whose words are removed.
+Each window of ``window`` words is an edge between its first and its last
+``window - 1`` words, the nodes. The edges of a text that share a minimizer,
+the least hash of the k-mers inside them, are one row (a super-k-mer), and
+the minimizer says where they can meet others. What comes again as it is, and
+stands alone under its minimizer, is one repeated segment; under a minimizer
+with several different rows (at the borders of copied passages) every edge is
+a segment of its own, and those that two rows share are repeated.
+
+Repeated segments form the graph. Where a node has one segment in and one
+out, the two are joined, and pointer doubling by Spark joins numbers the
+segments of each path without branches. Every occurrence is then carried to
+source coordinates as pieces of such paths, and the pieces that touch in a
+text are the maximal repeated spans, whose words are removed.
+
+Segments are equal if two independent hashes of their words are, one from the
+prefix sums of the text, one of the bytes at the source coordinates: 128 bits
+in all, so that no words cross the network to be compared.
 """
 
 from __future__ import annotations
@@ -20,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, maybe_broadcast, table, without
+from .common import discard, materialize, maybe_broadcast, table, without
 
 WINDOW = 35
 K = 15
 _BASE = 0x9E3779B97F4A7C15
-_WRAP = (1 << 64) - 1
+#: Rows, and items of their arrays, up to which what is told of texts and their spans are broadcast.
+TOLD_ROWS, TOLD_ITEMS = 100_000, 1_000_000
+SPAN_ROWS, SPAN_ITEMS = 200_000, 2_000_000
 
 
 class _Words(dict):
@@ -62,6 +73,16 @@ class Hasher:
         self._grow(n)
         h = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self.powers[:n])])
+        self.joined = b" ".join(words)
+        self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+
+    def check(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes of words ``a`` to ``b``, joined by single spaces."""
+        from xxhash import xxh3_64_intdigest
+
+        starts = np.append(0, self.ends)[a].tolist()
+        text = memoryview(self.joined)
+        return np.array([xxh3_64_intdigest(text[i:j]) for i, j in zip(starts, (self.ends[b - 1] - 1).tolist())], np.uint64).view(np.int64)
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x = (self.sums[b] - self.sums[a]) * self.inverses[a] + (b - a).astype(np.uint64)
@@ -73,7 +94,7 @@ class Hasher:
 
 
 def _paths(hasher: Hasher, words: list[bytes], window: int, k: int):
-    """Of each path: the hashes of its minimizer and of its words, its first window and number of windows."""
+    """Of each super-k-mer: the hashes of its minimizer and, two, of its words, its first window and number of windows."""
     n = len(words)
     if n < window:
         return None
@@ -83,7 +104,8 @@ def _paths(hasher: Hasher, words: list[bytes], window: int, k: int):
     low = np.lib.stride_tricks.sliding_window_view(mers, window - k + 1).argmin(axis=1) + at[: n - window + 1]
     first = np.append(0, np.flatnonzero(np.diff(low)) + 1)
     count = np.diff(np.append(first, len(low)))
-    return mers[low[first]], hasher(first, first + count - 1 + window), first, count
+    ends = first + count - 1 + window
+    return mers[low[first]], hasher(first, ends), hasher.check(first, ends), first, count
 
 
 def _list_array(lists: list[np.ndarray]) -> pa.Array:
@@ -97,51 +119,57 @@ def _find_paths(window: int, k: int):
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                rows, mer, path, starts, counts = [], [], [], [], []
+                rows, mer, path, check, starts, counts = [], [], [], [], [], []
                 for i, text in enumerate(part.column(2).cast(pa.binary()).to_pylist()):
                     found = _paths(hasher, (text or b"").split(), window, k)
                     if found is None:
                         continue
-                    m, p, first, count = found
-                    order = np.lexsort((p, m))  # a path that a text repeats is one row
-                    same = (m[order][1:] == m[order][:-1]) & (p[order][1:] == p[order][:-1])
+                    m, p, c, first, count = found
+                    order = np.lexsort((c, p, m))  # what a text repeats is one row
+                    same = (m[order][1:] == m[order][:-1]) & (p[order][1:] == p[order][:-1]) & (c[order][1:] == c[order][:-1])
                     if same.any():
-                        cuts = np.flatnonzero(~same) + 1
-                        groups = np.split(order, cuts)
+                        groups = np.split(order, np.flatnonzero(~same) + 1)
                         heads = np.array([g[0] for g in groups])
                         starts += [first[g] for g in groups]
-                        m, p, count = m[heads], p[heads], count[heads]
+                        m, p, c, count = m[heads], p[heads], c[heads], count[heads]
                     else:
                         starts += list(first[:, None])
                     rows.append(np.full(len(m), i))
-                    mer.append(m), path.append(p), counts.append(count)
+                    mer.append(m), path.append(p), check.append(c), counts.append(count)
                 if rows:
                     take = pa.array(np.concatenate(rows))
+                    hashes = [pa.array(np.concatenate(x)) for x in (mer, path, check)]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(mer)), pa.array(np.concatenate(path)), _list_array(starts), pa.array(np.concatenate(counts).astype(np.int32))],
-                        ["doc_id", "text_hash", "mer", "path", "starts", "n"],
+                        [part.column(0).take(take), part.column(1).take(take), *hashes, _list_array(starts), pa.array(np.concatenate(counts).astype(np.int32))],
+                        ["doc_id", "text_hash", "mer", "path", "check", "starts", "n"],
                     )
 
     return find
 
 
-def _find_edges(window: int):
+def _find_segments(window: int):
+    """Of each super-k-mer that is told, its edges, or all of it if it stands alone: hashes of words and of both nodes, and its place."""
+
     def find(batches):
         hasher = Hasher()
         for batch in batches:
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 hasher.read((text.as_py() or b"").split())
-                paths = batch.column(3)[i].as_py()
-                first = np.array([p["start"] for p in paths])
-                n = np.array([p["n"] for p in paths])
-                which = np.repeat(np.arange(len(paths)), n)
-                at = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                told = batch.column(3)[i].as_py()
+                first, n, split = (np.array([p[c] for p in told]) for c in ("start", "n", "branch"))
+                many = np.where(split, n, 1)
+                which = np.repeat(np.arange(len(told)), many)
+                rel = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+                at = first[which] + rel
+                size = np.where(split, 1, n)[which]
+                ends = at + size - 1 + window
                 row = pa.array(np.full(len(at), i))
+                named = {c: pa.array(np.array([p[c] for p in told])[which]) for c in ("mer", "path", "check", "again", "branch")}
+                hashes = [hasher(at, ends), hasher.check(at, ends), hasher(at, at + window - 1), hasher(ends - window + 1, ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.array([p["mer"] for p in paths])[which]), pa.array(np.array([p["path"] for p in paths])[which]),
-                     pa.array(hasher(at, at + window)), pa.array(at.astype(np.int32)), pa.array(np.array([p["again"] for p in paths], bool)[which])],
-                    ["doc_id", "text_hash", "mer", "path", "edge", "start", "again"],
-                )
+                    [batch.column(0).take(row), batch.column(1).take(row), *named.values(), *map(pa.array, hashes), pa.array(rel.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))],
+                    ["doc_id", "text_hash", *named, "seg", "sure", "left", "right", "rel", "start", "size"],
+                )
 
     return find
 
@@ -176,6 +204,88 @@ def _merged(found: list[dict], window: int) -> list[int]:
     return np.stack([pairs[fresh, 0], ends[np.append(fresh[1:], True)]], axis=1).ravel().tolist()
 
 
+def compacted(segments: DataFrame) -> DataFrame:
+    """(seg, sure, head, offset): distinct segments (seg, sure, left, right, size) numbered along paths without branches.
+
+    Two segments are joined where they are the only ones to end and to begin
+    at a node. ``head`` is the first segment of the path, ``offset`` the
+    windows before this one; each doubling joins twice as far. A ring of
+    segments has no first one: its segments stay paths of their own.
+    """
+    one = F.struct("seg", "sure", "size")
+    into = segments.groupBy("right").agg(F.count("*").alias("n"), F.first(one).alias("a")).where("n = 1").select(F.col("right").alias("node"), "a")
+    out = segments.groupBy("left").agg(F.count("*").alias("m"), F.first(one).alias("b")).where("m = 1").select(F.col("left").alias("node"), "b")
+    links = into.join(out, "node").select("b.seg", "b.sure", F.struct("a.seg", "a.sure").alias("up"), F.col("a.size").cast("long").alias("dist"))
+    links = materialize(links, "links")
+    state, left = links, None
+    while state.limit(1).count():
+        # Open are those whose way up has not come to a segment without a link.
+        far = state.select(F.struct("seg", "sure").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
+        done = state.join(far, "up", "left").select("seg", "sure", F.coalesce("next", "up").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("next").isNotNull().alias("open"))
+        fresh = materialize(done, "doubled")
+        still = fresh.where("open").count()
+        discard(state)
+        state = fresh.drop("open")
+        state._written_at = fresh._written_at
+        if not still:
+            break
+        if still == left:  # rings only
+            state = fresh.where("NOT open").drop("open")
+            break
+        left = still
+    heads = state.select("seg", "sure", F.col("up").alias("head"), F.col("dist").alias("offset"))
+    both = segments.select("seg", "sure").join(heads, ["seg", "sure"], "left")
+    return both.select("seg", "sure", F.coalesce("head", F.struct("seg", "sure")).alias("head"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
+
+
+def path_occurrences(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """(doc_id, text_hash, head, from, starts, n): pieces of compacted paths, ``n`` windows from the ``from``-th on, and where they start in a text (word numbers)."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.col("text").isNotNull())
+    key, same_path = ["doc_id", "text_hash"], ["mer", "path", "check"]
+    paths = texts.mapInArrow(_find_paths(window, k), _schema(docs, "text_hash long, mer long, path long, check long, starts array<int>, n int"))
+    paths = materialize(paths, "paths")
+    # Each distinct super-k-mer once; which come again as they are, which share a minimizer with another.
+    distinct = paths.groupBy(*same_path).agg(F.sum(F.size("starts")).alias("times"))
+    several = distinct.groupBy("mer").agg(F.count("*").alias("ways"), F.max("times").alias("most")).where("ways > 1 OR most > 1")
+    state = distinct.join(several, "mer").select(*same_path, (F.col("times") > 1).alias("again"), (F.col("ways") > 1).alias("branch"))
+    met = materialize(paths.join(state, same_path), "met")
+    discard(paths)
+    # One copy stands for all that come again as they are.
+    told = met.where("again").dropDuplicates(same_path).unionByName(met.where("NOT again"))
+    told = told.groupBy(*key).agg(F.collect_list(F.struct(F.get("starts", F.lit(0)).alias("start"), "n", *same_path, "again", "branch")).alias("told"))
+    told = materialize(told, "told").withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
+    same = texts["doc_id"].eqNullSafe(told["_id"]) & (texts["text_hash"] == told["_h"])
+    looked = texts.join(maybe_broadcast(told, TOLD_ROWS, "told", TOLD_ITEMS), same).select("doc_id", "text_hash", "text", "told").dropDuplicates(key)
+    found = looked.mapInArrow(_find_segments(window), _schema(docs, "text_hash long, mer long, path long, check long, again boolean, branch boolean, seg long, sure long, left long, right long, rel int, start int, size int"))
+    found = materialize(found, "segments")
+    # Repeated: of a row that comes again, or in two rows of one minimizer.
+    by_seg = found.groupBy("mer", "seg", "sure").agg(F.min(F.struct("path", "check")).alias("a"), F.max(F.struct("path", "check")).alias("b"), F.bool_or("again").alias("again"), F.first(F.struct("left", "right", "size")).alias("x"))
+    segments = materialize(by_seg.where("again OR a <> b").select("seg", "sure", "x.*"), "repeated")
+    where = materialize(compacted(segments), "compacted")
+    named = found.join(where, ["seg", "sure"])
+    piece = named.select(*key, *same_path, "again", "head", "start", "rel", "size", "offset")
+    # Rows that come again: their pieces once, then at every start; the others where they are.
+    pieces = piece.where("again").groupBy(*same_path, "head", (F.col("rel") - F.col("offset")).alias("diag")).agg(F.array_sort(F.collect_list(F.struct("rel", "size"))).alias("runs"))
+    pieces = pieces.select(*same_path, "head", F.explode(_runs("runs")).alias("r"), "diag").select(*same_path, "head", "r.at", "r.n", (F.col("r.at") - F.col("diag")).alias("from"))
+    again = met.where("again").drop("n").join(pieces, same_path).select(*key, "head", "from", F.transform("starts", lambda x: x + F.col("at")).alias("starts"), "n")
+    single = piece.where("NOT again").groupBy(*key, "head", (F.col("start") - F.col("offset")).alias("diag")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("rel"), "size"))).alias("runs"))
+    single = single.select(*key, "head", F.explode(_runs("runs")).alias("r"), "diag")
+    single = single.select(*key, "head", (F.col("r.at") - F.col("diag")).alias("from"), F.array("r.at").alias("starts"), F.col("r.n").alias("n"))
+    return again.unionByName(single)
+
+
+def _runs(column: str):
+    """Sorted (rel, size) that follow each other without a gap, as (at, n)."""
+
+    def step(a, x):
+        last = F.try_element_at(a, F.lit(-1))
+        joined = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last["at"].alias("at"), (last["n"] + x["size"]).alias("n"))))
+        apart = F.concat(a, F.array(F.struct(x["rel"].alias("at"), x["size"].alias("n"))))
+        return F.when((F.size(a) > 0) & (last["at"] + last["n"] == x["rel"]), joined).otherwise(apart)
+
+    return F.aggregate(column, F.array().cast("array<struct<at:int,n:int>>"), step)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """(doc_id, text_hash, spans): of each text with a window that also starts elsewhere, begins and ends, in turn, of the words that such windows cover."""
 
@@ -183,27 +293,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     def merged(found: pa.Array) -> pa.Array:
         return pa.array([_merged(f, window) for f in found.to_pylist()], pa.list_(pa.int32()))
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.col("text").isNotNull())
-    key = ["doc_id", "text_hash"]
-    paths = texts.mapInArrow(_find_paths(window, k), _schema(docs, "text_hash long, mer long, path long, starts array<int>, n int"))
-    paths = materialize(paths, "paths")
-    # Each distinct path once, by minimizer; which come again as they are, which share a minimizer with another.
-    distinct = paths.groupBy("mer", "path").agg(F.sum(F.size("starts")).alias("times")).repartition("mer")
-    several = distinct.groupBy("mer").agg(F.count("*").alias("ways"))
-    state = distinct.join(several, "mer").where("times > 1 OR ways > 1").select("mer", "path", (F.col("times") > 1).alias("again"), (F.col("ways") > 1).alias("branch"))
-    met = materialize(paths.join(state, ["mer", "path"]), "repeated-paths")
-    # One copy stands for a path that comes again; paths that come once are all looked at.
-    told = met.where("branch AND again").dropDuplicates(["mer", "path"]).unionByName(met.where("branch AND NOT again"))
-    told = told.groupBy(*key).agg(F.collect_list(F.struct(F.get("starts", F.lit(0)).alias("start"), "n", "mer", "path", "again")).alias("told"))
-    told = materialize(told, "branches").withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
-    same = lambda d, o: d["doc_id"].eqNullSafe(o["_id"]) & (d["text_hash"] == o["_h"])
-    looked = texts.join(maybe_broadcast(told, 200_000, "told", 1_000_000), same(texts, told)).select("doc_id", "text_hash", "text", "told").dropDuplicates(key)
-    edges = looked.mapInArrow(_find_edges(window), _schema(docs, "text_hash long, mer long, path long, edge long, start int, again boolean"))
-    edges = materialize(edges, "edges")
-    shared = edges.groupBy("mer", "edge").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a != b").select("mer", "edge")
-    single = edges.where("NOT again").join(shared, ["mer", "edge"]).select(*key, F.array("start").alias("starts"), F.lit(1).alias("n"))
-    spans = met.where("again").select(*key, "starts", "n").unionByName(single)
-    return spans.groupBy(*key).agg(F.collect_list(F.struct("starts", "n")).alias("runs")).select(*key, merged("runs").alias("spans"))
+    found = path_occurrences(docs, window, k).groupBy("doc_id", "text_hash")
+    return found.agg(F.collect_list(F.struct("starts", "n")).alias("runs")).select("doc_id", "text_hash", merged("runs").alias("spans"))
 
 
 def _schema(docs: DataFrame, rest: str) -> str:
@@ -227,7 +318,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, with_text:
         return cut(texts, found, with_text)
 
     same = kept["doc_id"].eqNullSafe(spans["_id"]) & (kept["_hash"] == spans["_h"])
-    out = kept.join(maybe_broadcast(spans, 200_000, "_spans", 2_000_000), same, "left").withColumn("_cut", cutting("text", "_spans"))
+    out = kept.join(maybe_broadcast(spans, SPAN_ROWS, "_spans", SPAN_ITEMS), same, "left").withColumn("_cut", cutting("text", "_spans"))
     named = {"n_words": F.col("_cut.n_words"), "n_removed": F.col("_cut.n_removed"), "kept_sha256": F.col("_cut.sha")}
     if with_text:
         named["kept_text"] = F.decode("_cut.kept", "UTF-8")

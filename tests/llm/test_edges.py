@@ -385,6 +385,28 @@ def test_repeats_brute(spark):
         assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
 
 
+def test_paths_compact(spark):
+    # a chain of 20, a fork of two from its end, a ring of three, and one alone
+    rows = [(i, i, i + 1, 2) for i in range(20)] + [(100, 20, 300, 1), (101, 20, 301, 1)] + [(200 + i, 400 + i, 400 + (i + 1) % 3, 1) for i in range(3)] + [(500, 600, 601, 7)]
+    df = spark.createDataFrame([(s, -s, a, b, n) for s, a, b, n in rows], "seg long, sure long, left long, right long, size int")
+    got = {r.seg: (r.head.seg, r.offset) for r in substrings.compacted(df).collect()}
+    assert got == {i: (0, 2 * i) for i in range(20)} | {s: (s, 0) for s in (100, 101, 200, 201, 202, 500)}
+
+
+def test_paths_are_where_they_say(spark):
+    rng = np.random.default_rng(9)
+    words = [f"t{i}" for i in range(30)]
+    passage = rng.choice(words, 120).tolist()
+    texts = [rng.choice(words, 15).tolist() + passage[a:b] + rng.choice(words, 15).tolist() for a, b in ((0, 120), (10, 90), (40, 120), (0, 60), (60, 119))] + [["a", "b"] * 60]
+    found = substrings.path_occurrences(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), 10, 5).collect()
+    read: dict = {}  # of each path, the words at each place
+    for r in found:
+        for start in r.starts:
+            for j in range(r.n + 9):
+                read.setdefault((tuple(r.head), r["from"] + j), set()).add(texts[r.doc_id][start + j])
+    assert all(len(w) == 1 for w in read.values()) and max(r["from"] + r.n for r in found) > 20
+
+
 def test_remainder(spark):
     rows = spark.range(50).select(quality.remainder(F.col("id"), 4).alias("r"), "id").collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 4 for r in rows)
