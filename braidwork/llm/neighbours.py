@@ -1,13 +1,14 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy search on it.
 
 Vectors that are equal are one node. The first lists come from blocks of
-vectors on the same side of random cuts. In each round of NN-descent every
-node gathers its neighbours and those that have it as a neighbour, by a join,
-and each of them learns of the others it met: neighbours of neighbours. A
-query walks the graph from its own node: it joins the best nodes that it has
-not expanded with their neighbours, keeps the best ``width`` it knows, and
-ends when all of those are expanded. The best few are scored anew on the
-original vectors.
+vectors that are next to each other in the order of random cuts. In each round
+of NN-descent every node gathers its neighbours and those that have it as a
+neighbour, by a join, and each of them learns of the others it met: neighbours
+of neighbours. Rounds end when few entries of the lists change. A query walks
+the graph from its own node: it joins the best nodes that it has not expanded
+with their neighbours, keeps the best ``width`` it knows, and ends when all of
+those are expanded. What may be among the nearest, given the error of packed
+vectors, is scored anew on the original ones.
 """
 
 from __future__ import annotations
@@ -18,19 +19,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, maybe_broadcast, table
+from .common import discard, materialize, maybe_broadcast, table
 
-DEGREE = 16
+DEGREE = 24
 TREES = 4
-ROUNDS = 2
-WIDTH = 384
+#: Rounds end when a smaller share of the entries is new, or after so many.
+SETTLED = 0.15
+ROUNDS = 8
+WIDTH = 256
 STEP = 128
 BLOCK = 256
-OFFERS = 6
+OFFERS = 8
+#: Random cuts that order the vectors of a tree.
+CUTS = 48
+#: Bytes of a table of packed vectors that is broadcast, by a count of its rows.
+BROADCAST_BYTES = 64 << 20
 
 
 def _pack(x: np.ndarray) -> list[bytes]:
-    """Unit vectors as bytes: a float32 scale, then one signed byte per dimension."""
+    """Unit vectors as bytes: a float32 scale, then one signed byte per dimension. A component is off by half a scale at most."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     scale = (np.abs(x).max(axis=1, keepdims=True) / 127).astype(np.float32)
     raw = np.hstack([scale.view(np.uint8), np.rint(x / scale).astype(np.int8).view(np.uint8)])
@@ -108,43 +115,59 @@ def _best(rows: DataFrame, key: str, keep: int) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= keep).drop("_k")
 
 
-def build_graph(nodes: DataFrame, dims: int, degree: int = DEGREE, trees: int = TREES, rounds: int = ROUNDS, seed: int = 5) -> DataFrame:
+def build_graph(nodes: DataFrame, dims: int, degree: int = DEGREE, trees: int = TREES, rounds: int = ROUNDS, settled: float = SETTLED, seed: int = 5) -> DataFrame:
     """(id, other, score): up to ``degree`` near neighbours of each of ``nodes`` (id, packed)."""
     n = nodes.count()
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / (BLOCK / 2)))))
-    rng = np.random.default_rng(seed)
-    cuts = rng.normal(size=(trees, max(bits, 1), dims)).astype(np.float32)
+    cuts = np.random.default_rng(seed).normal(size=(trees, CUTS, dims)).astype(np.float32)
 
     def sides(batches):
         for b in batches:
             x = _unpack(b.column(1), dims)
             for t in range(trees):
-                code = ((x @ cuts[t].T > 0) @ (1 << np.arange(cuts.shape[1]))).astype(np.int64) if len(x) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(code + (t << 40)), b.column(0), b.column(1), pa.array(np.full(len(x), -2, np.float32))], ["leaf", "id", "packed", "worst"])
+                # The first cuts weigh most: rows that follow each other are on the same side of many.
+                code = ((x @ cuts[t].T > 0) @ (1 << np.arange(CUTS)[::-1])).astype(np.int64) if len(x) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(code + (t << CUTS)), b.column(0), b.column(1), pa.array(np.full(len(x), -2, np.float32))], ["leaf", "id", "packed", "worst"])
 
     leaves = nodes.select("id", "packed").mapInArrow(sides, "leaf long, id long, packed binary, worst float")
-    leaves = leaves.repartitionByRange(max(1, trees * n // (4 * BLOCK)) if n < 100_000 else int(n // 25_000 + 1), "leaf").sortWithinPartitions("leaf", "id")
+    leaves = leaves.repartitionByRange(trees * n // (40 * BLOCK) + 1, "leaf").sortWithinPartitions("leaf", "id")
     graph = leaves.mapInArrow(_meet(dims, degree, False), _OUT).groupBy("id", "other").agg(F.max("score").alias("score"))
     graph = materialize(_best(graph, "id", degree), "graph")
-    for _ in range(rounds):
+    for turn in range(rounds):
         worst = graph.groupBy("id").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
         known = nodes.select("id", "packed").join(worst, "id", "left")
         known = known.select(F.col("id").alias("v"), "packed", F.when(F.col("n") == degree, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        ends = graph.select(F.col("id").alias("u"), F.col("other").alias("v")).unionByName(graph.select(F.col("other").alias("u"), F.col("id").alias("v"))).distinct()
-        met = ends.join(known, "v").select("u", F.col("v").alias("id"), "packed", "worst")
-        offers = met.repartition("u").sortWithinPartitions("u", F.xxhash64("id")).mapInArrow(_meet(dims, OFFERS, True), _OUT)
-        merged = graph.unionByName(offers).groupBy("id", "other").agg(F.max("score").alias("score"))
-        graph = materialize(_best(merged, "id", degree), "graph")
+        ends = both_ways(graph)
+        # A hub's neighbours meet in parts, other ones in each round; no part is larger than a few blocks.
+        parts = ends.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+        met = ends.join(known, "v").join(parts, "u", "left")
+        part = F.pmod(F.xxhash64("v", F.lit(turn)), F.coalesce("parts", F.lit(1)))
+        met = met.select(F.xxhash64("u", part).alias("meeting"), F.col("v").alias("id"), "packed", "worst")
+        offers = met.repartition("meeting").sortWithinPartitions("meeting", F.xxhash64("id", F.lit(turn))).mapInArrow(_meet(dims, OFFERS, True), _OUT)
+        merged = graph.withColumn("old", F.lit(True)).unionByName(offers.withColumn("old", F.lit(False)))
+        merged = merged.groupBy("id", "other").agg(F.max("score").alias("score"), F.bool_or("old").alias("old"))
+        fresh = materialize(_best(merged, "id", degree), "graph")
+        discard(graph)
+        changed = fresh.agg(F.avg((~F.col("old")).cast("double"))).first()[0] or 0.0
+        graph = fresh.drop("old")
+        graph._written_at = fresh._written_at
+        if changed < settled:
+            break
     return graph
 
 
+def both_ways(graph: DataFrame) -> DataFrame:
+    """(u, v): the links of a graph and their reverse, each once."""
+    there = graph.select(F.col("id").alias("u"), F.col("other").alias("v"))
+    return there.unionByName(there.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+
+
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, width: int = WIDTH, step: int = STEP, most_hops: int = 64) -> DataFrame:
     """(id, other, score): the best ``width`` nodes that a greedy walk from each of ``queries`` (id, packed) meets; scores are of packed vectors.
 
-    ``most_hops`` only guards against a fault: each hop expands up to ``step``
-    of the best ``width`` nodes of a query, so walks end well before.
+    Each hop expands up to ``step`` of the best ``width`` nodes of a query, so
+    walks end well before ``most_hops``; one that does not is an error.
     """
-    ends = graph.select(F.col("id").alias("u"), F.col("other").alias("v")).unionByName(graph.select(F.col("other").alias("u"), F.col("id").alias("v"))).distinct()
+    ends = both_ways(graph)
     near = ends.join(nodes.select(F.col("id").alias("v"), "packed"), "v")
     # One row for about 64 neighbours, so that a hub is many rows and no large one.
     hubs = ends.groupBy("u").agg(F.ceil(F.count("*") / 64).alias("parts"))
@@ -160,37 +183,53 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, wi
             own = np.repeat(_unpack(b.column(1), dims), sizes, axis=0)
             score = np.einsum("ij,ij->i", own, _unpack(packs.flatten(), dims))
             q, v = np.repeat(b.column(0).to_numpy(), sizes), ids.flatten().to_numpy()
+            order = np.lexsort((v, q))  # a neighbour may come several times
+            q, v, score = q[order], v[order], score[order]
+            once = np.append(True, (np.diff(q) != 0) | (np.diff(v) != 0)) & (q != v)
+            q, v, score = q[once], v[once], score[once]
             order = np.lexsort((v, -score, q))
             q, v, score = q[order], v[order], score[order]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = (rank < 4 * width) & (q != v)  # a neighbour may come several times
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < width
             yield _rows(dims, q[keep], v[keep], score[keep].astype(np.float32))
 
     start = queries.select("id", F.col("id").alias("other"), F.lit(2.0).cast("float").alias("score"), F.lit(False).alias("done"))
     state = materialize(start, "walk")
-    for _ in range(most_hops):
+    for hop in range(most_hops + 1):
         by_score = W.partitionBy("id").orderBy(F.desc("score"), "other")
         front = state.where("NOT done").withColumn("_k", F.row_number().over(by_score)).where(F.col("_k") <= step).select("id", F.col("other").alias("u"))
         front = materialize(front.join(queries, "id").select("id", "packed", "u"), "front")
         if not front.limit(1).count():
             break
-        found = near.join(maybe_broadcast(front, BROADCAST_ROWS), "u").select("id", "packed", "ids", "packs").mapInArrow(walk, _OUT)
+        if hop == most_hops:
+            raise RuntimeError(f"walks did not end in {most_hops} hops")
+        found = near.join(maybe_broadcast(front, BROADCAST_BYTES // (dims + 64)), "u").select("id", "packed", "ids", "packs").mapInArrow(walk, _OUT)
         done = front.select("id", F.col("u").alias("other"), F.lit(True).alias("now"))
         known = state.join(done, ["id", "other"], "left").select("id", "other", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         merged = known.unionByName(found.withColumn("done", F.lit(False))).groupBy("id", "other").agg(F.max("score").alias("score"), F.bool_or("done").alias("done"))
-        state = materialize(_best(merged, "id", width), "walk")
+        fresh = materialize(_best(merged, "id", width), "walk")
+        discard(state, front)
+        state = fresh
     return state.select("id", "other", "score")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, degree: int = DEGREE, rounds: int = ROUNDS, width: int = WIDTH, finals: int = 24) -> DataFrame:
+def scaled(v: Column) -> Column:
+    """A vector times the power of two that makes its largest component about 1: cosines stay the same, squares neither vanish nor overflow."""
+    up = F.least(-F.floor(F.log2(F.array_max(F.transform(v, lambda x: F.abs(x))))), F.lit(1000))
+    return F.get(F.transform(F.array(F.pow(F.lit(2.0), up)), lambda s: F.transform(v, lambda x: x * s)), F.lit(0))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, degree: int = DEGREE, rounds: int = ROUNDS, width: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found to each query row of ``vectors`` (vec_id, embedding), by cosine in double precision.
 
-    Defined results: vectors that are null, zero, hold null or non-finite
-    components, or differ in size from most, and rows with null ids, take no
-    part; repeated ids count once; equal vectors are one node and all can be
-    results, of which the k + 1 smallest ids of a node are enough; ties go to
-    the smaller vec_id; fewer candidates than ``k`` are all returned; an empty
-    table gives no rows.
+    ``width`` is by default WIDTH, or the square root of the number of nodes
+    if that is more. Defined results: vectors that are null, zero, hold null
+    or non-finite components, or differ in size from most, and rows with null
+    ids, take no part; repeated ids count once; equal vectors (up to a power
+    of two) are one node and all can be results, of which the k + 1 smallest
+    ids of a node are enough; ties go to the smaller vec_id; fewer candidates
+    than ``k`` are all returned; an empty table gives no rows. Walks see
+    packed vectors: in a cluster of more than ``width`` that differ by less
+    than the packing they cannot tell which are nearest.
     """
     v = F.col("v")
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -201,21 +240,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, degree: int = DEGR
     if not sizes:
         return vectors.sparkSession.createDataFrame([], out)
     dims = sizes[0][0]
-    usable = usable.where(F.size("v") == dims).dropDuplicates(["vec_id"])
+    usable = usable.where(F.size("v") == dims).dropDuplicates(["vec_id"]).withColumn("v", scaled(v))
     few = usable.withColumn("_k", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_k") <= k + 1)
     reps = materialize(few.groupBy("v").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
 
     def pack(batches):
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(-1, dims)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pack(x) if len(x) else [], pa.binary())], ["id", "packed"])
+            packed = _pack(x) if len(x) else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(np.frombuffer(b"".join(p[:4] for p in packed), np.float32))], ["id", "packed", "scale"])
 
-    nodes = materialize(reps.select("id", "v").mapInArrow(pack, "id long, packed binary"), "nodes")
+    nodes = materialize(reps.select("id", "v").mapInArrow(pack, "id long, packed binary, scale float"), "nodes")
+    n, scale = nodes.agg(F.count("*"), F.max("scale")).first()
     asked = usable.where("asks").select("vec_id", "v").join(reps.select("v", "id"), "v").select(F.col("vec_id").alias("query_id"), "id")
     asked = materialize(asked, "queries")
     graph = build_graph(nodes, dims, degree, rounds=rounds)
-    queries = materialize(nodes.join(asked.select("id").distinct(), "id"), "query-nodes")
-    found = _best(search(graph, nodes, queries, dims, width), "id", finals + 1).select("id", "other")
+    queries = materialize(nodes.join(asked.select("id").distinct(), "id").select("id", "packed"), "query-nodes")
+    found = search(graph, nodes, queries, dims, width or max(WIDTH, int(n**0.5)))
+    # Both vectors of a score are off by up to sqrt(dims) * scale / 2: what cannot be among the nearest is not scored anew.
+    by_score = W.partitionBy("id").orderBy(F.desc("score"), "other")
+    least = F.min(F.when(F.col("_k") <= k + 1, F.col("score"))).over(W.partitionBy("id")) - 2.0 * dims**0.5 * float(scale) - 1e-5
+    found = found.withColumn("_k", F.row_number().over(by_score)).withColumn("least", least).where("score >= least").select("id", "other")
     pairs = asked.join(found.unionByName(queries.select("id", F.col("id").alias("other"))).distinct(), "id")
     exact = pairs.join(reps.select("id", F.col("v").alias("a")), "id").join(reps.select(F.col("id").alias("other"), F.col("v").alias("b"), "ids"), "other")
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)

@@ -17,13 +17,15 @@ a block has nothing of gets no row. An n-gram is told by 64 bits of hash: of
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 ORDER = 3
 ALPHA = 0.4
@@ -32,6 +34,8 @@ BLOCK_BYTES = 4 << 20
 #: N-grams of a range of hashes, about, and the orders that are counted without asking for shorter ones first.
 BUCKET_GRAMS = 2_000_000
 FREE = 2
+#: Parts of the blocks that meet their totals one after the other.
+WAVES = 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -232,15 +236,23 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
     # What a range of one order holds is bounded; of an n-gram a block has one, so a frequent one is no burden.
     buckets = int(words // BUCKET_GRAMS) + 1
     reply = "block long, n int, bucket int, totals array<long>"
-    known = None
+    waves = [F.pmod(F.xxhash64("block"), F.lit(WAVES)) == w for w in range(WAVES)]
+    known = []
     for n in range(min(order, FREE), order + 1):
         if n <= FREE:
-            asked = blocks.mapInArrow(_ask(list(range(1, n + 1)), buckets), _ROWS)
+            asked = [blocks.mapInArrow(_ask(list(range(1, n + 1)), buckets), _ROWS)]
         else:
-            asked = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_ask_again(n, buckets), _ROWS)
-        fresh = materialize(asked.groupBy("n", "bucket").applyInArrow(_answer(min_count), reply), "totals")
-        known = fresh if known is None else known.unionByName(fresh)
-    scored = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_sum(order, words, alpha), f"doc_id {kind}, n_words long, lm_score double")
+            # A wave of blocks at a time meets its totals, so that not all of them are on the way at once.
+            so_far = reduce(DataFrame.unionByName, known)
+            asked = [materialize(blocks.where(w).groupBy("block").cogroup(so_far.where(w).groupBy("block")).applyInArrow(_ask_again(n, buckets), _ROWS), "asked") for w in waves]
+        known.append(materialize(reduce(DataFrame.unionByName, asked).groupBy("n", "bucket").applyInArrow(_answer(min_count), reply), "totals"))
+        if n > FREE:
+            discard(*asked)
+    totals = reduce(DataFrame.unionByName, known)
+    summed = f"doc_id {kind}, n_words long, lm_score double"
+    scored = [materialize(blocks.where(w).groupBy("block").cogroup(totals.where(w).groupBy("block")).applyInArrow(_sum(order, words, alpha), summed), "scores") for w in waves]
+    discard(blocks, *known)
+    scored = reduce(DataFrame.unionByName, scored)
     return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("lm_score") / F.col("n_words")))
 
 

@@ -362,6 +362,58 @@ def test_nearest_edges(spark):
     assert neighbours.nearest(two.limit(0), F.lit(True)).count() == 0
 
 
+def brute_nearest(rows, queries, k=5):
+    ids = np.array([r[0] for r in rows])
+    x = np.array([r[1] for r in rows], float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in queries:
+        s = x @ x[np.flatnonzero(ids == q)[0]]
+        out[q] = [int(ids[i]) for i in np.lexsort((ids, -np.round(s, 12))) if ids[i] != q][:k]
+    return out
+
+
+def recall(got, want):
+    found: dict = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(found) == set(want)
+    return sum(len(found[q] & set(w)) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_nearest_extreme_sizes(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1e200]), (2, [5e-324, 5e-324]), (3, [0.0, 1e-160]), (4, [1.7e308, -1.7e308]), (5, [1.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("v", "id", "packed", "Asks")})
+    got = {(r.query_id, r.vec_id): r.score for r in neighbours.nearest(d, F.col("vec_id") >= 0).collect()}
+    assert got[0, 5] == 1.0 and got[1, 2] == pytest.approx(1.0) and got[0, 3] == 0.0 and got[1, 4] == 0.0 and len(got) == 30
+
+
+def test_nearest_narrow_walk(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(5000, 32)).tolist())]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, F.col("vec_id") % 50 == 0, width=64).collect()
+    assert recall(got, brute_nearest(rows, range(0, 5000, 50))) >= 0.9
+
+
+def test_nearest_clusters_of_near_copies(spark):
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + 1e-4 * rng.normal(size=16)).tolist()) for i in range(1800)] + [(1800 + i, rng.normal(size=16).tolist()) for i in range(200)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, F.col("vec_id") % 50 == 0).collect()
+    assert recall(got, brute_nearest(rows, range(0, 2000, 50))) >= 0.95
+
+
+def test_walks_that_do_not_end_are_errors(spark):
+    d = spark.createDataFrame([(i, float(np.cos(i / 99)), float(np.sin(i / 99))) for i in range(100)], "id long, x double, y double")
+    packed = spark.createDataFrame([(r.id, bytearray(neighbours._pack(np.array([[r.x, r.y]]))[0])) for r in d.collect()], "id long, packed binary")
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(99)], "id long, other long, score float")
+    with pytest.raises(RuntimeError, match="did not end"):
+        neighbours.search(chain, packed, packed.where("id = 0"), 2, width=50, step=1, most_hops=3)
+
+
 def test_repeats_brute(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"t{i}" for i in range(50)]
