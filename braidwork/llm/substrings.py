@@ -22,6 +22,7 @@ in all, so that no words cross the network to be compared.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -216,23 +217,21 @@ def compacted(segments: DataFrame) -> DataFrame:
     into = segments.groupBy("right").agg(F.count("*").alias("n"), F.first(one).alias("a")).where("n = 1").select(F.col("right").alias("node"), "a")
     out = segments.groupBy("left").agg(F.count("*").alias("m"), F.first(one).alias("b")).where("m = 1").select(F.col("left").alias("node"), "b")
     links = into.join(out, "node").select("b.seg", "b.sure", F.struct("a.seg", "a.sure").alias("up"), F.col("a.size").cast("long").alias("dist"))
-    links = materialize(links, "links")
-    state, left = links, None
-    while state.limit(1).count():
-        # Open are those whose way up has not come to a segment without a link.
-        far = state.select(F.struct("seg", "sure").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
+    state = materialize(links, "links")
+    closed, left = [], None
+    while True:
+        # Open are those whose way up has not come to a segment without a link; closed ones are written once.
+        known = reduce(DataFrame.unionByName, [*closed, state])
+        far = known.select(F.struct("seg", "sure").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
         done = state.join(far, "up", "left").select("seg", "sure", F.coalesce("next", "up").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("next").isNotNull().alias("open"))
         fresh = materialize(done, "doubled")
-        still = fresh.where("open").count()
-        discard(state)
-        state = fresh.drop("open")
-        state._written_at = fresh._written_at
-        if not still:
-            break
-        if still == left:  # rings only
-            state = fresh.where("NOT open").drop("open")
+        closed.append(fresh.where("NOT open").drop("open"))
+        state = fresh.where("open").drop("open")
+        still = state.count()
+        if not still or still == left:  # those left lie on rings
             break
         left = still
+    state = reduce(DataFrame.unionByName, closed)
     heads = state.select("seg", "sure", F.col("up").alias("head"), F.col("dist").alias("offset"))
     both = segments.select("seg", "sure").join(heads, ["seg", "sure"], "left")
     return both.select("seg", "sure", F.coalesce("head", F.struct("seg", "sure")).alias("head"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
