@@ -143,7 +143,8 @@ def chunks(text: Column, size: int = 200, least_cut: int = 350, least: int = 5,
 
     A chunk is cut back to its last ``. ? !`` or newline if that stands after
     ``least_cut`` characters; newlines become spaces, chunks of ``least``
-    characters or fewer go. Tokens here are runs of non-space with the space
+    characters or fewer go, and so does what follows ``most`` chunks, a limit
+    of the operator. Tokens here are runs of non-space with the space
     before them, so joined tokens give the text again.
     """
     pieces = F.regexp_extract_all(text, F.lit(r"\s*\S+"), F.lit(0))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from braidwork.functions.text import words
+
 
 def greedy(messages: DataFrame, budget: int, assistant_weight: int = 2) -> DataFrame:
     """(conv, turn): the newest messages that fit; one that does not is skipped and older ones are still tried.
@@ -105,6 +107,27 @@ def speaker(role: Column) -> Column:
     return out
 
 
+def novelty(messages: DataFrame) -> DataFrame:
+    """(conv, turn, novelty): each message (conv, turn, text) against all texts before it, as ``functions.text.novelty`` defines it.
+
+    Distinct words are counted where they come first in a conversation, so
+    what a turn compares with is a running count and no copy of the history.
+    """
+    rows = messages.select("conv", "turn", "text")
+    each = rows.select("conv", "turn", F.explode(words(F.lower("text"))).alias("word"))
+    seen = each.groupBy("conv", "turn", "word").agg(F.count("*").alias("times"))
+    seen = seen.withColumn("fresh", F.col("turn") == F.min("turn").over(W.partitionBy("conv", "word")))
+    counts = seen.groupBy("conv", "turn").agg(F.count("*").alias("n"), F.sum("times").alias("size"), F.count_if("fresh").alias("fresh"))
+    before = W.partitionBy("conv").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    running = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(before), F.lit(0))
+    j = rows.join(counts, ["conv", "turn"], "left").withColumns({"m": running("fresh"), "k": running("size"), "n": F.coalesce("n", F.lit(0))})
+    overlap = F.col("n") - F.coalesce("fresh", F.lit(0))
+    both = F.col("n") + F.col("m")
+    damp = F.greatest(1 - F.col("k") / 5, F.lit(0.2)) * F.greatest(F.col("n") / 5, F.lit(0.2))
+    value = (1 - 2 * overlap / F.greatest(both, F.lit(1))) * damp
+    return j.select("conv", "turn", F.when(both == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("novelty"))
+
+
 def buffer(messages: DataFrame) -> DataFrame:
     """(conv, buffer): "name: text" lines in order."""
     lines = F.array_sort(F.collect_list(F.struct("turn", F.concat(speaker(F.col("role")), F.lit(": "), F.col("text")).alias("line"))))

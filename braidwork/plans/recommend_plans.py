@@ -33,8 +33,7 @@ def recommend_items(spark, d):
 
 
 def user_type_jaccard(spark, d):
-    o = _owned(spark, d)
-    return R.similar(R.jaccard(o), o.select("user").distinct())
+    return R.similar_by_types(_owned(spark, d))
 
 
 def recommend_cards(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as X
+from braidwork.operators import history as H
 from braidwork.sources.tables import table
 
 
@@ -57,15 +58,8 @@ def token_stats(spark, d):
 
 def novelty_factor(spark, d):
     """Each turn against all turns before it."""
-    c = table(spark, d, "conversations")
-    w = X.F.array_join(F.collect_list("text").over(_before()), " ")
-    return c.select("conv_id", "turn", F.round(X.novelty(F.col("text"), w), 6).alias("novelty"))
-
-
-def _before():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("conv"), "turn", "text")
+    return H.novelty(c).select(F.col("conv").alias("conv_id"), "turn", F.round("novelty", 6).alias("novelty"))
 
 
 def truncate_prompt(spark, d):
@@ -135,6 +129,12 @@ e AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) AS i FROM s),
 c AS (SELECT doc_id, x, i, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS total FROM e),
 k AS (SELECT *, bool_and(total < 500) OVER (PARTITION BY doc_id ORDER BY i) AS ok FROM c)
 SELECT d.doc_id, md5(coalesce(string_agg(x || '.', '' ORDER BY i) FILTER (WHERE ok), '')) AS digest FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""",
+    "chunk_texts": r"""WITH RECURSIVE w AS (SELECT doc_id, 0 AS k, text AS r, '' AS h FROM documents WHERE text IS NOT NULL UNION ALL
+SELECT doc_id, k + 1, CASE WHEN whole <> '' THEN substr(r, length(head) + 1) END, CASE WHEN whole <> '' THEN head ELSE regexp_replace(r, '\s+$', '') END
+FROM (SELECT doc_id, k, r, whole, CASE WHEN length(whole) - length(tail) > 350 THEN left(whole, length(whole) - length(tail)) ELSE whole END AS head
+ FROM (SELECT doc_id, k, r, whole, regexp_extract(whole, '[^.?!\n]*$') AS tail FROM (SELECT doc_id, k, r, regexp_extract(r, '^\s*\S+(?:\s+\S+){199}') AS whole FROM w WHERE r IS NOT NULL)))),
+t AS (SELECT doc_id, k, regexp_replace(replace(h, chr(10), ' '), '^\s+|\s+$', '', 'g') AS t FROM w WHERE k > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS chunk, CAST(length(t) AS INT) AS chars FROM t WHERE length(t) > 5 QUALIFY chunk < 10000""",
     "content_lengths": r"SELECT conv_id, list(CAST(len(string_split(text, chr(10) || chr(10))) AS INT) ORDER BY turn) AS lengths FROM conversations GROUP BY conv_id",
     "to_epoch": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(epoch(o_orderdate) AS BIGINT) ELSE 0 END AS epoch FROM orders",
     "time_titles": "SELECT event_id, strftime(ts, '%m-%d-%Y-%H-%M-%S') AS title FROM events",

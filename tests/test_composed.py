@@ -217,3 +217,26 @@ def test_written_and_discarded(spark):
     assert kept.count() == 3
     with pytest.raises(Exception, match="(?i)path|exist"):
         df.count()
+
+
+def test_similar_by_types_is_jaccard(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(recommend, "BLOCK_USERS", 7)
+    monkeypatch.setattr(recommend, "TILE_TYPES", 5)
+    random.seed(5)
+    owned = spark.createDataFrame([(u, t) for u in range(40) for t in random.sample(range(25), random.randrange(1, 12))] + [(40, 99), (41, None)], "user long, type int")
+    want = recommend.similar(recommend.jaccard(owned), owned.select("user").distinct(), 4)
+    rows = lambda df: sorted((r.user, r["rank"], r.other, r.similarity) for r in df.collect())
+    assert rows(recommend.similar_by_types(owned, 4)) == rows(want)
+
+
+def test_novelty_counts(spark):
+    from pyspark.sql import Window as W
+
+    rows = [("c", 0, "A b a"), ("c", 1, ""), ("c", 2, "b B c"), ("c", 3, None), ("c", 4, "x y z q w e"), ("d", 0, ""), ("d", 5, "a")]
+    df = spark.createDataFrame(rows, "conv string, turn int, text string")
+    past = F.array_join(F.collect_list("text").over(W.partitionBy("conv").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)), " ")
+    want = {(r.conv, r.turn): r.x for r in df.select("conv", "turn", X.novelty(F.coalesce("text", F.lit("")), past).alias("x")).collect()}
+    got = {(r.conv, r.turn): r.novelty for r in history.novelty(df).collect()}
+    assert got == pytest.approx(want)
