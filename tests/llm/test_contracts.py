@@ -1,6 +1,7 @@
 """The ten operators against SQL or brute force on the generated tables."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -8,7 +9,8 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from braidwork.llm import queries
+from braidwork.llm import quality, queries
+from braidwork.llm.common import table
 from tests.oracle import DATA, compare, rows_of_sql
 
 
@@ -112,3 +114,61 @@ def test_substring_digest_of_untouched(spark):
     for r in queries.QUERIES["op10_substring_dedup"](spark, DATA).collect():
         if not r.n_removed:
             assert r.kept_sha256 == hashlib.sha256(b" ".join((text[r.doc_id] or "").encode().split())).hexdigest()
+
+
+def plain_statistics(text: str) -> list[float]:
+    """The statistics, counted in plain loops over characters and words."""
+    raw = text.encode()
+    words, n = raw.split(), len(raw)
+    k = max(len(words), 1)
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / max(n, 1)
+    log = lambda x: math.log1p(1000 * x)
+    sizes = [len(w) for w in words] or [0]
+    mean = sum(sizes) / len(sizes)
+    thirds = {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    return [
+        math.log1p(len(words)), mean, math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes)), math.log1p(max(sizes)), share(range(65, 91)), share(range(97, 123)),
+        log(share(range(48, 58))), share(range(128, 256)), log(share(b".,;:'\"-()?")), log(share(b"!#$%&*@^~|<>{}[]\\/=+_`")), log(share(b"!")), log(share(b"|")),
+        len(set(words)) / k, max((words.count(w) for w in set(words)), default=0) / k, sum(a == b for a, b in zip(words, words[1:])) / k,
+        min(1.0, (len(thirds) if len(words) > 2 else k) / max(k - 2, 1)), log(len(lines) / max(len(words), 1)), len(set(lines)) / max(len(lines), 1),
+    ]
+
+
+def plain_isotonic(x, y, w):
+    """The monotone fit by its min-max formula, at each x."""
+    mean = lambda a, b: sum(y[i] * w[i] for i in range(a, b + 1)) / sum(w[a : b + 1])
+    return [max(min(mean(a, b) for b in range(i, len(x))) for a in range(i + 1)) for i in range(len(x))]
+
+
+def test_quality_brute(spark):
+    """Statistics, weights, calibration and scores of op3 against plain computation on all rows."""
+    _, docs = rows_of_sql("SELECT doc_id, text FROM documents", DATA)
+    text = {i: t or "" for i, t in docs}
+    for t in [*list(text.values())[:40], "", "   ", "a a a", "!|\n\nx", "é" * 50]:
+        assert quality.statistics(t.encode()) == pytest.approx(plain_statistics(t))
+    _, labels = rows_of_sql("SELECT doc_id, avg(quality) FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id", DATA)
+    part = lambda i: zlib.crc32(str(i).encode()) % 4
+    rows = [(i, np.array(quality.statistics(text[i].encode())), y) for i, y in labels if i in text and part(i) != 2]
+    x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    held = np.array([part(r[0]) == 3 for r in rows])
+    spread = x.std(axis=0)
+    model = quality.Model(x.mean(axis=0), np.where(spread > 1e-9, spread, 1.0), 7)
+    z = model.expand(x[~held])
+    width = z.shape[1]
+    penalty = 1e-3 * len(z) / width * np.diag([1.0] * (width - 1) + [0.0]) + 1e-9 * np.eye(width)
+    model.weights = np.linalg.solve(z.T @ z + penalty, z.T @ y[~held])
+    bins = np.rint(np.clip(model.raw(x[held]), -1, 2) * quality.BINS)
+    at = sorted(set(bins))
+    means, sizes = [y[held][bins == b].mean() for b in at], [int((bins == b).sum()) for b in at]
+    fitted = plain_isotonic(at, means, sizes)
+    got = quality.fit(table(spark, DATA, "documents").select("doc_id", "text"), table(spark, DATA, "labels"))
+    assert np.allclose(got.weights, model.weights, rtol=1e-3, atol=1e-4)
+    for level in set(fitted):  # each level of the fit is one point, at the mean place of its bins
+        block = [k for k, f in enumerate(fitted) if f == level]
+        place = sum(at[k] * sizes[k] for k in block) / sum(sizes[k] for k in block) / quality.BINS
+        assert min(abs(px - place) + abs(py - level) for px, py in zip(*got.points)) < 5e-3
+    model.points = got.points
+    want = dict(zip(text, model.score(np.array([quality.statistics(t.encode()) for t in text.values()]))))
+    for r in queries.QUERIES["op3_quality_classifier"](spark, DATA).collect():
+        assert r.score == pytest.approx(want[r.doc_id], abs=5e-3)
