@@ -53,3 +53,25 @@ def run(df: DataFrame, steps: list[Step]) -> DataFrame:
 
 encoders = Registry("encoder")
 generators = Registry("generator")
+distances = Registry("distance")
+groupings = Registry("grouping")
+
+
+def register_defaults() -> None:
+    """The library's own strategies; callers add theirs under other names."""
+    from braidwork.functions import vectors
+    from braidwork.operators import paths
+
+    for name in ("cosine", "dot", "euclid"):
+        if name not in distances.found:
+            distances.register(name, getattr(vectors, name))
+    if "clusters" not in groupings.found:
+        groupings.register("clusters", paths.grouped_terms)
+
+
+def between(df: DataFrame, a: str, b: str, name: str, out: str = "distance") -> DataFrame:
+    """``df`` with the registered distance ``name`` of two columns of vectors."""
+    register_defaults()
+    from pyspark.sql import functions as F
+
+    return df.withColumn(out, distances.get(name)(F.col(a), F.col(b)))

@@ -47,3 +47,15 @@ def test_registry(spark):
     assert r.after("b") == "a"
     steps = [Step(2, "filter", lambda df: F.length("s") > 2), Step(1, "map", lambda df: df.withColumn("s", F.concat("s", F.lit("!")))), Step(0, "filter", lambda df: F.lit(False), enabled=False)]
     assert [x.s for x in run(spark.createDataFrame([("a",), ("bc",)], "s string"), steps).collect()] == ["bc!"]
+
+
+def test_strategies(spark):
+    from braidwork.functions import registry
+
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0])], "a array<double>, b array<double>")
+    assert registry.between(df, "a", "b", "cosine").first().distance == 0 and registry.between(df, "a", "b", "euclid").first().distance == 5**0.5
+    registry.distances.register("taxi", lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x))
+    try:
+        assert registry.between(df, "a", "b", "taxi").first().distance == 3
+    finally:
+        registry.distances.unregister("taxi")

@@ -30,3 +30,37 @@ def test_sessions(spark):
 def test_visible(spark):
     t = spark.createDataFrame([("a",), (" ",), ("\n",), (None,)], "token string")
     assert visible(t).count() == 1
+
+
+def test_observers(spark, tmp_path):
+    import time
+
+    from braidwork.streaming.events import Progress, drained, fan_out, timed
+
+    for part in ([("a", 1)], [("b", 2), ("c", 3)]):
+        spark.createDataFrame(part, "run string, seq int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("run string, seq int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen, errors, times = [], [], []
+
+    def bad(batch, number):
+        raise ValueError("no")
+
+    handlers = {"count": lambda batch, number: seen.append(batch.count()), "bad": bad, "mute": lambda batch, number: seen.append(-1), "timed": timed(lambda b: b.where("seq > 1"), times, "step")}
+    listener = Progress()
+    spark.streams.addListener(listener)
+    q = drained(stream, 0.2).foreachBatch(fan_out(handlers, ("mute",), lambda *e: errors.append(e))).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for _ in range(150):
+            if len(times) == 2:
+                break
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    for _ in range(50):
+        if any(r[1] == "end" for r in listener.seen):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert sorted(seen) == [1, 2] and [(e[0], str(e[2])) for e in errors] == [("bad", "no")] * 2 and len(times) == 2
+    rows = listener.rows(spark).collect()
+    assert [r.event for r in rows][0] == "start" and rows[-1].event == "end" and sum(r.rows or 0 for r in rows) == 3
