@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import materialize, maybe_broadcast, table, without
 
 #: (host, path, verdict)
 RULES = (
@@ -64,10 +64,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     urls = urls.withColumn("digest", digest("made")).withColumn("short", F.substring("digest", 1, SHORT))
     known = known.withColumn("full", digest("rule")).withColumn("short", F.substring("full", 1, SHORT))
     won = F.max(F.struct(F.length("rule"), "hosts", (F.col("verdict") == "block").alias("block"), "rule", "verdict")).alias("won")
-    best = urls.join(known.select("short", "full", "rule", "verdict", "hosts"), "short").where("digest = full").groupBy("host", "path").agg(won)
-    return kept.join(best, ["host", "path"], "left").select(
-        *[c for c in kept.columns], F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict")
-    )
+    # Where rules are too many to broadcast, a short rule's expression is the key of very many urls, which adaptive execution splits.
+    known = maybe_broadcast(materialize(known.select("short", "full", "rule", "verdict", "hosts"), "rules"), 100_000)
+    best = materialize(urls.join(known, "short").where("digest = full").groupBy("host", "path").agg(won), "verdicts")
+    told = lambda rows, rule, verdict: rows.select(*kept.columns, rule.alias("rule"), verdict.alias("verdict"))
+    fits = kept.where("host != ''").join(maybe_broadcast(best, 200_000), ["host", "path"], "left")
+    # Urls without a host fit no rule and need not meet in a join.
+    return told(fits, F.col("won.rule"), F.coalesce("won.verdict", F.lit(default))).unionByName(told(kept.where("host = ''"), F.lit(None).cast("string"), F.lit(default)))
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
