@@ -393,6 +393,8 @@ SELECT parent, row_number() OVER (PARTITION BY parent ORDER BY pos) - 1 AS pos,
     "tree_merged_pair": f"""WITH {_N}, x AS (SELECT conv, id, parent, ordinal FROM n WHERE conv % 2 = 0 UNION ALL SELECT conv - 1, id + 1000, coalesce(parent + 1000, (SELECT min(id) FROM n r WHERE r.conv = n.conv - 1 AND r.parent IS NULL)), CASE WHEN parent IS NULL THEN 2147483648 ELSE ordinal END FROM n WHERE conv % 2 = 1)
 SELECT conv, id, parent, {_RANK} AS ordinal FROM x""",
     "tree_json_round_trip": f"WITH {_N} SELECT conv, id, parent, role, md5(text) AS digest FROM n",
+    "merkle_levels": """WITH RECURSIVE l AS (SELECT p_brand AS tree, 0 AS level, count(*) AS nodes FROM part GROUP BY p_brand UNION ALL SELECT tree, level + 1, (nodes + 1) // 2 FROM l WHERE nodes > 1)
+SELECT tree, CAST(level AS INT) AS level, nodes FROM l""",
     "card_links": "SELECT s_suppkey, 'https://cards.example/realm/' || s_nationkey || '/' || s_suppkey AS link, s_nationkey || '-' || s_suppkey AS design FROM supplier",
     "technique_descriptor": "SELECT conv_id, string_agg(role, chr(10) || ' ' ORDER BY turn) AS descriptor FROM conversations GROUP BY conv_id",
     "story_special": "SELECT conv_id AS run, md5(string_agg(role || CASE WHEN turn % 3 < 2 THEN chr(10) || chr(10) ELSE chr(10) END, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
