@@ -58,9 +58,8 @@ def test_chains_and_stars(spark, monkeypatch):
             i += 1
     want = brute_kept(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for stars in (0, 6):
-        monkeypatch.setattr(similar, "STARS", stars)
-        monkeypatch.setattr(similar, "PAIRS", 0)
+    for cell in (4096, 7):
+        monkeypatch.setattr(similar, "CELL", cell)
         assert {r.doc_id for r in similar.keep_one(docs).collect()} == want
 
 
@@ -78,3 +77,34 @@ def test_other_radii_are_refused(spark):
             simhash.near(prints, simhash.planes(prints), 4, radius)
         with pytest.raises(ValueError):
             simhash.links(spark.createDataFrame([(1,)], "fp long"), radius)
+
+
+def test_candidates_lose_no_pair():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(300)[int(rng.integers(0, 120)) :]], rng.integers(0, 2**63, int(rng.integers(0, 60)), dtype=np.uint64)])) for _ in range(150)]
+    bits = np.array([np.frombuffer(np.packbits(np.bincount((h % np.uint64(similar.BITS)).astype(np.int64), minlength=similar.BITS) & 1).tobytes(), np.uint64) for h in sets])
+    n, fp, side = np.array([len(h) for h in sets]), np.arange(150) * 7, np.arange(150) % 2
+    both = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    true = {(7 * i, 7 * j) for i in range(150) for j in range(i + 1, 150) if both[i][j] >= 0.8 * (n[i] + n[j] - both[i][j]) - 1e-9}
+    found = set(similar.candidates(fp, n, bits, fp, side * 0, 0.8, False))
+    assert true <= found and len(found) < 2 * len(true)
+    across = set(similar.candidates(fp, n, bits, fp, side, 0.8, False))
+    assert across == {p for p in found if side[p[0] // 7] != side[p[1] // 7]}
+    span = similar.candidates(fp, n, bits, fp, side * 0, 0.8, True)
+    assert set(span) <= found and len(span) < 150
+    group = simhash_groups(found)
+    assert group == simhash_groups(span)
+
+
+def simhash_groups(pairs):
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {x: root(x) for x in sorted(parent)}
