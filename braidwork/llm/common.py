@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from braidwork.sources.shared import discard, shared_dir
 from braidwork.sources.shared import written as materialize
 
-__all__ = ["BROADCAST_ROWS", "SPACE_WORD", "discard", "materialize", "maybe_broadcast", "sampled", "shared_dir", "table", "without"]
+__all__ = ["BROADCAST_ROWS", "SPACE_WORD", "discard", "materialize", "maybe_broadcast", "ranked", "sampled", "shared_dir", "table", "without"]
 
 #: Words by ASCII white space only.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +34,24 @@ def sampled(key: Column, rate: float, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) < F.lit(int(rate * (1 << 53)))
 
 
+def ranked(df: DataFrame, order: list, name: str, folder: str) -> DataFrame:
+    """``df``, written out, with ``name``: the place of each row, from 1, in an order over all rows.
+
+    Spark sorts by ranges; a row's place is its place in its range and the
+    number of rows in all ranges before, so that no task holds them all.
+    """
+    sorted_ = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(sorted_.withColumn("_range", F.shiftright("_at", 33)), folder)
+    ranges = placed.groupBy("_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).orderBy("_range").collect()  # one row a partition
+    before, starts = 0, []
+    for r in ranges:
+        starts.append((r["_range"], r["_first"], before))
+        before += r["_n"]
+    known = placed.sparkSession.createDataFrame(starts, "_range long, _first long, _before long")
+    place = F.col("_at") - F.col("_first") + F.col("_before") + 1
+    return placed.join(F.broadcast(known), "_range").withColumn(name, place).drop("_at", "_range", "_first", "_before")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns of these names in any case, so that new columns never clash."""
     gone = {n.lower() for n in names}

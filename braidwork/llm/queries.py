@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, neighbours, quality, scoring, secrets, simhash, substrings, urls
+from . import decontaminate, language, mixing, neighbours, quality, resample, scoring, secrets, simhash, substrings, urls
 
 QUERIES = {
     "op1_lm_scoring": scoring.op1_lm_scoring,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_importance_resampling": resample.op11_importance_resampling,
 }
 SQL = {
     "op1_lm_scoring": scoring.OP1_SQL,
@@ -23,4 +24,5 @@ SQL = {
     "op8_benchmark_decontamination": decontaminate.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
     "op10_substring_dedup": substrings.OP10_SQL,
+    "op11_importance_resampling": resample.OP11_SQL,
 }
