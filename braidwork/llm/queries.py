@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, neighbours, quality, resample, scoring, secrets, simhash, substrings, urls
+from . import centroids, decontaminate, language, mixing, neighbours, quality, resample, scoring, secrets, simhash, substrings, urls
 
 QUERIES = {
     "op1_lm_scoring": scoring.op1_lm_scoring,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op11_importance_resampling": resample.op11_importance_resampling,
+    "op12_centroid_clustering": centroids.op12_centroid_clustering,
 }
 SQL = {
     "op1_lm_scoring": scoring.OP1_SQL,
@@ -25,4 +26,5 @@ SQL = {
     "op9_mix_sources": mixing.OP9_SQL,
     "op10_substring_dedup": substrings.OP10_SQL,
     "op11_importance_resampling": resample.OP11_SQL,
+    "op12_centroid_clustering": centroids.OP12_SQL,
 }
