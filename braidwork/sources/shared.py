@@ -47,5 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` returned. Nothing may read them any more: what was made of them must be written itself."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._written_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of its file system, for readers that do not know Spark's default one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
