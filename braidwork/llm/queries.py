@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontaminate, language, mixing, neighbours, quality, resample, scoring, secrets, simhash, substrings, urls
+from . import centroids, decontaminate, language, mixing, neighbours, quality, resample, scoring, secrets, simhash, substrings, urls, warc
 
 QUERIES = {
     "op1_lm_scoring": scoring.op1_lm_scoring,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op11_importance_resampling": resample.op11_importance_resampling,
     "op12_centroid_clustering": centroids.op12_centroid_clustering,
+    "op13_warc": warc.op13_warc,
 }
 SQL = {
     "op1_lm_scoring": scoring.OP1_SQL,
@@ -27,4 +28,5 @@ SQL = {
     "op10_substring_dedup": substrings.OP10_SQL,
     "op11_importance_resampling": resample.OP11_SQL,
     "op12_centroid_clustering": centroids.OP12_SQL,
+    "op13_warc": warc.OP13_SQL,
 }
