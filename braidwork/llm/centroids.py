@@ -227,7 +227,8 @@ def cluster(vectors: DataFrame, vector: str = "embedding", k: int = K, rounds: i
     per = labelled.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia")).join(names, "cluster").collect()  # at most k rows
     known = [(r["cluster"], r["cluster_inertia"], sum(q["cluster_inertia"] for q in per), r["centroid_sha256"]) for r in per]
     known = vectors.sparkSession.createDataFrame(known, "_cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
-    return labelled.join(F.broadcast(known), F.col("cluster") == F.col("_cluster")).drop("_cluster")
+    whole = labelled.select(F.struct("*").alias("_row")).join(F.broadcast(known), F.col("_row.cluster") == F.col("_cluster"))
+    return whole.select("_row.*", "cluster_inertia", "inertia", "centroid_sha256")
 
 
 def op12_centroid_clustering(spark, sf_dir: str) -> DataFrame:

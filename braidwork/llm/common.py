@@ -40,7 +40,7 @@ def ranked(df: DataFrame, order: list, name: str, folder: str) -> DataFrame:
     Spark sorts by ranges; a row's place is its place in its range and the
     number of rows in all ranges before, so that no task holds them all.
     """
-    sorted_ = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    sorted_ = df.orderBy(*order).select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_at"))
     placed = materialize(sorted_.withColumn("_range", F.shiftright("_at", 33)), folder)
     ranges = placed.groupBy("_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).orderBy("_range").collect()  # one row a partition
     before, starts = 0, []
@@ -49,7 +49,7 @@ def ranked(df: DataFrame, order: list, name: str, folder: str) -> DataFrame:
         before += r["_n"]
     known = placed.sparkSession.createDataFrame(starts, "_range long, _first long, _before long")
     place = F.col("_at") - F.col("_first") + F.col("_before") + 1
-    return placed.join(F.broadcast(known), "_range").withColumn(name, place).drop("_at", "_range", "_first", "_before")
+    return placed.join(F.broadcast(known), "_range").select("_row.*", place.alias(name))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
