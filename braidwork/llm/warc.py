@@ -421,10 +421,19 @@ def register(spark: SparkSession) -> None:
     spark.conf.set(PUSHDOWN, "true")
 
 
-def read_warc(spark: SparkSession, path: str, columns: str = RECORD) -> DataFrame:
-    """Records of a file or folder; ``columns``, some of those of RECORD, decides whether payloads are decoded."""
+def read_warc(spark: SparkSession, path: str, columns: str = RECORD, where: str | None = None) -> DataFrame:
+    """Records of a file or folder that meet the condition ``where``; ``columns``, some of those of RECORD, decides whether payloads are decoded.
+
+    Read anew for each condition: Spark 4.1 keeps what was pushed down with
+    the relation, so two conditions on one relation inside one query would
+    both read what the last of them asks for. Every record has a type; that
+    condition makes sure that a later query on the relation pushes its own.
+    """
     register(spark)
-    return spark.read.format("warc").schema(columns).load(qualified(spark, path))
+    asked = T._parse_datatype_string(columns)
+    typed = asked if "record_type" in asked.names else T.StructType([*asked.fields, T.StructField("record_type", T.StringType())])
+    found = spark.read.format("warc").schema(typed).load(qualified(spark, path)).where("record_type IS NOT NULL")
+    return (found.where(where) if where else found).select(*asked.names)
 
 
 def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
@@ -478,9 +487,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     read. Of revisits only headers are parsed.
     """
     number = lambda c: F.nullif(key_of(F.col(c)), F.lit("")).cast("long")
-    kept = read_warc(spark, path, "record_id string, record_type string, payload binary, computed_digest string").where("record_type = 'response'")
+    kept = read_warc(spark, path, "record_id string, record_type string, payload binary, computed_digest string", "record_type = 'response'")
     kept = kept.select(number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("computed_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = read_warc(spark, path, "record_id string, record_type string, payload_length long, payload_digest string, refers_to string").where("record_type = 'revisit'")
+    again = read_warc(spark, path, "record_id string, record_type string, payload_length long, payload_digest string, refers_to string", "record_type = 'revisit'")
     again = again.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
     return kept.unionByName(again)
 
