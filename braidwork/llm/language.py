@@ -39,6 +39,8 @@ SCRIPTS = (
 _STARTS = [s for s, _ in SCRIPTS]
 FLOOR = -8.0
 BARRED = -16.0
+#: Scores of words are counted in such parts of a natural logarithm.
+UNIT = 1 << 16
 
 
 def script(letter: str) -> str:
@@ -98,20 +100,25 @@ class Model:
         order = np.argsort(keys)
         self.keys = keys[order]
         known = np.array(list(counts.values())).reshape(-1, len(at))[order]
-        self.logs = np.log((np.vstack([known, np.zeros(len(at))]) + smooth) / totals).astype(np.float32)  # the last row is for n-grams not seen
+        self.logs = np.log((np.vstack([known, np.zeros(len(at))]) + smooth) / totals)  # the last row is for n-grams not seen
         seen = sum(scripts.values(), np.zeros(len(at)))
         fits = {s: c >= least_share * seen for s, c in scripts.items()}
         none = np.ones(len(at), bool)
-        self.scripts = np.array([np.where(fits[s] if s in fits and fits[s].any() else none, 0.0, BARRED) for _, s in SCRIPTS], np.float32)
+        barred = round(BARRED * UNIT)
+        self.scripts = np.array([np.where(fits[s] if s in fits and fits[s].any() else none, 0, barred) for _, s in SCRIPTS], np.int32)
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Log scores of words by language: normalized, and no worse than FLOOR but for languages that lack the word's script."""
-        out = [np.zeros((0, len(self.langs)), np.float32)]
+        """Log scores of words by language: normalized, and no worse than FLOOR but for languages that lack the word's script.
+
+        They are whole numbers of 1 / UNIT, so that sums of them, and with
+        them ties between labels, are the same on every machine.
+        """
+        out = [np.zeros((0, len(self.langs)), np.int32)]
         for i in range(0, len(words), 8192):
             part = words[i : i + 8192]
             marked = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
             sizes = np.fromiter(map(len, part), np.int64, len(part))
-            total = np.zeros((len(part), len(self.langs)), np.float32)
+            total = np.zeros((len(part), len(self.langs)))
             for key, owner in _keys(marked, np.repeat(np.arange(len(part)), sizes)):
                 if not len(key):
                     continue
@@ -123,7 +130,7 @@ class Model:
             total = np.maximum(total - np.log(np.exp(total).sum(axis=1, keepdims=True)), FLOOR)
             first = np.cumsum(sizes) - sizes
             letter = marked[first + (marked[first] == ord("<"))]
-            out.append(total + self.scripts[np.searchsorted(_STARTS, letter, side="right") - 1])
+            out.append(np.rint(total * UNIT).astype(np.int32) + self.scripts[np.searchsorted(_STARTS, letter, side="right") - 1])
         return np.concatenate(out)
 
 
@@ -141,7 +148,7 @@ class Scores(dict):
     def reset(self):
         self.clear()
         self.words: dict[str, int] = {}
-        self.matrix = np.zeros((0, len(self.model.langs)), np.float32)
+        self.matrix = np.zeros((0, len(self.model.langs)), np.int32)
         self.count, self.flat, self.sizes = (np.zeros(0, np.int64) for _ in range(3))
         self._fresh()
 
@@ -178,7 +185,11 @@ class Scores(dict):
 
 
 def viterbi(lengths: np.ndarray, flat: np.ndarray, emit: np.ndarray, penalty: float) -> np.ndarray:
-    """Labels of all words: ``flat`` holds the word numbers of texts of these lengths, one after the other."""
+    """Labels of all words: ``flat`` holds the word numbers of texts of these lengths, one after the other.
+
+    Of paths that score the same, that which keeps its label is taken, then
+    that with the first label by name.
+    """
     order = np.argsort(-lengths, kind="stable")
     size, start = lengths[order], (np.cumsum(lengths) - lengths)[order]
     out = np.zeros(len(flat), np.int16)
@@ -186,7 +197,7 @@ def viterbi(lengths: np.ndarray, flat: np.ndarray, emit: np.ndarray, penalty: fl
         return out
     active = np.searchsorted(-size, -np.arange(size[0]), side="left")
     active = np.array([np.count_nonzero(size > 0)]) if size[0] == 1 else np.append(np.count_nonzero(size > 0), active[1:])
-    state = emit[flat[start[: active[0]]]]
+    state = emit[flat[start[: active[0]]]].astype(np.result_type(emit, np.int64))
     back = [None]
     own = np.arange(emit.shape[1], dtype=np.int16)
     for t in range(1, size[0]):
@@ -250,7 +261,9 @@ def detect(docs: DataFrame, model: Model | None, penalty: float = 6.0) -> DataFr
     """``docs`` with held_out, lang_pred and score.
 
     lang_pred is the label of most letters (ties: the first by name), score
-    their share. Defined results: "und" and 0 if the text is null or has no
+    their share. Scores of words are whole numbers of 1 / UNIT; where
+    labellings score the same, a word rather has the label of the word before
+    it, then that which is first by name. Defined results: "und" and 0 if the text is null or has no
     letter, or without a model; repeated rows are labelled each on their own;
     held_out is false for null ids; an empty table gives an empty table; input
     columns named like an output are replaced; a very long text takes a step
@@ -266,7 +279,7 @@ def detect(docs: DataFrame, model: Model | None, penalty: float = 6.0) -> DataFr
         for at in range(0, len(texts), 4096):
             part = texts[at : at + 4096].to_pylist()
             lengths, flat, sizes = scores.read(part)
-            labels = viterbi(lengths, flat, scores.matrix, penalty)
+            labels = viterbi(lengths, flat, scores.matrix, round(penalty * UNIT))
             owner = np.repeat(np.arange(len(part)), lengths)
             letters = np.bincount(owner * len(langs) + labels, sizes, len(part) * len(langs)).reshape(-1, len(langs))
             total, top = letters.sum(axis=1), letters.argmax(axis=1)
@@ -275,7 +288,8 @@ def detect(docs: DataFrame, model: Model | None, penalty: float = 6.0) -> DataFr
 
     held = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     said = label(F.col("text")) if model else F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
-    return kept.withColumns({"held_out": held, "_said": said}).withColumns({"lang_pred": F.col("_said.lang"), "score": F.col("_said.score")}).drop("_said")
+    whole = kept.select(F.struct("*").alias("_row"), held.alias("held_out"), said.alias("_said"))
+    return whole.select("_row.*", "held_out", F.col("_said.lang").alias("lang_pred"), F.col("_said.score").alias("score"))
 
 
 def spans(docs: DataFrame, model: Model, penalty: float = 6.0) -> DataFrame:
@@ -288,7 +302,7 @@ def spans(docs: DataFrame, model: Model, penalty: float = 6.0) -> DataFrame:
         out, scores = [], _scores(model, key)
         for text in texts.to_pylist():
             lengths, flat, _ = scores.read([text])
-            labels = viterbi(lengths, flat, scores.matrix, penalty)
+            labels = viterbi(lengths, flat, scores.matrix, round(penalty * UNIT))
             runs: list[dict] = []
             # the same tokens, at their places
             words = ((m.start() + a, m.start() + b) for m in TOKEN.finditer(text or "") for a, b, _ in pieces(m[0]))

@@ -45,7 +45,7 @@ def test_edges(spark, name):
         assert len(got) == len(rows)
     assert OPERATORS[name](spark, docs(spark, [])).count() == 0
     clash = docs(spark, [(1, "a b c", "en", "s", 3)])
-    for c in ("Score", "SPANS", "n_words", "rate", "copy", "fp", "block", "text_hash", "held_out", "kept_text", "_hash", "items", "taken", "Lang_Pred"):
+    for c in ("Score", "SPANS", "n_words", "rate", "copy", "fp", "block", "text_hash", "held_out", "kept_text", "_hash", "items", "taken", "Lang_Pred", "_said", "_row"):
         clash = clash.withColumn(c, F.lit("x"))
     OPERATORS[name](spark, clash).collect()
 
@@ -211,7 +211,7 @@ def train_rows():
     return [(i, " ".join("".join(rng.choice(list(sets[lang]), int(rng.integers(1, 9)))) for _ in range(12)), lang) for i, lang in enumerate(list(sets) * 12)]
 
 
-def brute_language(rows, text, penalty=6.0):
+def brute_language(rows, text, penalty=6 * 65536):
     """Counts, log scores and Viterbi in plain loops; the words are those of ``pieces``."""
     langs = sorted({r[2] for r in rows})
     count: dict = {lang: {} for lang in langs}
@@ -233,7 +233,7 @@ def brute_language(rows, text, penalty=6.0):
         s = [sum(math.log((count[lang].get(g, 0) + 0.5) / total[lang]) for g in runs(w)) for lang in langs]
         norm = max(s) + math.log(sum(math.exp(x - max(s)) for x in s))
         own = [letters[lang].get(script(w), 0) >= 0.01 * sum(letters[lang].values()) and any(script(w) in letters[x] for x in langs) for lang in langs]
-        return [max(x - norm, -8.0) - (0 if ok or not any(own) else 16.0) for x, ok in zip(s, own)]
+        return [round(max(x - norm, -8.0) * 65536) - (0 if ok or not any(own) else 16 * 65536) for x, ok in zip(s, own)]
 
     words = parts(text or "")
     if not words:
