@@ -1,14 +1,18 @@
 """Conversation trees as adjacency lists: rows (conv, id, parent, ordinal) and any other columns.
 
 Siblings are ordered by ordinal, then id. A root has a null parent, or one
-that is not in its tree. Everything works on all trees at once; depths, paths
-and ancestors come from pointer doubling, so a chain of n messages takes
-about log2(n) joins.
+that is not in its tree. Everything works on all trees at once. A walk round
+the trees of a conversation is a linked list with two steps a node, one in and
+one out; pointer doubling ranks it, so a chain of n messages takes about
+log2(2n) joins and no row grows with its depth. The walk numbers the nodes, and
+those under a node have the numbers of an interval: what is under what is a
+comparison of numbers, and the closure of all pairs is made only by
+``ancestors``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,26 +36,87 @@ def _looped(nodes: DataFrame) -> ValueError:
     return ValueError(f"parent links form a cycle, at or above node {id_!r} of tree {conv!r}")
 
 
-def placed(nodes: DataFrame) -> DataFrame:
-    """(conv, id, root, depth, path): path sorts nodes as a pre-order walk does. A cycle of parent links is an error.
+def _walk(nodes: DataFrame) -> DataFrame:
+    """The steps of the walk: (conv, id, out, back, back_out, n, d, root), each with the step before it.
+
+    ``n`` and ``d`` are what a step adds to the number of nodes entered and to
+    the depth; a step into a root says which root.
+    """
+    linked = written(_linked(nodes), "links")
+    before = F.lag("id").over(W.partitionBy("conv", "up").orderBy("ordinal", "id"))
+    last = linked.where("up IS NOT NULL").groupBy(F.col("conv").alias("c"), F.col("up").alias("i")).agg(F.max_by("id", F.struct("ordinal", "id")).alias("last"))
+    known = linked.withColumn("before", before).join(last, (F.col("conv") == F.col("c")) & (F.col("id") == F.col("i")), "left")
+    enter = F.struct(F.lit(False).alias("out"), F.coalesce("before", "up").alias("back"), F.col("before").isNotNull().alias("back_out"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("d"), F.when(F.col("up").isNull(), F.col("id")).alias("root"))
+    leave = F.struct(F.lit(True).alias("out"), F.coalesce("last", "id").alias("back"), F.col("last").isNotNull().alias("back_out"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("d"), F.lit(None).cast(linked.schema["id"].dataType).alias("root"))
+    steps = written(known.select("conv", "id", F.explode(F.array(enter, leave)).alias("s")).select("conv", "id", "s.*"), "walk")
+    discard(linked)
+    return steps
+
 
-    Of a tree, each doubling places the nodes at its last depth; a cycle is
-    found by a doubling that leaves as many open as the one before.
+def placed(nodes: DataFrame) -> DataFrame:
+    """(conv, id, root, depth, enter, last): ``enter`` numbers the nodes of a conversation from 0 as a pre-order walk meets them, ``last`` is the largest number under the node, its own included.
+
+    Each round joins every open step with the step it points back to, takes
+    over its sums and points where that one did; it closes the steps up to
+    twice as far from the start. A step is pointed to by one step at most, so
+    no key of these joins is skewed, and closed steps are not written again. A
+    cycle of parent links is an error: it is found by a round that leaves as
+    many open as the one before.
     """
-    step = F.format_string("%010d/%s;", F.col("ordinal").cast("long"), F.col("id").cast("string"))
-    state = _linked(nodes).select("conv", "id", "up", F.coalesce("up", "id").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), step.alias("path"))
-    state = written(state, "tree")
-    left = None
-    while n := state.where("up IS NOT NULL").count():
+    steps = _walk(nodes)
+    tables, closed, left = [steps], None, None
+    while n := steps.where("back IS NOT NULL").count():
         if n == left:
-            raise _looped(state.where("up IS NOT NULL"))
+            raise _looped(steps.where("back IS NOT NULL"))
         left = n
-        t = state.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("up").alias("u"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("path").alias("q"))
-        joined = state.join(t, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("i")), "left")
-        more = joined.select("conv", "id", F.col("u").alias("up"), F.coalesce("r", "root").alias("root"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.concat(F.coalesce("q", F.lit("")), "path").alias("path"))
-        before, state = state, written(more, "tree")
-        discard(before)
-    return state.drop("up")
+        seen = steps if closed is None else steps.unionByName(closed)
+        far = seen.select(*[F.col(c).alias(f"_{c}") for c in steps.columns])
+        same = (F.col("conv") == F.col("_conv")) & (F.col("back") == F.col("_id")) & (F.col("back_out") == F.col("_out"))
+        joined = steps.where("back IS NOT NULL").join(far, same)
+        more = joined.select("conv", "id", "out", F.col("_back").alias("back"), F.col("_back_out").alias("back_out"), (F.col("n") + F.col("_n")).alias("n"), (F.col("d") + F.col("_d")).alias("d"), F.coalesce("root", "_root").alias("root"))
+        ended = steps.where("back IS NULL")
+        closed = ended if closed is None else closed.unionByName(ended)
+        steps = written(more, "walk")
+        tables.append(steps)
+    every = steps if closed is None else steps.unionByName(closed)
+    enters = F.col("out") == F.lit(False)
+    own = lambda c: F.max(F.when(enters, F.col(c)))
+    out = every.groupBy("conv", "id").agg(own("root").alias("root"), (own("d") - 1).alias("depth"), (own("n") - 1).alias("enter"), (F.max(F.when(~enters, F.col("n"))) - 1).alias("last"))
+    out = written(out, "placed")
+    discard(*tables)
+    return out
+
+
+#: Intervals are made of aligned blocks of 1, 16, 256, ... numbers.
+_BITS, _LEVELS = 4, 12
+
+
+def blocks(lo: Column, hi: Column) -> Column:
+    """Array of (level, block): the fewest aligned blocks that make up the numbers from ``lo`` to ``hi``, at most 30 a level."""
+    up = lambda x, l: F.shiftright(x + ((1 << _BITS * l) - 1), _BITS * l)  # noqa: E731, E741
+    down = lambda x, l: F.shiftright(x + 1, _BITS * l)  # noqa: E731, E741
+    some = lambda l, a, b: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda x: F.struct(F.lit(l).alias("level"), x.alias("block")))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))  # noqa: E731, E741
+    parts = []
+    for level in range(_LEVELS):
+        a, b = up(lo, level), down(hi, level)
+        above = up(lo, level + 1) < down(hi, level + 1)
+        parts.append(some(level, a, F.when(above, up(lo, level + 1) * (1 << _BITS)).otherwise(b)))
+        parts.append(some(level, F.when(above, down(hi, level + 1) * (1 << _BITS)).otherwise(b), b))
+    return F.flatten(F.array(*parts))
+
+
+def within(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows of ``points`` (conv, at, ...) joined with those of ``spans`` (conv, lo, hi, ...) whose interval holds ``at``.
+
+    A span becomes a few aligned blocks and a point one row for each size of
+    block that spans have, so the join is by equal keys, and its rows are
+    the result's.
+    """
+    cut = written(spans.withColumn("_b", F.explode(blocks(F.col("lo"), F.col("hi")))).select("*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).drop("_b", "lo", "hi"), "spans")
+    used = [r[0] for r in cut.select("_level").distinct().collect()]  # twelve at most
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("at", _BITS * n).alias("block")) for n in used]).cast("array<struct<level:int,block:bigint>>")
+    each = points.withColumn("_b", F.explode(levels)).select("*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).drop("_b")
+    return each.join(cut, ["conv", "_level", "_block"]).drop("_level", "_block")
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
@@ -81,7 +146,7 @@ def heights(nodes: DataFrame) -> DataFrame:
 
 def last_message(nodes: DataFrame) -> DataFrame:
     """(conv, id): the leaf reached by always taking the last child, which ends the pre-order walk."""
-    return placed(nodes).groupBy("conv").agg(F.max_by("id", "path").alias("id"))
+    return placed(nodes).groupBy("conv").agg(F.max_by("id", "enter").alias("id"))
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -102,10 +167,17 @@ def ranked(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("ordinal", (F.row_number().over(_siblings()) - 1).cast("long"))
 
 
+def _of(nodes: DataFrame, convs: DataFrame) -> DataFrame:
+    """The nodes of the trees that ``convs`` (conv, ...) names."""
+    return nodes.join(convs.select("conv").distinct(), "conv", "left_semi")
+
+
 def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes of the subtrees under ``roots`` (conv, top), those included, with their top."""
-    under = ancestors(nodes).join(roots, "conv").where("ancestor = top").select("conv", "id", "top")
-    return nodes.join(under.unionByName(roots.select("conv", F.col("top").alias("id"), "top")).distinct(), ["conv", "id"])
+    """Nodes of the subtrees under ``roots`` (conv, top), those included, with their top. Only the trees of ``roots`` are walked."""
+    p = placed(_of(nodes, roots))
+    spans = p.select("conv", F.col("id").alias("top"), F.col("enter").alias("lo"), F.col("last").alias("hi")).join(roots.select("conv", "top").distinct(), ["conv", "top"])
+    under = within(p.select("conv", "id", F.col("enter").alias("at")), spans).select("conv", "id", "top")
+    return nodes.join(under, ["conv", "id"])
 
 
 def delete(nodes: DataFrame, gone: DataFrame, cascade: bool = False) -> DataFrame:
@@ -117,9 +189,12 @@ def delete(nodes: DataFrame, gone: DataFrame, cascade: bool = False) -> DataFram
 
 
 def makes_cycle(nodes: DataFrame, moves: DataFrame) -> DataFrame:
-    """``moves`` (conv, id, new_parent) that would hang a node under itself."""
-    down = ancestors(nodes).select("conv", F.col("id").alias("new_parent"), F.col("ancestor").alias("id"))
-    return moves.where("id = new_parent").unionByName(moves.join(down, ["conv", "id", "new_parent"], "left_semi"))
+    """``moves`` (conv, id, new_parent) that would hang a node under itself: the number of the new parent is in the node's interval."""
+    p = placed(_of(nodes, moves))
+    own = p.select("conv", "id", F.col("enter").alias("_lo"), F.col("last").alias("_hi"))
+    to = p.select("conv", F.col("id").alias("new_parent"), F.col("enter").alias("_at"))
+    known = moves.join(own, ["conv", "id"], "left").join(to, ["conv", "new_parent"], "left")
+    return known.where("id = new_parent OR _at BETWEEN _lo AND _hi").select(*moves.columns)
 
 
 def move(nodes: DataFrame, moves: DataFrame) -> DataFrame:
@@ -180,10 +255,9 @@ def rewind(nodes: DataFrame, n: int) -> DataFrame:
 
     The last message ends the pre-order walk, so one walk tells them all.
     """
-    last = W.partitionBy("conv").orderBy(F.desc("path"))
-    walk = placed(nodes).join(nodes.select("conv", "id", F.col("parent").isNull().alias("top")), ["conv", "id"])
-    stays = F.bool_or("top").over(last.rowsBetween(W.unboundedPreceding, 0))
-    gone = walk.select("conv", "id", F.row_number().over(last).alias("r"), stays.alias("stays")).where((F.col("r") <= n) & ~F.col("stays"))
+    p = placed(nodes).join(nodes.select("conv", "id", F.col("parent").isNull().alias("top")), ["conv", "id"])
+    ends = p.groupBy("conv").agg(F.max("enter").alias("end"), F.max(F.when(F.col("top"), F.col("enter"))).alias("stop"))
+    gone = p.join(ends, "conv").where((F.col("enter") > F.col("end") - n) & (F.col("enter") > F.coalesce("stop", F.lit(-1))))
     return nodes.join(gone.select("conv", "id"), ["conv", "id"], "left_anti")
 
 
@@ -280,9 +354,9 @@ def merged(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def indented(nodes: DataFrame, text: str = "text") -> DataFrame:
-    """(conv, path, line): nodes as lines of a walk, two spaces for each level."""
+    """(conv, enter, line): nodes as lines of a walk, two spaces for each level."""
     p = placed(nodes)
-    return p.join(nodes.select("conv", "id", text), ["conv", "id"]).select("conv", "path", F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.col("id").cast("string"), F.lit(": "), F.col(text)).alias("line"))
+    return p.join(nodes.select("conv", "id", text), ["conv", "id"]).select("conv", "enter", F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.col("id").cast("string"), F.lit(": "), F.col(text)).alias("line"))
 
 
 def inactive(trees: DataFrame, now, hours: float) -> DataFrame:

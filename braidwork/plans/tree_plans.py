@@ -25,7 +25,7 @@ def tree_depth(spark, d):
 
 def tree_preorder(spark, d):
     p = T.placed(_slim(spark, d))
-    return p.select("conv", "id", "depth", F.row_number().over(T.W.partitionBy("conv").orderBy("path")).alias("pos"))
+    return p.select("conv", "id", "depth", (F.col("enter") + 1).alias("pos"))
 
 
 def tree_height(spark, d):

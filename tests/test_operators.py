@@ -108,7 +108,7 @@ def test_tree_places(spark):
 
 
 def test_tree_edits(spark):
-    walk = lambda df: [r.id for r in trees.placed(df).where("conv = 'c' AND root = 'r'").orderBy("path").collect()]
+    walk = lambda df: [r.id for r in trees.placed(df).where("conv = 'c' AND root = 'r'").orderBy("enter").collect()]
     fresh = nodes(spark, [("c", "n", "a", 0)])
     assert walk(trees.add(nodes(spark), fresh)) == ["r", "a", "n", "a1", "b"]
     assert walk(trees.add(nodes(spark), fresh, "after")) == ["r", "a", "a1", "n", "b"]
@@ -117,7 +117,7 @@ def test_tree_edits(spark):
     assert walk(trees.move(nodes(spark), moves)) == ["r", "b", "a", "a1"]
     assert walk(trees.delete(nodes(spark), moves.select("conv", "id"), cascade=True)) == ["r", "b"]
     cut = spark.createDataFrame([("c", "a", "new")], "conv string, id string, new_conv string")
-    got = trees.placed(trees.split(nodes(spark), cut)).orderBy("path").collect()
+    got = trees.placed(trees.split(nodes(spark), cut)).orderBy("enter").collect()
     assert [(r.conv, r.id, r.depth) for r in got] == [("new", "a", 0), ("new", "a1", 1), ("new", "b", 1)]
 
 
@@ -181,7 +181,7 @@ def test_json_trees(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps([tree, {"id": "u", "mapping": {}}]))
     found = files.json_trees(spark, str(tmp_path), 1)
     n = files.tree_nodes(found)
-    assert [r.id for r in trees.placed(n.select("conv", "id", "parent", "ordinal")).orderBy("path").collect()] == ["r", "b", "a"]
+    assert [r.id for r in trees.placed(n.select("conv", "id", "parent", "ordinal")).orderBy("enter").collect()] == ["r", "b", "a"]
     out = json.loads(files.trees_to_json(n).first().json)
     assert out["mapping"]["r"]["children"] == ["b", "a"] and "parent" not in out["mapping"]["r"]
     fine, bad = files.new_trees(found.unionByName(found), found.limit(0))
