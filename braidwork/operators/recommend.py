@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.sources.shared import written
 
@@ -18,17 +19,148 @@ def rated(ratings: DataFrame) -> DataFrame:
     return ratings.where(F.coalesce("rating", F.lit(0)) != 0)
 
 
+#: Users of a block of ratings, about; rows of a block that are compared at once; pairs of ratings that are.
+RATING_USERS, RATING_ROWS, RATING_PAIRS = 4096, 256, 1 << 22
+#: Items that more than this share of a block's users rated are multiplied as dense columns, so many at once.
+DENSE_SHARE, DENSE_ITEMS = 0.05, 256
+
+
+class _Ratings:
+    """A block's ratings by item: users in order of id, entries in order of item."""
+
+    def __init__(self, block: pa.Table, side: str):
+        order = np.argsort(block.column(side).to_numpy(), kind="stable")
+        self.users = block.column(side).to_numpy()[order]
+        lists = [block.column(f"{side}_{c}").combine_chunks().take(pa.array(order)) for c in ("items", "values")]
+        sizes = np.diff(lists[0].offsets.to_numpy())
+        items, values = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+        self.row = np.repeat(np.arange(len(self.users)), sizes)
+        self.item, self.value = items, values
+
+    def by_item(self) -> None:
+        at = np.argsort(self.item, kind="stable")
+        self.row, self.value = self.row[at], self.value[at]
+        self.known, self.first = np.unique(self.item[at], return_index=True)
+        self.size = np.diff(np.append(self.first, len(at)))
+
+
+def _dense(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> list[np.ndarray]:
+    """Number, sum and sum of squares of the values in each cell."""
+    cell, n = rows * shape[1] + columns, shape[0] * shape[1]
+    return [np.bincount(cell, w, n).reshape(shape) for w in (None, values, values * values)]
+
+
+def _compared(left: _Ratings, right: _Ratings):
+    """(rows of ``left``, common, similarity) for a few rows at a time; both matrices have a column for each user of ``right``.
+
+    Ratings of items that few users of the block have meet one by one. Items
+    of many users are multiplied as matrices, so that an item that all
+    have costs a column and not all pairs.
+    """
+    n = len(right.users)
+    at = np.minimum(np.searchsorted(right.known, left.item), max(len(right.known) - 1, 0))
+    met = right.known[at] == left.item if len(right.known) else np.zeros(len(at), bool)
+    row, at, value = left.row[met], at[met], left.value[met]
+    dense = right.size > max(16, DENSE_SHARE * n)
+    columns = np.flatnonzero(dense)
+    place = np.cumsum(dense) - 1
+    for lo in range(0, len(left.users), RATING_ROWS):
+        m = min(RATING_ROWS, len(left.users) - lo)
+        own = slice(*np.searchsorted(row, [lo, lo + m]))
+        r, i, v = row[own] - lo, at[own], value[own]
+        sums = [np.zeros(m * n) for _ in range(4)]  # common, dot, squares of either side
+        few = ~dense[i]
+        fr, fi, fv = r[few], i[few], v[few]
+        ends = np.cumsum(right.size[fi])
+        start = 0
+        while start < len(fi):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + RATING_PAIRS, side="right")))
+            size = right.size[fi[start:stop]]
+            entry = np.repeat(right.first[fi[start:stop]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            mine, theirs = np.repeat(fv[start:stop], size), right.value[entry]
+            cell = np.repeat(fr[start:stop], size) * n + right.row[entry]
+            for total, w in zip(sums, (None, mine * theirs, mine * mine, theirs * theirs)):
+                total += np.bincount(cell, w, m * n)
+            start = stop
+        sums = [s.reshape(m, n) for s in sums]
+        many = ~few
+        for t in range(0, len(columns), DENSE_ITEMS):
+            some = columns[t : t + DENSE_ITEMS]
+            here = many & (place[i] >= t) & (place[i] < t + len(some))
+            if not here.any():
+                continue
+            a = _dense(r[here], place[i[here]] - t, v[here], (m, len(some)))
+            entry = np.concatenate([np.arange(right.first[c], right.first[c] + right.size[c]) for c in some])
+            b = _dense(np.repeat(np.arange(len(some)), right.size[some]), right.row[entry], right.value[entry], (len(some), n))
+            for total, (x, y) in zip(sums, ((a[0], b[0]), (a[1], b[1]), (a[2], b[0]), (a[0], b[2]))):
+                total += x @ y
+        common, dot, x, y = sums
+        yield slice(lo, lo + m), common, np.where(common > 0, dot / np.where(common > 0, np.sqrt(x) * np.sqrt(y), 1), 0)
+
+
+def _rating_blocks(ratings: DataFrame, users: DataFrame, fold, schema: str) -> DataFrame:
+    """``fold`` (users of a few rows, users of a block, common, similarity) of all pairs of blocks of ``users`` (user).
+
+    A user's ratings are one row. Users are dealt by a hash into blocks of
+    about RATING_USERS, counted, and a row goes once to each pair of blocks
+    its own is in: what is shuffled does not depend on how many share an item.
+    """
+    lists = rated(ratings).select(F.col("user").cast("long").alias("user"), F.xxhash64("item").alias("item"), F.col("rating").cast("double").alias("rating"))
+    lists = lists.groupBy("user").agg(F.collect_list(F.struct("item", "rating")).alias("r"))
+    each_user = users.select(F.col("user").cast("long").alias("user")).where("user IS NOT NULL").distinct()
+    rows = written(each_user.join(lists, "user", "left").select("user", F.coalesce(F.col("r.item"), F.array().cast("array<bigint>")).alias("items"), F.coalesce(F.col("r.rating"), F.array().cast("array<double>")).alias("values")), "rating-lists")
+    parts = -(-rows.count() // RATING_USERS) or 1
+    deal, all_ = F.pmod(F.xxhash64("user"), F.lit(parts)), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    side = lambda *names: [F.col(c).alias(n) for c, n in zip(rows.columns, names)]
+    # Fresh names on both sides, as they come from the same rows.
+    a = rows.select(*side("i", "i_items", "i_values"), deal.alias("a"), all_.alias("b"))
+    b = rows.select(*side("j", "j_items", "j_values"), all_.alias("a"), deal.alias("b"))
+    kinds = pa.schema([(f.name, {"bigint": pa.int64(), "double": pa.float64()}[f.dataType.simpleString()]) for f in T.StructType.fromDDL(schema)])
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return kinds.empty_table()
+        x, y = _Ratings(left, "i"), _Ratings(right, "j")
+        y.by_item()
+        found = [pa.table(fold(x.users[at], y.users, common, s), schema=kinds) for at, common, s in _compared(x, y)]
+        return pa.concat_tables(found)
+
+    return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(met, schema)
+
+
 def user_cosine(ratings: DataFrame) -> DataFrame:
-    """(user, other, common, similarity): cosine over the items both rated; only pairs with such items.
+    """(user, other, common, similarity): cosine over the items both rated; only pairs with such items. Users are whole numbers.
+
+    The result has every pair of users that share an item, so it is for what
+    is small enough for that; ``similar_by_ratings`` keeps the best of each.
+    """
 
-    The self-join is on the item, so its size is the sum of squared
-    popularities; adaptive execution splits popular items.
+    def pairs(i, j, common, s):
+        row, col = np.nonzero((common > 0) & (i[:, None] != j[None, :]))
+        return [i[row], j[col], common[row, col].astype(np.int64), s[row, col]]
+
+    return _rating_blocks(ratings, rated(ratings).select("user"), pairs, "user bigint, other bigint, common bigint, similarity double")
+
+
+def similar_by_ratings(ratings: DataFrame, users: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
+    """Each of ``users``' ``k`` most similar others of ``users`` by ``user_cosine``, rounded; users without a common item have similarity 0; ties go to the smaller id.
+
+    Of each pair of blocks only a user's best ``k`` go on.
     """
-    r = rated(ratings)
-    o = r.select(F.col("user").alias("other"), "item", F.col("rating").alias("other_rating"))
-    pairs = r.join(o, "item").where(F.col("user") != F.col("other"))
-    dot, a, b = F.sum(F.col("rating") * F.col("other_rating")), F.sum(F.col("rating") ** 2), F.sum(F.col("other_rating") ** 2)
-    return pairs.groupBy("user", "other").agg(F.count("*").alias("common"), (dot / (F.sqrt(a) * F.sqrt(b))).alias("similarity"))
+
+    def best(i, j, common, s):
+        s = np.round(s, digits)
+        s[i[:, None] == j[None, :]] = -np.inf
+        rows, found = np.arange(len(i)), []
+        for _ in range(min(k, len(j))):
+            at = s.argmax(axis=1)  # of equal ones the smaller id
+            found.append((i, j[at], s[rows, at]))
+            s[rows, at] = -np.inf
+        u, o, x = (np.concatenate(c) for c in zip(*found))
+        real = np.isfinite(x)
+        return [u[real], o[real], x[real]]
+
+    return top(_rating_blocks(ratings, users, best, "user bigint, other bigint, similarity double"), ["user"], [F.desc("similarity"), "other"], k)
 
 
 def similar(pairs: DataFrame, users: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
@@ -54,7 +186,7 @@ def similar(pairs: DataFrame, users: DataFrame, k: int = 5, digits: int = 6) ->
 
 def recommend_items(ratings: DataFrame, users: DataFrame, neighbours: int = 5, k: int = 3) -> DataFrame:
     """Items that a user's most similar others have (``ratings``: user, item, rating; rated or not) and the user did not rate; the first ``k`` by id."""
-    near = similar(user_cosine(ratings), users, neighbours).select("user", "other")
+    near = similar_by_ratings(ratings, users, neighbours).select("user", "other")
     theirs = near.join(ratings.select(F.col("user").alias("other"), "item"), "other").select("user", "item").distinct()
     return top(theirs.join(rated(ratings).select("user", "item").distinct(), ["user", "item"], "left_anti"), ["user"], ["item"], k)
 
