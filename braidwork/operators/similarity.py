@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from braidwork.functions import vectors as V
 from braidwork.sources.shared import written
 
-from .relational import top
+from .relational import small, top
 
 #: Rows of a group of all_neighbours, about; rows and columns of a tile.
 GROUP_ROWS = 16_384
@@ -35,6 +37,12 @@ def parts_of(n: int) -> int:
     return max(8, -(-n // GROUP_ROWS))
 
 
+def usable(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose vector is not null or empty and holds no null and only finite numbers."""
+    fine = F.forall(column, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
+    return rows.where((F.size(column) > 0) & F.coalesce(fine, F.lit(False)))
+
+
 def _matrix(column) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
 
@@ -43,16 +51,17 @@ def _blocks(queries: DataFrame, corpus: DataFrame, fold, schema: str, parts: int
     """``fold`` (ids and rows of queries, ids and rows of the corpus) of every pair of a block of queries (query_id, q) and one of the corpus (id, v).
 
     Both are dealt by a hash of their id into blocks whose rows are bounded,
-    by counts; no block holds a whole side. Null vectors take no part.
+    by counts; no block holds a whole side. Vectors meet those of their own
+    length; what is not ``usable`` takes no part.
     """
-    queries, corpus = queries.where("q IS NOT NULL"), corpus.where("v IS NOT NULL")
+    queries, corpus = usable(queries, "q"), usable(corpus, "v")
     parts = parts or parts_of(corpus.count())
     sides = -(-queries.count() // GROUP_ROWS) or 1
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # Fresh names on both sides, as they may come from the same rows.
-    a = queries.select(F.col("query_id").alias("i"), F.col("q").alias("x"), deal("query_id", sides).alias("a"), each(parts).alias("b"))
-    b = corpus.select(F.col("id").alias("j"), F.col("v").alias("y"), each(sides).alias("a"), deal("id", parts).alias("b"))
+    a = queries.select(F.col("query_id").alias("i"), F.col("q").alias("x"), F.size("q").alias("n"), deal("query_id", sides).alias("a"), each(parts).alias("b"))
+    b = corpus.select(F.col("id").alias("j"), F.col("v").alias("y"), F.size("v").alias("n"), each(sides).alias("a"), deal("id", parts).alias("b"))
     out = pa.schema([(f.name, {"long": pa.int64(), "double": pa.float64()}[f.dataType.simpleString().replace("bigint", "long")]) for f in T.StructType.fromDDL(schema)])
 
     def met(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -60,7 +69,7 @@ def _blocks(queries: DataFrame, corpus: DataFrame, fold, schema: str, parts: int
             return out.empty_table()
         return pa.table(fold(left.column("i").to_numpy(), _matrix(left.column("x")), right.column("j").to_numpy(), _matrix(right.column("y"))), schema=out)
 
-    return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(met, schema)
+    return a.groupBy("n", "a", "b").cogroup(b.groupBy("n", "a", "b")).applyInArrow(met, schema)
 
 
 def nearest_of(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, k: int, measure: str = "cosine", skip_self: bool = True, digits: int = 6) -> tuple[np.ndarray, np.ndarray]:
@@ -89,20 +98,152 @@ def nearest_of(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, k: in
     return ids, sign * best
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int = 5, measure: str = "cosine", least: float | None = None, skip_self: bool = True, parts: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the exact ``k`` nearest per query (query_id, q), ties by id, and of those only scores of ``least`` or more.
+#: Pivots at most, and the sample that they are chosen from for each of them and at most.
+MOST_PIVOTS, SAMPLE_EACH, MOST_SAMPLED = 4096, 64, 16_384
+#: Scores are rounded to 6 digits: a bound this much beyond the worst of the best may still tie with it.
+SLACK = 1e-6
 
-    Blocks of queries meet blocks of the corpus, each pair as matrix products
-    in tiles of which only each query's best ``k`` go on.
-    """
 
-    def best(i, x, j, y):
-        ids, scores = nearest_of(x, i, y, j, k, measure, skip_self)
+class Pivots:
+    """Centres that vectors are dealt to, the nearest one each; with the radius of each block they bound how near a query can be to anything in it."""
+
+    def __init__(self, centres: np.ndarray, measure: str):
+        self.measure = measure
+        self.c = unit(centres) if measure == "cosine" else centres
+
+    def distance(self, x: np.ndarray) -> np.ndarray:
+        """Angles for cosine, else Euclidean distances: both obey the triangle inequality."""
+        if self.measure == "cosine":
+            return np.arccos(np.clip(unit(x) @ self.c.T, -1, 1))
+        return MEASURES["euclid"][0](x, self.c)
+
+    def best_score(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """The best score that a vector of each block can have; no block with a better one may be left out."""
+        if self.measure == "dot":  # x.y = x.c + x.(y - c)
+            bound = x @ self.c.T + np.linalg.norm(x, axis=1, keepdims=True) * radius
+            return bound + SLACK * (1 + np.abs(bound))
+        least = np.maximum(self.distance(x) - radius - SLACK, 0)
+        return np.cos(np.minimum(least, np.pi)) + SLACK if self.measure == "cosine" else least - SLACK * (1 + least)
+
+
+def pivots(corpus: DataFrame, parts: int, measure: str) -> Pivots:
+    """``parts`` centres far apart: each is the vector of a bounded sample, drawn by a hash of the id, that is farthest from those before."""
+    parts = min(parts, MOST_PIVOTS)
+    drawn = corpus.select("v").orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE_EACH * parts, MOST_SAMPLED)).collect()
+    x = np.array([r["v"] for r in drawn], float)
+    chosen, far = [0], np.full(len(x), np.inf)
+    while len(chosen) < min(parts, len(x)):
+        far = np.minimum(far, Pivots(x[chosen[-1:]], measure).distance(x)[:, 0])
+        if far.max() <= 0:
+            break
+        chosen.append(int(far.argmax()))
+    return Pivots(x[chosen], measure)
+
+
+def _homes(rows: DataFrame, key: str, column: str, at: Pivots) -> DataFrame:
+    """``rows`` (key, column) with ``block``, the nearest pivot, and the distance to it."""
+
+    def deal(batches):
+        for b in batches:
+            if b.num_rows:
+                far = at.distance(_matrix(pa.chunked_array([b.column(1)])))
+                block = far.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block, pa.int32()), pa.array(far[np.arange(len(far)), block])], [key, column, "block", "far"])
+
+    return rows.select(F.col(key).cast("long").alias(key), column).mapInArrow(deal, f"{key} long, {column} array<double>, block int, far double")
+
+
+def _dealt(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``sub``, which splits blocks of more than GROUP_ROWS rows, and (block, n, radius, subs) of all blocks: at most as many rows as pivots."""
+    sizes = written(rows.groupBy("block").agg(F.count("*").alias("n"), F.max("far").alias("radius")).withColumn("subs", F.ceil(F.col("n") / GROUP_ROWS).cast("int")), "blocks")
+    return rows.join(F.broadcast(sizes.select("block", "subs")), "block").withColumn("sub", F.pmod(F.xxhash64(key), F.col("subs")).cast("int")).drop("subs", "far"), sizes
+
+
+def _met(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int, measure: str, skip_self: bool) -> DataFrame:
+    """(query_id, id, score): of each group of ``keys`` the best of its corpus rows for each of its queries."""
+    out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        i, j = left.column("i").to_numpy(), right.column("j").to_numpy()
+        ids, scores = nearest_of(_matrix(left.column("x")), i, _matrix(right.column("y")), j, k, measure, skip_self)
         row, col = np.nonzero(np.isfinite(scores))
-        return [i[row], ids[row, col], scores[row, col]]
+        return pa.table([i[row], ids[row, col], scores[row, col]], schema=out)
 
-    found = _blocks(queries, corpus, best, "query_id long, id long, score double", parts)
-    best_ = top(found, ["query_id"], [F.desc("score") if MEASURES[measure][1] else F.asc("score"), "id"], k)
+    # Fresh names on both sides, as they may come from the same rows.
+    named = lambda side: [F.col(c).alias(f"{side}{n}") for n, c in enumerate(keys)]
+    by = lambda side: [f"{side}{n}" for n in range(len(keys))]
+    a = queries.select(F.col("query_id").alias("i"), F.col("q").alias("x"), *named("a"))
+    b = corpus.select(F.col("id").alias("j"), F.col("v").alias("y"), *named("b"))
+    return a.groupBy(*by("a")).cogroup(b.groupBy(*by("b"))).applyInArrow(best, "query_id long, id long, score double")
+
+
+def _visits(asked: DataFrame, first: DataFrame, at: Pivots, sizes: DataFrame, k: int) -> DataFrame:
+    """(query_id, q, block, sub, target): the other blocks where a query (query_id, q) may find something as near as its ``k``-th of ``first``; queries with fewer than ``k`` yet go everywhere."""
+    more = MEASURES[at.measure][1]
+    known = {r["block"]: r["radius"] for r in sizes.collect()}  # as many as pivots at most
+    blocks = np.array(sorted(known), np.int32)
+    radius = np.array([known[b] for b in blocks])
+    some = Pivots.__new__(Pivots)
+    some.measure, some.c = at.measure, at.c[blocks]
+
+    @F.arrow_udf("array<int>")
+    def open_blocks(q: pa.Array, home: pa.Array, worst: pa.Array) -> pa.Array:
+        bound, limit = some.best_score(_matrix(pa.chunked_array([q])), radius), worst.to_numpy(zero_copy_only=False)[:, None]
+        alive = np.isnan(limit) | ((bound >= limit) if more else (bound <= limit))
+        return pa.array([blocks[row] for row in alive], pa.list_(pa.int32()))
+
+    worst = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score") if more else F.max("score")).alias("worst"))
+    limited = asked.join(worst, "query_id", "left")
+    return limited.select("query_id", "q", "block", "sub", F.explode(open_blocks("q", "block", F.col("worst").cast("double"))).alias("target"))
+
+
+def pruned_search(queries: DataFrame, corpus: DataFrame, k: int, measure: str, skip_self: bool, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((query_id, id, score) with the exact ``k`` best of each query among others, visits (query_id, target)) of vectors of one length.
+
+    The corpus is dealt to its nearest pivots. A query first searches the
+    block of its own pivot; its ``k``-th best there and the blocks' radii tell
+    by the triangle inequality which other blocks can hold anything as near,
+    and only those it visits. Queries that share a pivot go together, and a
+    block's rows are sent only where some query of such a group visits it. On
+    vectors without clusters no block can be left out, and every group meets
+    every block as it must.
+    """
+    n = corpus.count()
+    if not n:
+        none = queries.sparkSession.createDataFrame([], "query_id long, id long, score double, target int")
+        return none.drop("target"), none.select("query_id", "target")
+    at = pivots(corpus, parts or parts_of(n), measure)
+    rows, sizes = _dealt(written(_homes(corpus, "id", "v", at), "corpus"), "id")
+    asked, _ = _dealt(written(_homes(queries, "query_id", "q", at), "queries"), "query_id")
+    asked = asked.withColumnRenamed("sub", "side")
+    # One part of the query's own block is enough for a first limit.
+    near = rows.where("sub = 0")
+    sides = asked.select("block", "side").distinct()
+    first = written(_met(asked, near.join(small(sides), "block"), ["block", "side"], k, measure, skip_self), "near")
+    visits = written(_visits(asked.withColumnRenamed("side", "sub"), first, at, sizes, k), "visits")
+    parts_ = sizes.select(F.col("block").alias("target"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("tsub"))
+    goes = visits.join(F.broadcast(parts_), "target").where("NOT (target = block AND tsub = 0)")
+    pairs = written(goes.select("block", "sub", "target", "tsub").distinct(), "block-pairs")
+    keys = ["block", "sub", "target", "tsub"]
+    sent = rows.withColumnsRenamed({"block": "target", "sub": "tsub"}).join(small(pairs), ["target", "tsub"])
+    return first.unionByName(_met(goes, sent, keys, k, measure, skip_self)), visits.select("query_id", "target")
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int = 5, measure: str = "cosine", least: float | None = None, skip_self: bool = True, parts: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the exact ``k`` nearest per query (query_id, q), ties by id, and of those only scores of ``least`` or more.
+
+    Queries visit the blocks of the corpus that can hold their nearest, see
+    ``pruned_search``. Vectors meet those of their own length; null or empty
+    ones, and those with a null or a component that is not finite, take no part.
+    """
+    queries, corpus = usable(queries, "q"), usable(corpus, "v")
+    lengths = sorted(r[0] for r in queries.select(F.size("q")).distinct().collect())  # one, in a table of embeddings
+    found = [pruned_search(queries.where(F.size("q") == n), corpus.where(F.size("v") == n), k, measure, skip_self, parts)[0] for n in lengths]
+    if not found:
+        found = [queries.sparkSession.createDataFrame([], "query_id long, id long, score double")]
+    best_ = top(reduce(DataFrame.unionByName, found), ["query_id"], [F.desc("score") if MEASURES[measure][1] else F.asc("score"), "id"], k)
     return best_ if least is None else best_.where(F.col("score") >= least)
 
 
