@@ -79,6 +79,85 @@ def proofs(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     return met.groupBy("tree", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "hash"))), lambda x: x["hash"]).alias("proof"))
 
 
+def _tops(sizes: Column) -> Column:
+    """The level of the root over so many leaves."""
+    return F.when(sizes <= 1, 0).otherwise(F.length(F.bin(sizes - 1))).cast("int")
+
+
+def updated(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """(tree, level, pos, hash): the nodes of ``levels`` that are other or new after ``changes`` (tree, pos, hash) of leaves.
+
+    Positions that a tree has are changed; those behind its last are added and
+    must leave no gap, also in a tree that has no nodes yet. A changed leaf
+    concerns the nodes above it, one a level; their siblings are looked up
+    among ``nodes`` by one join, and the hashes go up level by level: a
+    leaf costs as many rows as its tree has levels, not a rebuilt tree.
+    """
+    dirty = written(changes.select("tree", F.col("pos").cast("long").alias("pos"), "hash"), "changes")
+    had = nodes.where("level = 0").groupBy("tree").agg((F.max("pos") + 1).alias("had"))
+    asked = dirty.groupBy("tree").agg((F.max("pos") + 1).alias("n"), F.count("*").alias("given"), F.countDistinct("pos").alias("distinct"))
+    sizes = asked.join(had, "tree", "left").withColumn("had", F.coalesce("had", F.lit(0).cast("long")))
+    added = dirty.join(sizes.select("tree", "had"), "tree").where("pos >= had").groupBy("tree").agg(F.count("*").alias("added"))
+    sizes = sizes.join(added, "tree", "left").withColumn("n", F.greatest("n", "had"))
+    sizes = written(sizes.withColumn("fine", (F.col("given") == F.col("distinct")) & (F.col("n") - F.col("had") == F.coalesce("added", F.lit(0)))).withColumn("top", _tops(F.col("n"))), "sizes")
+    for r in sizes.where("NOT fine").limit(1).collect():
+        raise ValueError(f"changes of tree {r['tree']!r} repeat a position or leave a gap behind its {r['had']} leaves")
+    path = dirty.join(sizes.select("tree", "top"), "tree").select("tree", "top", F.explode(F.sequence(F.lit(0), "top")).alias("level"), "pos")
+    path = path.select("tree", "top", "level", F.expr("shiftright(pos, level)").alias("pos")).distinct()
+    beside = path.where("level < top").select("tree", "level", F.col("pos").bitwiseXOR(F.lit(1).cast("long")).alias("pos"))
+    beside = beside.join(path.select("tree", "level", "pos"), ["tree", "level", "pos"], "left_anti")
+    beside = written(beside.join(nodes, ["tree", "level", "pos"]), "siblings")
+    out, highest = [dirty.withColumn("level", F.lit(0))], sizes.agg(F.max("top")).first()[0] or 0
+    for level in range(highest):
+        below = out[-1].select("tree", "pos", "hash").join(sizes.where(F.col("top") > level).select("tree"), "tree", "left_semi")
+        both = below.unionByName(beside.where(F.col("level") == level).select("tree", "pos", "hash")).groupBy("tree", F.shiftright("pos", 1).alias("up"))
+        left, right = (F.max(F.when(F.col("pos") % 2 == side, F.col("hash"))) for side in (0, 1))
+        pair = both.agg(left.alias("left"), right.alias("right"))
+        more = pair.select("tree", F.col("up").alias("pos"), short_hash(F.concat("left", F.coalesce("right", "left"))).alias("hash"))
+        out.append(written(more.withColumn("level", F.lit(level + 1)), "merkle"))
+    return reduce(DataFrame.unionByName, [o.select("tree", "level", "pos", "hash") for o in out])
+
+
+def patched(nodes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """All levels with the nodes of ``updated`` in place."""
+    return nodes.join(fresh.select("tree", "level", "pos"), ["tree", "level", "pos"], "left_anti").select("tree", "level", "pos", "hash").unionByName(fresh)
+
+
+def range_proofs(nodes: DataFrame, spans: DataFrame) -> DataFrame:
+    """(tree, lo, hi, proof) for ``spans`` (tree, lo, hi) of leaves: for each level (level, left, right), the nodes next to those over the span that their pairs need.
+
+    Left is there where the first node over the span is a right child, right
+    where the last one is a left child that has a sibling: two rows a level
+    at most, however long the span is.
+    """
+    tops = nodes.groupBy("tree").agg(F.max("level").alias("top"))
+    asked = spans.select("tree", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).distinct().join(tops, "tree")
+    levels_ = asked.select("tree", "lo", "hi", F.explode(F.when(F.col("top") > 0, F.sequence(F.lit(0), F.col("top") - 1)).otherwise(F.array().cast("array<int>"))).alias("level"))
+    first, last = F.expr("shiftright(lo, level)"), F.expr("shiftright(hi, level)")
+    ends = F.array(F.struct(F.lit("left").alias("side"), F.when(first % 2 == 1, first - 1).alias("pos")), F.struct(F.lit("right").alias("side"), F.when(last % 2 == 0, last + 1).alias("pos")))
+    sides = levels_.withColumn("e", F.explode(ends)).select("tree", "lo", "hi", "level", "e.side", "e.pos")
+    met = sides.join(nodes.select("tree", "level", "pos", "hash"), ["tree", "level", "pos"], "left")
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("hash"))).alias(s)
+    each = met.groupBy("tree", "lo", "hi", "level").agg(side("left"), side("right"))
+    proof = each.groupBy("tree", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("level", "left", "right"))).alias("proof"))
+    none = F.array().cast(proof.schema["proof"].dataType)
+    return asked.select("tree", "lo", "hi").join(proof, ["tree", "lo", "hi"], "left").withColumn("proof", F.coalesce("proof", none))
+
+
+def verify_range(hashes: Column, lo: Column, proof: Column, root: Column) -> Column:
+    """Whether the leaves ``hashes`` from position ``lo`` on and a proof of ``range_proofs`` give the root."""
+
+    def step(a, p):
+        none = F.array().cast("array<binary>")
+        whole = F.concat(F.when(p["left"].isNotNull(), F.array(p["left"])).otherwise(none), a["h"], F.when(p["right"].isNotNull(), F.array(p["right"])).otherwise(none))
+        pair = lambda i: short_hash(F.concat(F.get(whole, 2 * i), F.coalesce(F.get(whole, 2 * i + 1), F.get(whole, 2 * i))))
+        up = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / 2).cast("int")), pair)
+        return F.struct(up.alias("h"), F.shiftright(a["at"], 1).alias("at"), (a["fine"] & (p["left"].isNotNull() == (a["at"] % 2 == 1))).alias("fine"))
+
+    start = F.struct(hashes.alias("h"), lo.cast("long").alias("at"), F.lit(True).alias("fine"))
+    return F.coalesce(F.aggregate(proof, start, step, lambda a: a["fine"] & (F.size(a["h"]) == 1) & (F.get(a["h"], F.lit(0)) == root)), F.lit(False))
+
+
 def verify(leaf: Column, pos: Column, proof: Column, root: Column) -> Column:
     """Whether folding the proof, left or right by the position's parity, gives the root."""
 

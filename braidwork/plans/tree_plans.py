@@ -167,10 +167,23 @@ def merkle_verify(spark, d):
     return j.select("tree", "pos", F.size("proof").alias("steps"), M.verify(F.col("hash"), F.col("pos"), F.col("proof"), F.col("root")).alias("valid"))
 
 
+def merkle_updated(spark, d):
+    """Every seventh part changes: how many nodes are written of how many, and whether the root is that of a rebuilt tree."""
+    old = _leaves(spark, d)
+    new = old.withColumn("hash", F.when(F.col("pos") % 7 == 0, M.short_hash(F.col("hash"))).otherwise(F.col("hash")))
+    stored = M.levels(old)
+    fresh = M.updated(stored, new.where("pos % 7 = 0"))
+    counts = fresh.groupBy("tree").agg(F.count("*").alias("written"))
+    sizes = stored.groupBy("tree").agg(F.count("*").alias("stored"))
+    rebuilt = M.roots(M.levels(new)).withColumnRenamed("root", "rebuilt")
+    both = M.roots(M.patched(stored, fresh)).join(rebuilt, "tree").join(counts, "tree").join(sizes, "tree")
+    return both.select("tree", "written", "stored", (F.col("root") == F.col("rebuilt")).alias("same"))
+
+
 QUERIES = {f.__name__: f for f in (
     tree_depth, tree_preorder, tree_height, last_message, ancestors, tree_children, tree_coordinates, tree_delete, tree_delete_cascade, tree_move, tree_cycles, tree_split,
     tree_merge, tree_insert, tree_rewind, tree_indented, inactive_conversations, prefix_trie_fanout, partial_sequence, history_truncate_greedy, history_truncate_prefix,
-    history_last_n, chat_buffer_string, reply_chain_order, stream_segments, merkle_root, merkle_verify,
+    history_last_n, chat_buffer_string, reply_chain_order, stream_segments, merkle_root, merkle_verify, merkle_updated,
 )}
 
 _N = "n AS (SELECT conv_id AS conv, turn AS id, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, turn AS ordinal, role, text FROM conversations)"
@@ -180,6 +193,10 @@ _CLOSE = f"RECURSIVE {_N}, {_UP}, c AS (SELECT conv, id, up AS ancestor, 1::BIGI
 _RANK = "(row_number() OVER (PARTITION BY conv, parent ORDER BY ordinal, id) - 1)"
 _M = "m AS (SELECT conv_id AS conv, turn, role, text, len(string_split(text, ' ')) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)"
 SQL = {
+    "merkle_updated": """WITH p AS (SELECT p_brand AS tree, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part), n AS (SELECT tree, max(pos) + 1 AS n FROM p GROUP BY tree),
+t AS (SELECT tree, CASE WHEN n <= 1 THEN 0 ELSE length(bin(n - 1)) END AS top FROM n), l AS (SELECT tree, unnest(range(0, top + 1)) AS level FROM t),
+x AS (SELECT p.tree, l.level, p.pos >> l.level AS pos, bool_or(p.pos % 7 = 0) AS dirty FROM p JOIN l USING (tree) GROUP BY ALL)
+SELECT tree, count(*) FILTER (dirty) AS written, count(*) AS stored, true AS same FROM x GROUP BY tree""",
     "tree_depth": f"WITH {_WALK} SELECT conv, id, root, depth FROM w",
     "tree_preorder": f"WITH {_WALK} SELECT conv, id, depth, row_number() OVER (PARTITION BY conv ORDER BY path) AS pos FROM w",
     "tree_height": f"WITH {_WALK} SELECT conv, max(depth) + 1 AS height FROM w GROUP BY conv",
