@@ -364,12 +364,6 @@ def inactive(trees: DataFrame, now, hours: float) -> DataFrame:
     return trees.where(F.lit(now) - F.col("last") > F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hours * 3600)))
 
 
-def prefixes(ids: DataFrame) -> DataFrame:
-    """(prefix, root, members): of ids (id, seq), under each prefix the first id that came, and how many have it."""
-    each = ids.select("id", "seq", F.explode(F.sequence(F.lit(1), F.length("id"))).alias("n")).select("id", "seq", F.substring(F.col("id"), F.lit(1), F.col("n")).alias("prefix"))
-    return each.groupBy("prefix").agg(F.min_by("id", F.struct("seq", "id")).alias("root"), F.count("*").alias("members"))
-
-
 def walk_keys(nodes: DataFrame, keys: list[str], key: str = "text") -> DataFrame:
     """(conv, id): where the path of ``keys`` from a root ends; one join per key."""
     at = nodes.where(F.col("parent").isNull() & (F.col(key) == keys[0])).select("conv", "id")

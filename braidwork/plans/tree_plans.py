@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from braidwork.operators import history as H
 from braidwork.operators import merkle as M
 from braidwork.operators import trees as T
+from braidwork.operators import tries
 from braidwork.sources.tables import table
 
 
@@ -109,7 +110,12 @@ def inactive_conversations(spark, d):
 
 
 def prefix_trie_fanout(spark, d):
-    return T.prefixes(table(spark, d, "customer").select(F.col("c_name").alias("id"), F.col("c_custkey").alias("seq")))
+    return tries.prefixes(table(spark, d, "customer").select(F.col("c_name").alias("id"), F.col("c_custkey").alias("seq")))
+
+
+def prefix_trie_nodes(spark, d):
+    """The compressed tree: prefixes at which names part or end."""
+    return tries.trie(table(spark, d, "customer").select(F.col("c_name").alias("id"), F.col("c_custkey").alias("seq"))).select("prefix", "length", "root", "members")
 
 
 def partial_sequence(spark, d):
@@ -182,7 +188,7 @@ def merkle_updated(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     tree_depth, tree_preorder, tree_height, last_message, ancestors, tree_children, tree_coordinates, tree_delete, tree_delete_cascade, tree_move, tree_cycles, tree_split,
-    tree_merge, tree_insert, tree_rewind, tree_indented, inactive_conversations, prefix_trie_fanout, partial_sequence, history_truncate_greedy, history_truncate_prefix,
+    tree_merge, tree_insert, tree_rewind, tree_indented, inactive_conversations, prefix_trie_fanout, prefix_trie_nodes, partial_sequence, history_truncate_greedy, history_truncate_prefix,
     history_last_n, chat_buffer_string, reply_chain_order, stream_segments, merkle_root, merkle_verify, merkle_updated,
 )}
 
@@ -222,6 +228,9 @@ SELECT n.conv, n.id, n.parent, n.ordinal FROM n JOIN k USING (conv, id) WHERE k.
     "tree_indented": f"WITH {_WALK} SELECT w.conv, repeat('  ', w.depth::INT) || w.id || ': ' || n.role AS line FROM w JOIN n USING (conv, id)",
     "inactive_conversations": "SELECT user_id AS conv FROM events GROUP BY user_id HAVING TIMESTAMP '2024-02-01' - max(ts) > INTERVAL 24 HOUR",
     "prefix_trie_fanout": "WITH p AS (SELECT c_name AS id, c_custkey AS seq, substr(c_name, 1, unnest(range(1, length(c_name) + 1))) AS prefix FROM customer) SELECT prefix, arg_min(id, seq) AS root, count(*) AS members FROM p GROUP BY prefix",
+    "prefix_trie_nodes": """WITH p AS (SELECT c_name AS id, c_custkey AS seq, unnest(range(1, length(c_name) + 1)) AS n FROM customer),
+g AS (SELECT substr(id, 1, n) AS prefix, arg_min(id, seq) AS root, count(*) AS members, count(DISTINCT substr(id, n + 1, 1)) AS ways, bool_or(length(id) = n) AS ended FROM p GROUP BY 1)
+SELECT prefix, CAST(length(prefix) AS INT) AS length, root, members FROM g WHERE ways > 1 OR ended""",
     "partial_sequence": f"WITH {_N} SELECT c.conv, c.id FROM n a JOIN n b ON b.conv = a.conv AND b.parent = a.id JOIN n c ON c.conv = b.conv AND c.parent = b.id WHERE a.parent IS NULL AND a.role = 'user' AND b.role = 'assistant' AND c.role = 'user'",
     "history_truncate_greedy": f"""WITH RECURSIVE {_M}, k AS (SELECT conv, turn, CASE WHEN role = 'assistant' THEN 2 ELSE 1 END * tokens AS cost, row_number() OVER (PARTITION BY conv ORDER BY turn DESC) AS r FROM m WHERE length(text) > 0),
 g AS (SELECT conv, turn, r, CASE WHEN cost <= 120 THEN cost ELSE 0 END AS used, cost <= 120 AS kept FROM k WHERE r = 1
