@@ -186,9 +186,14 @@ def lanes(priority: Column, urgent: int = 5) -> Column:
 
 
 def natural_key(s: Column) -> Column:
-    """Sort key under which runs of digits compare as numbers (of up to 20 digits) and the rest in lower case."""
+    """Sort key under which runs of digits compare as numbers, of any length, and the rest in lower case: a run becomes how many digits it has, then the digits."""
     parts = F.regexp_extract_all(F.lower(s), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(p)), "")
+
+    def run(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), run(p)).otherwise(p)), "")
 
 
 def batches(df: DataFrame, order: list, size: int, by: list[str] | None = None) -> DataFrame:

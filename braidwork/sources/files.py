@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.operators.relational import natural_key
 
+from .shared import store, written
 from .tables import TREE
 
 #: Folders of a title and whether their files are read as text or named by path.
@@ -58,11 +61,52 @@ def tickets(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_n", F.monotonically_increasing_id()).groupBy("name").agg(F.max_by("tickets", "_n").alias("tickets"))
 
 
+LISTED = "path string, is_folder boolean, size long"
+
+
+def listing(spark: SparkSession, path: str, deep: bool = True) -> DataFrame:
+    """(path, is_folder, size) of what is in a folder (or those that a pattern names) and, if ``deep``, below it; hidden names ("." or "_" first) are left out.
+
+    Folders are dealt out to tasks, which list them; a round goes one level
+    down, so the driver sees only how many folders a level has.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(path)
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    bases = [s.getPath().toString() for s in found or []]
+    if not bases:
+        raise FileNotFoundError(f"nothing is at {path}")
+
+    def look(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                reach, at = store(uri)
+                own = reach.get_file_info(at)
+                inside = reach.get_file_info(fs.FileSelector(at)) if own.type == fs.FileType.Directory else [own]
+                inside = [f for f in inside if not f.base_name.startswith((".", "_"))]
+                prefix = uri[: len(uri) - len(at)] if uri.endswith(at) else uri[: uri.index("/")]
+                columns = [[prefix + f.path for f in inside], [f.type == fs.FileType.Directory for f in inside], [f.size or 0 for f in inside]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64()))], ["path", "is_folder", "size"])
+
+    level, levels = spark.createDataFrame([(b,) for b in bases], "path string"), []
+    while n := level.count():
+        parts = min(n, 4 * spark.sparkContext.defaultParallelism)
+        levels.append(written(level.repartition(parts).mapInArrow(look, LISTED), "listing"))
+        level = levels[-1].where("is_folder").select("path")
+        if not deep:
+            break
+    return reduce(DataFrame.unionByName, levels)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, content, size) of all files below ``path`` but system ones and, as Spark lists none, empty ones."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """(path, name, content, size) of all files below ``path`` but system ones; empty ones, which Spark's reader passes over, come from ``listing``."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", F.col("length").alias("size"))
+    empty = listing(spark, path).where("NOT is_folder AND size = 0").select("path", F.lit(b"").alias("content"), "size")
+    f = f.where("size > 0").unionByName(empty)
     name = F.element_at(F.split("path", "/"), -1)
-    return f.withColumn("name", name).where(~F.lower("name").isin(".ds_store", "thumbs.db") & ~F.startswith("name", F.lit("."))).select("path", "name", "content", F.col("length").alias("size"))
+    return f.withColumn("name", name).where(~F.lower("name").isin(".ds_store", "thumbs.db") & ~F.startswith("name", F.lit("."))).select("path", "name", "content", "size")
 
 
 def media(spark: SparkSession, base: str) -> DataFrame:
@@ -115,7 +159,7 @@ def first_number(path: Column) -> Column:
 
 def prompt_numbers(spark: SparkSession, path: str) -> DataFrame:
     """(path, n): the first number in each file's name."""
-    f = spark.read.format("binaryFile").load(path).select("path")
+    f = listing(spark, path, deep=False).where("NOT is_folder")
     return f.select("path", first_number(F.col("path")).alias("n")).where("n IS NOT NULL")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -60,3 +61,15 @@ def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme of its file system, for readers that do not know Spark's default one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def store(uri: str):
+    """(file system, path) for a task, of a qualified path; characters that a URI would escape are taken as they are."""
+    from pyarrow import fs
+
+    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)?$", uri)
+    if not m or m[1].lower() == "file":
+        return fs.LocalFileSystem(), (m[3] or "/") if m else uri
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(m[1].lower(), m[1])
+    found, root = fs.FileSystem.from_uri(f"{scheme}://{m[2] or ''}/")
+    return found, root.rstrip("/") + (m[3] or "/")

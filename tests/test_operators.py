@@ -82,6 +82,9 @@ def test_prefix_strategies(spark):
 def test_natural_order(spark):
     df = spark.createDataFrame([("file10",), ("File2",), ("file1b",), ("file1",)], "s string")
     assert [r.s for r in df.orderBy(relational.natural_key(F.col("s"))).collect()] == ["file1", "file1b", "File2", "file10"]
+    long = ["n" + "9" * 30, "n1" + "0" * 30, "n" + "0" * 40 + "7", "n" + "9" * 29 + "8", "n8"]
+    rows = spark.createDataFrame([(s,) for s in long], "s string").orderBy(relational.natural_key(F.col("s"))).collect()
+    assert [r.s for r in rows] == [long[2], "n8", long[3], long[0], long[1]]
 
 
 def test_validity(spark):
