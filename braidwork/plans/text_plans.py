@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as X
 from braidwork.operators import history as H
+from braidwork.operators import memory
+from braidwork.sources.shared import shared_dir
 from braidwork.sources.tables import table
 
 
@@ -91,8 +95,20 @@ def sequence_labels(spark, d):
     return r.select("r_regionkey", F.array_join("l", " ").alias("labels"))
 
 
+def map_with_memory(spark, d):
+    """Letters of each turn, by a remembered function: first of what users said, then of all turns, which asks for the new ones only."""
+    path = f"{shared_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    turns = table(spark, d, "conversations").select("role", F.col("text").alias("input"))
+    runs = []
+    for n, items in enumerate((turns.where("role = 'user'"), turns)):
+        got, asked = memory.remembered(items, len, path)
+        called = F.lit(asked.count()).alias("called")
+        runs.append(got.agg(F.lit(n).alias("run"), F.count("input").alias("items"), F.countDistinct("input").alias("different"), called, F.sum(F.col("result").cast("long")).alias("letters")))
+    return runs[0].unionByName(runs[1])
+
+
 QUERIES = {n: _pieces(n, f) for n, f in PIECES.items()} | {f.__name__: f for f in (
-    title_body_split, segment_clean, template_prompt, token_stats, novelty_factor, truncate_prompt, chunk_texts, content_lengths, to_epoch, time_titles, sequence_labels,
+    title_body_split, segment_clean, template_prompt, token_stats, novelty_factor, truncate_prompt, chunk_texts, content_lengths, to_epoch, time_titles, sequence_labels, map_with_memory,
 )}
 
 _S = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -107,6 +123,9 @@ def _full(parts: str) -> str:
 
 
 SQL = {
+    "map_with_memory": """WITH t AS (SELECT text, bool_or(role = 'user') AS early FROM conversations WHERE text IS NOT NULL GROUP BY text)
+SELECT 0 AS run, count(*) AS items, count(DISTINCT text) AS different, (SELECT count(*) FROM t WHERE early) AS called, CAST(sum(length(text)) AS BIGINT) AS letters FROM conversations WHERE role = 'user' AND text IS NOT NULL
+UNION ALL SELECT 1, count(*), count(DISTINCT text), (SELECT count(*) FROM t WHERE NOT early), CAST(sum(length(text)) AS BIGINT) FROM conversations WHERE text IS NOT NULL""",
     "split_numbered": _sql(_full(r"string_split(regexp_replace(text, '(\d+\s)', chr(1) || '\1' || chr(1), 'g'), chr(1))")),
     "split_markdown": _sql(_full(f"regexp_split_to_array(text, '{X.MARKDOWN}')")),
     "split_delims": _sql("regexp_split_to_array(text, '[;,|]')"),

@@ -57,6 +57,11 @@ def delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme of its file system, for readers that do not know Spark's default one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
