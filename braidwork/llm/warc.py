@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from braidwork.sources.shared import delete, qualified
+from braidwork.sources.shared import delete, qualified, store
 
 from .common import materialize, maybe_broadcast, shared_dir, table
 
@@ -66,15 +66,6 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _store(uri: str):
-    """(file system, path) of a URI or a local path."""
-    from pyarrow import fs
-
-    if not re.match(r"[a-z][a-z0-9+.-]*:/", uri, re.I):
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", uri)))
-
-
 def _line(value: str) -> str:
     """A header's value on one line: control characters are percent-encoded."""
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
@@ -125,13 +116,13 @@ class WarcWriter(DataSourceWriter):
         self.held = f"{self.path}/_temporary-{self.job}"
 
     def write(self, iterator):
-        store, held = _store(self.held)
-        store.create_dir(held)
+        place, held = store(self.held)
+        place.create_dir(held)
         files, out = [], None
         for row in iterator:
             if out is None:
                 files.append(f"part-{uuid.uuid4().hex}.warc{'.gz' * self.packed}")
-                out = store.open_output_stream(f"{held}/{files[-1]}", compression=None)
+                out = place.open_output_stream(f"{held}/{files[-1]}", compression=None)
             record = record_bytes(row)
             out.write(member(record) if self.packed else record)
             if out.tell() >= self.roll:
@@ -144,21 +135,21 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages):
         from pyarrow import fs
 
-        store, path = _store(self.path)
-        store.create_dir(path)
+        place, path = store(self.path)
+        place.create_dir(path)
         if self.overwrite:
-            for f in store.get_file_info(fs.FileSelector(path)):
+            for f in place.get_file_info(fs.FileSelector(path)):
                 if not f.base_name.startswith("_temporary-"):
-                    (store.delete_file if f.is_file else store.delete_dir)(f.path)
+                    (place.delete_file if f.is_file else place.delete_dir)(f.path)
         for m in messages:
             for name in m.files if m else ():
-                store.move(f"{path}/_temporary-{self.job}/{name}", f"{path}/{name}")
+                place.move(f"{path}/_temporary-{self.job}/{name}", f"{path}/{name}")
         self.abort(messages)
 
     def abort(self, messages):
-        store, held = _store(self.held)
-        if store.get_file_info(held).type.name == "Directory":
-            store.delete_dir(held)
+        place, held = store(self.held)
+        if place.get_file_info(held).type.name == "Directory":
+            place.delete_dir(held)
 
 
 class Files(InputPartition):
@@ -325,9 +316,9 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        store, path = _store(self.path)
-        info = store.get_file_info(path)
-        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
+        place, path = store(self.path)
+        info = place.get_file_info(path)
+        found = [info] if info.is_file else place.get_file_info(fs.FileSelector(path, recursive=True))
         names = [f for f in found if f.is_file and re.search(r"\.warc(\.gz)?$", f.path) and "/_temporary-" not in f.path]
         out, size = [[]], 0
         for f in sorted(names, key=lambda f: f.path):
@@ -339,12 +330,12 @@ class WarcReader(DataSourceReader):
         return [Files(x) for x in out]
 
     def read(self, partition):
-        store, _ = _store(self.path)
+        place, _ = store(self.path)
         names, content = self.schema.names, bool(CONTENT & set(self.schema.names))
         kinds = pa.schema([(f.name, _arrow(f.dataType)) for f in self.schema])
         held, size = [], 0
         for path in partition.value:
-            with store.open_input_file(path) as file:
+            with place.open_input_file(path) as file:
                 for row in records(Plain(file), path.endswith(".gz"), self.conditions, content):
                     held.append([row.get(n) for n in names])
                     size += 200 + len(row.get("payload") or b"")

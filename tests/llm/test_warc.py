@@ -38,8 +38,8 @@ def expected(least=0):
 
 @pytest.mark.parametrize("least", [0, 1, 10])
 def test_round_trip(spark, pages, tmp_path, least):
-    warc.write_pages(pages, str(tmp_path / "a"), least=least)
-    got = warc.read_pages(spark, str(tmp_path / "a")).collect()
+    warc.write_pages(pages, str(tmp_path / "a é%20b"), least=least)
+    got = warc.read_pages(spark, str(tmp_path / "a é%20b")).collect()
     assert sorted(map(tuple, got), key=repr) == expected(least)
 
 
