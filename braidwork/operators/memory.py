@@ -81,7 +81,9 @@ def remembered(items: DataFrame, fn: Callable[[str], object], path: str, column:
 
     parts = 4 * spark.sparkContext.defaultParallelism  # inputs differ, so a hash of them deals them evenly
     asked.repartition(parts, "key").mapInArrow(ask, ANSWERS).write.mode("append").parquet(path)
-    table = spark.read.schema(ANSWERS).parquet(path)
+    # Spark takes scans of one path for the same, whatever files they listed. True of every run, this condition keeps
+    # a plan that holds the answers of two calls from reading those of the first twice.
+    table = spark.read.schema(ANSWERS).parquet(path).where(F.col("run") < F.lit(f"g{run}"))
     # Two jobs at once may both have asked; a result counts more than an error, then any of the same key.
     best = table.groupBy(F.col("key").alias("_answered")).agg(F.max(F.struct(F.col("error").isNull().alias("ok"), "run", "result", "error")).alias("_best"))
     joined = keyed.join(best, F.col("_key") == F.col("_answered"), "left")

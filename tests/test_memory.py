@@ -45,6 +45,8 @@ def test_second_run_asks_new_items_only(spark, tmp_path, counted):
     got, asked = memory.remembered(more, fn, path)
     assert calls() == ["bad x", "c"] and asked.count() == 2  # an error is asked again
     assert {r.n: r.result for r in got.collect()}[8] == "C" and got.count() == 8
+    both = got.select("n", "result").unionByName(memory.remembered(more, fn, path)[0].select("n", "result"))
+    assert both.where("result = 'C'").count() == 4 and calls() == ["bad x"]  # two calls in one plan
     _, asked = memory.remembered(more.where("n <> 6"), fn, path)
     assert calls() == [] and asked.count() == 0
     memory.remembered(more.where("n = 1"), fn, path, version="2")
