@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.sources.shared import discard, shared_dir
 from braidwork.sources.shared import written as materialize
 
-__all__ = ["BROADCAST_ROWS", "SPACE_WORD", "discard", "materialize", "maybe_broadcast", "ranked", "sampled", "shared_dir", "table", "without"]
+__all__ = ["BROADCAST_ROWS", "SPACE_WORD", "apart", "discard", "materialize", "maybe_broadcast", "ranked", "sampled", "shared_dir", "table", "without"]
 
 #: Words by ASCII white space only.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -58,5 +61,30 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in gone])
 
 
+def apart(*needs: str) -> Callable:
+    """Decorates an operator on a table of which it reads the columns ``needs`` only: others go through it under names that nothing clashes with.
+
+    They come back under their own names, in their places, unless the operator
+    makes a column of that name, which then counts.
+    """
+
+    def wrap(operator: Callable) -> Callable:
+        @wraps(operator)
+        def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+            hidden = {c: f"__{n}__" for n, c in enumerate(df.columns) if c.lower() not in needs}
+            if not hidden:
+                return operator(df, *args, **kwargs)
+            out = operator(df.select(*[df[f"`{c}`"].alias(hidden.get(c, c)) for c in df.columns]), *args, **kwargs)
+            old = {c: hidden.get(c, c) for c in df.columns}
+            new = [c for c in out.columns if c not in old.values()]
+            made = {c.lower() for c in new}
+            back = [out[f"`{inside}`"].alias(c) for c, inside in old.items() if inside in out.columns and (c not in hidden or c.lower() not in made)]
+            return out.select(*back, *[out[f"`{c}`"] for c in new])
+
+        return run
+
+    return wrap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

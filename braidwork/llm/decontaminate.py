@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, maybe_broadcast, table, without
+from .common import BROADCAST_ROWS, apart, materialize, maybe_broadcast, table, without
 
 #: A word of lower-cased text; in ANY, A-Z are word characters too, so that texts need not be lower-cased to count.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -79,6 +79,7 @@ def _window(at: Column, size: Column) -> Column:
     return F.array_join(F.slice("w", at + 1, size), " ").alias("win")
 
 
+@apart("doc_id", "text")
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """``docs`` with n_words, n_hit, items (sorted distinct item ids as strings) and contaminated.
 

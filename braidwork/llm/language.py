@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sampled, table, without
+from .common import apart, sampled, table, without
 from .quality import remainder
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -257,6 +257,7 @@ def _scores(model: Model, key: str) -> Scores:
     return _CACHE[key]
 
 
+@apart("doc_id", "text")
 def detect(docs: DataFrame, model: Model | None, penalty: float = 6.0) -> DataFrame:
     """``docs`` with held_out, lang_pred and score.
 
@@ -292,6 +293,7 @@ def detect(docs: DataFrame, model: Model | None, penalty: float = 6.0) -> DataFr
     return whole.select("_row.*", "held_out", F.col("_said.lang").alias("lang_pred"), F.col("_said.score").alias("score"))
 
 
+@apart("text")
 def spans(docs: DataFrame, model: Model, penalty: float = 6.0) -> DataFrame:
     """``docs`` with ``lang_spans``: array of (start, end, lang) over code points, runs of words with one label."""
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))

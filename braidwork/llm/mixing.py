@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, materialize, maybe_broadcast, table, without
+from .common import SPACE_WORD, apart, materialize, maybe_broadcast, table, without
 
 WEIGHTS = (5, 2, 1)
 OUTPUTS = ("size", "source_size", "target", "rate", "copies", "taken")
@@ -67,6 +67,7 @@ def coin(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+@apart("doc_id", "text", "source")
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """``docs`` with size, source_size, target, rate, copies and taken.
 
@@ -91,6 +92,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     )
 
 
+@apart("copies")
 def emit(mixed: DataFrame) -> DataFrame:
     """One row per copy, with its number in ``copy`` (from 1); documents with no copies go."""
     kept = without(mixed, "copy").where(F.col("copies") > 0)

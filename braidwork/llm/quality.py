@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, maybe_broadcast, sampled, table, without
+from .common import apart, materialize, maybe_broadcast, sampled, table, without
 
 FEATURES = 256
 PARTS = 16
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 100_000, ridge:
     return model
 
 
+@apart("doc_id", "text")
 def classify(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with held_out, score and predicted.
 

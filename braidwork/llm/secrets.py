@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import apart, table, without
 
 WORDS = ("password", "passwd", "secret", "token", "api_?key")
 
@@ -94,13 +94,14 @@ def _window_spans(kind: str) -> str:
     return f"aggregate({steps}, {zero}, {merge}, a -> if(a.from >= 0, array_append(a.out, {span}), a.out))"
 
 
+@apart("text")
 def find_secrets(docs: DataFrame, allow: str = ALLOW) -> DataFrame:
     """``docs`` with ``spans``: array of (start, no, end, kind, found) by start, then kind.
 
     Offsets count code points, ends are exclusive, and an assignment's span is
     its whole match. Defined results: a null or empty text has no spans;
     repeated rows are scanned each on their own; an empty table gives an empty
-    table; input columns named ``spans``, ``_base`` or ``_cands`` are replaced.
+    table; an input column named ``spans`` is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(
@@ -119,6 +120,7 @@ def find_secrets(docs: DataFrame, allow: str = ALLOW) -> DataFrame:
     )
 
 
+@apart("text", "spans")
 def redact(found: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """``text`` with each group of overlapping spans replaced by ``mark``; rows without spans stay as they are."""
 

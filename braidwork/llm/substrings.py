@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, maybe_broadcast, table, without
+from .common import apart, discard, materialize, maybe_broadcast, table, without
 
 WINDOW = 35
 K = 15
@@ -279,8 +279,8 @@ def _runs(column: str):
     def step(a, x):
         last = F.try_element_at(a, F.lit(-1))
         joined = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last["at"].alias("at"), (last["n"] + x["size"]).alias("n"))))
-        apart = F.concat(a, F.array(F.struct(x["rel"].alias("at"), x["size"].alias("n"))))
-        return F.when((F.size(a) > 0) & (last["at"] + last["n"] == x["rel"]), joined).otherwise(apart)
+        alone = F.concat(a, F.array(F.struct(x["rel"].alias("at"), x["size"].alias("n"))))
+        return F.when((F.size(a) > 0) & (last["at"] + last["n"] == x["rel"]), joined).otherwise(alone)
 
     return F.aggregate(column, F.array().cast("array<struct<at:int,n:int>>"), step)
 
@@ -300,6 +300,7 @@ def _schema(docs: DataFrame, rest: str) -> str:
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {rest}"
 
 
+@apart("doc_id", "text")
 def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, with_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 

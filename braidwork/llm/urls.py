@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, table, without
+from .common import apart, materialize, maybe_broadcast, table, without
 
 #: (host, path, verdict)
 RULES = (
@@ -29,6 +29,7 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
 
 
+@apart("url")
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """``pages`` (url) with host, path, rule and verdict.
 
