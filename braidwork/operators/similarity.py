@@ -353,15 +353,21 @@ def keyword_clusters(texts: DataFrame, encode, k: int = 5) -> DataFrame:
     return grouped_terms(terms.join(found, "id"), k)
 
 
+def coordinates(vectors: DataFrame, components: int = 3, neighbours: int = 10) -> DataFrame:
+    """(id, x0, x1, ...): ``vectors`` (id, v) in a few dimensions that keep neighbours together, see ``manifold``."""
+    from .manifold import eigenmap, neighbour_graph
+
+    return eigenmap(neighbour_graph(vectors, neighbours), components)[0]
+
+
 def cluster(vectors: DataFrame, k: int = 5, components: int = 3, seed: int = 42) -> DataFrame:
-    """(id, cluster): PCA to ``components`` dimensions (in place of a manifold embedding), then k-means."""
+    """(id, cluster): ``coordinates``, then k-means. Vectors that are not ``usable`` take no part."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import VectorAssembler
 
-    x = vectors.select("id", array_to_vector("v").alias("x"))
-    reduced = PCA(k=components, inputCol="x", outputCol="p").fit(x).transform(x)
-    model = KMeans(k=k, seed=seed, featuresCol="p", predictionCol="cluster").fit(reduced)
+    placed = coordinates(vectors, components)
+    reduced = VectorAssembler(inputCols=[f"x{n}" for n in range(components)], outputCol="p").transform(placed)
+    model = KMeans(k=k, seed=seed, featuresCol="p", predictionCol="cluster", tol=1e-9, maxIter=50).fit(reduced)
     return model.transform(reduced).select("id", "cluster")
 
 
