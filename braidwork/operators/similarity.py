@@ -357,7 +357,7 @@ def coordinates(vectors: DataFrame, components: int = 3, neighbours: int = 10) -
     """(id, x0, x1, ...): ``vectors`` (id, v) in a few dimensions that keep neighbours together, see ``manifold``."""
     from .manifold import eigenmap, neighbour_graph
 
-    return eigenmap(neighbour_graph(vectors, neighbours), components)[0]
+    return eigenmap(neighbour_graph(vectors, neighbours), components, rounds=40, settled=1e-3)[0]
 
 
 def cluster(vectors: DataFrame, k: int = 5, components: int = 3, seed: int = 42) -> DataFrame:
