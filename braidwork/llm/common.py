@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -17,18 +18,22 @@ __all__ = ["BROADCAST_ROWS", "SPACE_WORD", "apart", "discard", "materialize", "m
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Largest number of narrow rows that an operator broadcasts after counting them.
 BROADCAST_ROWS = 500_000
+#: Bytes that a table with strings may have to be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, items: str | None = None, most_items: int = 0) -> DataFrame:
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, items: str | None = None, most_items: int = 0, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of a materialized narrow table of at most ``limit`` rows; else leave the join to Spark.
 
     For a table with an array column ``items``, its arrays may hold
-    ``most_items`` in total.
+    ``most_items`` in total; one with strings may have ``most_bytes`` as JSON.
     """
     if df.limit(limit + 1).count() > limit:
         return df
     if items and (df.agg(F.sum(F.size(items))).first()[0] or 0) > most_items:
         return df
+    if re.search("string|binary", df.schema.simpleString()) and (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) > most_bytes:
+        return df
     return F.broadcast(df)
 
 

@@ -35,3 +35,13 @@ def test_columns_come_back(spark, name):
     for r in got:
         assert all(r[c] == f"{c}:{r.doc_id}" for c in INNER), name
         assert r.n_chars == {1: 3, 2: 4, 4: 5, 5: 6}[r.doc_id]
+
+
+def test_broadcasts_by_bytes(spark):
+    from braidwork.llm.common import maybe_broadcast
+
+    hinted = lambda df, **kw: "strategy=broadcast" in maybe_broadcast(df, **kw)._jdf.queryExecution().analyzed().toString()
+    rows = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("s"))
+    assert hinted(rows) and not hinted(rows, limit=99)
+    assert not hinted(rows, most_bytes=50_000) and hinted(rows.select("id"), most_bytes=10)
+    assert not hinted(rows.select(F.array("s").alias("a")), most_bytes=50_000)
