@@ -159,10 +159,10 @@ def first_match(df: DataFrame, condition: Column, by: list[str], order: list) ->
 
 
 def mode_of(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    """The most frequent value of ``col`` per group; ties go to the smallest."""
+    """The most frequent value of ``col`` per group, or of all rows without ``by``, with ``n``; ties go to the smallest. Counts are compared where they are, no group is sorted."""
     counts = df.groupBy(*by, col).agg(F.count("*").alias("n"))
-    order = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    return counts.withColumn("_r", F.row_number().over(order.orderBy(F.desc("n"), F.col(col)))).where("_r = 1").drop("_r")
+    first = counts.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(col).alias("v"))).alias("_f")).where("_f IS NOT NULL")
+    return first.select(*by, F.col("_f.v").alias(col), (-F.col("_f.m")).alias("n"))
 
 
 def top(df: DataFrame, by: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -197,8 +197,12 @@ def natural_key(s: Column) -> Column:
 
 
 def batches(df: DataFrame, order: list, size: int, by: list[str] | None = None) -> DataFrame:
-    """``df`` with a batch number: rows in order, ``size`` to a batch, per group of ``by``."""
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+    """``df`` with a batch number: rows in order, ``size`` to a batch, per group of ``by``; without it over all rows, which ranges number so that no task sorts them all."""
+    if not by:
+        from .tries import in_order
+
+        return in_order(df, *order).withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long")).drop("place")
+    w = W.partitionBy(*by).orderBy(*order)
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 

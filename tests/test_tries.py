@@ -65,3 +65,17 @@ def test_in_order(spark):
     df = spark.range(1000).select(F.xxhash64("id").alias("x")).repartition(7)
     rows = sorted(tries.in_order(df, "x").collect(), key=lambda r: r.place)
     assert [r.place for r in rows] == list(range(1, 1001)) and [r.x for r in rows] == sorted(r.x for r in rows)
+
+
+def test_batches_and_modes_of_all_rows(spark):
+    from braidwork.operators import relational
+
+    df = spark.range(1003).select(((F.col("id") * 7919) % 1003).alias("n"), F.when(F.col("id") % 3 == 0, F.lit("b")).otherwise(F.lit("a")).alias("t")).repartition(5)
+    got = {r.n: r.batch for r in relational.batches(df, ["n"], 100).collect()}
+    assert got == {n: n // 100 for n in range(1003)}
+    by = {(r.t, r.n): r.batch for r in relational.batches(df, ["n"], 100, ["t"]).collect()}
+    assert all(b == sorted(n for t, n in by if t == s).index(m) // 100 for (s, m), b in list(by.items())[::97])
+    assert [tuple(r) for r in relational.mode_of(df, [], "t").collect()] == [("a", 668)]
+    ties = spark.createDataFrame([(1, "y"), (1, "x"), (2, "z"), (2, None), (2, None)], "k int, t string")
+    assert sorted(map(tuple, relational.mode_of(ties, ["k"], "t").collect())) == [(1, "x", 1), (2, None, 2)]
+    assert relational.mode_of(ties.limit(0), [], "t").count() == 0
