@@ -213,17 +213,24 @@ def compacted(segments: DataFrame) -> DataFrame:
     windows before this one; each doubling joins twice as far. A ring of
     segments has no first one: its segments stay paths of their own.
     """
-    one = F.struct("seg", "sure", "size")
-    into = segments.groupBy("right").agg(F.count("*").alias("n"), F.first(one).alias("a")).where("n = 1").select(F.col("right").alias("node"), "a")
-    out = segments.groupBy("left").agg(F.count("*").alias("m"), F.first(one).alias("b")).where("m = 1").select(F.col("left").alias("node"), "b")
-    links = into.join(out, "node").select("b.seg", "b.sure", F.struct("a.seg", "a.sure").alias("up"), F.col("a.size").cast("long").alias("dist"))
+    # Keys and what is aggregated are plain numbers: groups are hashed and joins sort by a number, which structs would not allow.
+    into = segments.groupBy(F.col("right").alias("node")).agg(F.count("*").alias("n"), F.first("seg").alias("up_seg"), F.first("sure").alias("up_sure"), F.first("size").alias("before"))
+    out = segments.groupBy(F.col("left").alias("node")).agg(F.count("*").alias("m"), F.first("seg").alias("seg"), F.first("sure").alias("sure"))
+    links = into.where("n = 1").join(out.where("m = 1"), "node").select("seg", "sure", "up_seg", "up_sure", F.col("before").cast("long").alias("dist"))
     state = materialize(links, "links")
     closed, left = [], None
     while True:
         # Open are those whose way up has not come to a segment without a link; closed ones are written once.
         known = reduce(DataFrame.unionByName, [*closed, state])
-        far = known.select(F.struct("seg", "sure").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"))
-        done = state.join(far, "up", "left").select("seg", "sure", F.coalesce("next", "up").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("next").isNotNull().alias("open"))
+        far = known.select(F.col("seg").alias("up_seg"), F.col("sure").alias("up_sure"), F.col("up_seg").alias("next_seg"), F.col("up_sure").alias("next_sure"), F.col("dist").alias("more"))
+        done = state.join(far, ["up_seg", "up_sure"], "left").select(
+            "seg",
+            "sure",
+            F.coalesce("next_seg", "up_seg").alias("up_seg"),
+            F.coalesce("next_sure", "up_sure").alias("up_sure"),
+            (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"),
+            F.col("next_seg").isNotNull().alias("open"),
+        )
         fresh = materialize(done, "doubled")
         closed.append(fresh.where("NOT open").drop("open"))
         state = fresh.where("open").drop("open")
@@ -231,10 +238,10 @@ def compacted(segments: DataFrame) -> DataFrame:
         if not still or still == left:  # those left lie on rings
             break
         left = still
-    state = reduce(DataFrame.unionByName, closed)
-    heads = state.select("seg", "sure", F.col("up").alias("head"), F.col("dist").alias("offset"))
+    heads = reduce(DataFrame.unionByName, closed).withColumnRenamed("dist", "offset")
     both = segments.select("seg", "sure").join(heads, ["seg", "sure"], "left")
-    return both.select("seg", "sure", F.coalesce("head", F.struct("seg", "sure")).alias("head"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
+    head = F.struct(F.coalesce("up_seg", "seg").alias("seg"), F.coalesce("up_sure", "sure").alias("sure"))
+    return both.select("seg", "sure", head.alias("head"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
 
 
 def path_occurrences(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -250,16 +257,19 @@ def path_occurrences(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataF
     met = materialize(paths.join(state, same_path), "met")
     discard(paths)
     # One copy stands for all that come again as they are.
-    told = met.where("again").dropDuplicates(same_path).unionByName(met.where("NOT again"))
-    told = told.groupBy(*key).agg(F.collect_list(F.struct(F.get("starts", F.lit(0)).alias("start"), "n", *same_path, "again", "branch")).alias("told"))
+    first = met.select(*key, F.get("starts", F.lit(0)).alias("start"), "n", *same_path, "again", "branch")
+    told = first.where("again").dropDuplicates(same_path).unionByName(first.where("NOT again"))
+    told = told.groupBy(*key).agg(F.collect_list(F.struct("start", "n", *same_path, "again", "branch")).alias("told"))
     told = materialize(told, "told").withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
     same = texts["doc_id"].eqNullSafe(told["_id"]) & (texts["text_hash"] == told["_h"])
     looked = texts.join(maybe_broadcast(told, TOLD_ROWS, "told", TOLD_ITEMS), same).select("doc_id", "text_hash", "text", "told").dropDuplicates(key)
     found = looked.mapInArrow(_find_segments(window), _schema(docs, "text_hash long, mer long, path long, check long, again boolean, branch boolean, seg long, sure long, left long, right long, rel int, start int, size int"))
     found = materialize(found, "segments")
     # Repeated: of a row that comes again, or in two rows of one minimizer.
-    by_seg = found.groupBy("mer", "seg", "sure").agg(F.min(F.struct("path", "check")).alias("a"), F.max(F.struct("path", "check")).alias("b"), F.bool_or("again").alias("again"), F.first(F.struct("left", "right", "size")).alias("x"))
-    segments = materialize(by_seg.where("again OR a <> b").select("seg", "sure", "x.*"), "repeated")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("path", "check")]
+    by_seg = found.groupBy("mer", "seg", "sure").agg(*ends, F.bool_or("again").alias("again"), *(F.first(c).alias(c) for c in ("left", "right", "size")))
+    several = "again OR min_path <> max_path OR min_check <> max_check"
+    segments = materialize(by_seg.where(several).select("seg", "sure", "left", "right", "size"), "repeated")
     where = materialize(compacted(segments), "compacted")
     named = found.join(where, ["seg", "sure"])
     piece = named.select(*key, *same_path, "again", "head", "start", "rel", "size", "offset")
