@@ -7,8 +7,9 @@ neighbour, by a join, and each of them learns of the others it met: neighbours
 of neighbours. Rounds end when few entries of the lists change. A query walks
 the graph from its own node: it joins the best nodes that it has not expanded
 with their neighbours, keeps the best ``width`` it knows, and ends when all of
-those are expanded. What may be among the nearest, given the error of packed
-vectors, is scored anew on the original ones.
+those are expanded. Scores within are the cosine less one, half the squared
+distance of unit vectors, so that floats tell near copies apart. What may be
+among the nearest, given their rounding, is scored anew on the original vectors.
 """
 
 from __future__ import annotations
@@ -37,18 +38,13 @@ BROADCAST_BYTES = 64 << 20
 
 
 def _pack(x: np.ndarray) -> list[bytes]:
-    """Unit vectors as bytes: a float32 scale, then one signed byte per dimension. A component is off by half a scale at most."""
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    scale = (np.abs(x).max(axis=1, keepdims=True) / 127).astype(np.float32)
-    raw = np.hstack([scale.view(np.uint8), np.rint(x / scale).astype(np.int8).view(np.uint8)])
-    return [r.tobytes() for r in raw]
+    """Unit vectors as the bytes of float32 components, each off by at most 2**-25 of a unit."""
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return [r.tobytes() for r in unit]
 
 
 def _unpack(packed: pa.Array, dims: int) -> np.ndarray:
-    if not len(packed):
-        return np.zeros((0, dims), np.float32)
-    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, 4 + dims)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    return np.frombuffer(b"".join(packed.to_pylist()), np.float32).reshape(-1, dims)
 
 
 def _rows(dims: int, *cols: np.ndarray) -> pa.RecordBatch:
@@ -65,8 +61,10 @@ def _meet(dims: int, most: int, by_group: bool):
     def meet(batches):
         def flush(parts):
             ids, x, worst = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            s = x @ x.T
-            s[ids[:, None] == ids[None, :]] = -2
+            x = x.astype(np.float64)  # near vectors differ in the last digits of their products
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            s = x @ x.T - 1
+            s[ids[:, None] == ids[None, :]] = -4
             k = min(most, len(ids) - 1)
             if k < 1:
                 return None
@@ -126,7 +124,7 @@ def build_graph(nodes: DataFrame, dims: int, degree: int = DEGREE, trees: int =
             for t in range(trees):
                 # The first cuts weigh most: rows that follow each other are on the same side of many.
                 code = ((x @ cuts[t].T > 0) @ (1 << np.arange(CUTS)[::-1])).astype(np.int64) if len(x) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(code + (t << CUTS)), b.column(0), b.column(1), pa.array(np.full(len(x), -2, np.float32))], ["leaf", "id", "packed", "worst"])
+                yield pa.RecordBatch.from_arrays([pa.array(code + (t << CUTS)), b.column(0), b.column(1), pa.array(np.full(len(x), -4, np.float32))], ["leaf", "id", "packed", "worst"])
 
     leaves = nodes.select("id", "packed").mapInArrow(sides, "leaf long, id long, packed binary, worst float")
     leaves = leaves.repartitionByRange(trees * n // (40 * BLOCK) + 1, "leaf").sortWithinPartitions("leaf", "id")
@@ -135,7 +133,7 @@ def build_graph(nodes: DataFrame, dims: int, degree: int = DEGREE, trees: int =
     for turn in range(rounds):
         worst = graph.groupBy("id").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
         known = nodes.select("id", "packed").join(worst, "id", "left")
-        known = known.select(F.col("id").alias("v"), "packed", F.when(F.col("n") == degree, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
+        known = known.select(F.col("id").alias("v"), "packed", F.when(F.col("n") == degree, F.col("worst")).otherwise(F.lit(-4.0)).cast("float").alias("worst"))
         ends = both_ways(graph)
         # A hub's neighbours meet in parts, other ones in each round; no part is larger than a few blocks.
         parts = ends.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
@@ -180,8 +178,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, wi
                 continue
             ids, packs = b.column(2), b.column(3)
             sizes = np.diff(ids.offsets.to_numpy())
-            own = np.repeat(_unpack(b.column(1), dims), sizes, axis=0)
-            score = np.einsum("ij,ij->i", own, _unpack(packs.flatten(), dims))
+            apart = np.repeat(_unpack(b.column(1), dims), sizes, axis=0) - _unpack(packs.flatten(), dims)
+            score = np.einsum("ij,ij->i", apart, apart) * np.float32(-0.5)
             q, v = np.repeat(b.column(0).to_numpy(), sizes), ids.flatten().to_numpy()
             order = np.lexsort((v, q))  # a neighbour may come several times
             q, v, score = q[order], v[order], score[order]
@@ -202,7 +200,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, wi
             break
         if hop == most_hops:
             raise RuntimeError(f"walks did not end in {most_hops} hops")
-        found = near.join(maybe_broadcast(front, BROADCAST_BYTES // (dims + 64)), "u").select("id", "packed", "ids", "packs").mapInArrow(walk, _OUT)
+        found = near.join(maybe_broadcast(front, BROADCAST_BYTES // (4 * dims + 64)), "u").select("id", "packed", "ids", "packs").mapInArrow(walk, _OUT)
         done = front.select("id", F.col("u").alias("other"), F.lit(True).alias("now"))
         known = state.join(done, ["id", "other"], "left").select("id", "other", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         merged = known.unionByName(found.withColumn("done", F.lit(False))).groupBy("id", "other").agg(F.max("score").alias("score"), F.bool_or("done").alias("done"))
@@ -228,8 +226,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, degree: int = DEGR
     of two) are one node and all can be results, of which the k + 1 smallest
     ids of a node are enough; ties go to the smaller vec_id; fewer candidates
     than ``k`` are all returned; an empty table gives no rows. Walks see
-    packed vectors: in a cluster of more than ``width`` that differ by less
-    than the packing they cannot tell which are nearest.
+    unit vectors in float32 and score differences, so that they order near
+    copies too; what is as near as their rounding is scored anew.
     """
     v = F.col("v")
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -248,18 +246,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, degree: int = DEGR
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(-1, dims)
             packed = _pack(x) if len(x) else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(np.frombuffer(b"".join(p[:4] for p in packed), np.float32))], ["id", "packed", "scale"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
 
-    nodes = materialize(reps.select("id", "v").mapInArrow(pack, "id long, packed binary, scale float"), "nodes")
-    n, scale = nodes.agg(F.count("*"), F.max("scale")).first()
+    nodes = materialize(reps.select("id", "v").mapInArrow(pack, "id long, packed binary"), "nodes")
+    n = nodes.count()
     asked = usable.where("asks").select("vec_id", "v").join(reps.select("v", "id"), "v").select(F.col("vec_id").alias("query_id"), "id")
     asked = materialize(asked, "queries")
     graph = build_graph(nodes, dims, degree, rounds=rounds)
     queries = materialize(nodes.join(asked.select("id").distinct(), "id").select("id", "packed"), "query-nodes")
     found = search(graph, nodes, queries, dims, width or max(WIDTH, int(n**0.5)))
-    # Both vectors of a score are off by up to sqrt(dims) * scale / 2: what cannot be among the nearest is not scored anew.
+    # Distances of packed vectors are off by ``off`` at most, that of the last of the nearest and that of another: what is farther is not scored anew.
     by_score = W.partitionBy("id").orderBy(F.desc("score"), "other")
-    least = F.min(F.when(F.col("_k") <= k + 1, F.col("score"))).over(W.partitionBy("id")) - 2.0 * dims**0.5 * float(scale) - 1e-5
+    off = 1.01 * dims**0.5 * 2.0**-24
+    fifth = F.min(F.when(F.col("_k") <= k + 1, F.col("score"))).over(W.partitionBy("id")).cast("double")
+    least = -F.pow(F.sqrt(F.greatest(-2 * fifth, F.lit(0.0))) * (1 + dims * 2.0**-23) + 2 * off, F.lit(2)) / 2
     found = found.withColumn("_k", F.row_number().over(by_score)).withColumn("least", least).where("score >= least").select("id", "other")
     pairs = asked.join(found.unionByName(queries.select("id", F.col("id").alias("other"))).distinct(), "id")
     exact = pairs.join(reps.select("id", F.col("v").alias("a")), "id").join(reps.select(F.col("id").alias("other"), F.col("v").alias("b"), "ids"), "other")
