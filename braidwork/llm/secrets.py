@@ -4,8 +4,10 @@ Three patterns find well-known forms. Beside them, candidate strings are read
 by a sliding window: the window keeps a count per symbol of a character class,
 one symbol enters and one leaves at each step, and the sum of ``n log2 n`` is
 updated from those two counts alone. Windows of high Shannon entropy that mix
-the groups of their class become spans, unless the allow-list knows the string
-or a pattern has already found it.
+the groups of their class become spans, unless the patterns' spans already
+cover them or the allow-list knows the string. A word of the allow-list speaks
+for the piece between separators that holds it: a candidate with another piece
+as long as a window is read all the same.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ LETTERS = SYMBOLS.replace("0-9", "")
 CANDIDATE = f"(?<!{SYMBOLS})(?={LETTERS}*[0-9]){SYMBOLS}{{20,}}"
 ALLOW = "example|sample|placeholder|changeme|dummy|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 WINDOW = 20
+SEPARATORS = "[_=/+-]"
 #: kind: symbols, whether case counts, groups (first and last symbol, from 1) that a window must mix, least entropy in bits
 CLASSES = {
     "entropy_hex": ("0123456789abcdef", False, ((1, 10), (11, 16)), 3.0),
@@ -108,14 +111,17 @@ def find_secrets(docs: DataFrame, allow: str = ALLOW) -> DataFrame:
         _matches(text, ASSIGN, "assign", group=2, least=12), _matches(text, ACCESS, "access"), _matches(text, HEX, "hex")
     )
     kept = without(docs, "spans", "_base", "_cands")
-    found = kept.withColumns({"_base": base, "_cands": _matches(text, CANDIDATE, "candidate")})
-    cands = F.filter("_cands", lambda c: ~F.lower(c["found"]).rlike(allow))
+    found = kept.withColumns({"_base": F.array_sort(base), "_cands": _matches(text, CANDIDATE, "candidate")})
+    foreign = lambda c: F.exists(F.split(c, SEPARATORS), lambda p: (F.length(p) >= WINDOW) & ~F.lower(p).rlike(allow))
+    cands = F.filter("_cands", lambda c: ~F.lower(c["found"]).rlike(allow) | foreign(c["found"]))
     classes = ", ".join(_window_spans(k) for k in CLASSES)
     windows = F.expr(f"flatten(transform(_cands, c -> concat({classes})))")
-    added = F.filter(windows, lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    # How far the patterns' spans, by start, cover a span from its start on without a gap.
+    covered = lambda x: F.aggregate("_base", x["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+    added = F.filter(windows, lambda x: covered(x) < x["end"])
     return (
         found.withColumn("_cands", cands)
-        .withColumn("spans", F.when(F.size("_cands") > 0, F.array_sort(F.concat("_base", added))).otherwise(F.array_sort("_base")))
+        .withColumn("spans", F.when(F.size("_cands") > 0, F.array_sort(F.concat("_base", added))).otherwise(F.col("_base")))
         .drop("_base", "_cands")
     )
 
@@ -186,10 +192,11 @@ WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text
 base AS ({_sql_matches(0, "assign", ASSIGN, "length(g) >= 12")}
  UNION ALL {_sql_matches(1, "access", ACCESS, "true")}
  UNION ALL {_sql_matches(2, "hex", HEX, "true")}),
-cand AS (SELECT id, start, m FROM ({_sql_matches(9, "candidate", SYMBOLS + "{20,}", f"regexp_matches(m, '[0-9]') AND NOT regexp_matches(lower(m), '{ALLOW}')")})),
+cand AS (SELECT id, start, m FROM ({_sql_matches(9, "candidate", SYMBOLS + "{20,}", f"regexp_matches(m, '[0-9]') AND (NOT regexp_matches(lower(m), '{ALLOW}') OR len([p FOR p IN regexp_split_to_array(m, '{SEPARATORS}') IF length(p) >= {WINDOW} AND NOT regexp_matches(lower(p), '{ALLOW}')]) > 0)")})),
 added AS ({" UNION ALL ".join(_sql_windows(3 + k, c) for k, c in enumerate(CLASSES))}),
 spans AS (SELECT id, no, kind, start, stop FROM base UNION ALL
- SELECT a.id, a.no, a.kind, a.start, a.stop FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id = a.id AND b.start < a.stop AND a.start < b.stop)),
+ SELECT DISTINCT a.id, a.no, a.kind, a.start, a.stop FROM (SELECT *, unnest(range(start, stop)) AS p FROM added) a
+ WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id = a.id AND b.start <= a.p AND a.p < b.stop)),
 s AS (SELECT id, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access, count(*) FILTER (WHERE no = 2) AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (WHERE no < 3) AS base,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) AS spans FROM spans GROUP BY id)

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -345,6 +346,30 @@ def test_mix_copies(spark):
     assert mixing.emit(mixing.mix(d)).count() == sum(r.copies for r in rows)
 
 
+def test_secrets_beside_allowed_words_and_patterns(spark):
+    key, tail = "Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0", "Ui5Op2As8Df4Gh6Jk0Lz"
+    cases = {
+        1: f"use sample_key={key} here",  # the allow-list speaks for its piece only
+        2: f"id Zx9Qw3Er7Ty0123456789abcdef{tail} end",  # a pattern found the middle
+        3: f"password: {key} end",  # found whole by a pattern
+        4: f"see example-{key[:19]}-{key[:10]} end",  # no other piece is as long as a window
+        5: "id 123e4567-e89b-12d3-a456-426614174000 end",
+        6: f"see sample{key} end",
+    }
+    found = secrets.find_secrets(docs(spark, cases.items()))
+    clean = {r.doc_id: r.text for r in secrets.redact(found).collect()}
+    assert not any(key in clean[i] for i in (1, 3)) and clean[1].endswith("[REDACTED] here")
+    assert clean[2] == "id [REDACTED] end" and clean[3] == "[REDACTED] end"
+    assert all(clean[i] == cases[i] for i in (4, 5, 6))
+    assert [s.kind for r in found.where("doc_id = 3").collect() for s in r.spans] == ["assign"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(cases.items()))
+    want = {r[0]: r[-1] for r in con.execute(secrets.OP4_SQL).fetchall()}
+    got = {r.doc_id: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans) for r in found.collect()}
+    assert got == want
+
+
 def test_nearest_edges(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 8)).tolist()
@@ -406,6 +431,16 @@ def test_nearest_clusters_of_near_copies(spark):
     assert recall(got, brute_nearest(rows, range(0, 2000, 50))) >= 0.95
 
 
+@pytest.mark.parametrize("noise", [0.001, 0.01, 0.03])
+def test_nearest_clusters_larger_than_a_walk(spark, noise):
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(4, 64))
+    rows = [(i, (centres[i % 4] + noise * rng.normal(size=64)).tolist()) for i in range(4000)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, F.col("vec_id") % 50 == 0).collect()
+    assert recall(got, brute_nearest(rows, range(0, 4000, 50))) >= 0.9
+
+
 def test_walks_that_do_not_end_are_errors(spark):
     d = spark.createDataFrame([(i, float(np.cos(i / 99)), float(np.sin(i / 99))) for i in range(100)], "id long, x double, y double")
     packed = spark.createDataFrame([(r.id, bytearray(neighbours._pack(np.array([[r.x, r.y]]))[0])) for r in d.collect()], "id long, packed binary")
