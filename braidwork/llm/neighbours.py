@@ -172,14 +172,18 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, wi
     near = near.join(hubs, "u").groupBy("u", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"))
     near = materialize(near.agg(F.collect_list("v").alias("ids"), F.collect_list("packed").alias("packs")), "adjacency")
 
+    def far(own, packs, sizes):
+        """Scores of some rows of a batch, whose unpacked vectors are not held all at once."""
+        apart = np.repeat(_unpack(own, dims), sizes, axis=0) - _unpack(packs.flatten(), dims)
+        return np.einsum("ij,ij->i", apart, apart) * np.float32(-0.5)
+
     def walk(batches):
         for b in batches:
             if not len(b):
                 continue
             ids, packs = b.column(2), b.column(3)
             sizes = np.diff(ids.offsets.to_numpy())
-            apart = np.repeat(_unpack(b.column(1), dims), sizes, axis=0) - _unpack(packs.flatten(), dims)
-            score = np.einsum("ij,ij->i", apart, apart) * np.float32(-0.5)
+            score = np.concatenate([far(b.column(1).slice(at, 128), packs.slice(at, 128), sizes[at : at + 128]) for at in range(0, len(b), 128)])
             q, v = np.repeat(b.column(0).to_numpy(), sizes), ids.flatten().to_numpy()
             order = np.lexsort((v, q))  # a neighbour may come several times
             q, v, score = q[order], v[order], score[order]
