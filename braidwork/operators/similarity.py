@@ -32,6 +32,14 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
 
 
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """``x`` rounded as SQL rounds doubles: halves away from zero, where numpy's go to the even digit."""
+    y = np.abs(x) * 10.0**digits
+    low = np.floor(y)
+    with np.errstate(invalid="ignore"):
+        return np.copysign((low + (y - low >= 0.5)) / 10.0**digits, x)
+
+
 def parts_of(n: int) -> int:
     """Groups to deal ``n`` vectors into, of about GROUP_ROWS at most."""
     return max(8, -(-n // GROUP_ROWS))
@@ -57,7 +65,8 @@ def _blocks(queries: DataFrame, corpus: DataFrame, fold, schema: str, parts: int
     queries, corpus = usable(queries, "q"), usable(corpus, "v")
     parts = parts or parts_of(corpus.count())
     sides = -(-queries.count() // GROUP_ROWS) or 1
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    # Both sides' keys have one type: cogroups are dealt by a hash, which tells an int from a long.
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # Fresh names on both sides, as they may come from the same rows.
     a = queries.select(F.col("query_id").alias("i"), F.col("q").alias("x"), F.size("q").alias("n"), deal("query_id", sides).alias("a"), each(parts).alias("b"))
@@ -85,7 +94,7 @@ def nearest_of(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, k: in
     for r in range(0, len(i), TILE):
         rows = slice(r, r + TILE)
         for c in range(0, len(j), TILE):
-            s = sign * np.round(compare(x[rows], y[c : c + TILE]), digits)
+            s = sign * rounded(compare(x[rows], y[c : c + TILE]), digits)
             if skip_self:
                 s[i[rows, None] == j[None, c : c + TILE]] = -np.inf
             s = np.hstack([best[rows], s])
@@ -253,7 +262,7 @@ def score_stats(queries: DataFrame, corpus: DataFrame, measure: str = "cosine",
     def fold(i, x, j, y):
         found = []
         for r in range(0, len(i), TILE):
-            parts = [np.round(MEASURES[measure][0](x[r : r + TILE], y[c : c + TILE]), digits) for c in range(0, len(j), TILE)]
+            parts = [rounded(MEASURES[measure][0](x[r : r + TILE], y[c : c + TILE]), digits) for c in range(0, len(j), TILE)]
             found.append((sum(p.sum(1) for p in parts), np.min([p.min(1) for p in parts], axis=0), np.max([p.max(1) for p in parts], axis=0)))
         return [i, np.full(len(i), len(j), np.int64), *(np.concatenate([f[c] for f in found]) for c in range(3))]
 
