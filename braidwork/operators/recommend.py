@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from braidwork.sources.shared import written
 
 from .relational import mode_of, top
+from .similarity import rounded
 
 
 def rated(ratings: DataFrame) -> DataFrame:
@@ -110,7 +111,8 @@ def _rating_blocks(ratings: DataFrame, users: DataFrame, fold, schema: str) -> D
     each_user = users.select(F.col("user").cast("long").alias("user")).where("user IS NOT NULL").distinct()
     rows = written(each_user.join(lists, "user", "left").select("user", F.coalesce(F.col("r.item"), F.array().cast("array<bigint>")).alias("items"), F.coalesce(F.col("r.rating"), F.array().cast("array<double>")).alias("values")), "rating-lists")
     parts = -(-rows.count() // RATING_USERS) or 1
-    deal, all_ = F.pmod(F.xxhash64("user"), F.lit(parts)), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    # Both sides' keys have one type: cogroups are dealt by a hash, which tells an int from a long.
+    deal, all_ = F.pmod(F.xxhash64("user"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     side = lambda *names: [F.col(c).alias(n) for c, n in zip(rows.columns, names)]
     # Fresh names on both sides, as they come from the same rows.
     a = rows.select(*side("i", "i_items", "i_values"), deal.alias("a"), all_.alias("b"))
@@ -149,7 +151,7 @@ def similar_by_ratings(ratings: DataFrame, users: DataFrame, k: int = 5, digits:
     """
 
     def best(i, j, common, s):
-        s = np.round(s, digits)
+        s = rounded(s, digits)
         s[i[:, None] == j[None, :]] = -np.inf
         rows, found = np.arange(len(i)), []
         for _ in range(min(k, len(j))):
@@ -216,7 +218,8 @@ def similar_by_types(owned: DataFrame, k: int = 5, digits: int = 6) -> DataFrame
     sets = owned.groupBy("user").agg(F.collect_set(F.xxhash64("type")).alias("types"))
     sets = written(sets.select(F.col("user").cast("long").alias("user"), "types"), "type-sets")
     parts = -(-sets.count() // BLOCK_USERS) or 1
-    deal, each = F.pmod(F.xxhash64("user"), F.lit(parts)), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    # Keys of one type on both sides, see _rating_blocks.
+    deal, each = F.pmod(F.xxhash64("user"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     a = sets.select(F.col("user").alias("i"), F.col("types").alias("x"), deal.alias("a"), each.alias("b"))
     b = sets.select(F.col("user").alias("j"), F.col("types").alias("y"), each.alias("a"), deal.alias("b"))
     out = pa.schema([("user", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
@@ -240,7 +243,7 @@ def similar_by_types(owned: DataFrame, k: int = 5, digits: int = 6) -> DataFrame
                 inside = (c >= t) & (c < t + TILE_TYPES)
                 m[r[inside], c[inside] - t] = 1
             common += tile[0] @ tile[1].T
-        s = np.round(common.astype(np.float64) / (sizes[0][:, None] + sizes[1][None, :] - common), digits)
+        s = rounded(common.astype(np.float64) / (sizes[0][:, None] + sizes[1][None, :] - common), digits)
         s[i[:, None] == j[None, :]] = -1
         best = np.argsort(-s, axis=1, kind="stable")[:, : min(k, len(j))]  # of equal ones the smaller id
         score = np.take_along_axis(s, best, 1)
