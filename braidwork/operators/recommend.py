@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -130,6 +132,85 @@ def _rating_blocks(ratings: DataFrame, users: DataFrame, fold, schema: str) -> D
     return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(met, schema)
 
 
+#: Meetings of two ratings are compared item by item if there are at most one for so many pairs of users; entries of lists that meet a block at once, and a wave.
+SPARSE, LIST_ENTRIES, WAVE_ENTRIES = 8, 1 << 22, 1 << 26
+
+
+def _by_lists(own: pa.Table, lists: pa.Table):
+    """(users, others, common, similarity) for a few users of ``own`` (i, item, x) at a time: their pairs with users of ``lists`` (item, js, ys) that share an item."""
+    items, order = np.unique(lists.column("item").to_numpy(), return_index=True)
+    js, ys = (lists.column(c).combine_chunks().take(pa.array(order)) for c in ("js", "ys"))
+    size = np.diff(js.offsets.to_numpy())
+    first = np.cumsum(size) - size
+    others, code = np.unique(js.flatten().to_numpy(), return_inverse=True)
+    y = ys.flatten().to_numpy(zero_copy_only=False)
+    i, item, x = (own.column(c).to_numpy() for c in ("i", "item", "x"))
+    at = np.minimum(np.searchsorted(items, item), len(items) - 1)
+    met = items[at] == item
+    order = np.flatnonzero(met)[np.argsort(i[met], kind="stable")]
+    i, at, x = i[order], at[order], x[order]
+    users, starts = np.unique(i, return_index=True)
+    before = np.append(np.append(0, np.cumsum(size[at]))[starts], size[at].sum())
+    starts = np.append(starts, len(i))
+    u = 0
+    while u < len(users):
+        v = max(u + 1, int(np.searchsorted(before, before[u] + RATING_PAIRS, side="right")) - 1)
+        rows = slice(starts[u], starts[v])
+        n = size[at[rows]]
+        entry = np.repeat(first[at[rows]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        row = np.repeat(np.searchsorted(users[u:v], i[rows]), n)
+        mine, theirs = np.repeat(x[rows], n), y[entry]
+        key, cell = np.unique(row * len(others) + code[entry], return_inverse=True)
+        common, dot, xx, yy = (np.bincount(cell, w, len(key)) for w in (None, mine * theirs, mine * mine, theirs * theirs))
+        a, b = users[u:v][key // len(others)], others[key % len(others)]
+        real = a != b
+        yield a[real], b[real], common[real], (dot / (np.sqrt(xx) * np.sqrt(yy)))[real]
+        u = v
+
+
+def _rating_lists(ratings: DataFrame, users: DataFrame, fold, schema: str, waves: bool) -> DataFrame | None:
+    """``fold`` (users, others, common, similarity) of all pairs of ``users`` (user) that share an item, or None where so many do that blocks cost less.
+
+    Users are dealt into blocks, and the list of an item goes to the blocks
+    that have a user with it, so the cost grows with the meetings of two
+    ratings and not with the pairs of users. All pairs of a user and an other
+    meet in one group; the meetings are counted first. In ``waves`` only some
+    of the blocks have their lists on the way at once.
+    """
+    each_user = users.select(F.col("user").cast("long").alias("user")).where("user IS NOT NULL").distinct()
+    rows = rated(ratings).select(F.col("user").cast("long").alias("user"), F.xxhash64("item").alias("item"), F.col("rating").cast("double").alias("x"))
+    rows = written(rows.join(each_user, "user", "left_semi"), "ratings")
+    n = each_user.count()
+    blocks = -(-n // RATING_USERS) or 1
+    deal = lambda c, parts, *seed: F.pmod(F.xxhash64(c, *seed), F.lit(parts)).cast("int")
+    sizes = rows.groupBy("item").agg(F.count("*").cast("double").alias("n"), F.count_distinct(deal(F.col("user"), blocks)).alias("b"))
+    meetings, entries = sizes.agg(F.sum(F.col("n") * F.col("n")), F.sum(F.col("n") * F.col("b"))).first()
+    if (meetings or 0) * SPARSE > n * n:
+        return None
+    parts = int((entries or 0) // blocks // LIST_ENTRIES) + 1
+    lists = rows.groupBy("item").agg(F.collect_list(F.struct(F.col("user").alias("j"), F.col("x").alias("y"))).alias("r"), F.collect_set(deal(F.col("user"), blocks)).alias("blocks"))
+    lists = written(lists, "item-lists")
+    count = int((entries or 0) // WAVE_ENTRIES) + 1 if waves else 1
+    kinds = pa.schema([(f.name, {"bigint": pa.int64(), "double": pa.float64()}[f.dataType.simpleString()]) for f in T.StructType.fromDDL(schema)])
+
+    def met(own: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not own.num_rows or not theirs.num_rows:
+            return kinds.empty_table()
+        return pa.concat_tables([kinds.empty_table()] + [pa.table(fold(*found), schema=kinds) for found in _by_lists(own, theirs)])
+
+    out = []
+    for wave in range(count):
+        now = lambda c: F.pmod(c, F.lit(count)) == wave  # noqa: E731, B023
+        part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b")
+        own = rows.withColumn("a", deal(F.col("user"), blocks)).where(now(F.col("a"))).select("a", part, F.col("user").alias("i"), "item", "x")
+        sent = lists.select(F.explode(F.filter("blocks", now)).alias("a"), "item", "r").select("a", part, "item", "r")
+        own_part = F.filter("r", lambda e: deal(e["j"], parts, F.lit(1)) == F.col("b")) if parts > 1 else F.col("r")
+        sent = sent.withColumn("r", own_part).select("a", "b", "item", F.col("r.j").alias("js"), F.col("r.y").alias("ys"))
+        found = own.groupBy("a", "b").cogroup(sent.groupBy("a", "b")).applyInArrow(met, schema)
+        out.append(written(found, "compared") if waves else found)
+    return reduce(DataFrame.unionByName, out)
+
+
 def user_cosine(ratings: DataFrame) -> DataFrame:
     """(user, other, common, similarity): cosine over the items both rated; only pairs with such items. Users are whole numbers.
 
@@ -141,15 +222,32 @@ def user_cosine(ratings: DataFrame) -> DataFrame:
         row, col = np.nonzero((common > 0) & (i[:, None] != j[None, :]))
         return [i[row], j[col], common[row, col].astype(np.int64), s[row, col]]
 
-    return _rating_blocks(ratings, rated(ratings).select("user"), pairs, "user bigint, other bigint, common bigint, similarity double")
+    schema = "user bigint, other bigint, common bigint, similarity double"
+    users = rated(ratings).select("user")
+    found = _rating_lists(ratings, users, lambda i, j, common, s: [i, j, common.astype(np.int64), s], schema, waves=False)
+    return _rating_blocks(ratings, users, pairs, schema) if found is None else found
 
 
 def similar_by_ratings(ratings: DataFrame, users: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
     """Each of ``users``' ``k`` most similar others of ``users`` by ``user_cosine``, rounded; users without a common item have similarity 0; ties go to the smaller id.
 
-    Of each pair of blocks only a user's best ``k`` go on.
+    Of each group only a user's best ``k`` go on, or all that share an item
+    with one who has fewer than ``k`` of more than 0, see ``similar``.
     """
 
+    def listed(i, j, common, s):
+        s = rounded(s, digits)
+        order = np.lexsort((j, -s, i))
+        i, j, s = i[order], j[order], s[order]
+        _, start, row = np.unique(i, return_index=True, return_inverse=True)
+        kept = (np.arange(len(i)) - start[row] < k) | (np.bincount(row, s > 0)[row] < k if len(i) else False)
+        return [i[kept], j[kept], s[kept]]
+
+    schema = "user bigint, other bigint, similarity double"
+    found = _rating_lists(ratings, users, listed, schema, waves=True)
+    if found is not None:
+        return similar(found, users.select(F.col("user").cast("long").alias("user")).where("user IS NOT NULL").distinct(), k, digits)
+
     def best(i, j, common, s):
         s = rounded(s, digits)
         s[i[:, None] == j[None, :]] = -np.inf
@@ -162,7 +260,7 @@ def similar_by_ratings(ratings: DataFrame, users: DataFrame, k: int = 5, digits:
         real = np.isfinite(x)
         return [u[real], o[real], x[real]]
 
-    return top(_rating_blocks(ratings, users, best, "user bigint, other bigint, similarity double"), ["user"], [F.desc("similarity"), "other"], k)
+    return top(_rating_blocks(ratings, users, best, schema), ["user"], [F.desc("similarity"), "other"], k)
 
 
 def similar(pairs: DataFrame, users: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:

@@ -61,3 +61,24 @@ def test_halves_go_away_from_zero_as_in_sql(spark):
     both = [(1, t) for t in range(128)] + [(2, 0)]
     got = recommend.similar_by_types(spark.createDataFrame(both, "user long, type int")).collect()
     assert {r.similarity for r in got} == {0.007813}
+
+
+@pytest.mark.parametrize(("block", "entries", "wave", "at_once"), [(4096, 1 << 22, 1 << 26, 1 << 22), (9, 20, 100, 7)])
+def test_rare_items_meet_by_lists(scattered, monkeypatch, block, entries, wave, at_once):
+    """Users meet only those that share an item; no pair of blocks is sent."""
+    for name, value in {"RATING_USERS": block, "LIST_ENTRIES": entries, "WAVE_ENTRIES": wave, "RATING_PAIRS": at_once}.items():
+        monkeypatch.setattr(recommend, name, value)
+    monkeypatch.setattr(recommend, "_rating_blocks", None)
+    rng = random.Random(8)
+    rows = [(u, rng.randrange(300), rng.choice([None, 0, 1, 2, 3, -1, -2, 5])) for u in range(80) for _ in range(rng.randrange(7))]
+    rows += [(u, 200, 4) for u in range(6)] + [(3, 200, 2), (None, 1, 2), (90, 200, 5)]
+    df = scattered.createDataFrame(rows, "user long, item long, rating int")
+    pairs, best = brute([r for r in rows if r[0] is not None], range(85))
+    got = {(r.user, r.other): (r.common, r.similarity) for r in recommend.user_cosine(df).collect()}
+    assert got.keys() == pairs.keys() and all(got[p] == (n, pytest.approx(s, abs=1e-12)) for p, (n, s) in pairs.items())
+    found = {}
+    for r in recommend.similar_by_ratings(df, scattered.range(85).withColumnRenamed("id", "user")).orderBy("user", "rank").collect():
+        found.setdefault(r.user, []).append((-r.similarity + 0.0, r.other))
+    assert found.keys() == best.keys()
+    for u, want in best.items():
+        assert found[u] == [(pytest.approx(s, abs=1e-6), o) for s, o in want], u
