@@ -240,3 +240,20 @@ def test_novelty_counts(spark):
     want = {(r.conv, r.turn): r.x for r in df.select("conv", "turn", X.novelty(F.coalesce("text", F.lit("")), past).alias("x")).collect()}
     got = {(r.conv, r.turn): r.novelty for r in history.novelty(df).collect()}
     assert got == pytest.approx(want)
+
+
+def test_proofs_of_many_levels(spark):
+    """Trees of several bands and odd sizes; no join by tree and level alone, which would meet each leaf with its whole level."""
+    data = {n: [short(f"{n}/{i}".encode()) for i in range(n)] for n in (1, 2, 3, 64, 65, 127, 129, 4097)}
+    leaves = spark.createDataFrame([(n, i, bytearray(x)) for n, xs in data.items() for i, x in enumerate(xs)], "tree int, pos int, hash binary")
+    nodes = merkle.levels(leaves)
+    made = merkle.proofs(nodes, leaves)
+    got = {(r.tree, r.pos): [bytes(x) for x in r.proof] for r in made.collect()}
+    want = {}
+    for n, xs in data.items():
+        rows = tree(xs)[:-1]
+        for i in range(n if n > 1 else 0):
+            want[n, i] = [row[(i >> k) ^ 1] if (i >> k) ^ 1 < len(row) else row[i >> k] for k, row in enumerate(rows)]
+    assert got == want
+    joins = [x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in x]
+    assert joins and all("key" in x or "tree" in x and "level" not in x for x in joins)
