@@ -44,8 +44,8 @@ def shingle_hashes(text: bytes | None, shingle: int, xx) -> np.ndarray:
     return np.array([xx(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
 
 
-def _fingerprint(text: bytes | None, shingle: int, xx) -> int:
-    h = shingle_hashes(text, shingle, xx)
+def hashes_print(h: np.ndarray) -> int:
+    """The fingerprint of hashes: bit i is set if over half of them have it; 0 without any."""
     if not len(h):
         return 0
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -53,6 +53,10 @@ def _fingerprint(text: bytes | None, shingle: int, xx) -> int:
     return int(np.packbits(over, bitorder="little").view("<i8")[0])
 
 
+def _fingerprint(text: bytes | None, shingle: int, xx) -> int:
+    return hashes_print(shingle_hashes(text, shingle, xx))
+
+
 def fingerprint(text: Column, shingle: int = 3) -> Column:
     """The SimHash of a text as a long: bit i is set if over half of the hashes (XXH64, seed 42) of its word shingles have it; 0 without words."""
 

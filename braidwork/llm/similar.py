@@ -1,6 +1,9 @@
 """Near-duplicates by shingle similarity: Jaccard of five-word shingles of 0.8 or more.
 
-Texts with equal sets of shingles are one node. Sets whose MinHash agrees on
+Texts with equal sets of shingles are one node. SimHash comes first: the sets'
+64-bit fingerprints are compared bit-sliced, as in ``simhash``, and those at
+radius 2 or less are candidates. A pair at similarity 0.8 differs in about 10
+bits, so what these links leave apart goes on: sets whose MinHash agrees on
 all rows of some band meet; at similarity 0.8 a pair is missed by all bands
 with probability (1 - 0.8 ** ROWS) ** BANDS = 2.7e-5, less above. Meetings are
 cut into cells of bounded size; in a cell, parity bits of the sets bound how
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, discard, materialize, maybe_broadcast
-from .simhash import components, mark_first, only_kept, shingle_hashes
+from .simhash import components, hashes_print, links, mark_first, only_kept, shingle_hashes
 
 SHINGLE = 5
 LEAST = 0.8
@@ -35,25 +38,26 @@ def _minima(h: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def sketches(text, shingle: int = SHINGLE):
-    """Struct of the key of a text's set of shingles, its size n, its parity bits and its bands (none without words)."""
+    """Struct of the key of a text's set of shingles, its size n, its SimHash sim, its parity bits and its bands (none without words)."""
 
-    @F.arrow_udf("struct<fp:long,n:long,bits:binary,bands:array<long>>")
+    @F.arrow_udf("struct<fp:long,n:long,sim:long,bits:binary,bands:array<long>>")
     def sketch(texts: pa.Array) -> pa.Array:
         from xxhash import xxh64_intdigest
 
         rng = np.random.default_rng(11)
         mul = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-        keys, sizes, bits, bands = [], [], [], []
+        keys, sizes, sims, bits, bands = [], [], [], [], []
         for t in texts.cast(pa.binary()):
             h = np.unique(shingle_hashes(t.as_py(), shingle, xxh64_intdigest))
             keys.append(xxh64_intdigest(h.tobytes(), 1))
             sizes.append(len(h))
+            sims.append(hashes_print(h))
             bits.append(np.packbits(np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes())
             low = _minima(h, mul, add).reshape(BANDS, ROWS) if len(h) else ()
             bands.append(np.array([xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low)], np.uint64).view(np.int64))
         keys = np.array(keys, np.uint64).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(keys), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "n", "bits", "bands"])
+        return pa.StructArray.from_arrays([pa.array(keys), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(bits, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "n", "sim", "bits", "bands"])
 
     return sketch(text)
 
@@ -143,8 +147,17 @@ def _compare(least: float, forest: bool):
     return compare
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) pairs of ``nodes`` (fp, sim) that span those whose SimHash differs in at most 2 bits, directly or by others."""
+    first = materialize(nodes.groupBy("sim").agg(F.min("fp").alias("first"), F.count("*").alias("c")), "prints")
+    equal = nodes.join(first.where("c > 1"), "sim").where("fp != first").select(F.col("first").alias("x"), F.col("fp").alias("y"))
+    near = links(first.select(F.col("sim").alias("fp")))
+    near = near.join(first.select(F.col("sim").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("sim").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    return equal.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
-    """(node, root) of all linked ``nodes`` (fp, n, bits, bands, text_hash), whose ``texts`` (text, text_hash) may repeat."""
+    """(node, root) of all linked ``nodes`` (fp, n, sim, bits, bands, text_hash), whose ``texts`` (text, text_hash) may repeat."""
     met = nodes.select("fp", F.explode("bands").alias("meeting"))
     several = met.groupBy("meeting").agg(F.count("*").alias("c")).where("c > 1")
     # A larger meeting is dealt into parts; every two of them, and each by itself, are a cell.
@@ -155,26 +168,26 @@ def similar_links(nodes: DataFrame, texts: DataFrame, least: float = LEAST, shin
     cell = F.xxhash64("meeting", F.least("side", "other"), F.greatest("side", "other"))
     cells = materialize(dealt.select("fp", "side", cell.alias("cell")), "cells")
     members = materialize(nodes.join(cells.select("fp").distinct(), "fp").select("fp", "n", "bits", "text_hash"), "members")
-    sets = links = roots = None
-    for forest in (True, False):
-        known = members.select("fp", "n", "bits", F.col("fp").alias("root"))
-        if roots is not None:
+    known_links = roots = before = None
+    for forest in (None, True, False):  # by SimHash, a forest of the cells, what is left of them
+        if forest is None:
+            pairs = print_pairs(nodes.select("fp", "sim"))
+        else:
             known = members.join(roots, members["fp"] == roots["node"], "left").select("fp", "n", "bits", F.coalesce("root", "fp").alias("root"))
-        placed = cells.join(known, "fp").repartition("cell").sortWithinPartitions("cell", "fp")
-        pairs = placed.mapInArrow(_compare(least, forest), "a long, b long").distinct()
-        if links is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            placed = cells.join(known, "fp").repartition("cell").sortWithinPartitions("cell", "fp")
+            pairs = placed.mapInArrow(_compare(least, forest), "a long, b long").distinct().join(before, ["a", "b"], "left_anti")
         tested = materialize(pairs, "pairs")
+        before = tested if before is None else before.unionByName(tested)
         # Only texts of a pair are read again.
         asked = tested.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        wanted = materialize(members.join(asked, "fp").select("fp", "text_hash"), "wanted")
+        wanted = materialize(nodes.select("fp", "text_hash").join(asked, "fp"), "wanted")
         found = texts.join(maybe_broadcast(wanted, BROADCAST_ROWS), "text_hash").groupBy("fp").agg(F.min("text").alias("text"))
         sets = materialize(found.select("fp", shingle_sets(F.col("text"), shingle).alias("set")), "sets")
         both = tested.join(sets.withColumnsRenamed({"fp": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"fp": "b", "set": "y"}), "b")
         fresh = materialize(both.select("a", "b", "x", "y").mapInArrow(_confirm(least), "a long, b long"), "links")
         discard(sets, wanted)
-        links = fresh if links is None else links.unionByName(fresh)
-        roots = materialize(components(links), "roots")
+        known_links = fresh if known_links is None else known_links.unionByName(fresh)
+        roots = materialize(components(known_links), "roots")
     return roots
 
 
@@ -183,9 +196,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, shingle: int = SHINGL
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketches(F.col("text"), shingle).alias("s"))
     rows = materialize(rows.select("doc_id", "text_hash", "s.*"), "sketches")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
-    nodes = materialize(rows.groupBy("fp").agg(best, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialize(rows.groupBy("fp").agg(best, F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
     texts = docs.select("text", F.xxhash64("text").alias("text_hash"))
-    roots = similar_links(nodes.select("fp", "n", "bits", "bands", "best.text_hash"), texts, least, shingle)
+    roots = similar_links(nodes.select("fp", "n", "sim", "bits", "bands", "best.text_hash"), texts, least, shingle)
     return mark_first(rows.select("doc_id", "text_hash", "fp"), nodes.select("fp", "best"), roots)
 
 

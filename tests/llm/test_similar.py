@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from braidwork.llm import similar, simhash
@@ -108,3 +109,22 @@ def simhash_groups(pairs):
     for a, b in pairs:
         parent[max(root(a), root(b))] = min(root(a), root(b))
     return {x: root(x) for x in sorted(parent)}
+
+
+def test_near_fingerprints_are_candidates(spark):
+    """SimHash runs in the stage: its pairs span what differs in at most 2 bits, and they alone link near copies, once confirmed."""
+    rows = [(10, 0b0), (20, 0b0), (30, 0b11), (40, 0b1111), (50, 0xFF << 20)]
+    nodes = spark.createDataFrame(rows, "fp long, sim long")
+    pairs = {(r.a, r.b) for r in similar.print_pairs(nodes).collect()}
+    group = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    assert group == {10: 10, 20: 10, 30: 10, 40: 10, 50: 50}
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *words])), (3, "other text of its own words")], "doc_id long, text string")
+    s = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", similar.sketches(F.col("text")).alias("s")).select("doc_id", "text_hash", "text", "s.*")
+    no_bands = s.withColumn("bands", F.array().cast("array<long>"))
+    found = {r.node: r.root for r in similar.similar_links(no_bands.drop("doc_id", "text"), docs.select("text", F.xxhash64("text").alias("text_hash"))).collect()}
+    key = {r.doc_id: r.fp for r in s.collect()}
+    assert found[key[1]] == found[key[2]] and key[3] not in found
