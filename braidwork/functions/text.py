@@ -147,23 +147,30 @@ def chunks(text: Column, size: int = 200, least_cut: int = 350, least: int = 5,
     of the operator. Tokens here are runs of non-space with the space
     before them, so joined tokens give the text again.
     """
-    pieces = F.regexp_extract_all(text, F.lit(r"\s*\S+"), F.lit(0))
-
-    def step(a, token):
-        n = a["n"] + 1
-        whole = F.concat(a["open"], token)
-        cut = F.length(whole) - F.length(F.regexp_extract(whole, r"(?s)([^.?!\n]*)$", 1))
-        head = F.when(cut > least_cut, F.substring(whole, F.lit(1), cut)).otherwise(whole)
-        rest = F.substring(whole, F.length(head) + 1, F.length(whole))
-        full = n >= size
-        return F.struct(
-            F.when(full, F.regexp_count(rest, F.lit(r"\S+"))).otherwise(n).alias("n"),
-            F.when(full, rest).otherwise(whole).alias("open"),
-            F.when(full, F.array_append(a["out"], head)).otherwise(a["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("open"), F.array().cast("array<string>").alias("out"))
-    found = F.aggregate(pieces, start, step, lambda a: F.array_append(a["out"], a["open"]))
+    # Runs of ``size`` tokens, whose texts are joined and searched once a chunk, not once a token.
+    runs = F.regexp_extract_all(text, F.lit(rf"(?:\s*+\S++){{1,{size}}}"), F.lit(0))
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  (a lambda's variable is computed once)
+
+    def cut(a, _):
+        def take(whole):
+            last = F.length(F.regexp_extract(whole, r"(?s)^.*[.?!\n]", 0))
+            head = F.when(last > least_cut, F.substring(whole, F.lit(1), last)).otherwise(whole)
+            return bound(head, lambda h: F.struct(F.substring(a["open"], F.length(h) + 1, F.length(a["open"])).alias("open"), F.array_append(a["out"], h).alias("out"), F.lit(True).alias("more")))
+
+        full = bound(F.regexp_extract(a["open"], rf"^(?:\s*+\S++){{{size}}}", 0), lambda w: F.when(w != "", take(w)).otherwise(F.struct(a["open"].alias("open"), a["out"].alias("out"), F.lit(False).alias("more"))))
+        return F.when(a["more"], full).otherwise(a)
+
+    def step(a, run):
+        # Each cut takes over ``least_cut`` characters or ``size`` tokens, which have twice as many less one: there are no more cuts than these.
+        least_taken = min(least_cut + 1, 2 * size - 1)
+        return bound(F.concat(a["open"], run), lambda whole: F.aggregate(
+            F.sequence(F.lit(0), F.floor(F.length(whole) / least_taken).cast("int")),
+            F.struct(whole.alias("open"), a["out"].alias("out"), F.lit(True).alias("more")),
+            cut,
+        ))
+
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out"), F.lit(True).alias("more"))
+    found = F.aggregate(runs, start, step, lambda a: F.array_append(a["out"], a["open"]))
     clean = F.filter(F.transform(found, lambda c: stripped(F.replace(c, F.lit("\n"), F.lit(" ")))), lambda c: F.length(c) > least)
     return F.slice(clean, 1, most)
 
