@@ -34,6 +34,8 @@ BLOCK_BYTES = 4 << 20
 #: N-grams of a range of hashes, about, and the orders that are counted without asking for shorter ones first.
 BUCKET_GRAMS = 2_000_000
 FREE = 2
+#: Blocks, or the n-grams of as many, that are read or written at once.
+GROUP_BLOCKS = 8
 #: Parts of the blocks that meet their totals one after the other.
 WAVES = 2
 
@@ -231,10 +233,11 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.select("doc_id", "text").mapInArrow(_deal(block_bytes), f"block long, docs array<{kind}>, lengths array<int>, hashes array<long>, ids array<int>")
-    blocks = materialize(dealt, "blocks")
-    words = blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
+    blocks = materialize(dealt, "blocks", GROUP_BLOCKS)
+    words = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0  # the ids are not read
     # What a range of one order holds is bounded; of an n-gram a block has one, so a frequent one is no burden.
     buckets = int(words // BUCKET_GRAMS) + 1
+    group_rows = GROUP_BLOCKS * buckets  # a block has a row for each range at most
     reply = "block long, n int, bucket int, totals array<long>"
     waves = [F.pmod(F.xxhash64("block"), F.lit(WAVES)) == w for w in range(WAVES)]
     known = []
@@ -244,8 +247,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
         else:
             # A wave of blocks at a time meets its totals, so that not all of them are on the way at once.
             so_far = reduce(DataFrame.unionByName, known)
-            asked = [materialize(blocks.where(w).groupBy("block").cogroup(so_far.where(w).groupBy("block")).applyInArrow(_ask_again(n, buckets), _ROWS), "asked") for w in waves]
-        known.append(materialize(reduce(DataFrame.unionByName, asked).groupBy("n", "bucket").applyInArrow(_answer(min_count), reply), "totals"))
+            asked = [materialize(blocks.where(w).groupBy("block").cogroup(so_far.where(w).groupBy("block")).applyInArrow(_ask_again(n, buckets), _ROWS), "asked", group_rows) for w in waves]
+        known.append(materialize(reduce(DataFrame.unionByName, asked).groupBy("n", "bucket").applyInArrow(_answer(min_count), reply), "totals", group_rows))
         if n > FREE:
             discard(*asked)
     totals = reduce(DataFrame.unionByName, known)
