@@ -84,26 +84,45 @@ def _blocks(queries: DataFrame, corpus: DataFrame, fold, schema: str, parts: int
 def nearest_of(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, k: int, measure: str = "cosine", skip_self: bool = True, digits: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores): for each row of ``x`` (ids ``i``) the nearest ``k`` of ``y`` (ids ``j``), ties by id; missing ones score -inf, or inf where less is nearer.
 
-    Tiles of ``y`` are multiplied one by one; only what may be among the best joins them.
+    Tiles of ``y`` are multiplied one by one. A row's ``k``-th best so far, or
+    the tile's own, says which scores may be among the best; the others are
+    neither rounded nor sorted. Cosines are first made in single precision,
+    within a bound of its error, and those that may be among the best in double.
     """
     compare, more = MEASURES[measure]
     sign = 1 if more else -1
     order = np.argsort(j, kind="stable")
     y, j = y[order], j[order]
     ids, best = np.zeros((len(i), k), np.int64), np.full((len(i), k), -np.inf)
+    slack = 10.0**-digits  # twice what rounding moves a score by
+    rough = measure == "cosine"
+    if rough:
+        x, y = unit(x), unit(y)
+        x4, y4 = x.astype(np.float32), y.astype(np.float32)
+        slack += 4 * (x.shape[1] + 8) * float(np.finfo(np.float32).eps)
     for r in range(0, len(i), TILE):
         rows = slice(r, r + TILE)
         for c in range(0, len(j), TILE):
-            s = sign * rounded(compare(x[rows], y[c : c + TILE]), digits)
+            s = x4[rows] @ y4[c : c + TILE].T if rough else sign * compare(x[rows], y[c : c + TILE])
+            limit = best[rows, -1]
+            if s.shape[1] > k + 1 and np.isneginf(limit).any():  # one more, as the row itself may be among them
+                limit = np.maximum(limit, np.partition(s, -k - 1, axis=1)[:, -k - 1])
+            at, col = np.divmod(np.flatnonzero(~(s < (limit - slack).astype(s.dtype)[:, None])), s.shape[1])
             if skip_self:
-                s[i[rows, None] == j[None, c : c + TILE]] = -np.inf
-            s = np.hstack([best[rows], s])
-            known = np.hstack([ids[rows], np.broadcast_to(j[c : c + TILE], (len(s), s.shape[1] - k))])
-            at = np.arange(len(s))
-            for q in range(k):  # the first of equal scores has the smaller id
-                top_ = s.argmax(axis=1)
-                ids[rows, q], best[rows, q] = known[at, top_], s[at, top_]
-                s[at, top_] = -np.inf
+                other = i[r + at] != j[c + col]
+                at, col = at[other], col[other]
+            if not len(at):
+                continue
+            exact = np.einsum("ij,ij->i", x[r + at], y[c + col]) if rough else sign * s[at, col]
+            # With the best so far, each row's own in order of score and id.
+            touched = np.unique(at)
+            own = np.concatenate([np.repeat(touched, k), at])
+            known = np.concatenate([ids[r + touched].ravel(), j[c + col]])
+            score = np.concatenate([best[r + touched].ravel(), sign * rounded(exact, digits)])
+            first = np.lexsort((known, -score, own))
+            sizes = np.bincount(own, minlength=len(s))[touched]
+            take = first[(np.cumsum(sizes) - sizes)[:, None] + np.arange(k)]
+            ids[r + touched], best[r + touched] = known[take], score[take]
     return ids, sign * best
 
 
