@@ -11,7 +11,7 @@ reach the driver.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.sources.shared import discard, written
@@ -34,23 +34,24 @@ def neighbour_graph(vectors: DataFrame, k: int = 10, measure: str = "cosine") ->
 
 def _averaged(edges: DataFrame, state: DataFrame, names: list[str]) -> DataFrame:
     """``state`` (id, columns) with each of ``names`` replaced by half itself and half the mean over neighbours; the old values stay as "was_<name>"."""
-    far = state.select(F.col("id").alias("j"), *names)
-    mean = edges.join(far, "j").groupBy(F.col("i").alias("id")).agg(*[F.avg(n).alias(f"mean_{n}") for n in names])
-    own = [((F.col(n) + F.col(f"mean_{n}")) / 2).alias(n) for n in names]
+    # SQL text, as columns made one operation at a time took the driver longer than small graphs take the tasks.
+    far = state.selectExpr("id AS j", *names)
+    mean = edges.join(far, "j").groupBy("i").agg(*[F.expr(f"avg({n}) AS mean_{n}") for n in names]).withColumnRenamed("i", "id")
+    own = [f"({n} + mean_{n}) / 2 AS {n}" for n in names]
     rest = [c for c in state.columns if c not in names and c != "id" and not c.startswith("was_")]
-    return state.join(mean, "id").select("id", *rest, *own, *[F.col(n).alias(f"was_{n}") for n in names])
+    return state.join(mean, "id").selectExpr("id", *rest, *own, *[f"{n} AS was_{n}" for n in names])
 
 
 def _gram(rows: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
     """Sums of products of columns, weighted by degree."""
-    (r,) = rows.agg(*[F.sum(F.col("degree") * F.col(a) * F.col(b)) for a in left for b in right]).collect()
+    (r,) = rows.selectExpr(*[f"sum(degree * {a} * {b})" for a in left for b in right]).collect()
     return np.array(list(r), float).reshape(len(left), len(right))
 
 
-def _mixed(names: list[str], by: np.ndarray) -> list[Column]:
-    """Columns times a small matrix."""
-    terms = lambda c: sum((F.col(n) * F.lit(float(by[r, c])) for r, n in enumerate(names)), F.lit(0.0))
-    return [terms(c).alias(names[c]) for c in range(by.shape[1])]
+def _mixed(names: list[str], by: np.ndarray) -> list[str]:
+    """Columns times a small matrix, as SQL."""
+    terms = lambda c: " + ".join(["0D", *(f"{n} * {float(by[r, c])!r}D" for r, n in enumerate(names))])
+    return [f"{terms(c)} AS {names[c]}" for c in range(by.shape[1])]
 
 
 def eigenmap(edges: DataFrame, dims: int = 2, rounds: int = ROUNDS, settled: float = SETTLED, seed: int = 3) -> tuple[DataFrame, list[float]]:
@@ -73,12 +74,12 @@ def eigenmap(edges: DataFrame, dims: int = 2, rounds: int = ROUNDS, settled: flo
     for _ in range(rounds):
         # Chebyshev polynomials are small on [0, cut] and grow fast beyond it.
         scale, shift = 2 / cut, -1.0
-        now = state.select("id", "degree", *names, *[F.lit(0.0).alias(f"old_{n}") for n in names])
+        now = state.selectExpr("id", "degree", *names, *[f"0D AS old_{n}" for n in names])
         for step in range(DEGREE):
             once = _averaged(edges, now, names)
             factor = 1.0 if step == 0 else 2.0
-            new = [(F.lit(factor) * (F.col(n) * scale + F.col(f"was_{n}") * shift) - F.col(f"old_{n}")).alias(n) for n in names]
-            now = once.select("id", "degree", *new, *[F.col(f"was_{n}").alias(f"old_{n}") for n in names])
+            new = [f"{factor!r}D * ({n} * {scale!r}D + was_{n} * {shift!r}D) - old_{n} AS {n}" for n in names]
+            now = once.selectExpr("id", "degree", *new, *[f"was_{n} AS old_{n}" for n in names])
             if step % 3 == 2 or step == DEGREE - 1:
                 fresh = written(now, "functions")
                 if step > 2:
@@ -99,8 +100,8 @@ def eigenmap(edges: DataFrame, dims: int = 2, rounds: int = ROUNDS, settled: flo
         ritz = ritz[order]
         full = np.zeros((wide, wide))
         full[:, : by.shape[1]] = by
-        plain = both.select("id", "degree", *[F.col(f"was_{n}").alias(n) for n in names])
-        fresh = written(plain.select("id", "degree", *_mixed(names, full)), "functions")
+        plain = both.selectExpr("id", "degree", *[f"was_{n} AS {n}" for n in names])
+        fresh = written(plain.selectExpr("id", "degree", *_mixed(names, full)), "functions")
         discard(state, both, held)
         state = fresh
         own = ritz[1 : dims + 1]

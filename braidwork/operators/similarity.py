@@ -376,8 +376,9 @@ def keyword_clusters(texts: DataFrame, encode, k: int = 5) -> DataFrame:
     """(cluster, size, terms, pos): the distinct keywords (term), encoded, clustered and grouped; clusters without terms stay."""
     from .paths import grouped_terms
 
-    terms = texts.select("term").distinct().withColumn("id", F.xxhash64("term"))
-    found = cluster(terms.select("id", encode(F.col("term")).alias("v")), k)
+    # Clustering reads the vectors again and again: texts are read, and each keyword encoded, once.
+    terms = written(texts.select("term").distinct().withColumn("id", F.xxhash64("term")), "terms")
+    found = cluster(written(terms.select("id", encode(F.col("term")).alias("v")), "term-vectors"), k)
     return grouped_terms(terms.join(found, "id"), k)
 
 
