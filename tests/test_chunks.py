@@ -39,7 +39,7 @@ def test_odd_texts(spark):
 
 
 def test_cost_does_not_grow_with_the_tokens_of_a_chunk(spark):
-    """1.5 MB: with texts joined and searched at every token this took half a minute."""
+    """1.5 MB; this failed where texts were joined and searched at every token."""
     text = "some words make a sentence of a text that is long. " * 30_000
     chunked(spark, ["warm up. " * 500])
     began = time.perf_counter()
