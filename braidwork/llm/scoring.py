@@ -32,10 +32,10 @@ ALPHA = 0.4
 MIN_COUNT = 2
 BLOCK_BYTES = 4 << 20
 #: N-grams of a range of hashes, about, and the orders that are counted without asking for shorter ones first.
-BUCKET_GRAMS = 2_000_000
+BUCKET_GRAMS = 1_000_000
 FREE = 2
 #: Blocks, or the n-grams of as many, that are read or written at once.
-GROUP_BLOCKS = 8
+GROUP_BLOCKS = 4
 #: Parts of the blocks that meet their totals one after the other.
 WAVES = 2
 
@@ -253,7 +253,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
             discard(*asked)
     totals = reduce(DataFrame.unionByName, known)
     summed = f"doc_id {kind}, n_words long, lm_score double"
-    scored = [materialize(blocks.where(w).groupBy("block").cogroup(totals.where(w).groupBy("block")).applyInArrow(_sum(order, words, alpha), summed), "scores") for w in waves]
+    scored = [materialize(blocks.where(w).groupBy("block").cogroup(totals.where(w).groupBy("block")).applyInArrow(_sum(order, words, alpha), summed), "scores", large_rows=True) for w in waves]
     discard(blocks, *known)
     scored = reduce(DataFrame.unionByName, scored)
     return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("lm_score") / F.col("n_words")))
