@@ -31,6 +31,8 @@ WIDTH = 256
 STEP = 128
 BLOCK = 256
 OFFERS = 8
+#: Rows of the adjacency, of up to 64 vectors each, that are read or written at once.
+GROUP_ROWS = 1024
 #: Random cuts that order the vectors of a tree.
 CUTS = 48
 #: Bytes of a table of packed vectors that is broadcast, by a count of its rows.
@@ -170,7 +172,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, wi
     # One row for about 64 neighbours, so that a hub is many rows and no large one.
     hubs = ends.groupBy("u").agg(F.ceil(F.count("*") / 64).alias("parts"))
     near = near.join(hubs, "u").groupBy("u", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"))
-    near = materialize(near.agg(F.collect_list("v").alias("ids"), F.collect_list("packed").alias("packs")), "adjacency")
+    near = materialize(near.agg(F.collect_list("v").alias("ids"), F.collect_list("packed").alias("packs")), "adjacency", GROUP_ROWS)
 
     def far(own, packs, sizes):
         """Scores of some rows of a batch, whose unpacked vectors are not held all at once."""
@@ -208,7 +210,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, wi
         done = front.select("id", F.col("u").alias("other"), F.lit(True).alias("now"))
         known = state.join(done, ["id", "other"], "left").select("id", "other", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         merged = known.unionByName(found.withColumn("done", F.lit(False))).groupBy("id", "other").agg(F.max("score").alias("score"), F.bool_or("done").alias("done"))
-        fresh = materialize(_best(merged, "id", width), "walk")
+        fresh = materialize(_best(merged, "id", width), "walk", large_rows=True)
         discard(state, front)
         state = fresh
     return state.select("id", "other", "score")
