@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,26 +42,15 @@ TOLD_ROWS, TOLD_ITEMS = 100_000, 1_000_000
 SPAN_ROWS, SPAN_ITEMS = 200_000, 2_000_000
 
 
-class _Words(dict):
-    """64-bit hashes of words, remembered for the most recent."""
-
-    def __init__(self, most: int = 300_000):
-        from xxhash import xxh64_intdigest
-
-        self.hash, self.most = xxh64_intdigest, most
-
-    def __missing__(self, word):
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = self.hash(word)
-        return h
+def _digested(digest, items) -> np.ndarray:
+    """The 64-bit digests of ``items`` as numbers."""
+    return np.frombuffer(b"".join(map(digest, items)), ">u8").astype(np.uint64)
 
 
 class Hasher:
     """Hashes of any run of words of a text from one pass: differences of prefix sums of a polynomial modulo 2**64, scaled back and mixed."""
 
     def __init__(self):
-        self.words = _Words()
         self.powers = self.inverses = np.ones(1, np.uint64)
 
     def _grow(self, n: int):
@@ -70,20 +61,22 @@ class Hasher:
             self.powers, self.inverses = np.multiply.accumulate(up), np.multiply.accumulate(down)
 
     def read(self, words: list[bytes]):
+        from xxhash import xxh64_digest
+
         n = len(words)
         self._grow(n)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
+        h = _digested(xxh64_digest, words)  # asking a dictionary for the hash of a known word takes longer
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self.powers[:n])])
         self.joined = b" ".join(words)
         self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
 
     def check(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hashes of the bytes of words ``a`` to ``b``, joined by single spaces."""
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_64_digest
 
         starts = np.append(0, self.ends)[a].tolist()
         text = memoryview(self.joined)
-        return np.array([xxh3_64_intdigest(text[i:j]) for i, j in zip(starts, (self.ends[b - 1] - 1).tolist())], np.uint64).view(np.int64)
+        return _digested(xxh3_64_digest, (text[i:j] for i, j in zip(starts, (self.ends[b - 1] - 1).tolist()))).view(np.int64)
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x = (self.sums[b] - self.sums[a]) * self.inverses[a] + (b - a).astype(np.uint64)
@@ -94,56 +87,78 @@ class Hasher:
         return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def _paths(hasher: Hasher, words: list[bytes], window: int, k: int):
-    """Of each super-k-mer: the hashes of its minimizer and, two, of its words, its first window and number of windows."""
-    n = len(words)
-    if n < window:
+def _parts(batch: pa.RecordBatch, most: int = 512, size: int = 2 << 20):
+    """A batch with texts in its third column, in parts of up to ``most`` rows and about ``size`` bytes, so that a part's arrays stay small."""
+    first, total = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(2)).to_pylist()):
+        if i > first and (total + (n or 0) > size or i - first == most):
+            yield batch.slice(first, i - first)
+            first, total = i, 0
+        total += n or 0
+    if first < len(batch):
+        yield batch.slice(first)
+
+
+def _words(texts: pa.Array) -> list[list[bytes]]:
+    return [(t or b"").split() for t in texts.cast(pa.binary()).to_pylist()]
+
+
+def _lowest(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the first of the least values of each run of ``width`` is."""
+    at, span = np.arange(len(x)), 1
+    while span < width:
+        step = min(span, width - span)
+        later = x[step:] < x[:-step]
+        x, at = np.where(later, x[step:], x[:-step]), np.where(later, at[step:], at[:-step])
+        span += step
+    return at
+
+
+def _paths(hasher: Hasher, texts: list[list[bytes]], window: int, k: int):
+    """Of each super-k-mer of some texts: its text, the hashes of its minimizer and, two, of its words, its first window and number of windows.
+
+    The texts are read as one, as a hash of words does not depend on where
+    they are; windows over the end of a text are left out.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    which = np.flatnonzero(sizes >= window)
+    if not len(which):
         return None
-    hasher.read(words)
-    at = np.arange(n - k + 1)
+    hasher.read(list(chain.from_iterable(texts[i] for i in which.tolist())))
+    sizes = sizes[which]
+    begin = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum() - k + 1)
     mers = hasher(at, at + k)
-    low = np.lib.stride_tricks.sliding_window_view(mers, window - k + 1).argmin(axis=1) + at[: n - window + 1]
-    first = np.append(0, np.flatnonzero(np.diff(low)) + 1)
-    count = np.diff(np.append(first, len(low)))
+    windows = np.arange((sizes - window + 1).sum()) + np.repeat(np.arange(len(sizes)) * (window - 1), sizes - window + 1)
+    low = _lowest(mers, window - k + 1)[windows]
+    heads = np.append(0, np.flatnonzero(np.diff(low)) + 1)
+    count = np.diff(np.append(heads, len(low)))
+    first = windows[heads]
     ends = first + count - 1 + window
-    return mers[low[first]], hasher(first, ends), hasher.check(first, ends), first, count
-
-
-def _list_array(lists: list[np.ndarray]) -> pa.Array:
-    sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)))
+    text = np.searchsorted(begin, first, "right") - 1
+    return which[text], mers[low[heads]], hasher(first, ends), hasher.check(first, ends), first - begin[text], count
 
 
 def _find_paths(window: int, k: int):
     def find(batches):
         hasher = Hasher()
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                rows, mer, path, check, starts, counts = [], [], [], [], [], []
-                for i, text in enumerate(part.column(2).cast(pa.binary()).to_pylist()):
-                    found = _paths(hasher, (text or b"").split(), window, k)
-                    if found is None:
-                        continue
-                    m, p, c, first, count = found
-                    order = np.lexsort((c, p, m))  # what a text repeats is one row
-                    same = (m[order][1:] == m[order][:-1]) & (p[order][1:] == p[order][:-1]) & (c[order][1:] == c[order][:-1])
-                    if same.any():
-                        groups = np.split(order, np.flatnonzero(~same) + 1)
-                        heads = np.array([g[0] for g in groups])
-                        starts += [first[g] for g in groups]
-                        m, p, c, count = m[heads], p[heads], c[heads], count[heads]
-                    else:
-                        starts += list(first[:, None])
-                    rows.append(np.full(len(m), i))
-                    mer.append(m), path.append(p), check.append(c), counts.append(count)
-                if rows:
-                    take = pa.array(np.concatenate(rows))
-                    hashes = [pa.array(np.concatenate(x)) for x in (mer, path, check)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(take), part.column(1).take(take), *hashes, _list_array(starts), pa.array(np.concatenate(counts).astype(np.int32))],
-                        ["doc_id", "text_hash", "mer", "path", "check", "starts", "n"],
-                    )
+            for part in _parts(batch):
+                found = _paths(hasher, _words(part.column(2)), window, k)
+                if found is None:
+                    continue
+                # What a text repeats is one row.
+                order = np.lexsort(found[3::-1])
+                text, mer, path, check, first, count = (c[order] for c in found)
+                fresh = np.append(True, np.any([c[1:] != c[:-1] for c in (text, mer, path, check)], axis=0))
+                heads = np.flatnonzero(fresh)
+                starts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), pa.array(first.astype(np.int32)))
+                take = pa.array(text[heads])
+                hashes = [pa.array(x[heads]) for x in (mer, path, check)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), part.column(1).take(take), *hashes, starts, pa.array(count[heads].astype(np.int32))],
+                    ["doc_id", "text_hash", "mer", "path", "check", "starts", "n"],
+                )
 
     return find
 
@@ -154,21 +169,26 @@ def _find_segments(window: int):
     def find(batches):
         hasher = Hasher()
         for batch in batches:
-            for i, text in enumerate(batch.column(2).cast(pa.binary())):
-                hasher.read((text.as_py() or b"").split())
-                told = batch.column(3)[i].as_py()
-                first, n, split = (np.array([p[c] for p in told]) for c in ("start", "n", "branch"))
+            for part in _parts(batch):
+                texts = _words(part.column(2))
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                begin = np.cumsum(sizes) - sizes
+                hasher.read(list(chain.from_iterable(texts)))
+                told, many_told = part.column(3).flatten(), np.diff(part.column(3).offsets.to_numpy())
+                text = np.repeat(np.arange(len(texts)), many_told)
+                first, n, split = (told.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "branch"))
                 many = np.where(split, n, 1)
                 which = np.repeat(np.arange(len(told)), many)
                 rel = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-                at = first[which] + rel
+                start = first[which] + rel
                 size = np.where(split, 1, n)[which]
+                at = start + begin[text[which]]
                 ends = at + size - 1 + window
-                row = pa.array(np.full(len(at), i))
-                named = {c: pa.array(np.array([p[c] for p in told])[which]) for c in ("mer", "path", "check", "again", "branch")}
+                row, take = pa.array(text[which]), pa.array(which)
+                named = {c: told.field(c).take(take) for c in ("mer", "path", "check", "again", "branch")}
                 hashes = [hasher(at, ends), hasher.check(at, ends), hasher(at, at + window - 1), hasher(ends - window + 1, ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), *named.values(), *map(pa.array, hashes), pa.array(rel.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))],
+                    [part.column(0).take(row), part.column(1).take(row), *named.values(), *map(pa.array, hashes), pa.array(rel.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))],
                     ["doc_id", "text_hash", *named, "seg", "sure", "left", "right", "rel", "start", "size"],
                 )
 
