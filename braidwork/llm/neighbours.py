@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, maybe_broadcast, table
+from .common import bounded, discard, materialize, table
 
 DEGREE = 24
 TREES = 4
@@ -35,8 +35,8 @@ OFFERS = 8
 GROUP_ROWS = 1024
 #: Random cuts that order the vectors of a tree.
 CUTS = 48
-#: Bytes of a table of packed vectors that is broadcast, by a count of its rows.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of a table that is broadcast, by a count of its rows; what a row takes besides its vectors, by one key and by two.
+BROADCAST_BYTES, ROW_BYTES, PAIR_BYTES = 32 << 20, 96, 224
 
 
 def _pack(x: np.ndarray) -> list[bytes]:
@@ -186,7 +186,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, wi
             ids, packs = b.column(2), b.column(3)
             sizes = np.diff(ids.offsets.to_numpy())
             score = np.concatenate([far(b.column(1).slice(at, 128), packs.slice(at, 128), sizes[at : at + 128]) for at in range(0, len(b), 128)])
-            q, v = np.repeat(b.column(0).to_numpy(), sizes), ids.flatten().to_numpy()
+            good = score >= np.repeat(b.column(4).to_numpy(), sizes)  # others would not stay among the best
+            q, v, score = np.repeat(b.column(0).to_numpy(), sizes)[good], ids.flatten().to_numpy()[good], score[good]
             order = np.lexsort((v, q))  # a neighbour may come several times
             q, v, score = q[order], v[order], score[order]
             once = np.append(True, (np.diff(q) != 0) | (np.diff(v) != 0)) & (q != v)
@@ -196,19 +197,29 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int, wi
             keep = np.arange(len(q)) - np.searchsorted(q, q) < width
             yield _rows(dims, q[keep], v[keep], score[keep].astype(np.float32))
 
+    # Vectors of queries are sent to each task, where they are few; else they go with the front.
+    asked = queries.count() * (4 * dims + ROW_BYTES)
+    apart = asked <= BROADCAST_BYTES
+    row_bytes = ROW_BYTES + (0 if apart else 4 * dims)
     start = queries.select("id", F.col("id").alias("other"), F.lit(2.0).cast("float").alias("score"), F.lit(False).alias("done"))
     state = materialize(start, "walk")
     for hop in range(most_hops + 1):
         by_score = W.partitionBy("id").orderBy(F.desc("score"), "other")
-        front = state.where("NOT done").withColumn("_k", F.row_number().over(by_score)).where(F.col("_k") <= step).select("id", F.col("other").alias("u"))
-        front = materialize(front.join(queries, "id").select("id", "packed", "u"), "front")
-        if not front.limit(1).count():
+        # The worst of a query that has ``width`` nodes bounds what its walk looks for.
+        each = W.partitionBy("id")
+        least = F.when(F.count("*").over(each) >= width, F.min("score").over(each)).otherwise(F.lit(-4.0)).cast("float")
+        front = state.withColumn("least", least).where("NOT done").withColumn("_k", F.row_number().over(by_score)).where(F.col("_k") <= step).select("id", F.col("other").alias("u"), "least")
+        front = materialize(front if apart else front.join(queries.hint("merge"), "id").select("id", "packed", "u", "least"), "front")
+        size = front.count()
+        if not size:
             break
         if hop == most_hops:
             raise RuntimeError(f"walks did not end in {most_hops} hops")
-        found = near.join(maybe_broadcast(front, BROADCAST_BYTES // (4 * dims + 64)), "u").select("id", "packed", "ids", "packs").mapInArrow(walk, _OUT)
+        met = near.join(bounded(front, size, row_bytes, BROADCAST_BYTES), "u")
+        met = met.join(F.broadcast(queries), "id") if apart else met
+        found = met.select("id", "packed", "ids", "packs", "least").mapInArrow(walk, _OUT)
         done = front.select("id", F.col("u").alias("other"), F.lit(True).alias("now"))
-        known = state.join(done, ["id", "other"], "left").select("id", "other", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        known = state.join(bounded(done, size, PAIR_BYTES, BROADCAST_BYTES), ["id", "other"], "left").select("id", "other", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         merged = known.unionByName(found.withColumn("done", F.lit(False))).groupBy("id", "other").agg(F.max("score").alias("score"), F.bool_or("done").alias("done"))
         fresh = materialize(_best(merged, "id", width), "walk", large_rows=True)
         discard(state, front)
