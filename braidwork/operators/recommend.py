@@ -300,55 +300,154 @@ def jaccard(owned: DataFrame) -> DataFrame:
     return sized.select("user", "other", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("similarity"))
 
 
-#: Users of a block of ``similar_by_types``, about; types of a tile.
+#: Rows of two blocks of ``similar_by_types`` that are compared at once, about; types of a tile.
 BLOCK_USERS = 2048
 TILE_TYPES = 2048
+#: Sets of a block and their types, at most about, and blocks that smaller tables are dealt into.
+BLOCK_SETS, BLOCK_TYPES, BLOCKS = 1 << 15, 1 << 22, 16
+
+
+class _Sets:
+    """Sets (id, types) as rows, in order of id."""
+
+    def __init__(self, block: pa.Table):
+        order = np.argsort(block.column(0).to_numpy())
+        self.ids = block.column(0).to_numpy()[order]
+        lists = block.column(1).combine_chunks().take(pa.array(order))
+        self.ends = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+        self.types = lists.flatten().to_numpy()
+        self.size = np.diff(self.ends)
+        if "least" in block.column_names:
+            self.least, self.last = (block.column(c).to_numpy()[order] for c in ("least", "last"))
+        else:
+            self.least, self.last = np.zeros(len(order)), np.full(len(order), np.iinfo(np.int64).max)
+
+    def tile(self, lo: int, hi: int, first: int, n: int) -> np.ndarray:
+        """The rows from ``lo`` to ``hi`` as 0 and 1 for ``n`` types from ``first`` on, and two more columns."""
+        own = slice(self.ends[lo], self.ends[hi])
+        row, column = np.repeat(np.arange(hi - lo), self.size[lo:hi]), self.types[own] - first
+        inside = (column >= 0) & (column < n)
+        out = np.zeros((hi - lo, n + 2), np.float32)
+        out[row[inside], column[inside]] = 1
+        return out
+
+
+def _best_sets(left: _Sets, right: _Sets, k: int, digits: int):
+    """(id, other, similarity): of each set of ``left`` the ``k`` best of ``right`` with a type in common, from ``least`` (and its ``last`` id) on.
+
+    A pair of n and m types, c in common, is as similar as ``least`` if c is
+    at least (n + m) * least / (1 + least). That bound is two more columns of
+    the product of 0-1 matrices, and only what passes it, with some room for
+    the rounding of floats, is scored in doubles. Bounds rise with what is found.
+    """
+    known, number = np.unique(np.concatenate([left.types, right.types]), return_inverse=True)
+    left.types, right.types = np.split(number, [len(left.types)])
+    width = min(TILE_TYPES, len(known))
+    tiles = range(0, len(known), width)
+    # Few columns first: they make the bounds by which the others are looked at.
+    cuts, at = [0], min(BLOCK_USERS, 256)
+    while cuts[-1] < len(right.ids):
+        cuts.append(min(cuts[-1] + at, len(right.ids)))
+        at = min(4 * at, BLOCK_USERS)
+    kept = {}
+
+    def columns(c: int, t: int) -> np.ndarray:
+        """A tile of ``right``; all are kept if they are few types wide."""
+        if (c, t) in kept:
+            return kept[c, t]
+        m = right.tile(cuts[c], cuts[c + 1], t, width)
+        if t == 0:
+            m[:, width], m[:, width + 1] = right.size[cuts[c] : cuts[c + 1]], 1
+        if len(tiles) == 1:
+            kept[c, t] = m
+        return m
+
+    for lo in range(0, len(left.ids), BLOCK_USERS):
+        hi = min(lo + BLOCK_USERS, len(left.ids))
+        n, least, last = left.size[lo:hi].astype(np.float64), left.least[lo:hi].copy(), left.last[lo:hi].copy()
+        rows, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        own = [left.tile(lo, hi, t, width) for t in tiles] if len(tiles) == 1 else None
+        for c in range(len(cuts) - 1):
+            near = np.maximum(least - 10.0**-digits, 0)
+            share = near / (1 + near)
+            room = 1e-3 + 1e-6 * (n + right.size.max())
+            passed = np.zeros((hi - lo, cuts[c + 1] - cuts[c]), np.float32)
+            for t in tiles:
+                x = own[0] if own else left.tile(lo, hi, t, width)
+                if t == 0:
+                    x[:, width], x[:, width + 1] = -share, np.where(near > 0, room - share * n, -0.5)
+                passed = x @ columns(c, t).T if own else passed + x @ columns(c, t).T
+            cell = np.flatnonzero(passed >= 0)
+            if not len(cell):
+                continue
+            r, j = np.divmod(cell, passed.shape[1])
+            m = right.size[cuts[c] + j]
+            common = np.rint(passed.reshape(-1)[cell] - np.where(near > 0, room - share * n, -0.5)[r] + share[r] * m)
+            s, other = rounded(common / (n[r] + m - common), digits), right.ids[cuts[c] + j]
+            good = (common > 0) & ((s > least[r]) | ((s == least[r]) & (other <= last[r])))
+            rows, ids, scores = (np.concatenate(x) for x in ((rows, r[good]), (ids, other[good]), (scores, s[good])))
+            order = np.lexsort((ids, -scores, rows))
+            rows, ids, scores = rows[order], ids[order], scores[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, ids, scores, place = (x[place < k] for x in (rows, ids, scores, place))
+            full = place == k - 1
+            least[rows[full]], last[rows[full]] = scores[full], ids[full]
+        yield left.ids[lo:hi][rows], ids, scores
+
+
+def _nearest_sets(sets: DataFrame, k: int, digits: int) -> DataFrame:
+    """(id, other, similarity): the ``k`` most similar of different ``sets`` (id, types), each being its own nearest; ties go to the smaller id.
+
+    Sets are dealt into blocks of bounded size, counted. Each first meets its
+    own block, and what it finds there bounds what other blocks have to look
+    at and to return.
+    """
+    count, entries = sets.agg(F.count("*"), F.sum(F.size("types"))).first()
+    parts = max(-(-count // BLOCK_SETS), -(-(entries or 0) // BLOCK_TYPES), min(-(-count // BLOCK_USERS), BLOCKS), 1)
+    # Keys of one type on both sides, see _rating_blocks.
+    deal, each = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    schema = "id long, other long, similarity double"
+    out = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
+
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        return pa.concat_tables([pa.table(list(best), schema=out) for best in _best_sets(_Sets(left), _Sets(right), k, digits)])
+
+    best = written(sets.withColumn("a", deal).groupBy("a").applyInArrow(lambda t: found(t, t), schema), "nearest-sets")
+    if parts > 1:
+        last = F.max_by("other", F.struct(-F.col("similarity"), "other"))
+        bound = best.groupBy("id").agg(F.count("*").alias("n"), F.min("similarity").alias("least"), last.alias("last"))
+        bound = bound.where(F.col("n") == k).drop("n")
+        a = sets.join(bound, "id", "left").select("id", "types", F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("last", F.lit((1 << 63) - 1)).alias("last"), deal.alias("a"), each.alias("b"))
+        b = sets.select(F.col("id").alias("j"), F.col("types").alias("j_types"), each.alias("a"), deal.alias("b"))  # fresh names, see there too
+        others = a.where("a <> b").groupBy("a", "b").cogroup(b.where("a <> b").groupBy("a", "b")).applyInArrow(found, schema)
+        best = written(best.unionByName(others), "nearest-sets")
+    # Where fewer have a type in common, the first ``2 * k`` ids have enough of the others.
+    lacking = best.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") < k).select("id")
+    zeros = lacking.crossJoin(F.broadcast(sets.select(F.col("id").alias("other")).orderBy("other").limit(2 * k)))
+    zeros = zeros.join(best, ["id", "other"], "left_anti").withColumn("similarity", F.lit(0.0))
+    return top(best.unionByName(zeros), ["id"], [F.desc("similarity"), "other"], k).drop("rank")
 
 
 def similar_by_types(owned: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
     """``similar`` of ``jaccard`` without its pairs: each user's ``k`` most similar others by the types (user, type) they own, similarities of 0 included.
 
-    Types are few and shared by many, so nearly all pairs of users have one in
-    common. Users are dealt into blocks of bounded size, counted; each pair of
-    blocks is a product of 0-1 matrices in tiles, of which only every user's
-    best ``k`` go on.
+    Users of the same types are one set, named by its smallest user, and only
+    different sets are compared. What is best for a user is among the first
+    ``k + 1`` users of the best ``k + 1`` sets, by similarity and smallest
+    user. Types are few and shared by many, so nearly all pairs of sets have
+    one in common, and all blocks of sets meet.
     """
-    sets = owned.groupBy("user").agg(F.collect_set(F.xxhash64("type")).alias("types"))
-    sets = written(sets.select(F.col("user").cast("long").alias("user"), "types"), "type-sets")
-    parts = -(-sets.count() // BLOCK_USERS) or 1
-    # Keys of one type on both sides, see _rating_blocks.
-    deal, each = F.pmod(F.xxhash64("user"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    a = sets.select(F.col("user").alias("i"), F.col("types").alias("x"), deal.alias("a"), each.alias("b"))
-    b = sets.select(F.col("user").alias("j"), F.col("types").alias("y"), each.alias("a"), deal.alias("b"))
-    out = pa.schema([("user", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
-
-    def met(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
-        i, j = left.column("i").to_numpy(), right.column("j").to_numpy()
-        order = np.argsort(j)
-        sides = [left.column("x").combine_chunks(), right.column("y").combine_chunks().take(pa.array(order))]
-        j = j[order]
-        sizes = [np.diff(s.offsets.to_numpy()) for s in sides]
-        flat = [s.flatten().to_numpy() for s in sides]
-        types, number = np.unique(np.concatenate(flat), return_inverse=True)
-        number = np.split(number, [len(flat[0])])
-        rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
-        common = np.zeros((len(i), len(j)), np.float32)
-        for t in range(0, len(types), TILE_TYPES):
-            tile = [np.zeros((len(n), min(TILE_TYPES, len(types) - t)), np.float32) for n in sizes]
-            for m, r, c in zip(tile, rows, number):
-                inside = (c >= t) & (c < t + TILE_TYPES)
-                m[r[inside], c[inside] - t] = 1
-            common += tile[0] @ tile[1].T
-        s = rounded(common.astype(np.float64) / (sizes[0][:, None] + sizes[1][None, :] - common), digits)
-        s[i[:, None] == j[None, :]] = -1
-        best = np.argsort(-s, axis=1, kind="stable")[:, : min(k, len(j))]  # of equal ones the smaller id
-        score = np.take_along_axis(s, best, 1)
-        row, col = np.nonzero(score >= 0)
-        return pa.table([i[row], j[best[row, col]], score[row, col]], schema=out)
-
-    found = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(met, "user long, other long, similarity double")
+    sets = owned.where("user IS NOT NULL").groupBy(F.col("user").cast("long").alias("user")).agg(F.array_sort(F.collect_set(F.xxhash64("type"))).alias("types"))
+    sets = written(sets, "type-sets")
+    different = written(sets.groupBy("types").agg(F.min("user").alias("id")).select("id", "types"), "different-sets")
+    # Joined by sorting: files of such lists are small, and tables that Spark broadcasts by their size are not.
+    members = written(sets.join(different.hint("merge"), "types").select("user", "id"), "members")
+    first = top(members, ["id"], ["user"], k + 1).select(F.col("id").alias("near"), F.col("user").alias("other"))
+    near = _nearest_sets(different, k + 1, digits).withColumnRenamed("other", "near")
+    lists = top(near.join(first.hint("merge"), "near").select("id", "other", "similarity"), ["id"], [F.desc("similarity"), "other"], k + 1).drop("rank")
+    found = members.join(lists.hint("merge"), "id").where("user <> other").select("user", "other", "similarity")
     return top(found, ["user"], [F.desc("similarity"), "other"], k)
 
 
