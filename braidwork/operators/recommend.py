@@ -471,8 +471,14 @@ def new_types(owned: DataFrame, cards: DataFrame, k: int = 3) -> DataFrame:
 def with_similar_cards(owned: DataFrame, cards: DataFrame, neighbours: int = 5, k: int = 3) -> DataFrame:
     """``new_types`` with the cards of similar users of such types added, distinct. They are among all cards, so they add none; the step is kept."""
     near = similar_by_types(owned, neighbours).select("user", "other")
-    theirs = near.join(owned.select(F.col("user").alias("other"), "type", "card"), "other").select("user", "type", "card").distinct()
-    theirs = theirs.join(owned.select("user", "type").distinct(), ["user", "type"], "left_anti")
+    # Of a type that a user has not, the first ``k`` cards of an other are enough: lists of an other are one row, and none of their cards is one before they are chosen.
+    first = top(owned.select("user", "type", "card").distinct(), ["user", "type"], ["card"], k)
+    lists = first.groupBy(F.col("user").alias("other")).agg(F.array_sort(F.collect_list(F.struct("card", "type"))).alias("theirs"))
+    types = owned.groupBy("user").agg(F.collect_set("type").alias("types"))
+    # A null type is like no other, as in a join.
+    new = F.filter("theirs", lambda c: ~F.coalesce(F.array_contains("types", c["type"]), F.lit(False)))
+    theirs = near.join(types, "user").join(lists, "other").select("user", F.explode(F.slice(new, 1, k)).alias("c"))
+    theirs = theirs.select("user", "c.type", "c.card").distinct()
     both = new_types(owned, cards, k).drop("rank").unionByName(top(theirs, ["user"], ["card"], k).drop("rank")).distinct()
     return top(both, ["user"], ["card"], k)
 

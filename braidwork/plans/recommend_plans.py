@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from braidwork.operators import recommend as R
 from braidwork.operators import relational as Q
+from braidwork.sources.shared import written
 from braidwork.sources.tables import table
 
 
@@ -42,7 +43,8 @@ def recommend_cards(spark, d):
 
 
 def recommend_cards_similar(spark, d):
-    o = _owned(spark, d)
+    # Read several times: types are taken out of the properties once.
+    o = written(_owned(spark, d).select("user", "type", "card"), "owned")
     return R.with_similar_cards(o, o.select("type", "card"))
 
 
