@@ -10,6 +10,8 @@ joined with the items' windows as they are written, not by hash.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,14 @@ from .common import BROADCAST_ROWS, apart, materialize, maybe_broadcast, table,
 #: A word of lower-cased text; in ANY, A-Z are word characters too, so that texts need not be lower-cased to count.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same with each separator by itself: Java's regex looks those up in a table, where it tries ranges one after the other for every letter.
+LISTED_WORD, LISTED_ANY = ("[^" + "".join(f"\\x{c:02X}" for c in range(128) if not re.match(p, chr(c))) + "]+" for p in (WORD, ANY))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
     """Words with A-Z lower-cased and nothing else changed."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(LISTED_WORD), F.lit(0))
 
 
 def _hashed(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,7 +39,7 @@ def _hashed(df: DataFrame, keys: list[str]) -> DataFrame:
     first: it is the one letter whose small form depends on what surrounds it.
     """
     folded = F.lower(F.replace("text", F.lit("\u03a3"), F.lit("\u03c3")))
-    return df.select(*keys, F.transform(F.regexp_extract_all(folded, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("h"))
+    return df.select(*keys, F.transform(F.regexp_extract_all(folded, F.lit(LISTED_WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("h"))
 
 
 def _grams(df: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -132,7 +136,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int =
     named = named.groupBy(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).agg(F.array_sort(F.collect_list("item")).alias("items"))
     hits = counted.join(named, counted["_id"].eqNullSafe(named["_id2"]) & (counted["_h"] == named["_h2"]), "left").drop("_id2", "_h2")
     hits = maybe_broadcast(materialize(hits, "hits"), BROADCAST_ROWS // 4, "items", BROADCAST_ROWS)
-    base = keyed.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(ANY)), F.lit(0)).cast("long"))
+    base = keyed.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(LISTED_ANY)), F.lit(0)).cast("long"))
     same = base["doc_id"].eqNullSafe(hits["_id"]) & (base["_hash"] == hits["_h"])
     out = base.join(hits, same, "left").drop("_id", "_h", "_hash")
     return out.withColumns(
